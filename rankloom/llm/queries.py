@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query: module that holds the function of that name.
 MODULES = {
+    "op5_packing": "packing",
+    "op9_warc": "warc",
     "op10_store": "store",
 }
 
+#: Query: module and constant that hold its DuckDB SQL.
+SQL = {
+    "op9_warc": ("warc", "OP9_SQL"),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"{__package__}.{module}"), constant) for name, (module, constant) in SQL.items()}
