@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: module that holds the function of that name.
 MODULES = {
     "op2_shards": "shards",
+    "op3_mixing": "mixing",
+    "op4_rules": "rules",
     "op5_packing": "packing",
     "op9_warc": "warc",
     "op10_store": "store",
