@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query: module that holds the function of that name.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_shards": "shards",
     "op3_mixing": "mixing",
     "op4_rules": "rules",
