@@ -9,6 +9,7 @@ texts are gathered with numpy. A bounded memo carries pieces from batch to batch
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Letters that are lower case, composed and single code points: encoded by the model alone.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
+#: Letters that are lower case, composed and single code points, then marks: each run is a token group of its own.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
 PIECE_BYTES = 8 << 20
 
 
@@ -46,26 +47,35 @@ class Encoder:
 
     def _model_alone(self) -> bool:
         """Whether the model alone gives what the whole tokenizer gives for plain pieces."""
-        probe = ["straße", "élève.", "theand,", "a", "ñandú?", "über;", "xyzzyq!", "to:"]
-        return all(self._plain(p) == self._whole(p) for p in probe)
+        probe = ["straße", "élève.", "theand,", "a", "ñandú?", "über;", "xyzzyq!", "to:", "on&&&", "x...", "b_c-"]
+        return all(self._plain(p) in (None, self._whole(p)) for p in probe)
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _run(self, run: str) -> bytes:
+        """The ids of one run of letters or of marks, by the model alone."""
+        found = self.memo.get(raw := run.encode())
+        if found is None:
+            word = run if run.isascii() else "".join(map(self.symbols.get, run))
+            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            if len(self.memo) < self.memo_pieces and len(raw) <= 64:
+                self.memo[raw] = found
+        return found
+
     def _plain(self, piece: str) -> bytes | None:
         m = PLAIN.fullmatch(piece)
         if not m:
             return None
-        word = m[1] if m[1].isascii() else "".join(map(self.symbols.get, m[1]))
-        ids = [t.id for t in self.model.tokenize(word)]
-        if m[2]:
-            ids += [t.id for t in self.model.tokenize(m[2])]
-        return np.array(ids, dtype="<u4").tobytes()
+        return self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
 
     def piece(self, raw: bytes) -> bytes:
         text = raw.decode()
-        out = (self._plain(text) if self.plain else None) or self._whole(text)
-        if len(self.memo) < self.memo_pieces and len(raw) <= 64:
+        out = self._plain(text) if self.plain else None
+        if out is None:
+            out = self._whole(text)
+        # Letters are remembered alone; letters with marks only while there is room for what is frequent.
+        if len(self.memo) < self.memo_pieces // 3 and len(raw) <= 64:
             self.memo[raw] = out
         return out
 
