@@ -14,6 +14,7 @@ MODULES = {
     "op3_mixing": "mixing",
     "op4_rules": "rules",
     "op5_packing": "packing",
+    "op6_vectors": "vectors",
     "op7_urls": "urls",
     "op9_warc": "warc",
     "op10_store": "store",
