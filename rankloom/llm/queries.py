@@ -16,6 +16,7 @@ MODULES = {
     "op5_packing": "packing",
     "op6_vectors": "vectors",
     "op7_urls": "urls",
+    "op8_jaccard": "jaccard",
     "op9_warc": "warc",
     "op10_store": "store",
 }
