@@ -23,11 +23,11 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of each row."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to carry, then n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(common.BLANKS))
-    df = docs.select("doc_id", text.alias("t"), bare.alias("bare"))
+    df = docs.select(*carry, text.alias("t"), bare.alias("bare"))
     df = df.withColumn("words", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", f"[{common.BLANKS}]+")))
     df = df.withColumn("n", F.size("words"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(common.BLANKS)) != "")
@@ -40,7 +40,7 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("places", F.expr("sort_array(transform(found, x -> x & (shiftleft(1L, low) - 1)))"))
     covered = "if(size(places) = 0, 0L, aggregate(transform(places, (p, i) -> least(3L, coalesce(get(places, i + 1) - p, 3L))), 0L, (a, b) -> a + b))"
     return df.select(
-        "doc_id",
+        *carry,
         F.col("n").cast("long").alias("n_words"),
         F.length(F.translate("t", common.BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -99,22 +99,45 @@ def posterior(counts: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tupl
     return {p: odds(p) for p in product((-1, 0, 1), repeat=width)} if counts else {}
 
 
-def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Features, votes pattern, quality (posterior probability), base_failed and kept of each row."""
-    df = common.written(features(docs), "features")
-    rules = votes()
+def pattern_of() -> Column:
+    """The votes as one number to base 3."""
     pattern = F.lit(0)
-    for rule in rules.values():
+    for rule in votes().values():
         pattern = pattern * 3 + rule + 1
-    df = df.withColumn("pattern", pattern)
-    found = {r["pattern"]: r["count"] for r in df.groupBy("pattern").count().collect()}  # 3 ** 5 rows at most
+    return pattern
+
+
+def quality_table(df: DataFrame) -> Column:
+    """The posterior as a function of the column `pattern`, estimated from the patterns of df."""
+    width = len(votes())
+    found = {r["pattern"]: r["count"] for r in df.groupBy("pattern").count().collect()}  # 3 ** rules rows at most
     number = lambda p: sum((v + 1) * 3**k for k, v in enumerate(reversed(p)))
-    counts = {p: found[number(p)] for p in product((-1, 0, 1), repeat=len(rules)) if number(p) in found}
+    counts = {p: found[number(p)] for p in product((-1, 0, 1), repeat=width) if number(p) in found}
     table = {number(p): q for p, q in posterior(counts).items()}
-    values = F.array(*[F.lit(table.get(k, 0.0)) for k in range(3 ** len(rules))])
-    df = df.withColumn("quality", F.get(values, F.col("pattern")))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= least))
+    return F.get(F.array(*[F.lit(table.get(k, 0.0)) for k in range(3**width)]), F.col("pattern"))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Features, votes pattern, quality (posterior probability), base_failed and kept of each row."""
+    df = common.written(features(docs).withColumn("pattern", pattern_of()), "features")
+    df = df.withColumn("quality", quality_table(df)).withColumn("base_failed", base_failed())
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
+def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep.
+
+    Votes go along with their rows, so no join is needed; only the counts of patterns take a pass of their own.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("row")).withColumn("text", F.col("row.text"))
+    df = features(row, ("row",)).withColumn("pattern", pattern_of()).withColumn("failed", base_failed()).select("row", "pattern", "failed")
+    marked = common.written(df, "votes")
+    good = marked.where(~F.col("failed") & (quality_table(marked) >= least))
+    return good.select("row.*")
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

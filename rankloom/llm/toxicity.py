@@ -250,6 +250,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def below(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scanner.score(t) < limit for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def passages(docs: DataFrame, model: Model, least: float = 3.0) -> DataFrame:
     """doc_id, first and last word (counted from 0), statistic of every significant segment."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
