@@ -82,7 +82,7 @@ def reciprocal(rows: DataFrame) -> DataFrame:
     query_score is given by the column `query_score` of the best hit; other hits take the rank of their common
     ancestor with it. The best hit is broadcast over its query's rows by a window, not joined.
     """
-    best = F.min(F.struct(F.lit(0) - F.col("score"), "ord", "taxid", "path", "query_score")).over(H.ALL)
+    best = F.min(F.struct(F.lit(0) - F.col("score"), "ord", "taxid", "path", "query_score")).over(H.whole())
     out = rows.withColumn("_best", best)
     shared = F.filter("path", lambda s: F.array_contains(ranks.taxids(F.col("_best.path")), s["taxid"]))
     return out.select(

@@ -6,19 +6,26 @@ they are running maxima over one window by query, so several cost one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
 
-BY_ORDER = Window.partitionBy("query").orderBy("ord")
-SO_FAR = BY_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-ALL = Window.partitionBy("query")
+def by_order() -> WindowSpec:
+    return Window.partitionBy("query").orderBy("ord")
+
+
+def so_far() -> WindowSpec:
+    return by_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("query")
 
 
 def take_while(rows: DataFrame, fails: Column) -> DataFrame:
     """Hits of each query before the first that fails."""
-    return rows.withColumn("_fail", F.max(F.coalesce(fails, F.lit(False)).cast("int")).over(SO_FAR)).where("_fail = 0").drop("_fail")
+    return rows.withColumn("_fail", F.max(F.coalesce(fails, F.lit(False)).cast("int")).over(so_far())).where("_fail = 0").drop("_fail")
 
 
 def filter_evalue(rows: DataFrame, most) -> DataFrame:
@@ -35,7 +42,7 @@ def filter_alignment_length(rows: DataFrame, least: int) -> DataFrame:
 
 def best_first(rows: DataFrame) -> DataFrame:
     """Moves hits that beat the best so far to the front, the best one first, as a report is read."""
-    before = F.max("score").over(BY_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("score").over(by_order().rowsBetween(Window.unboundedPreceding, -1))
     front = F.col("score") > F.coalesce(before, F.lit(float("-inf")))
     place = F.when(F.col("_front"), -F.col("ord")).otherwise(F.col("ord"))
     return rows.withColumn("_front", front).withColumn("ord", place).drop("_front")
@@ -43,14 +50,14 @@ def best_first(rows: DataFrame) -> DataFrame:
 
 def top_percent(rows: DataFrame, share: float | Column) -> DataFrame:
     """Adds fails (the hit ends the scan) and exhausted (no hit of the query fails) for the best score less the share."""
-    limit = (1 - (share if isinstance(share, Column) else F.lit(share))) * F.max("score").over(ALL)
+    limit = (1 - (share if isinstance(share, Column) else F.lit(share))) * F.max("score").over(whole())
     out = rows.withColumn("fails", (F.col("score") < limit).cast("int"))
-    return out.withColumn("exhausted", F.max("fails").over(ALL) == 0)
+    return out.withColumn("exhausted", F.max("fails").over(whole()) == 0)
 
 
 def filter_top_percent(rows: DataFrame, share: float) -> DataFrame:
     out = top_percent(rows, share)
-    return out.withColumn("_tail", F.max("fails").over(SO_FAR)).where("_tail = 0").drop("_tail", "fails")
+    return out.withColumn("_tail", F.max("fails").over(so_far())).where("_tail = 0").drop("_tail", "fails")
 
 
 def filter_superkingdom(rows: DataFrame) -> DataFrame:
@@ -70,11 +77,11 @@ def matching_queries(queries: DataFrame, rows: DataFrame, most_ev, least_score,
 
     The order is e-value, bit score, alignment length, top percent, group; a scan that has ended stays ended.
     """
-    best = F.max("score").over(ALL)
+    best = F.max("score").over(whole())
     fails = (F.col("ev") > most_ev) | (F.col("score") < least_score) | (F.col("score") < (1 - share) * best)
     ids = ranks.taxids(F.col("path"))
     group = (F.get(ids, F.lit(0)) == 1) & F.get(ids, F.lit(2)).isin(*ranks.KEPT_GROUPS)
-    kept = rows.withColumn("_tail", F.max(fails.cast("int")).over(SO_FAR)).withColumn("kept", (F.col("_tail") == 0) & (F.col("aln_len") >= least_length) & F.coalesce(group, F.lit(False)))
+    kept = rows.withColumn("_tail", F.max(fails.cast("int")).over(so_far())).withColumn("kept", (F.col("_tail") == 0) & (F.col("aln_len") >= least_length) & F.coalesce(group, F.lit(False)))
     counts = kept.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.col("kept").cast("long")).alias("n_left"))
     out = queries.join(counts, "query", "left").withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "n_left": F.coalesce("n_left", F.lit(0))})
     return out.withColumn("state", F.when(F.col("n_hits") == 0, "no_hits").when(F.col("n_left") == 0, "no_hits2").otherwise("hits"))
@@ -88,7 +95,7 @@ def first_hit(rows: DataFrame, *columns: str) -> DataFrame:
 
 def collapse_consecutive(rows: DataFrame, subject: str) -> DataFrame:
     """Hits without those whose subject is that of the hit before."""
-    before = F.lag(subject).over(BY_ORDER)
+    before = F.lag(subject).over(by_order())
     return rows.withColumn("_before", before).where(~F.col(subject).eqNullSafe(F.col("_before"))).drop("_before")
 
 

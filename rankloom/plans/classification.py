@@ -45,7 +45,7 @@ def scored(spark, sf):
 
 
 def with_query_score(rows):
-    return rows.withColumn("query_score", F.max("score").over(H.ALL) * (70 + F.col("query") % 31) / F.lit(100.0))
+    return rows.withColumn("query_score", F.max("score").over(H.whole()) * (70 + F.col("query") % 31) / F.lit(100.0))
 
 
 @query("best_worst_per_rank", O.sql("SELECT query, r, max(score) AS best, min(score) AS worst FROM oth WHERE r > 0 GROUP BY query, r", *O.TREE_HITS, PAIRS.format(src="ph")))

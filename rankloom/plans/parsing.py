@@ -1 +1,260 @@
-"""To be filled."""
+"""Queries of parsers, lookups and sinks: lines are built from the driver's tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom.functions import ranks
+from rankloom.operators import joins as J
+from rankloom.operators import taxonomy as T
+from rankloom.plans import oracle as O
+from rankloom.plans.registry import query
+from rankloom.plans.taxonomy import tree
+from rankloom.sources import parsers as P
+from rankloom.sources import sinks as K
+from rankloom.sources import tables as S
+
+
+def line(*cells):
+    return F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("value")
+
+
+@query("scan_nodes", O.sql("SELECT taxid, parent, rank FROM nodes", O.NODES))
+def scan_nodes(spark, sf):
+    return P.nodes(S.node_lines(spark, sf))
+
+
+@query("scan_merged", O.sql("SELECT taxid, parent, rank FROM nodes UNION ALL SELECT 9000000 + c, 500000 + i23, 27 FROM k WHERE c % 50 = 0", O.NODES))
+def scan_merged(spark, sf):
+    c = S.table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat((9000000 + F.col("c_custkey")).cast("string"), F.lit("\t|\t"), (1000000 + F.col("c_custkey")).cast("string"), F.lit("\t|")).alias("value"))
+    return T.with_merged(P.nodes(S.node_lines(spark, sf)), P.merged(c))
+
+
+def name_rows(spark, sf):
+    rows = S.names(spark, sf).withColumn("ord", F.col("taxid") * 2 + (F.col("class") == "synonym").cast("int"))
+    text = F.concat_ws("\t|\t", F.col("taxid").cast("string"), "name", F.lit(""), F.concat("class", F.lit("\t|")))
+    return P.names(rows.select(text.alias("value"), "ord"))
+
+
+@query("scan_names", O.sql("SELECT lower(name) AS name, max_by(taxid, taxid) AS taxid FROM names GROUP BY lower(name)", O.NODES, O.NAMES))
+def scan_names(spark, sf):
+    return P.name_to_taxid(name_rows(spark, sf))
+
+
+@query("scan_scinames", O.sql("SELECT taxid, lower(name) AS name FROM names WHERE class = 'scientific name'", O.NODES, O.NAMES))
+def scan_scinames(spark, sf):
+    return P.scientific_names(name_rows(spark, sf))
+
+
+@query("scan_name_variants", O.sql("SELECT CASE WHEN n = 1 THEN name ELSE name || '|' || n END AS name, taxid FROM (SELECT lower(substring(name, 1, 14)) AS name, taxid, row_number() OVER (PARTITION BY lower(substring(name, 1, 14)) ORDER BY taxid, class) AS n FROM names)", O.NODES, O.NAMES))
+def scan_name_variants(spark, sf):
+    return P.name_variants(name_rows(spark, sf).withColumn("name", F.substring("name", 1, 14)))
+
+
+# A record of three lines for each document: header, and its first letters wrapped.
+def fasta_lines(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]", "").alias("s"))
+    parts = F.array(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" "), "lang"), F.lit(""), F.substring("s", 1, 20), F.lit("# note"), F.substring("s", 21, 60))
+    rows = d.select(F.concat(F.lit("f"), (F.col("doc_id") % 16).cast("string")).alias("file"), "doc_id", F.posexplode(parts).alias("k", "value"))
+    return rows.select("file", (F.col("doc_id") * 8 + F.col("k")).alias("ord"), "value")
+
+
+FASTA = "SELECT 'd' || doc_id AS id, lang AS description, regexp_replace(substring(text, 1, 60), '[^A-Za-z]', '', 'g') AS seq FROM documents"
+
+
+@query("scan_fasta", FASTA)
+def scan_fasta(spark, sf):
+    return P.fasta(fasta_lines(spark, sf)).select("id", "description", "seq")
+
+
+@query("fasta_to_map", f"SELECT id, seq FROM ({FASTA})")
+def fasta_to_map(spark, sf):
+    return P.fasta_by_id(P.fasta(fasta_lines(spark, sf)))
+
+
+@query("scan_blast_m8", "SELECT l_orderkey::VARCHAR AS query, 'gi|' || l_partkey AS subject, (60 + l_suppkey % 40)::DOUBLE AS pct_identity, l_quantity::INT AS aln_len, l_linenumber AS mismatches, l_extendedprice AS bitscore FROM lineitem")
+def scan_blast_m8(spark, sf):
+    r = S.table(spark, sf, "lineitem")
+    one, text = F.lit(1), F.lit("x")
+    cells = [F.col("l_orderkey"), F.concat(F.lit("gi|"), F.col("l_partkey").cast("string")), 60 + F.col("l_suppkey") % 40, F.col("l_quantity").cast("int"), F.col("l_linenumber"), one, one, one, one, one, F.lit("1e-5"), F.col("l_extendedprice")]
+    plain, surplus = line(*cells), line(cells[0], text, *cells[1:])
+    rows = r.select(F.when(F.col("l_linenumber") % 2 == 0, plain).otherwise(surplus).alias("value"), F.lit(0).alias("ord"))
+    return P.blast_m8(rows).select("query", "subject", "pct_identity", "aln_len", "mismatches", "bitscore")
+
+
+@query("blast_field_extract", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS bitscore, l_suppkey::INT AS identities, (l_suppkey + 50)::INT AS aln_len, (l_suppkey % 90)::INT AS percent, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END AS gaps FROM lineitem")
+def blast_field_extract(spark, sf):
+    s = lambda c: c.cast("string")
+    n = F.col("l_suppkey")
+    gaps = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(", Gaps = "), s(F.col("l_linenumber")), F.lit("/"), s(n + 50))).otherwise("")
+    first = F.concat(F.lit(" Score = "), s(F.col("l_extendedprice")), F.lit(" bits (300), Expect = 2e-10"))
+    second = F.concat(F.lit(" Identities = "), s(n), F.lit("/"), s(n + 50), F.lit(" ("), s(n % 90), F.lit("%)"), gaps)
+    f = P.blast_fields()
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = S.table(spark, sf, "lineitem").select(*keys, first.alias("a"), second.alias("b"))
+    rows = rows.withColumn("value", F.col("a")).select(*keys, "b", f["bitscore"].alias("bitscore")).withColumn("value", F.col("b"))
+    return rows.select(*keys, "bitscore", f["identities"].alias("identities"), f["aln_len"].alias("aln_len"), f["percent"].alias("percent"), f["gaps"].alias("gaps"))
+
+
+@query("scan_blast_report")
+def scan_blast_report(spark, sf):
+    """A report record for each order, read back."""
+    s = lambda c: F.col(c).cast("string")
+    hit = F.concat(F.lit("\n>gi|"), s("l_partkey"), F.lit(" part\n          Length = 90\n\n Score = "), s("l_extendedprice"), F.lit(" bits (9), Expect = 1e-9\n Identities = "), s("l_suppkey"), F.lit("/900 (10%), Positives = "), s("l_suppkey"), F.lit("/900 (10%)\n Frame = +1\n\nQuery: 1 ACGT 4\n         ||||\nSbjct: 5 ACGT 8\n"))
+    rows = S.table(spark, sf, "lineitem").select("l_orderkey", hit.alias("hit")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("hit"), "").alias("hits"))
+    return P.blast_report(rows.select(F.concat(F.lit("BLASTX 2.2\n\nQuery= "), s("l_orderkey"), F.lit("\n"), "hits").alias("value")))
+
+
+@query("scan_reciprocal_m8", O.sql("SELECT query::VARCHAR AS \"group\", max(score) FILTER (ord = 1)::DOUBLE AS self_score, coalesce(max(score) FILTER (ord = 2), min(score))::DOUBLE AS query_score, count(*) FILTER (ord > 2) AS n_others FROM (SELECT query, ord, score FROM (SELECT *, CASE ord WHEN 1 THEN 'self' WHEN 2 THEN 'query' ELSE taxid::VARCHAR END AS subj FROM hits) QUALIFY lag(subj) OVER (PARTITION BY query ORDER BY ord) IS DISTINCT FROM subj) GROUP BY query", O.NODES, O.HITS))
+def scan_reciprocal_m8(spark, sf):
+    h = S.hits(spark, sf)
+    subject = F.when(F.col("ord") == 1, "self").when(F.col("ord") == 2, "query").otherwise(F.col("taxid").cast("string"))
+    one = F.lit(1)
+    lines = h.select(line(F.col("query"), subject, one, one, one, one, one, one, one, one, one, F.col("score")), "ord")
+    rows = P.blast_m8(lines).select(F.col("query").alias("group"), "ord", "subject", "bitscore")
+    return P.reciprocal_m8(rows)
+
+
+@query("scan_hmmscan", "SELECT 'PF' || l_partkey AS accession, l_orderkey::VARCHAR AS read, CASE WHEN l_linenumber = 1 THEN 0 ELSE -l_linenumber END AS frame, l_linenumber AS ali_from, (l_linenumber + l_quantity::INT)::INT AS ali_to FROM lineitem WHERE l_quantity::INT > 10")
+def scan_hmmscan(spark, sf):
+    s = lambda c: c.cast("string")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    name = F.concat(s(F.col("l_orderkey")), F.when(n == 1, "_blastx").otherwise(F.concat(F.lit("_-"), s(n))))
+    end = F.when(q > 10, n + q).otherwise(n)
+    cells = [F.lit("fam"), F.concat(F.lit("PF"), s(F.col("l_partkey"))), F.lit("7"), name, F.lit("-"), F.lit("9"), F.lit("1e-7"), *[F.lit("0")] * 5, F.lit("2e-6"), *[F.lit("0")] * 4, s(n), s(end)]
+    return P.hmmscan(S.table(spark, sf, "lineitem").select(F.concat_ws("   ", *cells).alias("value"))).select("accession", "read", "frame", "ali_from", "ali_to")
+
+
+@query("scan_egt", "SELECT p_brand AS pfam, 'r' || p_partkey || '_1_2' AS read, '1e-05' AS evalue, replace(p_name, ' ', ',') AS go, repeat('MK', p_size) AS seq FROM part WHERE p_size >= 5")
+def scan_egt(spark, sf):
+    p = S.table(spark, sf, "part")
+    rows = p.select(P.egt_line(F.col("p_brand"), F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit("_1_2")), F.lit("1e-05"), F.split("p_name", " ")).alias("header"), F.repeat(F.lit("MK"), F.col("p_size")).alias("seq"))
+    return P.egt(rows).select("pfam", "read", "evalue", F.array_join("go", ",").alias("go"), "seq")
+
+
+@query("scan_rdp_header", "SELECT 'S' || c_custkey AS id, c_name AS organism, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 100)::INT ELSE 0 END AS off FROM customer")
+def scan_rdp_header(spark, sf):
+    k = F.col("c_custkey")
+    text = F.concat(F.lit(">S"), k.cast("string"), F.lit(" "), F.col("c_name"), F.when(k % 2 == 0, F.concat(F.lit("; OFFSET"), (k % 100).cast("string"))).otherwise(F.lit("; x")))
+    return P.rdp_header(S.table(spark, sf, "customer").select(text.alias("value"))).withColumnRenamed("offset", "off")
+
+
+@query("scan_rna_alignment", "SELECT 'S' || c_custkey AS id, (1000000 + c_custkey)::INT AS taxid, (c_custkey % 9)::INT AS off FROM customer")
+def scan_rna_alignment(spark, sf):
+    k = F.col("c_custkey")
+    text = F.concat(F.lit(">S"), k.cast("string"), F.lit("_"), (1000000 + k).cast("string"), F.lit(" OFFSET"), (k % 9).cast("string"))
+    return P.rna_header(S.table(spark, sf, "customer").select(text.alias("value"))).withColumnRenamed("offset", "off")
+
+
+@query("scan_obo", "SELECT 'GO:' || p_partkey AS go_id, p_name AS name, p_type AS namespace, CASE WHEN p_size % 2 = 0 THEN 'GO:' || (p_partkey + 1000000) ELSE '' END AS alt FROM part")
+def scan_obo(spark, sf):
+    s = F.col("p_partkey").cast("string")
+    alt = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("alt_id: GO:"), (F.col("p_partkey") + 1000000).cast("string"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("\nid: GO:"), s, F.lit("\nname: "), "p_name", F.lit("\nnamespace: "), "p_type", F.lit("\n"), alt)
+    return P.obo(S.table(spark, sf, "part").select(text.alias("value"))).select("go_id", "name", "namespace", F.array_join("alt_ids", ",").alias("alt"))
+
+
+@query("scan_pfam_taxid", "SELECT c_name || '_X' AS pfam_seq_id, (1000000 + c_custkey)::INT AS taxid FROM customer")
+def scan_pfam_taxid(spark, sf):
+    return P.pfam_taxid(S.table(spark, sf, "customer").select(F.concat("c_name", F.lit("_X,"), (1000000 + F.col("c_custkey")).cast("string")).alias("value")))
+
+
+@query("scan_pfam_go", "SELECT p_brand AS acc, string_agg('GO:' || p_size, ',' ORDER BY p_partkey) AS go FROM part GROUP BY p_brand")
+def scan_pfam_go(spark, sf):
+    p = S.table(spark, sf, "part")
+    q = lambda *c: F.concat_ws("\t", *[F.concat(F.lit("'"), x.cast("string"), F.lit("'")) for x in c]).alias("value")
+    families = P.quoted(p.select(F.xxhash64("p_brand").alias("h"), "p_brand").distinct().select(q(F.col("h"), F.col("p_brand"))), 2).select(F.col("c")[0].alias("auto_id"), F.col("c")[1].alias("acc"))
+    lines = p.select(q(F.xxhash64("p_brand"), F.concat(F.lit("GO:"), F.col("p_size").cast("string")), F.col("p_partkey")))
+    ontology = P.quoted(lines, 3).select(F.col("c")[0].alias("auto_id"), F.col("c")[1].alias("go_id"), F.col("c")[2].cast("long").alias("ord"))
+    return P.pfam_go(families, ontology)
+
+
+@query("build_pfam_taxid", "SELECT p_brand AS id, min(p_size) AS taxid, count(DISTINCT p_size) > 1 AS conflict FROM part GROUP BY p_brand")
+def build_pfam_taxid(spark, sf):
+    """Column 1 and 15 of quoted rows of at least 16; a conflict is an id with several taxa."""
+    blank = [F.lit("''")] * 13
+    q = lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'"))
+    lines = S.table(spark, sf, "part").select(F.concat_ws("\t", F.lit("'0'"), q(F.col("p_brand")), *blank, q(F.col("p_size")), F.lit("''")).alias("value"))
+    rows = P.quoted(lines, 16).select(F.col("c")[1].alias("id"), F.col("c")[15].cast("int").alias("taxid"))
+    return rows.groupBy("id").agg(F.min("taxid").alias("taxid"), (F.countDistinct("taxid") > 1).alias("conflict"))
+
+
+@query("scan_stockholm", "SELECT 's' || doc_id || '/1-9' AS row_id, upper(regexp_replace(substring(text, 1, 20), '[^A-Za-z]', '-', 'g')) || 'AC' AS aligned FROM documents")
+def scan_stockholm(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]", ".").alias("s"))
+    name = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.lit("/1-9 "))
+    parts = F.array(F.lit("# STOCKHOLM 1.0"), F.concat(name, "s"), F.concat(name, F.lit("ac")), F.lit("//"), F.concat(name, F.lit("zz")))
+    rows = d.select(F.col("doc_id").alias("file"), F.posexplode(parts).alias("ord", "value"))
+    return P.stockholm(rows).select("row_id", "aligned")
+
+
+@query("scan_matrix", "SELECT a.n_nationkey::VARCHAR AS a, b.n_nationkey::VARCHAR AS b, (a.n_nationkey * 10 - b.n_nationkey)::INT AS score FROM nation a, nation b")
+def scan_matrix(spark, sf):
+    n = S.table(spark, sf, "nation").select("n_nationkey")
+    listed = n.agg(F.array_sort(F.collect_list("n_nationkey")).alias("all"))  # 25 rows
+    body = n.join(F.broadcast(listed)).select(F.concat_ws(" ", F.col("n_nationkey").cast("string"), F.array_join(F.transform("all", lambda x: (F.col("n_nationkey") * 10 - x).cast("string")), "  ")).alias("value"), (F.col("n_nationkey") + 1).alias("ord"))
+    head = listed.select(F.concat(F.lit("   "), F.array_join(F.transform("all", lambda x: x.cast("string")), "  ")).alias("value"), F.lit(0).alias("ord"))
+    return P.matrix(head.unionByName(body))
+
+
+@query("gi_dump", "SELECT p_partkey AS gi, p_brand AS organism FROM part UNION ALL SELECT p_partkey + 1000000, p_brand FROM part")
+def gi_dump(spark, sf):
+    """Headers that list several entries: one row each, with the first organism in brackets."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit(">gi|"), k.cast("string"), F.lit("|x protein ["), "p_brand", F.lit("] >gi|"), (k + 1000000).cast("string"), F.lit("|y protein"))
+    rows = S.table(spark, sf, "part").select(text.alias("value"))
+    ids = F.regexp_extract_all("value", F.lit(r">gi\|(\d+)\|"), F.lit(1))
+    return rows.select(F.explode(ids.cast("array<bigint>")).alias("gi"), F.regexp_extract("value", r"\[([^\]]*)\]", 1).alias("organism"))
+
+
+# Lookups.
+@query("join_taxid_name", O.sql("SELECT query, ord, coalesce(lower(name), 'unknown') AS name FROM hits LEFT JOIN (SELECT * FROM names WHERE class = 'scientific name') n ON hits.taxid = n.taxid", O.NODES, O.NAMES, O.HITS))
+def join_taxid_name(spark, sf):
+    known = P.scientific_names(name_rows(spark, sf))
+    return S.hits(spark, sf).join(known, "taxid", "left").select("query", F.col("ord").cast("long").alias("ord"), F.coalesce("name", F.lit("unknown")).alias("name"))
+
+
+@query("join_name_taxid", O.sql("SELECT c_custkey AS c, taxid FROM customer LEFT JOIN (SELECT lower(name) AS nm, max(taxid) AS taxid FROM names GROUP BY 1) ON lower(CASE WHEN c_custkey % 3 = 0 THEN 'no such' ELSE c_name END) = nm", O.NODES, O.NAMES))
+def join_name_taxid(spark, sf):
+    text = F.lower(F.when(F.col("c_custkey") % 3 == 0, "no such").otherwise(F.col("c_name")))
+    return S.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), text.alias("name")).join(P.name_to_taxid(name_rows(spark, sf)), "name", "left").select("c", "taxid")
+
+
+@query("join_name_backoff", O.sql("SELECT c_custkey AS c, (1000000 + c_custkey)::INT AS taxid FROM customer"))
+def join_name_backoff(spark, sf):
+    rows = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.concat("c_name", F.lit(" strain x 12")).alias("organism"))
+    return J.by_longest_prefix(rows, "c", "organism", P.name_to_taxid(name_rows(spark, sf))).select("c", "taxid")
+
+
+@query("join_gi", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(p_size, 0) AS taxid FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey")
+def join_gi(spark, sf):
+    known = S.table(spark, sf, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    rows = S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return rows.join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.coalesce("p_size", F.lit(0)).alias("taxid"))
+
+
+@query("join_pfam_go", "SELECT p_partkey, CASE WHEN p_size > 25 THEN '{' || p_type || '}' ELSE '{}' END AS go FROM part")
+def join_pfam_go(spark, sf):
+    p = S.table(spark, sf, "part")
+    known = p.where("p_size > 25").select("p_partkey", "p_type")
+    return p.select("p_partkey").join(known, "p_partkey", "left").select("p_partkey", F.concat(F.lit("{"), F.coalesce("p_type", F.lit("")), F.lit("}")).alias("go"))
+
+
+@query("sink_classification", O.sql("""SELECT l.taxid::VARCHAR || chr(9) || 'PF1' || chr(9) || '{}' || chr(9) || l.taxid || chr(9) || CASE WHEN l.taxid <= 1 THEN 'unknown' ELSE path END || chr(9) || '1e-5' AS line FROM
+ (SELECT taxid, string_agg(coalesce(lower(n.name), 'unknown'), '!' ORDER BY pos) AS path FROM (SELECT taxid, unnest(ids) AS node, generate_subscripts(ids, 1) AS pos FROM lin) x LEFT JOIN (SELECT taxid AS t, name FROM names WHERE class = 'scientific name') n ON n.t = node GROUP BY taxid) l""", *O.TREE_NAMES))
+def sink_classification(spark, sf):
+    rows = tree(spark, sf).select(F.col("taxid").cast("string").alias("query"), F.lit("PF1").alias("property"), F.lit("{}").alias("go"), "taxid", "path", F.lit("1e-5").alias("evalue"))
+    return K.classification_lines(rows, P.scientific_names(name_rows(spark, sf)))
+
+
+@query("sink_egt", "SELECT '>' || p_brand || '=+=r' || p_partkey || '=+=1e-05=+={' || replace(p_name, ' ', ',') || '}' || chr(10) || 'MK' AS record FROM part")
+def sink_egt(spark, sf):
+    head = P.egt_line(F.col("p_brand"), F.concat(F.lit("r"), F.col("p_partkey").cast("string")), F.lit("1e-05"), F.split("p_name", " "))
+    return K.fasta_records(S.table(spark, sf, "part").select(head.alias("header"), F.lit("MK").alias("seq")))
+
+
+@query("greedy_family_bins")
+def greedy_family_bins(spark, sf):
+    """Families dealt to the least loaded of eight bins."""
+    sizes = S.table(spark, sf, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    return J.greedy_bins(sizes, 8)
