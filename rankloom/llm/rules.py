@@ -2,7 +2,8 @@
 
 Each rule votes that a document is good (1) or bad (-1) or abstains (0). Expectation-maximisation over the
 counts of vote patterns (at most 3 ** number of rules of them) estimates, per class, how often each rule
-votes what; the posterior probability of the good class decides, instead of a demand that all rules pass.
+votes what (bad documents come in kinds, one for each rule); the posterior probability of the good class
+decides, instead of a demand that all rules pass.
 
 Features and votes are SQL functions only. Defined cases: a null text has no words and fails the base
 rules; so does an empty one; an empty table gives no rows; repeated rows are judged alike, each for itself;
@@ -67,36 +68,49 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: Pseudo-counts of bad, abstain and good votes: what a rule is taken to do before any document is seen.
-PRIOR_GOOD, PRIOR_BAD = (1.0, 4.0, 45.0), (20.0, 10.0, 20.0)
-PRIOR_CLASSES = (18.0, 2.0)
+#: Pseudo-counts of bad, abstain and good votes before any document is seen: of good documents, of the rule that
+#: names a kind of bad documents, and of the other rules on that kind.
+PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.1, 4.0, 45.9), (45.0, 2.5, 2.5), (5.0, 5.0, 40.0)
+#: Pseudo-documents of the good class and of each kind of bad ones.
+PRIOR_CLASSES = (18.0, 1.0)
+#: A rule votes bad for at most this share of good documents.
+FALSE_ALARMS = 0.005
 
 
-def posterior(counts: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def posterior(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Probability of the good class for every possible pattern, by EM over the patterns' counts.
 
-    The counts are bounded by 3 ** rules, so this runs on the driver at any size of the corpus.
+    Classes are good documents and one kind of bad ones for each rule: junk that only one rule sees would
+    otherwise be drawn into the good class as soon as other junk has taken the bad one. The counts are bounded
+    by 3 ** rules, so this runs on the driver at any size of the corpus.
     """
     width = len(next(iter(counts), ()))
-    good = {p: (0.02 if -1 in p else 0.98) for p in counts}
+    if not width:
+        return {}
+    kinds = width + 1
     total = sum(counts.values())
+    prior = [[PRIOR_GOOD if c == 0 else PRIOR_OWN if c - 1 == k else PRIOR_OTHER for k in range(width)] for c in range(kinds)]
+    tables = [[[x / sum(p) for x in p] for p in row] for row in prior]
+    shares = [PRIOR_CLASSES[bool(c)] / (PRIOR_CLASSES[0] + width * PRIOR_CLASSES[1]) for c in range(kinds)]
+
+    def weights(p: tuple[int, ...]) -> list[float]:
+        logs = [log(shares[c]) + sum(log(tables[c][k][v + 1]) for k, v in enumerate(p)) for c in range(kinds)]
+        top = max(logs)
+        parts = [exp(x - top) for x in logs]
+        return [x / sum(parts) for x in parts]
+
     for _ in range(rounds):
-        scale = 1.0 if total else 0.0
-        share = (PRIOR_CLASSES[0] + scale * sum(counts[p] * good[p] for p in counts)) / (sum(PRIOR_CLASSES) + total)
-        tables = []
-        for k in range(width):
-            per = []
-            for prior, weight in ((PRIOR_GOOD, good), (PRIOR_BAD, {p: 1 - g for p, g in good.items()})):
-                seen = [prior[v + 1] + sum(counts[p] * weight[p] for p in counts if p[k] == v) for v in (-1, 0, 1)]
-                per.append([x / sum(seen) for x in seen])
-            tables.append(per)
-
-        def odds(p: tuple[int, ...]) -> float:
-            x = log(share / (1 - share)) + sum(log(tables[k][0][v + 1] / tables[k][1][v + 1]) for k, v in enumerate(p))
-            return 1 / (1 + exp(-max(-50.0, min(50.0, x))))
-
-        good = {p: odds(p) for p in counts}
-    return {p: odds(p) for p in product((-1, 0, 1), repeat=width)} if counts else {}
+        held = {p: weights(p) for p in counts}
+        shares = [(PRIOR_CLASSES[bool(c)] + sum(counts[p] * held[p][c] for p in counts)) / (PRIOR_CLASSES[0] + width * PRIOR_CLASSES[1] + total) for c in range(kinds)]
+        for c in range(kinds):
+            for k in range(width):
+                seen = [prior[c][k][v + 1] + sum(counts[p] * held[p][c] for p in counts if p[k] == v) for v in (-1, 0, 1)]
+                row = [x / sum(seen) for x in seen]
+                if c == 0 and row[0] > FALSE_ALARMS:
+                    rest = (1 - FALSE_ALARMS) / (1 - row[0])
+                    row = [FALSE_ALARMS, row[1] * rest, row[2] * rest]
+                tables[c][k] = row
+    return {p: weights(p)[0] for p in product((-1, 0, 1), repeat=width)}
 
 
 def pattern_of() -> Column:
