@@ -207,7 +207,7 @@ def calibrate(model: Model, sample: DataFrame, bins: int = 400) -> Model:
             low, high = (mid, high) if sum(n * exp(mid * v) for v, n in values.items()) / total < 1 else (low, mid)
     model.lam = max(low, 0.05) if any(v > 0 for v in values) else 1.0
     # Segments can only start at positive tokens: K is taken as their share in clean text.
-    model.log_k = log(max(sum(n for v, n in values.items() if v > 0) / total, 1e-6))
+    model.log_k = log(max((sum(n for v, n in values.items() if v > 0) + 1) / (total + 1), 1e-9))
     again = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +224,20 @@ def calibrate(model: Model, sample: DataFrame, bins: int = 400) -> Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Newton's method for a weighted logistic curve with one input, its slope drawn lightly to zero."""
-    a = np.stack([np.clip(x, -30, 30), np.ones_like(x)], axis=1)
-    beta = np.array([0.1, 0.0])
-    for _ in range(50):
+    """Newton's method for a weighted logistic curve with one input, centred and scaled, its slope drawn lightly to zero."""
+    middle = float(np.average(x, weights=w))
+    spread = float(np.sqrt(np.average((x - middle) ** 2, weights=w))) or 1.0
+    a = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
+    beta = np.array([0.0, 0.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         grad = a.T @ (w * (y - p)) - ridge * np.array([beta[0], 0.0])
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -1, 1)
+        hess = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-3])
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0] / spread), float(beta[1] - beta[0] * middle / spread)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
