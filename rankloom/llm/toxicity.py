@@ -8,8 +8,8 @@ which makes the expected score of ordinary text negative.
 
 A linear scan finds every maximal scoring segment of a text. Of segments of ordinary text the highest is
 extreme-value distributed: exp(-K n e^(-lambda S)) with lambda from the scores' own distribution, so
-lambda S - log(K n) compares texts of all lengths. A logistic curve over this statistic, fitted on
-training documents, gives the score between 0 and 1.
+lambda S - log(K n) compares texts of all lengths. A rising curve over this statistic (isotonic regression
+on training documents) gives the score between 0 and 1.
 
 The model is bounded: at most about `train_docs` labelled documents are used (a hash of doc_id draws them),
 and only tokens are kept whose odds differ from their prior's. Everything else covers all documents, and
@@ -39,6 +39,8 @@ DRIFT = 1.5
 DIFFERENT, LEAST_DOCS = 0.7, 3
 MODEL_TOKENS = 400_000
 LIMIT = 0.7
+#: A toxic training document counts so often in the curve: missing one costs more than rejecting a clean one.
+TOXIC_WEIGHT = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,8 +74,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Scores of tokens and the calibration; a few MB at most."""
 
-    def __init__(self, scores: dict[str, float], root: float, lam: float, log_k: float, slope: float, shift: float):
-        self.scores, self.root, self.lam, self.log_k, self.slope, self.shift = scores, root, lam, log_k, slope, shift
+    def __init__(self, scores: dict[str, float], root: float, lam: float, log_k: float, knots: tuple[list[float], list[float]]):
+        self.scores, self.root, self.lam, self.log_k, self.knots = scores, root, lam, log_k, knots
 
     def word(self, word: str) -> float:
         get = self.scores.get
@@ -114,8 +116,9 @@ class Scanner:
         return first + 0.5 * more
 
     def score(self, text: str | None) -> float:
-        x = self.model.slope * self.statistic(text) + self.model.shift
-        return 1 / (1 + exp(-max(-50.0, min(50.0, x))))
+        x = self.statistic(text)
+        rough = 1 / (1 + exp(-max(-50.0, min(50.0, x / 4))))  # orders texts that share a level of the curve
+        return 0.98 * float(np.interp(x, *self.model.knots)) + 0.02 * rough
 
 
 def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
@@ -173,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
     clean, toxic = per.get(0, 0), per.get(1, 0)
     root = (toxic + 1) / (clean + toxic + 10)
     if not clean or not toxic:
-        return Model({}, -DRIFT, 1.0, 0.0, 0.0, log(root / (1 - root)))
+        return Model({}, -DRIFT, 1.0, 0.0, ([0.0], [root]))
     counted = sample.mapInArrow(_count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Tokens whose share of toxic documents is near the root's change nothing; the others are bounded by the sample.
     share = (F.col("toxic") + STRENGTH * root) / (F.col("clean") + F.col("toxic") + STRENGTH)
@@ -181,12 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
     telling = counted.where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (F.abs(odds) >= DIFFERENT / 2))
     rows = telling.orderBy(F.desc(F.abs(odds) * (F.col("clean") + F.col("toxic"))), "token").limit(MODEL_TOKENS).toPandas()
     counts = {t: (int(c), int(x)) for t, c, x in zip(rows["token"], rows["clean"], rows["toxic"])}
-    model = Model(_chain(counts, root), -DRIFT, 1.0, 0.0, 1.0, 0.0)
+    model = Model(_chain(counts, root), -DRIFT, 1.0, 0.0, ([0.0], [root]))
     return calibrate(model, sample)
 
 
 def calibrate(model: Model, sample: DataFrame, bins: int = 400) -> Model:
-    """Extreme-value parameters from the scores of clean documents, then the logistic curve."""
+    """Extreme-value parameters from the scores of clean documents, then the rising curve."""
     spark = sample.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -219,25 +222,26 @@ def calibrate(model: Model, sample: DataFrame, bins: int = 400) -> Model:
 
     rows = sample.mapInArrow(place, "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
     x, y, w = (np.array(c, dtype=float) for c in zip(*[((r["bin"] + 0.5) / 4, r["toxic"], r["n"]) for r in rows]))
-    model.slope, model.shift = _logistic(x, y, w)
+    model.knots = _rising(x, y, np.where(y > 0, TOXIC_WEIGHT * w, w))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Newton's method for a weighted logistic curve with one input, centred and scaled, its slope drawn lightly to zero."""
-    middle = float(np.average(x, weights=w))
-    spread = float(np.sqrt(np.average((x - middle) ** 2, weights=w))) or 1.0
-    a = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
-    beta = np.array([0.0, 0.0])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (w * (y - p)) - ridge * np.array([beta[0], 0.0])
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-3])
-        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
-        beta = beta + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(beta[0] / spread), float(beta[1] - beta[0] * middle / spread)
+def _rising(x: np.ndarray, y: np.ndarray, w: np.ndarray, most: int = 64) -> tuple[list[float], list[float]]:
+    """Isotonic regression by pooling neighbours: knots (statistic, probability) of a curve that never falls."""
+    blocks: list[list[float]] = []
+    for k in np.lexsort((y, x)):
+        blocks.append([w[k] * x[k], w[k] * y[k], w[k], x[k]])
+        if len(blocks) > 1 and blocks[-2][3] == x[k]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2], x[k]]
+    pooled: list[list[float]] = []
+    for b in blocks:
+        pooled.append(b)
+        while len(pooled) > 1 and pooled[-2][1] / pooled[-2][2] >= pooled[-1][1] / pooled[-1][2]:
+            last = pooled.pop()
+            pooled[-1] = [pooled[-1][0] + last[0], pooled[-1][1] + last[1], pooled[-1][2] + last[2], last[3]]
+    base = float(np.average(y, weights=w))
+    return [b[0] / b[2] for b in pooled], [(b[1] + base) / (b[2] + 1) for b in pooled]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
