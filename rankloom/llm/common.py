@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,17 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._rankloom_path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are over; it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_enough(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows (of a few longs each), counted now."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bucket_of(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are <= key (null: 0): a binary search inside one expression."""
     if not bounds:

@@ -8,8 +8,8 @@ shuffled. The documents of one such shingle form a bucket.
 Buckets never emit all their pairs. First every bucket pairs its members with its smallest one only (length
 and positional filters drop what cannot reach the threshold), pairs are made distinct and verified once on
 whole sets (a suffix filter over hash ranges comes first), and what is linked is contracted. Buckets that
-then still hold several components are joined to clusters by their common members; each cluster is cut into
-blocks of members, and overlaps within a pair of blocks are counted as matrices, so that no pair leaves a
+then still hold several components are joined to clusters by their common members; each cluster is cut by
+set sizes and into blocks of members, and overlaps within a pair of blocks are counted as matrices, so that no pair leaves a
 task that is not part of a spanning forest. Clusters too large for that compare bucket by bucket: small
 buckets as distinct pairs, larger ones in blocks. No candidate is dropped unless a filter proves it below
 the threshold.
@@ -22,6 +22,7 @@ gives no rows; other columns are ignored; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +176,7 @@ def can_reach(np_a: np.ndarray, np_b: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by bucket: pairs of the smallest member with each other one (kind 0: a, b), and the rows of buckets with several members (kind 1: h, k, np)."""
+    """From postings sorted by bucket: pairs of the smallest member with each other one (kind 0: a, b), and the rows of buckets with more than two members (kind 1: h, k, np)."""
     names, held = ["h", "salt", "np", "k"], None
 
     def work(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -191,7 +192,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = many & ~new
         pair[pair] = can_reach(place[lead[pair]], place[pair])
         a, b = np.minimum(k[lead[pair]], k[pair]), np.maximum(k[lead[pair]], k[pair])
-        keep = many | (salt >= 0)
+        # Two members are compared by their star already; more, or those of a salted bucket, may be open later.
+        keep = np.repeat(size > 2, size) | (salt >= 0)
         kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(int(keep.sum()), np.int32)))
         return pa.RecordBatch.from_arrays(
             [pa.array(kind), pa.array(np.concatenate((a, h[keep]))), pa.array(np.concatenate((b, k[keep]))), pa.array(np.concatenate((np.full(len(a), -1), place[keep]))), pa.array(np.concatenate((np.zeros(len(a), bool), salt[keep] >= 0)))],
@@ -264,24 +266,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Sizes of all pairwise intersections, from the shingles that several sets have."""
+def overlaps(sets: list[np.ndarray], columns: int = 2048, few: int = 12) -> np.ndarray:
+    """Sizes of all pairwise intersections, from the shingles that several sets have: in few sets as pairs, in many as matrices."""
     m = len(sets)
     values, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    new = np.concatenate(([True], values[1:] != values[:-1]))
-    run = np.cumsum(new) - 1
-    shared = np.bincount(run)[run] > 1
-    owner, run = owner[shared], np.unique(run[shared], return_inverse=True)[1]
-    out = np.zeros((m, m), np.float32)
-    edges = np.searchsorted(run, np.arange(0, (run[-1] if len(run) else 0) + columns + 1, columns))
+    run = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
+    times = np.bincount(run)[run]
+    out = np.zeros(m * m, np.int64)
+    rare = (times > 1) & (times <= few)
+    own, group = owner[rare], run[rare]
+    for step in range(1, few):  # owners rise within a run, so pairs fall above the diagonal
+        same = group[step:] == group[:-step]
+        out += np.bincount(own[:-step][same] * m + own[step:][same], minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T
+    often = times > few
+    own, group = owner[often], np.unique(run[often], return_inverse=True)[1]
+    total = np.zeros((m, m), np.float32)
+    edges = np.searchsorted(group, np.arange(0, (group[-1] if len(group) else 0) + columns + 1, columns))
     for k in range(len(edges) - 1):
         if edges[k] < edges[k + 1]:
             hot = np.zeros((m, columns), np.float32)
-            hot[owner[edges[k] : edges[k + 1]], run[edges[k] : edges[k + 1]] - k * columns] = 1
-            out += hot @ hot.T
-    return out.astype(np.int64)
+            hot[own[edges[k] : edges[k + 1]], group[edges[k] : edges[k + 1]] - k * columns] = 1
+            total += hot @ hot.T
+    return out + total.astype(np.int64)
 
 
 def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -315,7 +325,7 @@ class Join:
     """One run of the join over docs (doc_id, text); tables are written to the shared folder on the way."""
 
     def __init__(self, docs: DataFrame):
-        self.spark = docs.sparkSession
+        self.spark, self.held = docs.sparkSession, None
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         for self.seed in range(1, 9):
             self.path = common.new_path(self.spark, "sets")
@@ -330,7 +340,7 @@ class Join:
                 break
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b) distinct star pairs, and (h, k, np, salted) rows of buckets with several members."""
+        """(a, b) distinct star pairs, and (h, k, np, salted) rows of buckets with more than two members."""
         cells = np.zeros(CELLS, np.int64)
         for r in self.counts.collect():  # CELLS rows at most
             cells[r["cell"]] = r["count"]
@@ -355,18 +365,33 @@ class Join:
         found = self.docs.select("doc_id", "text", mark.cast("long").alias("mark")).mapInArrow(_bodies(self.seed, shared), "doc_id long, k long, body binary")
         return common.written(found.join(firsts, ["doc_id", "k"], "left_semi").dropDuplicates(["k"]).select("k", "body"), "bodies")
 
+    def slices(self, shingles: int) -> int:
+        """Into how many turns to cut work that moves so many shingles, so that one moves at most half of what all sets hold."""
+        if self.held is None:
+            self.held = self.meta.agg(F.sum("n")).first()[0] or 1
+        return max(1, -(-2 * shingles // max(self.held, 1)))
+
     def verified(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-        left = pairs.join(bodies.select(F.col("k").alias("a"), F.col("body").alias("body_a")), "a")
-        both = left.join(bodies.select(F.col("k").alias("b"), F.col("body").alias("body_b")), "b")
-        return common.written(both.select("a", "b", "body_a", "body_b").mapInArrow(_verify, "a long, b long"), "links")
+        """The pairs (a, b) that link. Shuffle files of one turn are freed before the next."""
+        size = bodies.select("k", F.expr("octet_length(body) div 6").alias("own_n"))
+        moved = pairs.join(size, F.col("a") == F.col("k")).agg(F.sum("own_n")).first()[0] or 0
+        turns, out = self.slices(moved), None
+        for turn in range(turns):
+            own = common.small_enough(pairs.where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn))
+            left = bodies.select(F.col("k").alias("a"), F.col("body").alias("body_a")).join(own, "a")
+            right = bodies.select(F.col("k").alias("b"), F.col("body").alias("body_b")).where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn)
+            found = common.written(left.join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_verify, "a long, b long"), "links")
+            out = found if out is None else out.unionByName(found)
+            common.tidy(self.spark)
+        return out
 
     def open_buckets(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows (h, k, np, comp, m, total) of buckets that still hold several components."""
-        own = rows.join(comps.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
-        own = common.written(own, "buckets")
+        known = common.small_enough(comps.select(F.col("node").alias("k"), "component"))
+        own = rows.join(known, "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
         alive = own.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"shiftright(np, {SHIFT})")).alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("salted").alias("any"))
-        alive = alive.where("low <> high and (m > 2 or any)").select("h", "m", "total")
-        return common.written(own.join(alive, "h"), "open")
+        alive = common.written(alive.where("low <> high and (m > 2 or any)").select("h", "m", "total"), "alive")
+        return common.written(own.join(common.small_enough(alive), "h"), "open")
 
     def across(self, rows: DataFrame) -> DataFrame:
         """Distinct pairs across components within small buckets that the filters let pass."""
@@ -386,31 +411,53 @@ class Join:
         meets = F.expr("transform(sequence(0, blocks - 1), q -> named_struct('p', least(block, q), 'q', greatest(block, q), 'side', if(q = block, 2, if(block < q, 0, 1))))")
         dealt = at.withColumn("meet", F.explode(meets)).select(F.col(key).alias("h"), "k", "comp", "meet.p", "meet.q", "meet.side")
         bodies = self.bodies(rows.select("k").distinct())
-        return common.written(dealt.join(bodies, "k").groupBy("h", "p", "q").applyInArrow(_block, "a long, b long"), "links")
+        size = bodies.select("k", F.expr("octet_length(body) div 6").alias("own_n"))
+        turns, out = self.slices(at.join(size, "k").agg(F.sum(F.col("own_n") * F.col("blocks"))).first()[0] or 0), None
+        for turn in range(turns):
+            own = common.small_enough(dealt.where(F.pmod(F.xxhash64("h", "p"), F.lit(turns)) == turn))
+            found = common.written(bodies.join(own, "k").groupBy("h", "p", "q").applyInArrow(_block, "a long, b long"), "links")
+            out = found if out is None else out.unionByName(found)
+            common.tidy(self.spark)
+        common.drop(bodies)
+        return out
 
     def clustered(self, rows: DataFrame) -> DataFrame:
-        """Rows (cluster, k, comp, m, total): members of open buckets, joined by the buckets they share."""
+        """Rows (unit, k, comp, m, total, giant): members of open buckets, joined by the buckets they share and cut by length.
+
+        Sizes of linked sets differ by a third at most, so with bands a third wide only neighbouring bands of a
+        cluster meet: unit b holds bands b and b + 1, and every member stands in two units.
+        """
         low = rows.groupBy("h").agg(F.min("k").alias("lo"))
         edges = rows.select("h", "k").join(low, "h").select("k", "lo").distinct()
         label = common.components(edges, "k", "lo").select(F.col("node").alias("k"), F.col("component").alias("cluster"))
         member = rows.select("k", "comp", F.shiftright("np", SHIFT).alias("n")).distinct().join(label, "k")
-        member = common.written(member, "members")
-        size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-        return common.written(member.join(size, "cluster"), "clusters")
+        whole = member.groupBy("cluster").agg((F.count(F.lit(1)) > CLUSTER).alias("giant"))
+        member = member.join(whole, "cluster")
+        band = F.floor(F.log("n") / math.log(DEN / NUM)).cast("long")
+        member = member.withColumn("band", F.explode(F.array(band, band - 1)))
+        member = common.written(member.select("k", "comp", "n", "giant", F.xxhash64("cluster", "band").alias("unit")), "members")
+        size = member.groupBy("unit").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return common.written(member.join(size.where("low <> high").select("unit", "m", "total"), "unit"), "clusters")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         pairs, rows = self.buckets()
+        common.tidy(self.spark)
         bodies = self.bodies(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
         links = self.verified(pairs, bodies)
+        common.drop(bodies)
+        common.tidy(self.spark)
         comps = common.written(common.components(links), "components")
         rows = self.open_buckets(rows, comps)
+        common.tidy(self.spark)
         if rows.head(1):
             members = self.clustered(rows)
-            links = links.unionByName(self.in_blocks(members.where(f"m <= {CLUSTER}"), "cluster"))
-            giant = members.where(f"m > {CLUSTER}").select("k")
+            common.tidy(self.spark)
+            links = links.unionByName(self.in_blocks(members.where("not giant"), "unit"))
+            giant = members.where("giant").select("k").distinct()
             if giant.head(1):
                 links = links.unionByName(self.by_bucket(rows.join(giant, "k", "left_semi"), pairs))
+            common.tidy(self.spark)
             comps = common.written(common.components(links), "components")
         labelled = self.classes.join(comps.select(F.col("node").alias("k"), "component"), "k", "left").select("k", "doc_id", F.coalesce("component", "k").alias("c"))
         least = labelled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
