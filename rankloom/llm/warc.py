@@ -27,7 +27,6 @@ MAGIC = b"WARC/1.0\r\n"
 LEAST_REVISIT = 100
 FILE_BYTES = 16 << 20
 BLOCK = 1 << 20
-HEAD_BYTES = 1 << 16
 #: Rows of the table of repeated payloads up to which it is broadcast (about 60 bytes a row).
 BROADCAST_ROWS = 50_000
 
@@ -60,7 +59,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
 
 def head_of(content: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     """Header fields, start of the block and offset of the successor, if what stands at `at` is framed as a record."""
-    end = content.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = content.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = {}
@@ -77,12 +76,16 @@ def head_of(content: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
 
 
 def candidates(content: bytes, block: int = BLOCK) -> list[tuple[int, int, int, dict[str, str], int]]:
-    """(offset, successor, exit, fields, start of block) of whatever is framed as a record; exit: where its chain leaves its block."""
-    found, at = [], content.find(MAGIC)
-    while at >= 0:
+    """(offset, successor, exit, fields, start of block) of whatever is framed as a record; exit: where its chain leaves its block.
+
+    A record stands at 0 or after the blank line of the one before, so no two headers overlap, and together they are
+    searched once however long they are.
+    """
+    found, at = [], 0 if content.startswith(MAGIC) else content.find(b"\r\n\r\n" + MAGIC) + 4
+    while at != 3:
         if head := head_of(content, at):
             found.append((at, head[2], head[0], head[1]))
-        at = content.find(MAGIC, at + 1)
+        at = content.find(b"\r\n\r\n" + MAGIC, at) + 4
     exits: dict[int, int] = {}
     for at, succ, _, _ in reversed(found):
         exits[at] = exits.get(succ, succ) if succ // block == at // block else succ

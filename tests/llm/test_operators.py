@@ -268,6 +268,23 @@ def test_warc(spark):
     assert payload[4] == nasty.encode() and payload[3] == b""
 
 
+def test_warc_long_url(spark):
+    """Headers of any length: one page with a long url must not stop the others."""
+    rows = [(1, "http://a/", "x" * 200), (2, "data:," + "u" * 300_000, "y" * 150), (3, "http://c/", "z"), (4, "http://d/?" + "é" * 70_000, "y" * 150)]
+    path = common.new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {r["page_id"]: (r["url"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warc(spark, path, block=4096).collect()}
+    assert got == {1: (rows[0][1], 200, None), 2: (rows[1][1], 150, None), 3: (rows[2][1], 1, None), 4: (rows[3][1], 150, 2)}
+
+
+def test_warc_candidates_are_linear():
+    import time
+
+    began = time.time()
+    assert warc.candidates(warc.MAGIC * 400_000) == [] and warc.candidates(b"") == [] == warc.candidates(b"x:" + warc.MAGIC)
+    assert time.time() - began < 5
+
+
 def toxic_docs(n):
     rng = np.random.default_rng(6)
     rows, labels = [], []
