@@ -1,15 +1,21 @@
-"""Mixture-controlled packing by deficit round-robin.
+"""Mixture-controlled packing by deficit round-robin, one round a sequence.
 
-Each source is a queue of its documents in doc_id order. In every round a source earns a quantum of
-tokens in proportion to its target; it serves documents as long as it is not in debt, and what it
-overdraws or leaves over is carried to its next round. Whether a document is served in a round depends
-only on the tokens before it in its queue, so a document's round is floor(tokens before / quantum), and
-all rounds can be worked out at once. The served stream is then cut at every multiple of the sequence
-length: all sequences but the last are full.
+Each source is a queue of its documents in doc_id order. In every round, which is one sequence long, a source
+earns a quantum of tokens in proportion to its target and serves just that, cutting a document at the quantum's
+edge; fractions of a token are its deficit, carried to the next round. So what a source has served by the end
+of a round is a function of that round alone: floor(share * round tokens + a fixed fraction), up to its queue's
+end. Sources that have run out leave their part to the others: a round then covers more of the shares' clock
+(see clock). All rounds are worked out at once, and the stream is cut at every multiple of the sequence length:
+all sequences but the last are full.
+
+Each sequence holds, of each source, its share within two quantum steps and what rounding moves over the
+sequence's edges (less than a step for each source). A step is one token, or length / 64 tokens for sources whose
+whole share of a sequence is less than that, as their documents would otherwise be cut into single tokens.
 
 Defined cases: null texts are documents of the end id alone; a null source is a source of its own; an
 empty table gives no pieces; repeated rows are packed as often as they occur; ties of doc_id go by the
-hash of the ids; other columns are ignored. Without targets the sources' own token shares are used.
+hash of the ids; other columns are ignored. Without targets the sources' own token shares are used. A source of
+share 0 is served after all others.
 """
 
 from __future__ import annotations
@@ -19,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 LENGTH = 4096
-ROUND = 4 * LENGTH
+#: A step of a small source is length / STEPS tokens; shares of 0 count as LEAST_SHARE of the source's own.
+STEPS, LEAST_SHARE = 64, 1e-6
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -57,40 +64,95 @@ def _cut(length: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc_id, n, body, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "body", "at"))):
+            for doc_id, n, body, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "body", "parts"))):
                 raw = np.frombuffer(unpack(body[1:]), "<u4" if body[0] else "<u2").astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    place = at + start
-                    take = min(n - start, length - place % length)
-                    rows.append((doc_id, start, take, raw[4 * start : 4 * (start + take)], n, place // length, place % length))
-                    start += take
+                for part in parts:
+                    start, end, at = part["start"], part["start"] + part["size"], part["at"]
+                    while start < end:
+                        take = min(end - start, length - at % length)
+                        rows.append((doc_id, start, take, raw[4 * start : 4 * (start + take)], n, at // length, at % length))
+                        start += take
+                        at += take
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PIECES)] if rows else [pa.array([], t.type) for t in PIECES], schema=PIECES)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: DataFrame | None = None, length: int = LENGTH, round_tokens: int = ROUND, memo_pieces: int = 300_000) -> DataFrame:
+def clock(share: DataFrame) -> list[tuple[float, float, float]]:
+    """(time, tokens served by then, shares still served from then on), ascending from time 0.
+
+    A source of share p has served min(p * time, its tokens). Sources without a target all end at the same time,
+    so there are at most as many places as targets and two more.
+    """
+    ends = share.groupBy(F.col("end")).agg(F.sum("source_tokens").alias("n"), F.sum("share").alias("p")).orderBy("end").collect()
+    left, gone, out = sum(r["p"] for r in ends), 0.0, []
+    out.append((0.0, 0.0, left))
+    for r in ends[:-1]:
+        left, gone = left - r["p"], gone + r["n"]
+        out.append((r["end"], gone + left * r["end"], left))
+    return out
+
+
+def _time_at(tokens_served: Column, places: list[tuple[float, float, float]]) -> Column:
+    """The time at which so many tokens are served."""
+    out = F.lit(None).cast("double")
+    for time, served, left in places:
+        out = F.when(tokens_served >= F.lit(served), F.lit(time) + (tokens_served - F.lit(served)) / F.lit(left)).otherwise(out)
+    return out
+
+
+def _served_at(time: Column, places: list[tuple[float, float, float]]) -> Column:
+    """How many tokens are served at that time."""
+    out = F.lit(None).cast("double")
+    for start, served, left in places:
+        out = F.when(time >= F.lit(start), F.lit(served) + (time - F.lit(start)) * F.lit(left)).otherwise(out)
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, targets: DataFrame | None = None, length: int = LENGTH, round_tokens: int | None = None, memo_pieces: int = 300_000) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     targets: (source, share), shares of a round's tokens; a source without one gets its own share of all tokens.
+    round_tokens: tokens of a round, one sequence by default.
     """
+    size = round_tokens or length
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     encoded = common.written(rows.mapInArrow(_encode(tokenizer, memo_pieces), "doc_id long, source string, h long, n long, body binary"), "encoded")
     meta = encoded.select("doc_id", "source", "h", "n")
     per = meta.groupBy("source").agg(F.sum("n").alias("source_tokens"))
-    share = per.withColumn("share", F.col("source_tokens") / F.lit(meta.agg(F.sum("n")).first()[0] or 1))
+    total = meta.agg(F.sum("n")).first()[0] or 1
+    share = per.withColumn("own", F.col("source_tokens") / F.lit(total)).withColumn("share", F.col("own"))
     if targets is not None:
         aim = targets.select(F.col("source").alias("_s"), F.col("share").alias("_share"))
         share = share.join(aim, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("share", F.coalesce("_share", "share")).drop("_s", "_share")
+        share = share.withColumn("share", F.greatest(F.col("share").cast("double"), F.col("own") * LEAST_SHARE))
+    # When the source ends; the same for all that have their own share.
+    end = F.when(F.col("share") == F.col("own"), F.lit(float(total))).otherwise(F.col("source_tokens") / F.col("share"))
+    share = common.written(share.withColumn("end", end), "shares")
+    places = clock(share) or [(0.0, 0.0, 1.0)]
+    step = F.when(F.col("share") * size < max(1, length // STEPS), max(1, length // STEPS)).otherwise(1)
+    fraction = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    share = share.select(F.col("source").alias("_s"), "share", "source_tokens", step.alias("step"), fraction.alias("fraction"))
+
     queued = common.running_total(meta, F.col("doc_id"), [F.col("h")], {"before": F.col("n")}, ["source"])
-    share = share.select(F.col("source").alias("_s"), "share")
-    served = queued.join(share, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("round", F.floor(F.col("before") / (F.col("share") * round_tokens)).cast("long"))
-    served = common.written(served.select("doc_id", "source", "h", "n", "before", "round"), "served")
-    placed = common.running_total(served, F.col("round"), [F.col("source"), F.col("before"), F.col("doc_id"), F.col("h")], {"at": F.col("n")})
+    queued = queued.join(share, F.col("source").eqNullSafe(F.col("_s")), "left")
+    last = (total + size - 1) // size - 1
+    time_of = lambda tokens_of: F.greatest(F.lit(0.0), tokens_of) / F.col("share")
+    guess = lambda tokens_of: F.floor(_served_at(time_of(tokens_of), places) / size).cast("long")
+    around = F.sequence(F.greatest(F.lit(0).cast("long"), F.least(F.lit(last), guess(F.col("before") - F.col("step"))) - 1), F.greatest(F.lit(0).cast("long"), F.least(F.lit(last), guess(F.col("before") + F.col("n") + F.col("step")) + 1)))
+    steps = F.floor(F.col("share") * _time_at(F.col("round").cast("double") * size, places) / F.col("step") + F.col("fraction"))
+    following = F.floor(F.col("share") * _time_at((F.col("round") + 1).cast("double") * size, places) / F.col("step") + F.col("fraction"))
+    served = lambda k: F.least(F.col("source_tokens"), k.cast("long") * F.col("step"))
+    # The queue's part that a round serves, and what of it is this document's.
+    low = F.when(F.col("round") == 0, 0).otherwise(served(steps))
+    high = F.when(F.col("round") >= last, F.col("source_tokens")).otherwise(served(following))
+    pieces = queued.withColumn("round", F.explode(around)).withColumns({"low": F.greatest(low, "before"), "high": F.least(high, F.col("before") + F.col("n"))}).where("low < high")
+    pieces = common.written(pieces.select("doc_id", "source", "h", "n", "before", "round", "low", (F.col("high") - F.col("low")).alias("size")), "served")
+    placed = common.running_total(pieces, F.col("round"), [F.col("source"), F.col("low")], {"at": F.col("size")})
+    whole = placed.groupBy("doc_id", "source", "h", "n", "before").agg(F.collect_list(F.struct((F.col("low") - F.col("before")).alias("start"), "size", "at")).alias("parts"))
     bodies = encoded.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), "body").dropDuplicates(["_d", "_s", "_h"])
     same = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("source").eqNullSafe(F.col("_s")), F.col("h") == F.col("_h")]
-    return placed.join(bodies, same).select("doc_id", "n", "body", "at").mapInArrow(_cut(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return whole.join(bodies, same).select("doc_id", "n", "body", "parts").mapInArrow(_cut(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

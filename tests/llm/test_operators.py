@@ -94,6 +94,50 @@ def test_packing(spark, docs):
             assert p["ids"] == np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()
 
 
+def window_counts(pieces):
+    by = {}
+    for p in pieces:
+        by.setdefault(p["sequence_id"], Counter())[p["source"]] += p["length"]
+    return [by[k] for k in sorted(by)]
+
+
+def test_packing_windows(spark):
+    """Every window holds the sources' shares, with a hot source, a very long document and a very small source."""
+    rows = [(i, "a b c d " * (1 + i % 7), "hot" if i % 10 else f"s{i % 3}") for i in range(900)] + [(5000, "long words here " * 9000, "long"), (5001, "tiny one", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = docs.select(F.col("doc_id"), "source")
+    pieces = packing.pack(docs, VOCAB, length=512).join(names, "doc_id").collect()
+    windows, per = window_counts(pieces), Counter()
+    for w in windows:
+        per.update(w)
+    total = sum(per.values())
+    assert len(windows) > 60 and all(sum(w.values()) == 512 for w in windows[:-1])
+    for w in windows[:-1]:
+        for s, n in per.items():
+            step = 8 if 512 * n / total < 8 else 1
+            assert abs(w[s] - 512 * n / total) <= 2 * step + 16, (s, w)
+    ids = {r[0]: encoded(r[1]) for r in rows}
+    seen = {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        assert p["start"] == seen.get(p["doc_id"], 0) and p["ids"] == np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes()
+        seen[p["doc_id"]] = p["start"] + p["length"]
+    assert seen == {k: len(v) for k, v in ids.items()}
+
+
+def test_packing_targets(spark):
+    """Windows hold the targets until a source has run out, then what is left of them in proportion."""
+    rows = [(i, "a b c d e f g h " * 6, f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    aims = spark.createDataFrame([("s0", 0.6), ("s1", 0.3), ("s2", 0.1)], "source string, share double")
+    pieces = packing.pack(docs, VOCAB, aims, length=256).join(docs.select("doc_id", "source"), "doc_id").collect()
+    windows = window_counts(pieces)
+    gone = next(k for k, w in enumerate(windows) if w["s0"] < 147)
+    for w in windows[:gone]:
+        assert all(abs(w[s] - 256 * p) <= 6 for s, p in (("s0", 0.6), ("s1", 0.3), ("s2", 0.1)))
+    assert abs(windows[gone + 1]["s1"] - 192) <= 6 and abs(windows[gone + 1]["s2"] - 64) <= 6 and set(windows[-1]) == {"s2"}
+    assert sum(p["length"] for p in pieces) == sum(len(encoded(r[1])) for r in rows)
+
+
 def test_shards(docs):
     rows = shards.shard(docs, 5).collect()
     counts = Counter(r["shard"] for r in rows)
