@@ -1,28 +1,31 @@
 """URL filters: written rules first, then a path-template tree for each host.
 
 Paths become templates: digits, long hexadecimal strings and dates are generalised by their shape, and a
-node with more than CHILDREN different children gets one wildcard child. Sibling branches that both hold
-labelled pages and whose shares of blocked ones do not differ significantly are merged. A template is
-rejected if the smoothed share of blocked pages among its labelled ones is high enough; labels are the
-written rules' own verdicts, so the tree carries them over to pages that no rule reaches. A template
-without labelled pages is allowed.
+segment that is rare among the pages of its node (under FREQUENT pages and under 1 / WIDE of them) becomes a
+wildcard; frequent ones stay apart at any fan-out. Nodes are walked for LEVELS segments; each later segment is
+judged in the same way among those at its place below the same first LEVELS. First branches that both hold
+labelled pages and whose shares of blocked ones do not differ significantly are merged.
+
+Labels are the written rules' own verdicts. From the host down, a node's purity is its share of blocked pages, in
+which its unlabelled pages and SMOOTHING more count with the purity of the node above (those of a host as not
+blocked), so branches without labels back off to their parent and few labels among many pages weigh little. A
+template is rejected if its purity is high enough and its host has LEAST_LABELLED labelled pages.
 
 Only counts by (host, template) are joined, never the pages of a host with one another, so a host may hold
 any share of the rows. Defined cases: a null url, or one without "://", has an empty host and path, fits no
-rule and is allowed; an empty table gives no rows; repeated rows each get their verdict; segments beyond
-DEPTH count as one; other columns are ignored.
+rule and is allowed; an empty table gives no rows; repeated rows each get their verdict; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: The rules of the query: (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-DEPTH, CHILDREN = 5, 32
+LEVELS, WIDE, FREQUENT = 8, 32, 5
 LEAST_LABELLED, SMOOTHING, LIMIT, SIGNIFICANT = 5, 4.0, 0.8, 1.96
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the table of verdicts up to which it is broadcast (about 100 bytes a row).
@@ -53,40 +56,62 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(s, r"[0-9]+", "<n>")
 
 
+def _with_wildcards(rows: DataFrame, node: list[str]) -> DataFrame:
+    """rows (*node, part, n) with `own`: the part, or a wildcard where it is rare in its node."""
+    child = rows.where("part is not null").groupBy(*node, "part").agg(F.sum("n").alias("k"))
+    whole = child.groupBy(*node).agg(F.sum("k").alias("all")).where(F.col("all") > WIDE)
+    rare = child.where(F.col("k") < FREQUENT).join(common.small_enough(whole), node).where(F.col("k") * WIDE < F.col("all"))
+    rare = rare.select(*[F.col(c).alias(f"_{c}") for c in [*node, "part"]])
+    marked = rows.join(rare, [F.col(c) == F.col(f"_{c}") for c in [*node, "part"]], "left")
+    return marked.withColumn("own", F.when(F.col("_part").isNotNull(), "*").otherwise(F.col("part"))).drop(*rare.columns)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, raw, n, labelled, blocked, template): the distinct shaped paths of each host with their counts and templates."""
     counted = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    tree = counted.withColumn("parts", F.split("raw", "/")).withColumn("template", F.lit(""))
-    for d in range(1, DEPTH + 1):
-        part = F.get("parts", F.lit(d)) if d < DEPTH else F.when(F.size("parts") > DEPTH, F.lit("**"))
-        tree = tree.withColumn("part", part)
-        wide = tree.where("part is not null").select("host", "template", "part").distinct().groupBy("host", "template").count().where(F.col("count") > CHILDREN)
-        wide = wide.select(F.col("host").alias("_h"), F.col("template").alias("_t"))
-        tree = tree.join(wide, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
-        own = F.when(F.col("_h").isNotNull(), F.lit("*")).otherwise(F.col("part"))
-        tree = tree.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), own))).drop("_h", "_t", "part")
+    tree = common.written(counted.withColumn("parts", F.split("raw", "/")).withColumn("template", F.lit("")), "tree0")
+    longest = tree.agg(F.max(F.size("parts"))).first()[0] or 1
+    for d in range(1, min(LEVELS, longest - 1) + 1):
+        tree = _with_wildcards(tree.withColumn("part", F.get("parts", F.lit(d))), ["host", "template"])
+        tree = tree.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "own"))).drop("part", "own")
         tree = common.written(tree, f"tree{d}")
+    if longest > LEVELS + 1:
+        deep = tree.where(F.size("parts") > LEVELS + 1).select("host", "raw", "template", "n", F.posexplode(F.slice("parts", F.lit(LEVELS + 2), F.size("parts"))).alias("place", "part"))
+        deep = _with_wildcards(common.written(deep, "deep"), ["host", "template", "place"]).groupBy("host", "raw").agg(F.array_sort(F.collect_list(F.struct("place", "own"))).alias("rest"))
+        deep = deep.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), F.concat(F.lit("/"), F.array_join(F.transform("rest", lambda x: x["own"]), "/")).alias("rest"))
+        tree = tree.join(deep, (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
+        tree = common.written(tree.withColumn("template", F.concat("template", F.coalesce("rest", F.lit("")))).drop("_h", "_r", "rest"), "tree")
     return tree.drop("parts")
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
     """(host, template, branch, labelled, blocked, purity, rejected): the templates after merging similar branches."""
-    rows = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    sums = lambda p="": [F.sum(c).alias(p + c) for c in ("n", "labelled", "blocked")]
+    rows = common.written(tree.groupBy("host", "template").agg(*sums()), "templates")
     # The branch of a template is its first segment's; what stands below it is its form.
     cut = rows.withColumn("first", F.regexp_extract("template", "^/?([^/]*)", 1)).withColumn("form", F.regexp_extract("template", "^/?[^/]*(.*)$", 1))
-    same_form = Window.partitionBy("host", "form")  # at most CHILDREN + 1 branches, for more become a wildcard
-    labelled, blocked = F.sum("labelled").over(same_form) - F.col("labelled"), F.sum("blocked").over(same_form) - F.col("blocked")
-    cut = cut.withColumn("others", labelled).withColumn("others_blocked", blocked)
+    cut = cut.join(common.small_enough(cut.groupBy("host", "form").agg(*sums("all_"))), ["host", "form"])
+    cut = cut.withColumn("others", F.col("all_labelled") - F.col("labelled")).withColumn("others_blocked", F.col("all_blocked") - F.col("blocked"))
     pooled = (F.col("blocked") + F.col("others_blocked")) / F.greatest(F.col("labelled") + F.col("others"), F.lit(1))
     spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest("others", F.lit(1))))
     distance = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - F.col("others_blocked") / F.greatest("others", F.lit(1))) / spread
     similar = (F.col("labelled") >= LEAST_LABELLED) & (F.col("others") >= LEAST_LABELLED) & (distance < SIGNIFICANT)
-    cut = cut.withColumn("branch", F.when(similar, F.concat(F.lit("/*"), "form")).otherwise(F.col("template")))
-    whole = Window.partitionBy("host", "branch")
-    cut = cut.withColumn("labelled", F.sum("labelled").over(whole)).withColumn("blocked", F.sum("blocked").over(whole))
+    cut = cut.withColumn("branch", F.when(similar, F.concat(F.lit("/*"), "form")).otherwise(F.col("template"))).select("host", "template", "branch", "n", "labelled", "blocked")
+    whole = common.small_enough(cut.groupBy("host", "branch").agg(*sums()))
+    cut = cut.select("host", "template", "branch").join(whole, ["host", "branch"])
     base = tree.agg(F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0] or 0.0
-    purity = (F.col("blocked") + SMOOTHING * base) / (F.col("labelled") + SMOOTHING)
-    return cut.select("host", "template", "branch", "labelled", "blocked", purity.alias("purity"), ((F.col("labelled") >= LEAST_LABELLED) & (purity >= LIMIT)).alias("rejected"))
+    # The nodes above a template, the host first.
+    parts = F.split("template", "/")
+    above = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(LEVELS))))).withColumn("node", F.array_join(F.slice(parts, F.lit(1), F.col("k") + 1), "/"))
+    nodes = above.groupBy("host", "k", "node").agg(*sums("node_"))
+    above = above.select("host", "template", "k", "node").join(common.small_enough(nodes), ["host", "k", "node"])
+    chain = above.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("k", "node_n", "node_labelled", "node_blocked"))).alias("chain"))
+    share = lambda n, labelled, blocked, p: (blocked + (SMOOTHING + n - labelled) * p) / (n + SMOOTHING)
+    host = (F.col("chain")[0]["node_blocked"] + SMOOTHING * F.lit(float(base))) / (F.col("chain")[0]["node_n"] + SMOOTHING)
+    parent = F.aggregate(F.slice("chain", F.lit(2), F.size("chain")), host, lambda p, x: share(x["node_n"], x["node_labelled"], x["node_blocked"], p))
+    cut = cut.join(chain.select("host", "template", parent.alias("parent"), (F.col("chain")[0]["node_labelled"] >= LEAST_LABELLED).alias("known")), ["host", "template"])
+    purity = share(F.col("n"), F.col("labelled"), F.col("blocked"), F.col("parent"))
+    return cut.select("host", "template", "branch", "labelled", "blocked", purity.alias("purity"), (F.col("known") & (purity >= LIMIT)).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -293,6 +293,21 @@ def test_urls(spark):
     assert got[100]["template"] == "/es/<n>" and got[100]["purity"] > 0.8
 
 
+def test_urls_templates(spark):
+    """Blocked by a template alone; sections stay apart at any fan-out; paths keep their depth."""
+    import itertools
+
+    names = ["es", "fr", *map("".join, itertools.product("abcdefg", "uvwxyz"))]
+    rows = [f"http://spam.net/es/{i}" for i in range(30)] + ["http://spam.net/es"] + [f"http://wide.net/{s}/{i}" for s in names for i in range(16)]
+    deep = "http://deep.org/" + "/".join("abcdefghijkl")
+    rows += [deep, deep + "/m", "http://clean.org/es"]
+    got = {r["url"]: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), urls.RULES).withColumn("url", F.concat(F.lit("http://"), "host", "path")).collect()}
+    assert len(got) == len(rows) and got["http://spam.net/es"]["rule"] is None and got["http://spam.net/es"]["verdict"] == "block"
+    assert all(r["verdict"] == ("block" if "/es/" in u or "/fr/" in u else "allow") for u, r in got.items() if "wide.net" in u)
+    assert got["http://wide.net/es/3"]["template"] == "/es/<n>" and got["http://wide.net/au/3"]["template"] == "/au/<n>"
+    assert got[deep]["template"] == "/" + "/".join("abcdefghijkl") and got[deep + "/m"]["template"] == got[deep]["template"] + "/m" and got["http://clean.org/es"]["verdict"] == "allow"
+
+
 def test_warc(spark):
     nasty = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" * 3
     rows = [(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200), (3, None, None), (4, "u\r\nv", nasty), (5, "", nasty), (6, "é", "é" * 99), (7, "s", "short"), (8, "s", "short"), (2, "again", "x" * 200)]
