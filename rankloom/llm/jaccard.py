@@ -5,24 +5,25 @@ Shingles are ordered rare first, by a table of counts over CELLS hash cells (a f
 sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, so only these are
 shuffled. The documents of one such shingle form a bucket.
 
-Buckets never emit all their pairs. First every bucket pairs its members with its smallest one only (length
-and positional filters drop what cannot reach the threshold), pairs are made distinct and verified once on
-whole sets (a suffix filter over hash ranges comes first), and what is linked is contracted. Buckets that
-then still hold several components are joined to clusters by their common members; each cluster is cut by
-set sizes and into blocks of members, and overlaps within a pair of blocks are counted as matrices, so that no pair leaves a
-task that is not part of a spanning forest. Clusters too large for that compare bucket by bucket: small
-buckets as distinct pairs, larger ones in blocks. No candidate is dropped unless a filter proves it below
-the threshold.
+Buckets never emit all their pairs. First every bucket pairs its members with its smallest one only, pairs
+are verified once on whole sets, and what is linked is contracted. Of buckets that still hold several
+components, those with the same members are one. They pair with other leaders as long as that shrinks them;
+then what is left are pairs across components that the length and positional filters let pass. Members of a
+bucket are sorted by size for that, and buckets of more than BLOCK members are cut into pairs of blocks. No
+candidate is dropped unless a filter proves it below the threshold.
+
+Pairs are verified by unit: a unit holds small components of the graph of candidate pairs, or a pair of
+blocks of a large one, so each set is sent to its unit once however many pairs it has there.
 
 Buckets expected to be large are dealt out over several tasks (salts) from the table of counts. Defined
 cases: texts without words, and null texts, link with nothing and have no shingles; with fewer than five
-words the whole sequence is the one shingle; equal rows are near-duplicates of each other; an empty table
-gives no rows; other columns are ignored; texts of any length are taken whole.
+words the whole sequence is the one shingle; equal rows are near-duplicates of each other; rows without a
+doc_id take part, and a group of nothing else has a null component_id; an empty table gives no rows; other
+columns are ignored; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,12 @@ WORDS = 5
 NUM, DEN = 75, 100
 CELLS = 1 << 16
 SALT_ROWS = 4096
-SMALL, BLOCK, BLOCK_SHINGLES = 16, 512, 500_000
-#: Members of a cluster up to which all of them are compared in blocks.
-CLUSTER = 4096
+#: Members of a bucket, and shingles of a unit, that one task holds at a time.
+BLOCK, UNIT_SHINGLES = 2048, 1_000_000
+#: Pairs sent on at a time.
+PAIRS = 1 << 20
+#: Buckets get another leader while they hold more than so many pairs a member, and a round takes off a quarter at least.
+SPREAD = 8
 SEEN = 200_000
 FILTER_BITS = 1 << 23
 SHIFT = 24  # a posting holds the set's size and the shingle's place in one long
@@ -214,35 +218,81 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components that can reach the threshold, from open buckets sorted by unit (h, p, q) and size."""
+    names, held = ["h", "p", "q", "side", "np", "comp", "k"], None
+
+    def distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
+
+    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, p, q, side, place, comp, k = rows
+        start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+        end = np.repeat(np.append(start[1:], len(h)), np.diff(np.append(start, len(h))))
+        at, found, many = np.arange(len(h)), [], 0
+        size = place >> SHIFT
+        for step in range(1, len(h)):
+            at = at[end[at] - at > step]
+            # Sizes rise, so who is too small for this partner is too small for those that follow.
+            at = at[DEN * size[at] >= NUM * size[at + step]]
+            if not len(at):
+                break
+            fits = (comp[at] != comp[at + step]) & ((side[at] == 2) | (side[at] != side[at + step]))
+            i = at[fits]
+            i = i[can_reach(place[i], place[i + step])]
+            found.append((k[i], k[i + step]))
+            many += len(i)
+            if many > PAIRS:
+                yield distinct(found)
+                found, many = [], 0
+        if found:
+            yield distinct(found)
+
+    for batch in batches:
+        rows = [np.asarray(batch.column(c)) for c in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        held = [r[cut:] for r in rows]
+        if cut:
+            yield from work([r[:cut] for r in rows])
+    if held is not None and len(held[0]):
+        yield from work(held)
+
+
 def _bodies(seed: int, shared):
-    """(doc_id, k, body) of documents whose doc_id is in the shared filter; a body holds 6 bytes of each hash."""
+    """(doc_id, k, body) of documents whose doc_id is in the shared filter, once a task; a body holds the sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        shingler = Shingler(seed)
+        shingler, seen = Shingler(seed), set()
         for batch in batches:
             mark = np.asarray(batch.column("mark"))
             batch = batch.filter(pa.array((bits[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)))
             for part in tokens.slices(batch, "text"):
-                sets = shingler.sets(part.column("text"))
-                bodies = [pack(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "k", "body"])
+                rows = []
+                for doc_id, own in zip(part.column("doc_id").to_pylist(), shingler.sets(part.column("text"))):
+                    k = identity(own)[0]
+                    if (doc_id, k) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add((doc_id, k))
+                        rows.append((doc_id, k, own.tobytes()))
+                if rows:
+                    ids, ks, bodies = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "k", "body"])
 
     return run
 
 
-def pack(shingles: np.ndarray) -> bytes:
-    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack(body: bytes) -> np.ndarray:
-    """Sorted 48-bit values: with these many shingles a text, two of which agree by chance in less than one of 10**9 cases."""
-    out = np.zeros((len(body) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(body, np.uint8).reshape(-1, 6)
-    return out.view(">u8").reshape(-1).astype(np.uint64)
-
-
-RANGES = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(44)
+RANGES = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
 
 
 def reaches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -258,74 +308,19 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return (NUM + DEN) * int((both[1:] == both[:-1]).sum()) >= need
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for body_a, body_b in zip(batch.column("body_a"), batch.column("body_b")):
-            good.append(reaches(unpack(body_a.as_py()), unpack(body_b.as_py())))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def overlaps(sets: list[np.ndarray], columns: int = 2048, few: int = 12) -> np.ndarray:
-    """Sizes of all pairwise intersections, from the shingles that several sets have: in few sets as pairs, in many as matrices."""
-    m = len(sets)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    run = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
-    times = np.bincount(run)[run]
-    out = np.zeros(m * m, np.int64)
-    rare = (times > 1) & (times <= few)
-    own, group = owner[rare], run[rare]
-    for step in range(1, few):  # owners rise within a run, so pairs fall above the diagonal
-        same = group[step:] == group[:-step]
-        out += np.bincount(own[:-step][same] * m + own[step:][same], minlength=m * m)
-    out = out.reshape(m, m)
-    out += out.T
-    often = times > few
-    own, group = owner[often], np.unique(run[often], return_inverse=True)[1]
-    total = np.zeros((m, m), np.float32)
-    edges = np.searchsorted(group, np.arange(0, (group[-1] if len(group) else 0) + columns + 1, columns))
-    for k in range(len(edges) - 1):
-        if edges[k] < edges[k + 1]:
-            hot = np.zeros((m, columns), np.float32)
-            hot[own[edges[k] : edges[k + 1]], group[edges[k] : edges[k + 1]] - k * columns] = 1
-            total += hot @ hot.T
-    return out + total.astype(np.int64)
-
-
-def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links across components within one pair of blocks, as a spanning forest over the components."""
-    table = table.sort_by("k")
-    ids, comp, side = (np.asarray(table.column(c)) for c in ("k", "comp", "side"))
-    sets = [unpack(b.as_py()) for b in table.column("body")]
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    both = n[:, None] + n[None, :]
-    near = (NUM + DEN) * overlaps(sets) >= NUM * both
-    near &= comp[:, None] != comp[None, :]
-    if not (side == 2).all():
-        near &= side[:, None] != side[None, :]
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    pairs = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        s, t = find(int(comp[i])), find(int(comp[j]))
-        if s != t:
-            root[max(s, t)] = min(s, t)
-            pairs.append((int(ids[i]), int(ids[j])))
-    return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
+def _verify(bodies: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The pairs of a unit that link."""
+    sets = {k: np.frombuffer(body.as_buffer(), np.uint64) for k, body in zip(bodies.column("k").to_pylist(), bodies.column("body"))}
+    a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+    good = pa.array([reaches(sets[x], sets[y]) for x, y in zip(a, b)], pa.bool_())
+    return pairs.select(["a", "b"]).filter(good)
 
 
 class Join:
     """One run of the join over docs (doc_id, text); tables are written to the shared folder on the way."""
 
     def __init__(self, docs: DataFrame):
-        self.spark, self.held = docs.sparkSession, None
+        self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         for self.seed in range(1, 9):
             self.path = common.new_path(self.spark, "sets")
@@ -335,7 +330,7 @@ class Join:
             self.meta = rows.where("kind = 0").select("doc_id", "n", "k", "k2")
             self.counts = rows.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("count"))
             # A class is known by one long; two different sets with the same one call for another seed.
-            self.classes = common.written(self.meta.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("k2").alias("low"), F.max("k2").alias("high")), "classes")
+            self.classes = common.written(self.meta.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("k2").alias("low"), F.max("k2").alias("high")), "classes")
             if not self.classes.where("low <> high").head(1):
                 break
 
@@ -353,124 +348,90 @@ class Join:
         pairs = common.written(rows.where("kind = 0").select("a", "b").distinct(), "pairs")
         return pairs, rows.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("k"), "np", "salted")
 
-    def bodies(self, needed: DataFrame) -> DataFrame:
-        """(k, body) of the classes in needed (k). A filter of fixed size keeps most other texts out; the join is exact."""
-        firsts = self.classes.join(needed, "k").select("doc_id", "k")
-        mark = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        words = firsts.select(mark.alias("m")).groupBy(F.expr("m div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(m % 32 as int)))").alias("v")).collect()  # FILTER_BITS / 32 rows at most
+    def units(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, unit): components of their graph gathered up to UNIT_SHINGLES, larger ones cut into pairs of blocks."""
+        label = common.components(pairs).select(F.col("node").alias("k"), "component")
+        size = label.join(self.classes.select("k", "n"), "k").groupBy("component").agg(F.sum("n").alias("n"))
+        size = common.written(size.withColumn("blocks", F.expr(f"cast(ceil(n / {UNIT_SHINGLES}) as int)")), "sizes")
+        small = max(1, (size.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // UNIT_SHINGLES)
+        known = label.join(size.select("component", "blocks"), "component").withColumnRenamed("k", "a")
+        p, q = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(small))).otherwise(F.xxhash64("component", F.least(p, q), F.greatest(p, q)))
+        return pairs.join(common.small_enough(known), "a").select("a", "b", unit.alias("unit"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link; a filter of fixed size keeps the texts of most other documents out."""
+        placed = common.written(self.units(pairs), "units")
+        need = placed.select("unit", F.col("a").alias("k")).union(placed.select("unit", "b")).distinct()
+        need = common.written(need.join(self.classes.select("k", "doc_id"), "k").select("unit", F.col("k").alias("own_k"), F.col("doc_id").alias("own_id")), "needed")
+        mark = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        words = need.select(mark("own_id").alias("m")).groupBy(F.expr("m div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(m % 32 as int)))").alias("v")).collect()  # FILTER_BITS / 32 rows at most
         table = np.zeros(FILTER_BITS // 32, np.uint32)
         for r in words:
             table[r["w"]] = r["v"]
         shared = self.spark.sparkContext.broadcast(table.astype("<u4").tobytes())
-        found = self.docs.select("doc_id", "text", mark.cast("long").alias("mark")).mapInArrow(_bodies(self.seed, shared), "doc_id long, k long, body binary")
-        return common.written(found.join(firsts, ["doc_id", "k"], "left_semi").dropDuplicates(["k"]).select("k", "body"), "bodies")
-
-    def slices(self, shingles: int) -> int:
-        """Into how many turns to cut work that moves so many shingles, so that one moves at most half of what all sets hold."""
-        if self.held is None:
-            self.held = self.meta.agg(F.sum("n")).first()[0] or 1
-        return max(1, -(-2 * shingles // max(self.held, 1)))
-
-    def verified(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. Shuffle files of one turn are freed before the next."""
-        size = bodies.select("k", F.expr("octet_length(body) div 6").alias("own_n"))
-        moved = pairs.join(size, F.col("a") == F.col("k")).agg(F.sum("own_n")).first()[0] or 0
-        turns, out = self.slices(moved), None
-        for turn in range(turns):
-            own = common.small_enough(pairs.where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn))
-            left = bodies.select(F.col("k").alias("a"), F.col("body").alias("body_a")).join(own, "a")
-            right = bodies.select(F.col("k").alias("b"), F.col("body").alias("body_b")).where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn)
-            found = common.written(left.join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_verify, "a long, b long"), "links")
-            out = found if out is None else out.unionByName(found)
-            common.tidy(self.spark)
+        found = self.docs.select("doc_id", "text", mark("doc_id").cast("long").alias("mark")).mapInArrow(_bodies(self.seed, shared), "doc_id long, k long, body binary")
+        sent = found.join(common.small_enough(need), (F.col("k") == F.col("own_k")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("unit", "k", "body")
+        out = common.written(sent.groupBy("unit").cogroup(placed.groupBy("unit")).applyInArrow(_verify, "a long, b long"), "links")
+        common.drop(placed)
+        common.drop(need)
         return out
 
-    def open_buckets(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows (h, k, np, comp, m, total) of buckets that still hold several components."""
-        known = common.small_enough(comps.select(F.col("node").alias("k"), "component"))
-        own = rows.join(known, "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
-        alive = own.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"shiftright(np, {SHIFT})")).alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("salted").alias("any"))
-        alive = common.written(alive.where("low <> high and (m > 2 or any)").select("h", "m", "total"), "alive")
-        return common.written(own.join(common.small_enough(alive), "h"), "open")
+    def open_buckets(self, rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, int, int]:
+        """Rows (h, k, np, comp, m) of buckets that still hold several components, how many rows, and how many pairs across components.
 
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Distinct pairs across components within small buckets that the filters let pass."""
-        x = rows.select("h", F.col("k").alias("a"), F.col("np").alias("pa"), F.col("comp").alias("ca"))
-        y = rows.select("h", F.col("k").alias("b"), F.col("np").alias("pb"), F.col("comp").alias("cb"))
+        Of buckets with the same members only the first in the order of shingles stays: it is the first of these
+        shingles that any two members have in common.
+        """
+        known = common.small_enough(comps.select(F.col("node").alias("k"), "component"))
+        own = rows.select("h", "k", "np").join(known, "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
+        part = own.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), *[F.expr(f"bit_xor(xxhash64(k, {i}))").alias(f"x{i}") for i in (1, 2)], F.min(F.struct("k", "np")).alias("first"))
+        whole = part.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), *[F.expr(f"bit_xor(x{i})").alias(f"x{i}") for i in (1, 2)], F.min("first").alias("first"), F.count(F.lit(1)).alias("comps"))
+        once = whole.where("comps > 1").groupBy("m", "x1", "x2").agg(F.min(F.struct("first.np", "h", "same")).alias("one"))
+        alive = common.written(once.select("one.h", "m", F.expr("(m * m - one.same) div 2").alias("pairs")), "alive")
+        now = alive.agg(F.sum("m").alias("members"), F.sum("pairs").alias("pairs")).first()
+        return common.written(own.join(common.small_enough(alive.select("h", "m")), "h"), "open"), now["members"] or 0, now["pairs"] or 0
+
+    def led(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Distinct pairs of each open bucket's leader of this turn with its members of other components."""
+        lead = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "np", "comp")).alias("lead"))
         size = lambda c: F.shiftright(c, SHIFT)
         left = lambda c: size(c) - F.col(c).bitwiseAND(F.lit((1 << SHIFT) - 1).cast("long"))
-        both = x.join(y, "h").where("a < b and ca <> cb")
-        fits = DEN * F.least(size("pa"), size("pb")) >= NUM * F.greatest(size("pa"), size("pb"))
-        reach = (NUM + DEN) * F.least(left("pa"), left("pb")) >= NUM * (size("pa") + size("pb"))
-        return both.where(fits & reach).select("a", "b").distinct()
-
-    def in_blocks(self, rows: DataFrame, key: str) -> DataFrame:
-        """Links across components among rows (key, k, comp, m, total) of the same key."""
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-        at = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-        meets = F.expr("transform(sequence(0, blocks - 1), q -> named_struct('p', least(block, q), 'q', greatest(block, q), 'side', if(q = block, 2, if(block < q, 0, 1))))")
-        dealt = at.withColumn("meet", F.explode(meets)).select(F.col(key).alias("h"), "k", "comp", "meet.p", "meet.q", "meet.side")
-        bodies = self.bodies(rows.select("k").distinct())
-        size = bodies.select("k", F.expr("octet_length(body) div 6").alias("own_n"))
-        turns, out = self.slices(at.join(size, "k").agg(F.sum(F.col("own_n") * F.col("blocks"))).first()[0] or 0), None
-        for turn in range(turns):
-            own = common.small_enough(dealt.where(F.pmod(F.xxhash64("h", "p"), F.lit(turns)) == turn))
-            found = common.written(bodies.join(own, "k").groupBy("h", "p", "q").applyInArrow(_block, "a long, b long"), "links")
-            out = found if out is None else out.unionByName(found)
-            common.tidy(self.spark)
-        common.drop(bodies)
-        return out
-
-    def clustered(self, rows: DataFrame) -> DataFrame:
-        """Rows (unit, k, comp, m, total, giant): members of open buckets, joined by the buckets they share and cut by length.
+        both = rows.join(lead, "h").where("comp <> lead.comp").select("k", "np", F.col("lead.k").alias("lead_k"), F.col("lead.np").alias("lead_np"))
+        fits = DEN * F.least(size("np"), size("lead_np")) >= NUM * F.greatest(size("np"), size("lead_np"))
+        reach = (NUM + DEN) * F.least(left("np"), left("lead_np")) >= NUM * (size("np") + size("lead_np"))
+        return both.where(fits & reach).select(F.least("k", "lead_k").alias("a"), F.greatest("k", "lead_k").alias("b")).distinct()
 
-        Sizes of linked sets differ by a third at most, so with bands a third wide only neighbouring bands of a
-        cluster meet: unit b holds bands b and b + 1, and every member stands in two units.
-        """
-        low = rows.groupBy("h").agg(F.min("k").alias("lo"))
-        edges = rows.select("h", "k").join(low, "h").select("k", "lo").distinct()
-        label = common.components(edges, "k", "lo").select(F.col("node").alias("k"), F.col("component").alias("cluster"))
-        member = rows.select("k", "comp", F.shiftright("np", SHIFT).alias("n")).distinct().join(label, "k")
-        whole = member.groupBy("cluster").agg((F.count(F.lit(1)) > CLUSTER).alias("giant"))
-        member = member.join(whole, "cluster")
-        band = F.floor(F.log("n") / math.log(DEN / NUM)).cast("long")
-        member = member.withColumn("band", F.explode(F.array(band, band - 1)))
-        member = common.written(member.select("k", "comp", "n", "giant", F.xxhash64("cluster", "band").alias("unit")), "members")
-        size = member.groupBy("unit").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        return common.written(member.join(size.where("low <> high").select("unit", "m", "total"), "unit"), "clusters")
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Distinct pairs across components in open buckets that the filters let pass."""
+        at = rows.withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+        meets = F.expr("transform(sequence(0, blocks - 1), q -> named_struct('p', least(block, q), 'q', greatest(block, q), 'side', if(q = block, 2, if(block < q, 0, 1))))")
+        dealt = at.withColumn("meet", F.explode(meets)).select("h", "meet.p", "meet.q", "meet.side", "np", "comp", "k")
+        return dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "np", "k").mapInArrow(_across, "a long, b long").distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         pairs, rows = self.buckets()
-        common.tidy(self.spark)
-        bodies = self.bodies(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
-        links = self.verified(pairs, bodies)
-        common.drop(bodies)
-        common.tidy(self.spark)
-        comps = common.written(common.components(links), "components")
-        rows = self.open_buckets(rows, comps)
-        common.tidy(self.spark)
-        if rows.head(1):
-            members = self.clustered(rows)
-            common.tidy(self.spark)
-            links = links.unionByName(self.in_blocks(members.where("not giant"), "unit"))
-            giant = members.where("giant").select("k").distinct()
-            if giant.head(1):
-                links = links.unionByName(self.by_bucket(rows.join(giant, "k", "left_semi"), pairs))
-            common.tidy(self.spark)
+        links = self.verified(pairs)
+        before, turn = None, 0
+        while True:
             comps = common.written(common.components(links), "components")
+            rows, members, spread = self.open_buckets(rows, comps)
+            if not members:
+                break
+            last = spread <= SPREAD * members or (before is not None and 4 * spread > 3 * before)
+            more = self.across(rows) if last else self.led(rows, turn := turn + 1)
+            more = common.written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            pairs, links, before = pairs.unionByName(more), links.unionByName(self.verified(more)), spread
+            if last:
+                comps = common.written(common.components(links), "components")
+                break
         labelled = self.classes.join(comps.select(F.col("node").alias("k"), "component"), "k", "left").select("k", "doc_id", F.coalesce("component", "k").alias("c"))
         least = labelled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
         labels = common.written(labelled.join(least, "c").select(F.col("k").alias("_k"), "component_id"), "labels")
         out = self.meta.join(labels, (F.col("k") == F.col("_k")) & (F.col("n") > 0), "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    def by_bucket(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Links across components, bucket by bucket."""
-        more = common.written(self.across(rows.where(f"m <= {SMALL}")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        held = self.bodies(more.select(F.col("a").alias("k")).union(more.select("b")).distinct())
-        return self.verified(more, held).unionByName(self.in_blocks(rows.where(f"m > {SMALL}"), "h"))
-
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
