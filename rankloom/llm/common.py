@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -51,12 +50,6 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._rankloom_path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are over; it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_enough(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows (of a few longs each), counted now."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -112,12 +105,16 @@ def running_total(df: DataFrame, key: Column, order: list[Column], values: dict[
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of the undirected links, the smallest node that it reaches.
 
-    Alternates large-star and small-star steps until no link changes; each step is two shuffles of
+    Alternates large-star and small-star steps until only stars are left; each step is two shuffles of
     the links, and each round is written to the shared folder, so lineage stays short.
     """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    state = None
     while True:
+        # Done when all edges are stars: every node has one end, and no end has one of its own.
+        role = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        role = role.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not role.where("up + down > 1").limit(1).count():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -125,11 +122,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hop = large.join(low, "u")
         small = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hop.select("u", F.col("m").alias("v"))).distinct()
         following = written(small, "links")
-        now = following.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h"), F.countDistinct("u").alias("k")).first()
         drop(edges)
         edges = following
-        if now["n"] == now["k"] and state == (now["n"], now["h"]):
-            break
-        state = (now["n"], now["h"])
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,15 +5,16 @@ Shingles are ordered rare first, by a table of counts over CELLS hash cells (a f
 sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, so only these are
 shuffled. The documents of one such shingle form a bucket.
 
-Buckets never emit all their pairs. First every bucket pairs its members with its smallest one only, pairs
-are verified once on whole sets, and what is linked is contracted. Of buckets that still hold several
-components, those with the same members are one. They pair with other leaders as long as that shrinks them;
-then what is left are pairs across components that the length and positional filters let pass. Members of a
-bucket are sorted by size for that, and buckets of more than BLOCK members are cut into pairs of blocks. No
-candidate is dropped unless a filter proves it below the threshold.
+Buckets never emit all their pairs. First every bucket pairs its members with its leader only: the one in
+which the shingle stands first, so with the fewest rarer ones, which the original of a group of copies has.
+Pairs are verified once on whole sets, and what is linked is contracted. Of buckets that still hold several
+components, those with the same members are one. They pair with other leaders while many pairs across
+components would pass the length and positional filters and that shrinks them; then these pairs are all that
+is left. Members of a bucket are sorted by size to find them, and buckets of more than BLOCK members are cut
+into pairs of blocks. No candidate is dropped unless a filter proves it below the threshold.
 
-Pairs are verified by unit: a unit holds small components of the graph of candidate pairs, or a pair of
-blocks of a large one, so each set is sent to its unit once however many pairs it has there.
+Pairs are verified by unit: a unit holds neighbourhoods of the graph of candidate pairs, or a pair of blocks
+of a large one, so each set is sent to its unit once however many pairs it has there.
 
 Buckets expected to be large are dealt out over several tasks (salts) from the table of counts. Defined
 cases: texts without words, and null texts, link with nothing and have no shingles; with fewer than five
@@ -37,19 +38,26 @@ from . import common, tokens
 WORDS = 5
 #: The threshold as a fraction; a pair links when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-CELLS = 1 << 16
+CELL_BITS = 20
+CELLS, CHUNK = 1 << CELL_BITS, 4096
 SALT_ROWS = 4096
 #: Members of a bucket, and shingles of a unit, that one task holds at a time.
-BLOCK, UNIT_SHINGLES = 2048, 1_000_000
+BLOCK, UNIT_SHINGLES = 2048, 250_000
+#: Links from a pair within which a common label is looked for, so that its sets are sent once.
+NEAR = 3
 #: Pairs sent on at a time.
 PAIRS = 1 << 20
-#: Buckets get another leader while they hold more than so many pairs a member, and a round takes off a quarter at least.
-SPREAD = 8
+#: Buckets get another leader while more than so many pairs a member pass the filters, and a round takes off a quarter at least.
+SPREAD = 4
 SEEN = 200_000
 FILTER_BITS = 1 << 23
 SHIFT = 24  # a posting holds the set's size and the shingle's place in one long
 
 
+#: The shingle's place, from a posting.
+PLACE = f"np & {(1 << SHIFT) - 1}L"
+
+
 class Shingler:
     """Sorted sets of shingle hashes of batches of texts."""
 
@@ -103,11 +111,15 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def prefix(shingles: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """The first n - ceil(t n) + 1 shingles in order of their cell's count, then of hash."""
     n = len(shingles)
     size = n - -(-NUM * n // DEN) + 1
-    count = cells[(shingles >> np.uint64(48)).astype(np.int64)]
+    count = cells[cell_of(shingles)]
     return shingles[np.lexsort((shingles, count))[:size]]
 
 
@@ -115,31 +127,53 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64))
 
 
+META = "kind int, doc_id long, n long, k long, k2 long, counts binary"
+
+
 def _meta(seed: int):
-    """Rows (kind 0: doc_id, n, k, k2) and counts (kind 1: cell, count, of sets that the task has not seen before)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64())])
+    """Rows (kind 0: doc_id, n, k, k2) and counts (kind 1: number of a chunk of cells in doc_id, its counts, of sets that the task has not seen before)."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts, seen = Shingler(seed), np.zeros(CELLS, np.int64), set()
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                rows = []
+                rows, fresh = [], []
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), shingler.sets(part.column("text"))):
                     k = identity(own)
-                    rows.append((0, doc_id, len(own), *k))
+                    rows.append((0, doc_id, len(own), *k, None))
                     if k not in seen:
                         if len(seen) < SEEN:
                             seen.add(k)
-                        counts += np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+                        fresh.append(own)
+                if fresh:
+                    counts += np.bincount(cell_of(np.concatenate(fresh)), minlength=CELLS)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-        held = np.flatnonzero(counts)
-        none = pa.nulls(len(held), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(held), np.int32)), pa.array(held), pa.array(counts[held]), none, none], schema=schema)
+        rows = [(1, c, None, None, None, own) for c, own in chunks(counts)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+def chunks(counts: np.ndarray) -> list[tuple[int, bytes]]:
+    """Numbers and bytes of the chunks that hold a count."""
+    whole = counts.reshape(-1, CHUNK)
+    return [(int(c), whole[c].astype("<i8").tobytes()) for c in np.flatnonzero(whole.any(axis=1))]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a chunk with the sum of its counts in this task."""
+    counts = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
+    for batch in batches:
+        for c, own in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+            counts[c] += np.frombuffer(own.as_buffer(), "<i8")
+    rows = chunks(counts.reshape(-1))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["chunk", "counts"])
+
+
 def _postings(seed: int, shared):
     """(h, salt, size and place, k) of every shingle in the prefix of every set, once a task."""
 
@@ -165,7 +199,7 @@ def _postings(seed: int, shared):
                     nps.append((len(own) << SHIFT) + np.arange(len(first), dtype=np.int64))
                 if hs:
                     h, k = np.concatenate(hs), np.concatenate(ks)
-                    wide = salts[(h >> np.uint64(48)).astype(np.int64)]
+                    wide = salts[cell_of(h)]
                     salt = np.where(wide > 1, (k & np.int64(0x7FFFFFFF)) % wide, -1)
                     yield pa.RecordBatch.from_arrays([_long(h), pa.array(salt), pa.array(np.concatenate(nps)), pa.array(k)], names=["h", "salt", "np", "k"])
 
@@ -180,7 +214,7 @@ def can_reach(np_a: np.ndarray, np_b: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by bucket: pairs of the smallest member with each other one (kind 0: a, b), and the rows of buckets with more than two members (kind 1: h, k, np)."""
+    """From postings sorted by bucket: pairs of the first member with each other one (kind 0: a, b), and the rows of buckets with more than two members (kind 1: h, k, np)."""
     names, held = ["h", "salt", "np", "k"], None
 
     def work(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -218,9 +252,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs _across would send, not yet made distinct."""
+    many = sum(len(i) for rows in _whole(batches) for i, _ in _partners(rows))
+    yield pa.RecordBatch.from_arrays([pa.array([many], pa.int64())], names=["pairs"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of different components that can reach the threshold, from open buckets sorted by unit (h, p, q) and size."""
-    names, held = ["h", "p", "q", "side", "np", "comp", "k"], None
 
     def distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*pairs))
@@ -230,22 +269,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
         return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
 
-    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, p, q, side, place, comp, k = rows
-        start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
-        end = np.repeat(np.append(start[1:], len(h)), np.diff(np.append(start, len(h))))
-        at, found, many = np.arange(len(h)), [], 0
-        size = place >> SHIFT
-        for step in range(1, len(h)):
-            at = at[end[at] - at > step]
-            # Sizes rise, so who is too small for this partner is too small for those that follow.
-            at = at[DEN * size[at] >= NUM * size[at + step]]
-            if not len(at):
-                break
-            fits = (comp[at] != comp[at + step]) & ((side[at] == 2) | (side[at] != side[at + step]))
-            i = at[fits]
-            i = i[can_reach(place[i], place[i + step])]
-            found.append((k[i], k[i + step]))
+    for rows in _whole(batches):
+        k, found, many = rows[-1], [], 0
+        for i, j in _partners(rows):
+            found.append((k[i], k[j]))
             many += len(i)
             if many > PAIRS:
                 yield distinct(found)
@@ -253,8 +280,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             yield distinct(found)
 
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut where a unit ends."""
+    held = None
     for batch in batches:
-        rows = [np.asarray(batch.column(c)) for c in names]
+        rows = [np.asarray(batch.column(c)) for c in ("h", "p", "q", "side", "np", "comp", "k")]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows)]
         if not len(rows[0]):
@@ -263,9 +294,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(other[-1]) + 1 if len(other) else 0
         held = [r[cut:] for r in rows]
         if cut:
-            yield from work([r[:cut] for r in rows])
+            yield [r[:cut] for r in rows]
     if held is not None and len(held[0]):
-        yield from work(held)
+        yield held
+
+
+def _partners(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within units that are of different components and pass the length and positional filters."""
+    h, p, q, side, place, comp, _ = rows
+    start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+    end = np.repeat(np.append(start[1:], len(h)), np.diff(np.append(start, len(h))))
+    at, size = np.arange(len(h)), place >> SHIFT
+    for step in range(1, len(h)):
+        at = at[end[at] - at > step]
+        # Sizes rise, so who is too small for this partner is too small for those that follow.
+        at = at[DEN * size[at] >= NUM * size[at + step]]
+        if not len(at):
+            break
+        i = at[(comp[at] != comp[at + step]) & ((side[at] == 2) | (side[at] != side[at + step]))]
+        i = i[can_reach(place[i], place[i + step])]
+        yield i, i + step
 
 
 def _bodies(seed: int, shared):
@@ -324,11 +372,10 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         for self.seed in range(1, 9):
             self.path = common.new_path(self.spark, "sets")
-            schema = "kind int, doc_id long, n long, k long, k2 long"
-            self.docs.mapInArrow(_meta(self.seed), schema).write.partitionBy("kind").parquet(self.path)
-            rows = self.spark.read.schema(schema).parquet(self.path)
+            self.docs.mapInArrow(_meta(self.seed), META).write.partitionBy("kind").parquet(self.path)
+            rows = self.spark.read.schema(META).parquet(self.path)
             self.meta = rows.where("kind = 0").select("doc_id", "n", "k", "k2")
-            self.counts = rows.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("count"))
+            self.counts = rows.where("kind = 1").select(F.col("doc_id").alias("chunk"), "counts").mapInArrow(_added, "chunk long, counts binary")
             # A class is known by one long; two different sets with the same one call for another seed.
             self.classes = common.written(self.meta.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("k2").alias("low"), F.max("k2").alias("high")), "classes")
             if not self.classes.where("low <> high").head(1):
@@ -336,28 +383,34 @@ class Join:
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(a, b) distinct star pairs, and (h, k, np, salted) rows of buckets with more than two members."""
-        cells = np.zeros(CELLS, np.int64)
-        for r in self.counts.collect():  # CELLS rows at most
-            cells[r["cell"]] = r["count"]
+        cells = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
+        for r in self.counts.repartition("chunk").mapInArrow(_added, "chunk long, counts binary").collect():  # one row for each of CELLS / CHUNK chunks
+            cells[r["chunk"]] += np.frombuffer(r["counts"], "<i8")
         shared = self.spark.sparkContext.broadcast(cells.tobytes())
         posted = self.docs.select("text").mapInArrow(_postings(self.seed, shared), "h long, salt long, np long, k long")
         schema = "kind int, a long, b long, np long, salted boolean"
         path = common.new_path(self.spark, "buckets")
-        posted.repartition("h", "salt").sortWithinPartitions("h", "salt", "np", "k").mapInArrow(_stars, schema).write.partitionBy("kind").parquet(path)
+        posted.repartition("h", "salt").sortWithinPartitions("h", "salt", F.expr(PLACE), "k").mapInArrow(_stars, schema).write.partitionBy("kind").parquet(path)
         rows = self.spark.read.schema(schema).parquet(path)
         pairs = common.written(rows.where("kind = 0").select("a", "b").distinct(), "pairs")
         return pairs, rows.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("k"), "np", "salted")
 
     def units(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, unit): components of their graph gathered up to UNIT_SHINGLES, larger ones cut into pairs of blocks."""
-        label = common.components(pairs).select(F.col("node").alias("k"), "component")
-        size = label.join(self.classes.select("k", "n"), "k").groupBy("component").agg(F.sum("n").alias("n"))
+        """The pairs (a, b, unit). Pairs stand by the smallest member within NEAR links of them; these groups are gathered up to UNIT_SHINGLES, or cut into pairs of blocks."""
+        both = pairs.select("a", "b").union(pairs.select("b", "a"))
+        label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("near"))
+        for _ in range(NEAR - 1):
+            label = both.join(label.select(F.col("a").alias("b"), "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
+        label = common.small_enough(common.written(label, "near"))
+        at = pairs.join(label, "a").join(label.select(F.col("a").alias("b"), F.col("near").alias("near_b")), "b")
+        at = common.written(at.select("a", "b", F.least("near", "near_b").alias("near")), "near")
+        member = at.select("near", F.col("a").alias("k")).union(at.select("near", "b")).distinct()
+        size = member.join(self.classes.select("k", "n"), "k").groupBy("near").agg(F.sum("n").alias("n"))
         size = common.written(size.withColumn("blocks", F.expr(f"cast(ceil(n / {UNIT_SHINGLES}) as int)")), "sizes")
         small = max(1, (size.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // UNIT_SHINGLES)
-        known = label.join(size.select("component", "blocks"), "component").withColumnRenamed("k", "a")
         p, q = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
-        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(small))).otherwise(F.xxhash64("component", F.least(p, q), F.greatest(p, q)))
-        return pairs.join(common.small_enough(known), "a").select("a", "b", unit.alias("unit"))
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("near"), F.lit(small))).otherwise(F.xxhash64("near", F.least(p, q), F.greatest(p, q)))
+        return at.join(common.small_enough(size.select("near", "blocks")), "near").select("a", "b", unit.alias("unit"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link; a filter of fixed size keeps the texts of most other documents out."""
@@ -377,24 +430,24 @@ class Join:
         common.drop(need)
         return out
 
-    def open_buckets(self, rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, int, int]:
-        """Rows (h, k, np, comp, m) of buckets that still hold several components, how many rows, and how many pairs across components.
+    def open_buckets(self, rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
+        """Rows (h, k, np, comp, m) of buckets that still hold several components, and how many rows.
 
         Of buckets with the same members only the first in the order of shingles stays: it is the first of these
         shingles that any two members have in common.
         """
         known = common.small_enough(comps.select(F.col("node").alias("k"), "component"))
         own = rows.select("h", "k", "np").join(known, "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
-        part = own.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), *[F.expr(f"bit_xor(xxhash64(k, {i}))").alias(f"x{i}") for i in (1, 2)], F.min(F.struct("k", "np")).alias("first"))
-        whole = part.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), *[F.expr(f"bit_xor(x{i})").alias(f"x{i}") for i in (1, 2)], F.min("first").alias("first"), F.count(F.lit(1)).alias("comps"))
-        once = whole.where("comps > 1").groupBy("m", "x1", "x2").agg(F.min(F.struct("first.np", "h", "same")).alias("one"))
-        alive = common.written(once.select("one.h", "m", F.expr("(m * m - one.same) div 2").alias("pairs")), "alive")
-        now = alive.agg(F.sum("m").alias("members"), F.sum("pairs").alias("pairs")).first()
-        return common.written(own.join(common.small_enough(alive.select("h", "m")), "h"), "open"), now["members"] or 0, now["pairs"] or 0
+        marks = [F.expr(f"bit_xor(xxhash64(k, {i}))").alias(f"x{i}") for i in (1, 2)]
+        whole = own.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *marks, F.min(F.struct("k", "np")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        once = whole.where("low <> high").groupBy("m", "x1", "x2").agg(F.min(F.struct("first.np", "h")).alias("one"))
+        alive = common.written(once.select("one.h", "m"), "alive")
+        members = alive.agg(F.sum("m")).first()[0] or 0
+        return common.written(own.join(common.small_enough(alive), "h"), "open"), members
 
     def led(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Distinct pairs of each open bucket's leader of this turn with its members of other components."""
-        lead = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "np", "comp")).alias("lead"))
+        """Distinct pairs of each open bucket's leader of this turn, the first of a component, with its members of other components."""
+        lead = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.expr(PLACE).alias("place"), "k", "np", "comp")).alias("lead"))
         size = lambda c: F.shiftright(c, SHIFT)
         left = lambda c: size(c) - F.col(c).bitwiseAND(F.lit((1 << SHIFT) - 1).cast("long"))
         both = rows.join(lead, "h").where("comp <> lead.comp").select("k", "np", F.col("lead.k").alias("lead_k"), F.col("lead.np").alias("lead_np"))
@@ -402,29 +455,29 @@ class Join:
         reach = (NUM + DEN) * F.least(left("np"), left("lead_np")) >= NUM * (size("np") + size("lead_np"))
         return both.where(fits & reach).select(F.least("k", "lead_k").alias("a"), F.greatest("k", "lead_k").alias("b")).distinct()
 
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Distinct pairs across components in open buckets that the filters let pass."""
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows of open buckets by unit: a bucket, or a pair of blocks of it."""
         at = rows.withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
         meets = F.expr("transform(sequence(0, blocks - 1), q -> named_struct('p', least(block, q), 'q', greatest(block, q), 'side', if(q = block, 2, if(block < q, 0, 1))))")
         dealt = at.withColumn("meet", F.explode(meets)).select("h", "meet.p", "meet.q", "meet.side", "np", "comp", "k")
-        return dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "np", "k").mapInArrow(_across, "a long, b long").distinct()
+        return dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "np", "k")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         pairs, rows = self.buckets()
         links = self.verified(pairs)
-        before, turn = None, 0
+        before, turn, comps = None, 0, common.written(common.components(links), "components")
         while True:
-            comps = common.written(common.components(links), "components")
-            rows, members, spread = self.open_buckets(rows, comps)
+            rows, members = self.open_buckets(rows, comps)
             if not members:
                 break
-            last = spread <= SPREAD * members or (before is not None and 4 * spread > 3 * before)
-            more = self.across(rows) if last else self.led(rows, turn := turn + 1)
+            passing = self.dealt(rows).mapInArrow(_passing, "pairs long").agg(F.sum("pairs")).first()[0] or 0
+            last = passing <= SPREAD * members or (before is not None and 4 * passing > 3 * before)
+            more = self.dealt(rows).mapInArrow(_across, "a long, b long").distinct() if last else self.led(rows, turn := turn + 1)
             more = common.written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-            pairs, links, before = pairs.unionByName(more), links.unionByName(self.verified(more)), spread
+            links = self.verified(more).union(comps.where("node <> component").select("node", "component"))
+            pairs, before, comps = pairs.unionByName(more), passing, common.written(common.components(links), "components")
             if last:
-                comps = common.written(common.components(links), "components")
                 break
         labelled = self.classes.join(comps.select(F.col("node").alias("k"), "component"), "k", "left").select("k", "doc_id", F.coalesce("component", "k").alias("c"))
         least = labelled.groupBy("c").agg(F.min("doc_id").alias("component_id"))

@@ -251,7 +251,7 @@ def near_copies(n, seed):
 def test_jaccard(spark, docs, monkeypatch, block, unit):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "UNIT_SHINGLES", unit)
-    monkeypatch.setattr(jaccard, "SPREAD", 8 if block > 8 else 0)
+    monkeypatch.setattr(jaccard, "SPREAD", 4 if block > 8 else 0)
     rows = rows_of(docs) + near_copies(60, 1) + [(3000 + i, f"same passage of seven words here w{i} " * 3) for i in range(20)]
     got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
