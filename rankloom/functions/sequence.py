@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The standard genetic code with bases in the order A, T, G, C (first base slowest).
@@ -16,13 +16,19 @@ def codons() -> dict[str, str]:
     return {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
 
 
-def _amino(triplet: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in codons().items() for x in pair])
-    return F.coalesce(F.get(F.array(F.try_element_at(table, triplet)), F.lit(0)), F.lit("X"))
+def _amino(triplets: Column, other_strand: bool) -> Column:
+    """Amino acids of triplets written in digits, by a table with one entry for each number of three digits; X for other letters."""
+    table = ["X"] * 334
+    for codon, amino in codons().items():
+        own = codon[::-1].translate(str.maketrans("ATGC", "TACG")) if other_strand else codon
+        table[int(own.translate(str.maketrans(BASES, "0123")))] = amino
+    listed = F.array(*[F.lit(x) for x in table])
+    return F.transform(triplets, lambda t: F.coalesce(F.get(listed, t.try_cast("int")), F.lit("X")))
 
 
-def _dna(seq: Column) -> Column:
-    return F.translate(F.upper(seq), "U", "T")
+def _digits(seq: Column) -> Column:
+    """Bases as digits in the order of BASES; what is no base becomes a letter."""
+    return F.translate(F.regexp_replace(F.translate(F.upper(seq), "U", "T"), "[^ACGT]", "N"), BASES, "0123")
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -32,17 +38,9 @@ def reverse_complement(seq: Column) -> Column:
 
 def translate_frame(seq: Column, frame: int) -> Column:
     """Protein of one reading frame: 1 to 3 forward from that base, -1 to -3 on the other strand by forward codon places modulo 3."""
-    s = _dna(seq)
-    n = F.length(s)
-    if frame > 0:
-        count = F.greatest(F.lit(0), F.floor((n - (frame - 1)) / 3)).cast("int")
-        starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * 3 + frame)).otherwise(F.array().cast("array<int>"))
-        return F.array_join(F.transform(starts, lambda p: _amino(F.substring(s, p, F.lit(3)))), "")
-    first = -frame - 1
-    count = F.greatest(F.lit(0), F.floor((n - 3 - first) / 3) + 1).cast("int")
-    starts = F.when(count > 0, F.transform(F.sequence(count - 1, F.lit(0), F.lit(-1)), lambda k: k * 3 + first + 1)).otherwise(F.array().cast("array<int>"))
-    turned = lambda p: F.translate(F.reverse(F.substring(s, p, F.lit(3))), "ACGT", "TGCA")
-    return F.array_join(F.transform(starts, lambda p: _amino(turned(p))), "")
+    triplets = F.regexp_extract_all(F.substring(_digits(seq), abs(frame), 1 << 30), F.lit("..."), F.lit(0))
+    amino = _amino(triplets, frame < 0)
+    return F.array_join(amino if frame > 0 else F.reverse(amino), "")
 
 
 def mask_outer_gaps(seq: Column) -> Column:
@@ -71,16 +69,26 @@ def _columns(a: Column, b: Column, start: Column, end: Column) -> Column:
     return F.when(n > 0, F.arrays_zip(cut(a).alias("a"), cut(b).alias("b"))).otherwise(F.array().cast("array<struct<a: string, b: string>>"))
 
 
-def _residue(c: Column) -> Column:
-    return F.when(c.rlike(f"^[{AMINO}]$"), c).otherwise("-")
+def matrix_table(scores: dict[str, int]) -> Column:
+    """Scores by pairs of letters ('AB', '*' for other characters) as an array over places in AMINO, 0 for the other characters."""
+    at = {c: k for k, c in enumerate("*" + AMINO)}
+    table = [0] * len(at) ** 2
+    for (x, y), score in scores.items():
+        if x in at and y in at:
+            table[len(at) * at[x] + at[y]] = score
+    return F.array(*[F.lit(x) for x in table])
+
+
+def read_matrix(rows: DataFrame) -> Column:
+    """The table of a substitution matrix read as rows (a, b, score); as many rows as pairs of letters."""
+    return matrix_table({r["a"] + r["b"]: r["score"] for r in rows.where((F.length("a") == 1) & (F.length("b") == 1)).collect()})
 
 
 def pair_score(a: Column, b: Column, matrix: Column) -> Column:
-    """Score of two characters by a matrix map('AB' -> score): 0 with a question mark or two gaps, '*' stands for other characters."""
-    x, y = _residue(a), _residue(b)
-    gap = (x == "-") | (y == "-")
-    key = F.when(gap, F.concat(F.when(x == "-", y).otherwise(x), F.lit("*"))).otherwise(F.concat(x, y))
-    return F.when((a == "?") | (b == "?") | ((x == "-") & (y == "-")), 0).otherwise(F.coalesce(F.try_element_at(matrix, key), F.lit(0)))
+    """Score of two characters by a table of matrix_table: 0 with a question mark or two gaps; other characters count as '*'."""
+    x, y = F.instr(F.lit(AMINO), a), F.instr(F.lit(AMINO), b)
+    key = F.when(x == 0, y * (len(AMINO) + 1)).otherwise(x * (len(AMINO) + 1) + y)
+    return F.when((a == "?") | (b == "?") | ((x == 0) & (y == 0)), 0).otherwise(F.get(matrix, key))
 
 
 def matrix_score(a: Column, b: Column, start: Column, end: Column, matrix: Column, least: int = 25) -> Column:

@@ -8,21 +8,21 @@ from rankloom.functions import sequence as Q
 from rankloom.plans.registry import query
 from rankloom.sources import tables as S
 
-# Sequences from texts: their letters, mapped onto bases or amino acids, at most 90 of them.
-DNA = "dna AS (SELECT doc_id, translate(substring(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 90), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM documents)"
+# Sequences from texts: all their letters, mapped onto bases.
+DNA = "dna AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in Q.codons().items()) + "}"
 
 
 def dna(spark, sf):
-    letters = F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 90)
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return S.table(spark, sf, "documents").select("doc_id", F.translate(letters, "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC").alias("s"))
 
 
 def _frame_sql(frame: int) -> str:
+    triplets = f"regexp_extract_all(substring(s, {abs(frame)}), '...')"
     if frame > 0:
-        return f"array_to_string([coalesce({CODONS}[substring(s, p, 3)], 'X') FOR p IN range({frame}, length(s) - 1, 3)], '')"
-    first = -frame - 1
-    return f"array_to_string(list_reverse([coalesce({CODONS}[translate(reverse(substring(s, p + 1, 3)), 'ACGT', 'TGCA')], 'X') FOR p IN range({first}, length(s) - 2, 3)]), '')"
+        return f"array_to_string([coalesce({CODONS}[t], 'X') FOR t IN {triplets}], '')"
+    return f"array_to_string(list_reverse([coalesce({CODONS}[translate(reverse(t), 'ACGT', 'TGCA')], 'X') FOR t IN {triplets}]), '')"
 
 
 @query("translate_frames", f"WITH {DNA} SELECT doc_id, " + ", ".join(f"{_frame_sql(f)} AS {'f' if f > 0 else 'r'}{abs(f)}" for f in (1, 2, 3, -1, -2, -3)) + " FROM dna")
@@ -68,26 +68,27 @@ def dot_to_gap(spark, sf):
 
 
 # A small matrix by rule: 4 on the diagonal, -1 off it, -4 with a gap.
-X, Y = "substring(a, p, 1)", "substring(b, p, 1)"
+X, Y = "t[1]", "t[2]"
+# Columns from the third on, as pairs of characters.
+COLUMNS = "z AS (SELECT doc_id, CASE WHEN least(length(a), length(b)) < 3 THEN [] ELSE list_zip(string_split(substring(a, 3), ''), string_split(substring(b, 3), ''), true) END AS z FROM al)"
 ACID = "'ACDEFGHIKLMNPQRSTVWY'"
 SCORE = f"CASE WHEN {X} = '?' OR {Y} = '?' THEN 0 WHEN NOT contains({ACID}, {X}) AND NOT contains({ACID}, {Y}) THEN 0 WHEN NOT contains({ACID}, {X}) OR NOT contains({ACID}, {Y}) THEN -4 WHEN {X} = {Y} THEN 4 ELSE -1 END"
 
 
 def rule_matrix():
-    pairs = [(a + b, 4 if a == b else -1) for a in Q.AMINO for b in Q.AMINO] + [(a + "*", -4) for a in Q.AMINO]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return Q.matrix_table({a + b: 4 if a == b else -1 for a in Q.AMINO for b in Q.AMINO} | {a + "*": -4 for a in Q.AMINO})
 
 
-@query("blosum_score", f"WITH {ROWS}, n AS (SELECT doc_id, a, b, least(length(a), length(b), 81) AS z FROM al) SELECT doc_id, CASE WHEN greatest(z - 2, 0) < 25 THEN 0 ELSE list_sum([{SCORE} FOR p IN range(3, z + 1)]) END::INT AS score FROM n")
+@query("blosum_score", f"WITH {ROWS}, {COLUMNS} SELECT doc_id, CASE WHEN len(z) < 25 THEN 0 ELSE list_sum([{SCORE} FOR t IN z]) END::INT AS score FROM z")
 def blosum_score(spark, sf):
-    return aligned(spark, sf).select("doc_id", Q.matrix_score(F.col("a"), F.col("b"), F.lit(2), F.lit(80), rule_matrix()).alias("score"))
+    return aligned(spark, sf).select("doc_id", Q.matrix_score(F.col("a"), F.col("b"), F.lit(2), F.lit(1 << 30), rule_matrix()).alias("score"))
 
 
-@query("alignment_stats", f"""WITH {ROWS}, n AS (SELECT doc_id, a, b, least(length(a), length(b), 81) AS z FROM al),
-c AS (SELECT doc_id, a, b, [p FOR p IN range(3, z + 1) IF NOT ({X} = '-' AND {Y} = '-')] AS ps FROM n)
-SELECT doc_id, len(ps)::INT AS length, len([p FOR p IN ps IF {SCORE} > 0])::INT AS positives, len([p FOR p IN ps IF {X} = {Y}])::INT AS identities, len([p FOR p IN ps IF {X} = '-' OR {Y} = '-'])::INT AS gaps FROM c""")
+@query("alignment_stats", f"""WITH {ROWS}, {COLUMNS},
+c AS (SELECT doc_id, [t FOR t IN z IF NOT ({X} = '-' AND {Y} = '-')] AS ps FROM z)
+SELECT doc_id, len(ps)::INT AS length, len([t FOR t IN ps IF {SCORE} > 0])::INT AS positives, len([t FOR t IN ps IF {X} = {Y}])::INT AS identities, len([t FOR t IN ps IF {X} = '-' OR {Y} = '-'])::INT AS gaps FROM c""")
 def alignment_stats(spark, sf):
-    stats = Q.alignment_stats(F.col("a"), F.col("b"), F.lit(2), F.lit(80), rule_matrix())
+    stats = Q.alignment_stats(F.col("a"), F.col("b"), F.lit(2), F.lit(1 << 30), rule_matrix())
     return aligned(spark, sf).select("doc_id", stats.alias("s")).select("doc_id", "s.length", "s.positives", "s.identities", "s.gaps")
 
 
@@ -95,9 +96,9 @@ def alignment_stats(spark, sf):
 DSCORE = f"CASE WHEN {X} = '-' AND {Y} = '-' THEN 0 WHEN {X} = '-' OR {Y} = '-' THEN -1 WHEN {X} = {Y} AND {X} <> 'N' THEN 1 ELSE -3 END"
 
 
-@query("dna_affine_score", f"WITH {ROWS}, n AS (SELECT doc_id, a, b, least(length(a), length(b), 81) AS z FROM al) SELECT doc_id, coalesce(list_sum([{DSCORE} FOR p IN range(3, z + 1)]), 0)::INT AS score FROM n")
+@query("dna_affine_score", f"WITH {ROWS}, {COLUMNS} SELECT doc_id, coalesce(list_sum([{DSCORE} FOR t IN z]), 0)::INT AS score FROM z")
 def dna_affine_score(spark, sf):
-    return aligned(spark, sf).select("doc_id", Q.dna_score(F.col("a"), F.col("b"), F.lit(2), F.lit(80)).alias("score"))
+    return aligned(spark, sf).select("doc_id", Q.dna_score(F.col("a"), F.col("b"), F.lit(2), F.lit(1 << 30)).alias("score"))
 
 
 M8 = "l_quantity::INT * 4 AS len, 60 + l_partkey % 40 AS idy, l_suppkey % 7 AS mm, l_linenumber % 3 AS go"
@@ -158,8 +159,8 @@ def split_by_family(spark, sf):
     return S.table(spark, sf, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gap_columns", f"""WITH {ROWS}, e AS (SELECT a, p FROM al, unnest(range(1, 101)) u(p)),
-g AS (SELECT p FROM e WHERE p <= length(a) GROUP BY p HAVING bool_and(substring(a, p, 1) = '-')) SELECT p::INT AS pos FROM g""")
+@query("gap_columns", f"""WITH {ROWS}, e AS (SELECT unnest(string_split(a, '')) AS c, generate_subscripts(string_split(a, ''), 1) AS p FROM al WHERE a <> ''),
+g AS (SELECT p FROM e GROUP BY p HAVING bool_and(c = '-')) SELECT p::INT AS pos FROM g""")
 def gap_columns(spark, sf):
     """Columns that are a gap in every row: one bit a column and row, folded before the shuffle."""
     rows = aligned(spark, sf).select(F.posexplode(F.split("a", "")).alias("pos", "c"))

@@ -49,18 +49,17 @@ def join_subject_taxid(spark, sf):
     return rows.join(known, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("s_nationkey", F.lit(0)).alias("taxid"))
 
 
-MEMBERS = "m AS (SELECT item_id, item_id % 8 AS family, translate(substring(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 40), 'BJOUXZ', 'ACDEFG') AS s FROM benchmark)"
-PAIR = "substring(a.s, p, 1)", "substring(b.s, p, 1)"
+MEMBERS = "m AS (SELECT item_id, item_id % 8 AS family, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'ACDEFG') AS s FROM benchmark)"
 
 
-@query("join_egt_family", f"""WITH {MEMBERS}, sc AS (SELECT a.item_id AS egt, b.item_id AS member, CASE WHEN least(length(a.s), length(b.s)) < 25 THEN 0 ELSE list_sum([CASE WHEN {PAIR[0]} = {PAIR[1]} THEN 4 ELSE -1 END FOR p IN range(1, least(length(a.s), length(b.s)) + 1)]) END AS score
+@query("join_egt_family", f"""WITH {MEMBERS}, sc AS (SELECT a.item_id AS egt, b.item_id AS member, CASE WHEN least(length(a.s), length(b.s)) < 25 THEN 0 ELSE list_sum([CASE WHEN t[1] = t[2] THEN 4 ELSE -1 END FOR t IN list_zip(string_split(a.s, ''), string_split(b.s, ''), true)]) END AS score
  FROM m a JOIN m b ON a.family = b.family AND a.item_id <> b.item_id) SELECT egt, max_by(member, (score, -member)) AS member, max(score)::INT AS score FROM sc GROUP BY egt""")
 def join_egt_family(spark, sf):
     """The best member of its family for each translation: an equality join by family, folded before any shuffle of pairs."""
-    s = F.translate(F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 40), "BJOUXZ", "ACDEFG")
+    s = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG")
     m = S.table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 8).alias("family"), s.alias("s"))
     other = m.select(F.col("item_id").alias("member"), "family", F.col("s").alias("t"))
     pairs = m.join(other, "family").where("item_id <> member")
-    scored = pairs.withColumn("score", Q.matrix_score(F.col("s"), F.col("t"), F.lit(0), F.lit(99), rule_matrix()))
+    scored = pairs.withColumn("score", Q.matrix_score(F.col("s"), F.col("t"), F.lit(0), F.lit(1 << 30), rule_matrix()))
     best = F.max(F.struct("score", (-F.col("member")).alias("k"))).alias("best")
     return scored.groupBy(F.col("item_id").alias("egt")).agg(best).select("egt", (-F.col("best.k")).alias("member"), F.col("best.score").alias("score"))

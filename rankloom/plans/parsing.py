@@ -51,15 +51,15 @@ def scan_name_variants(spark, sf):
     return P.name_variants(name_rows(spark, sf).withColumn("name", F.substring("name", 1, 14)))
 
 
-# A record of three lines for each document: header, and its first letters wrapped.
+# A record for each document: header, and all its letters in lines of 60.
 def fasta_lines(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]", "").alias("s"))
-    parts = F.array(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" "), "lang"), F.lit(""), F.substring("s", 1, 20), F.lit("# note"), F.substring("s", 21, 60))
+    d = S.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", "[^A-Za-z]", "").alias("s"))
+    parts = F.concat(F.array(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" "), "lang"), F.lit(""), F.lit("# note")), F.regexp_extract_all("s", F.lit(".{1,60}"), F.lit(0)))
     rows = d.select(F.concat(F.lit("f"), (F.col("doc_id") % 16).cast("string")).alias("file"), "doc_id", F.posexplode(parts).alias("k", "value"))
-    return rows.select("file", (F.col("doc_id") * 8 + F.col("k")).alias("ord"), "value")
+    return rows.select("file", (F.col("doc_id") * (1 << 20) + F.col("k")).alias("ord"), "value")
 
 
-FASTA = "SELECT 'd' || doc_id AS id, lang AS description, regexp_replace(substring(text, 1, 60), '[^A-Za-z]', '', 'g') AS seq FROM documents"
+FASTA = "SELECT 'd' || doc_id AS id, lang AS description, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM documents"
 
 
 @query("scan_fasta", FASTA)
@@ -179,9 +179,9 @@ def build_pfam_taxid(spark, sf):
     return rows.groupBy("id").agg(F.min("taxid").alias("taxid"), (F.countDistinct("taxid") > 1).alias("conflict"))
 
 
-@query("scan_stockholm", "SELECT 's' || doc_id || '/1-9' AS row_id, upper(regexp_replace(substring(text, 1, 20), '[^A-Za-z]', '-', 'g')) || 'AC' AS aligned FROM documents")
+@query("scan_stockholm", "SELECT 's' || doc_id || '/1-9' AS row_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) || 'AC' AS aligned FROM documents")
 def scan_stockholm(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]", ".").alias("s"))
+    d = S.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", ".").alias("s"))
     name = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.lit("/1-9 "))
     parts = F.array(F.lit("# STOCKHOLM 1.0"), F.concat(name, "s"), F.concat(name, F.lit("ac")), F.lit("//"), F.concat(name, F.lit("zz")))
     rows = d.select(F.col("doc_id").alias("file"), F.posexplode(parts).alias("ord", "value"))

@@ -52,18 +52,26 @@ def name_variants(rows: DataFrame) -> DataFrame:
     return own.select(F.when(F.col("n") == 1, F.lower("name")).otherwise(F.concat(F.lower("name"), F.lit("|"), F.col("n").cast("string"))).alias("name"), "taxid")
 
 
+#: Lines of a block.
+LINES = 1 << 16
+
+
 def fasta(lines: DataFrame, file: str = "file") -> DataFrame:
     """file, id, description, seq: headers start records, wrapped lines are joined, blank and # lines are skipped.
 
-    Lines of one file are ordered by ord; files are worked on apart, so many files spread over many tasks.
+    Lines of one file are ordered by ord. A line belongs to the last header before it, which is looked for within
+    blocks of neighbouring lines and, before the first header of a block, in the blocks before.
     """
     clean = F.rtrim(F.regexp_replace("value", "\r", ""))
     rows = lines.select(file, "ord", clean.alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    record = F.sum(F.col("value").startswith(">").cast("int")).over(Window.partitionBy(file).orderBy("ord"))
-    rows = rows.withColumn("record", record)
+    rows = rows.withColumn("_block", F.floor(F.col("ord") / LINES)).withColumn("_head", F.when(F.col("value").startswith(">"), F.col("ord")))
+    before = Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(file, "_block").agg(F.max("_head").alias("_last")).select(file, "_block", F.max("_last").over(before).alias("_carried"))
+    own = F.max("_head").over(Window.partitionBy(file, "_block").orderBy("ord"))
+    rows = rows.withColumn("_own", own).join(carried, [file, "_block"]).withColumn("record", F.coalesce("_own", "_carried"))
     parts = F.array_sort(F.collect_list(F.when(~F.col("value").startswith(">"), F.struct("ord", "value"))))
     out = rows.groupBy(file, "record").agg(F.max(F.when(F.col("value").startswith(">"), F.substring("value", 2, 1 << 30))).alias("header"), parts.alias("parts"))
-    return out.where("record > 0").select(file, F.regexp_extract("header", "^[^ \t]*", 0).alias("id"), F.regexp_extract("header", "^[^ \t]*[ \t]*(.*)$", 1).alias("description"), F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("seq"))
+    return out.where("record is not null").select(file, F.regexp_extract("header", "^[^ \t]*", 0).alias("id"), F.regexp_extract("header", "^[^ \t]*[ \t]*(.*)$", 1).alias("description"), F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("seq"))
 
 
 def fasta_by_id(records: DataFrame) -> DataFrame:
@@ -232,8 +240,8 @@ def blast_report(records: DataFrame) -> DataFrame:
 
 def stockholm(lines: DataFrame, file: str = "file") -> DataFrame:
     """file, row_id, aligned: blocks joined in order, upper case, dots as gaps; # lines and what follows // are left out."""
-    stop = F.max((F.col("value") == "//").cast("int")).over(Window.partitionBy(file).orderBy("ord"))
-    rows = lines.withColumn("_stop", stop).where((F.col("_stop") == 0) & ~F.col("value").startswith("#") & (F.trim("value") != ""))
+    stop = lines.where("value = '//'").groupBy(file).agg(F.min("ord").alias("_stop"))
+    rows = lines.join(stop, file, "left").where((F.col("_stop").isNull() | (F.col("ord") < F.col("_stop"))) & ~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.split(F.trim("value"), r"\s+")
     listed = F.array_sort(F.collect_list(F.struct("ord", f[1].alias("part"))))
     return rows.groupBy(file, f[0].alias("row_id")).agg(F.translate(F.upper(F.array_join(F.transform(listed, lambda s: s["part"]), "")), ".", "-").alias("aligned"))
