@@ -25,6 +25,7 @@ columns are ignored; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,9 +159,9 @@ def _meta(seed: int):
 
 
 def chunks(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """Numbers and bytes of the chunks that hold a count."""
+    """Numbers and compressed bytes of the chunks that hold a count: a small task's are mostly zeros."""
     whole = counts.reshape(-1, CHUNK)
-    return [(int(c), whole[c].astype("<i8").tobytes()) for c in np.flatnonzero(whole.any(axis=1))]
+    return [(int(c), zlib.compress(whole[c].astype("<i8").tobytes(), 1)) for c in np.flatnonzero(whole.any(axis=1))]
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
     for batch in batches:
         for c, own in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            counts[c] += np.frombuffer(own.as_buffer(), "<i8")
+            counts[c] += np.frombuffer(zlib.decompress(own.as_buffer()), "<i8")
     rows = chunks(counts.reshape(-1))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["chunk", "counts"])
@@ -385,7 +386,7 @@ class Join:
         """(a, b) distinct star pairs, and (h, k, np, salted) rows of buckets with more than two members."""
         cells = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
         for r in self.counts.repartition("chunk").mapInArrow(_added, "chunk long, counts binary").collect():  # one row for each of CELLS / CHUNK chunks
-            cells[r["chunk"]] += np.frombuffer(r["counts"], "<i8")
+            cells[r["chunk"]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
         shared = self.spark.sparkContext.broadcast(cells.tobytes())
         posted = self.docs.select("text").mapInArrow(_postings(self.seed, shared), "h long, salt long, np long, k long")
         schema = "kind int, a long, b long, np long, salted boolean"
