@@ -68,8 +68,15 @@ def core(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
 
 
 def assign(rows: DataFrame, match_type: str = "BLASTX") -> DataFrame:
-    """Adds taxid and property: the best hit's lineage (path) cut at the rank; a null self or query score is not possible."""
+    """Adds taxid and property: the best hit's lineage (path) cut at the rank; a null self or query score is not possible.
+
+    With a column `support`, the rank that the best hit's alignment supports (0: none), a result without a worse
+    hit is cut anew at that rank, and gets taxid 0 where nothing is left.
+    """
     cut = F.when(F.col("rank_id") > 0, ranks.reduce_by_rank(F.col("path"), F.col("rank_id"))).otherwise(-1)
+    if "support" in rows.columns:
+        again = F.greatest(ranks.reduce_by_rank(F.col("path"), F.col("support")), F.lit(0))
+        cut = F.when((cut > 0) & F.col("no_worse"), again).otherwise(cut)
     possible = F.col("self_score").isNotNull() & F.col("query_score").isNotNull()
     out = rows.withColumn("_cut", F.when(possible, cut))
     prop = F.when(~possible, "not_possible").when(F.col("_cut") < 0, "no_valid_rank").otherwise(f"{PREFIX}_{match_type}")
@@ -79,15 +86,18 @@ def assign(rows: DataFrame, match_type: str = "BLASTX") -> DataFrame:
 def reciprocal(rows: DataFrame) -> DataFrame:
     """query, self_score, query_score, best path and others (score, rank) from hits with path: the best hit plays the self.
 
-    query_score is given by the column `query_score` of the best hit; other hits take the rank of their common
-    ancestor with it. The best hit is broadcast over its query's rows by a window, not joined.
+    query_score is given by the column `query_score` of the best hit, `support` too if there is one; other hits
+    take the rank of their common ancestor with it. The best hit is broadcast over its query's rows by a window,
+    not joined.
     """
-    best = F.min(F.struct(F.lit(0) - F.col("score"), "ord", "taxid", "path", "query_score")).over(H.whole())
+    more = [c for c in ("support",) if c in rows.columns]
+    best = F.min(F.struct(F.lit(0) - F.col("score"), "ord", "taxid", "path", "query_score", *more)).over(H.whole())
     out = rows.withColumn("_best", best)
     shared = F.filter("path", lambda s: F.array_contains(ranks.taxids(F.col("_best.path")), s["taxid"]))
     return out.select(
         "query", "ord", "score", F.col("_best.ord").alias("best_ord"), F.col("_best.taxid").alias("best_taxid"), F.col("_best.path").alias("best_path"),
         F.col("_best.query_score").alias("query_score"), ranks.lowest_rank(shared).alias("rank"),
+        *[F.col(f"_best.{c}").alias(c) for c in more],
     )
 
 
@@ -97,29 +107,49 @@ def classify(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
     r = ranks.simple_rank(F.col("rank"))
     pairs = pairs.withColumn("_r", F.when(F.col("ord") != F.col("best_ord"), r))
     aggs = [F.max(F.when(F.col("ord") == F.col("best_ord"), F.col("score"))).alias("self_score"), F.first("query_score").alias("query_score"), F.first("best_path").alias("path"), F.count(F.lit(1)).alias("n_hits")]
+    aggs += [F.first(c).alias(c) for c in ("support",) if c in pairs.columns]
     for k in range(1, 8):
         own = F.when(F.col("_r") == k, F.col("score").cast("double"))
         aggs += [F.max(own).alias(f"b{k}"), F.min(own).alias(f"w{k}")]
     return assign(core(pairs.groupBy("query").agg(*aggs), multiplier))
 
 
-def adaptive(rows: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.6, 1.0)) -> DataFrame:
-    """query, share, taxid, property, no_worse: the first share of the best score whose result has a worse hit, or whose hits are exhausted; else the last."""
+def with_support(rows: DataFrame) -> DataFrame:
+    """Adds support: the rank that a hit's alignment (q_len, identity, gaps, positives, identities) supports, 0 if none."""
+    rank = ranks.least_rank_for(F.col("q_len"), F.col("identity"), F.col("gaps"), F.col("positives") - F.col("identities"))
+    return rows.withColumn("support", F.coalesce(rank, F.lit(0)))
+
+
+def adaptive(rows: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.6, 1.0), stop_exhausted: bool = True) -> DataFrame:
+    """query, share, taxid, property, no_worse: the first share of the best score whose result has a worse hit, or whose hits are exhausted; else the last.
+
+    Tabular input does not look whether hits are exhausted (stop_exhausted false).
+    """
     wide = rows.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
     wide = wide.withColumn("plain_query", F.col("query")).withColumn("query", F.struct("plain_query", "share"))
     kept = H.filter_top_percent(wide, F.col("share"))
     flags = kept.groupBy("query").agg(F.first("exhausted").alias("exhausted"))
     results = classify(kept).join(flags, "query")
-    final = ~F.col("no_worse") | F.col("exhausted") | (F.col("query.share") == shares[-1])
+    final = ~F.col("no_worse") | (F.col("exhausted") & F.lit(stop_exhausted)) | (F.col("query.share") == shares[-1])
     first = F.min(F.struct(F.col("query.share").alias("share"), "taxid", "property", "no_worse"))
     return results.where(final).groupBy(F.col("query.plain_query").alias("query")).agg(first.alias("r")).select("query", "r.*")
 
 
 def computed(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """query, property, taxid of every query: without hits not possible, with one hit its own taxon, else by intervals."""
+    """query, property, taxid of every query: without usable hits not possible, with one its own taxon, else by intervals.
+
+    Usable are hits before the first with `tail` and without `masked`, where there are such columns. With `support`
+    the single hit's taxon is cut at that rank.
+    """
+    if "tail" in rows.columns:
+        rows = H.take_while(rows, F.col("tail"))
+    if "masked" in rows.columns:
+        rows = rows.where(~F.col("masked"))
     results = classify(rows)
     single = F.col("n_hits") == 1
     own = F.get("path", F.size("path") - 1)["taxid"]
+    if "support" in rows.columns:
+        own = F.greatest(ranks.reduce_by_rank(F.col("path"), F.col("support")), F.lit(0))
     found = results.select("query", F.when(single, "single_hit").otherwise(F.col("property")).alias("property"), F.when(single, own).otherwise(F.col("taxid")).alias("taxid"))
     out = queries.join(found, "query", "left")
     return out.select("query", F.coalesce("property", F.lit("not_possible")).alias("property"), F.coalesce("taxid", F.lit(0)).alias("taxid"))

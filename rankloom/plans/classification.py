@@ -10,7 +10,7 @@ from rankloom.operators import hits as H
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
-from rankloom.plans.taxonomy import LCA, SIMPLE, hits_with_path, tree
+from rankloom.plans.taxonomy import ALN, LCA, RANK_FOR, SIMPLE, aligned, hits_with_path
 from rankloom.sources import tables as S
 
 # The best hit plays the query itself; its own score times 70 to 100 per cent is the query's score.
@@ -65,14 +65,21 @@ def core_classify(spark, sf):
     return C.classify(scored(spark, sf)).select("query", "slot", "rank_id", "no_worse")
 
 
-COMPUTED = """SELECT o.o_orderkey AS query, CASE WHEN n IS NULL THEN 'not_possible' WHEN n = 1 THEN 'single_hit' WHEN cut < 0 THEN 'no_valid_rank' ELSE 'interval_BLASTX' END AS property,
- CASE WHEN n IS NULL THEN 0 WHEN n = 1 THEN bids[-1] WHEN cut < 0 THEN 0 ELSE cut END AS taxid FROM orders o LEFT JOIN res ON o.o_orderkey = query"""
+# Hits up to the first of a poor e-value, without short ones; each with the rank that its alignment supports.
+USABLE = f""", alw AS (SELECT query, ord, {ALN} FROM ph), sup AS (SELECT query, ord, coalesce({RANK_FOR}, 0) AS support FROM alw),
+use AS (SELECT * FROM (SELECT ph.*, support, max(CASE WHEN ev > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY ph.query ORDER BY ph.ord) AS f FROM ph JOIN sup ON ph.query = sup.query AND ph.ord = sup.ord) WHERE f = 0 AND aln_len >= 10)"""
+COMPUTED = """, bs AS (SELECT query, max_by(support, (score, -ord)) AS support FROM use GROUP BY query),
+red AS (SELECT res.*, coalesce(bids[list_position(brks, list_max(list_filter(brks, lambda z: z > 0 AND z <= support)))], 0) AS again FROM res JOIN bs USING (query))
+SELECT o.o_orderkey AS query, CASE WHEN n IS NULL THEN 'not_possible' WHEN n = 1 THEN 'single_hit' WHEN cut < 0 THEN 'no_valid_rank' ELSE 'interval_BLASTX' END AS property,
+ CASE WHEN n IS NULL THEN 0 WHEN n = 1 THEN again WHEN cut < 0 THEN 0 WHEN no_worse THEN again ELSE cut END AS taxid FROM orders o LEFT JOIN red ON o.o_orderkey = query"""
 
 
-@query("compute_classification", O.sql(COMPUTED, *O.TREE_HITS, PAIRS.format(src="ph"), SLOTS.replace("{k}", "")))
+@query("compute_classification", O.sql(COMPUTED, *O.TREE_HITS, USABLE, PAIRS.format(src="use"), SLOTS.replace("{k}", "")))
 def compute_classification(spark, sf):
     queries = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"))
-    return C.computed(queries, scored(spark, sf))
+    rows = C.with_support(aligned(spark, sf)).withColumns({"tail": F.col("ev") > 8, "masked": F.col("aln_len") < 10})
+    usable = H.take_while(rows, F.col("tail")).where("not masked")
+    return C.computed(queries, with_query_score(usable))
 
 
 @query("adaptive_top_percent", O.sql("""SELECT query, share, taxid, property FROM (SELECT query.q AS query, query.p AS share, CASE WHEN cut < 0 THEN 0 ELSE cut END AS taxid, CASE WHEN cut < 0 THEN 'no_valid_rank' ELSE 'interval_BLASTX' END AS property,
