@@ -33,12 +33,11 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
     df = df.withColumn("n", F.size("words"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(common.BLANKS)) != "")
     df = df.withColumn("lines", lines)
-    # Hash of each 3-word window in the high bits, its place in the low ones: one sort brings equal windows together.
-    df = df.withColumn("low", F.expr("cast(ceil(log2(n + 1)) as int)"))
-    df = df.withColumn("windows", F.expr("if(n < 3, cast(array() as array<bigint>), sort_array(transform(slice(words, 1, n - 2), (w, i) -> shiftleft(xxhash64(w, get(words, i + 1), get(words, i + 2)), low) | i)))"))
-    same = "coalesce(shiftright(x, low) = shiftright(get(windows, {}), low), false)"
+    # Hash and place of each 3-word window: one sort brings equal windows together.
+    df = df.withColumn("windows", F.expr("if(n < 3, cast(array() as array<struct<h: bigint, p: int>>), sort_array(transform(slice(words, 1, n - 2), (w, i) -> struct(xxhash64(w, get(words, i + 1), get(words, i + 2)) as h, i as p))))"))
+    same = "coalesce(x.h = get(windows, {}).h, false)"
     df = df.withColumn("found", F.expr(f"filter(windows, (x, i) -> {same.format('i - 1')} or {same.format('i + 1')})"))
-    df = df.withColumn("places", F.expr("sort_array(transform(found, x -> x & (shiftleft(1L, low) - 1)))"))
+    df = df.withColumn("places", F.expr("sort_array(transform(found, x -> cast(x.p as bigint)))"))
     covered = "if(size(places) = 0, 0L, aggregate(transform(places, (p, i) -> least(3L, coalesce(get(places, i + 1) - p, 3L))), 0L, (a, b) -> a + b))"
     return df.select(
         *carry,

@@ -1,6 +1,6 @@
 """Shards cut from a Hilbert curve over document metadata.
 
-Source, language, size and doc_id are each quantised to 2**BITS levels at their own quantiles, the levels
+Source and language are ranked among their distinct values. These ranks, size and doc_id are each quantised to 2**BITS levels at their own quantiles, the levels
 are interleaved to the place on a Hilbert curve, and the curve is cut into shards of equal row counts.
 Shards are then compact boxes in all four dimensions, so minimum and maximum of any of them prune files.
 
@@ -20,11 +20,18 @@ BITS = 6
 
 
 def text_key(c: Column) -> Column:
-    """The first seven bytes of a string as a long that sorts as the string does."""
+    """The first seven bytes of a string as a long that sorts as these bytes do."""
     head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
     return F.conv(head, 16, 10).cast("long")
 
 
+def with_rank(rows: DataFrame, c: str) -> DataFrame:
+    """Adds k_<c>, the number of lesser distinct values of the string column c (null: null)."""
+    values = common.written(rows.where(F.col(c).isNotNull()).groupBy(c).agg(text_key(F.col(c)).alias("key")), "values")
+    ranked = common.running_total(values, F.col("key"), [F.col(c)], {f"k_{c}": F.lit(1).cast("long")}).select(c, f"k_{c}")
+    return rows.join(common.small_enough(common.written(ranked, "ranks")), c, "left")
+
+
 def hilbert(df: DataFrame, levels: list[Column], out: str, bits: int = BITS) -> DataFrame:
     """Adds the place on the Hilbert curve of a point with `bits` bits in each dimension (Skilling's transposition).
 
@@ -60,20 +67,19 @@ def hilbert(df: DataFrame, levels: list[Column], out: str, bits: int = BITS) ->
 def shard(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataFrame:
     """The rows of docs (doc_id, text, source, lang) with size, text_crc32, place (on the curve), shard and slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-    )
-    keys = {"source": text_key(F.col("source")), "lang": text_key(F.col("lang")), "size": F.col("size"), "doc_id": F.col("doc_id").cast("long")}
-    rows = rows.select("doc_id", "size", "text_crc32", *[k.alias(f"k_{name}") for name, k in keys.items()])
-    rows = common.written(rows, "metadata")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = with_rank(with_rank(common.written(rows, "metadata"), "source"), "lang")
+    keys = {"source": F.col("k_source"), "lang": F.col("k_lang"), "size": F.col("size"), "doc_id": F.col("doc_id").cast("long")}
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"k_{name}", cuts, 10_000).alias(name) for name in keys]).first()
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(k, cuts, 10_000).alias(name) for name, k in keys.items()]).first()
     n = found["n"]
-    levels = [common.bucket_of(F.col(f"k_{name}"), sorted(set(found[name] or []))) for name in keys]
-    placed = hilbert(rows, levels, "place", bits)
+    # Written first: levels that the optimiser took for constants would be folded through every turn of the curve.
+    levels = {f"l_{name}": common.bucket_of(k, sorted(set(found[name] or []))) for name, k in keys.items()}
+    rows = common.written(rows.select("doc_id", "size", "text_crc32", *[c.alias(name) for name, c in levels.items()]), "levels")
+    placed = hilbert(rows, [F.col(name) for name in levels], "place", bits)
     # doc_id in the low bits of the key, so that rows of one place fall into many runs.
     fine = sorted(set(found["doc_id"] or []))
-    key = F.shiftleft("place", bits + 1) + common.bucket_of(F.col("k_doc_id"), fine)
+    key = F.shiftleft("place", bits + 1) + common.bucket_of(F.col("doc_id").cast("long"), fine)
     placed = common.written(placed.select("doc_id", "size", "text_crc32", "place", key.alias("key")), "places")
     ranked = common.running_total(placed, F.col("key"), [F.col("doc_id"), F.col("text_crc32")], {"rank": F.lit(1).cast("long")}, buckets=common.bucket_count(n))
     # Shard s holds the ranks from floor(s * n / shards) on: counts differ by one at most.

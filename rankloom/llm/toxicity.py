@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,6 @@ STRENGTH = 4.0
 DRIFT = 1.5
 #: A token is kept if its score differs from that of its prior by this much, and at least so many documents hold it.
 DIFFERENT, LEAST_DOCS = 0.7, 3
-MODEL_TOKENS = 400_000
 LIMIT = 0.7
 #: A toxic training document counts so often in the curve: missing one costs more than rejecting a clean one.
 TOXIC_WEIGHT = 2.0
@@ -104,16 +103,23 @@ class Scanner:
         return np.array(found, dtype=np.float64)
 
     def statistic(self, text: str | None) -> float:
-        """Calibrated sum over significant segments: their normalised scores, the first counted in full."""
+        """Evidence of all segments: minus the log of the chance that r of them sum up so high in clean text, for the r that makes it least.
+
+        For normalised scores x the sum T of the r best has the tail exp(-T) T**(r - 1) / (r! (r - 1)!) (Karlin and
+        Altschul 1993), which holds from T = r (r + 1) on; r = 1 is the best segment alone.
+        """
         values = self.values(text)
-        tops = sorted((s for _, _, s in segments(values)), reverse=True)
         m = self.model
         base = -(m.log_k + log(max(len(values), 1)))
-        if not tops:
+        x = m.lam * np.sort([s for _, _, s in segments(values)])[::-1] + base
+        if not len(x):
             return base
-        first = m.lam * tops[0] + base
-        more = sum(max(0.0, m.lam * s + base) for s in tops[1:10])
-        return first + 0.5 * more
+        best, total = float(x[0]), 0.0
+        for r, own in enumerate(x[x > 0].tolist(), 1):
+            total += own
+            if r > 1 and total >= r * (r + 1):
+                best = max(best, total - (r - 1) * log(total) + lgamma(r + 1) + lgamma(r))
+        return best
 
     def score(self, text: str | None) -> float:
         x = self.statistic(text)
@@ -182,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
     share = (F.col("toxic") + STRENGTH * root) / (F.col("clean") + F.col("toxic") + STRENGTH)
     odds = F.log(share / (1 - share)) - log(root / (1 - root))
     telling = counted.where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (F.abs(odds) >= DIFFERENT / 2))
-    rows = telling.orderBy(F.desc(F.abs(odds) * (F.col("clean") + F.col("toxic"))), "token").limit(MODEL_TOKENS).toPandas()
+    rows = telling.toPandas()
     counts = {t: (int(c), int(x)) for t, c, x in zip(rows["token"], rows["clean"], rows["toxic"])}
     model = Model(_chain(counts, root), -DRIFT, 1.0, 0.0, ([0.0], [root]))
     return calibrate(model, sample)
