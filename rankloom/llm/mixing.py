@@ -11,7 +11,8 @@ blocks, and so on: a reduction tree of depth log(documents) / log(FAN). Only SQL
 chance comes from hashes of doc_id and a seed, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source, last in order; documents of size 0 give no
-words; an empty table gives no rows; repeated rows are rounded each for itself; other columns are ignored.
+words; an empty table gives no rows; of rows alike in doc_id and size some get one more copy, the others none;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from . import common
 
 FAN = 64
 MOST = 3
-ITEM = "struct<doc_id: bigint, size: bigint, base: int, p: double>"
-DONE = "struct<doc_id: bigint, size: bigint, base: int, up: int>"
+#: A group of m rows alike: base copies of each, one more of `whole` of them, and of a further one with probability p.
+ITEM = "struct<doc_id: bigint, size: bigint, m: bigint, base: int, whole: bigint, p: double>"
+DONE = "struct<doc_id: bigint, size: bigint, m: bigint, base: int, whole: bigint, up: int>"
+FIELDS = ("doc_id", "size", "m", "base", "whole")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -59,8 +62,9 @@ def _fold(seed: int, level: int) -> str:
     up_a = "least(s.res.size * (1 - s.res.p), x.size * x.p)"
     up_b = "least(s.res.size * s.res.p, x.size * (1 - x.p))"
     chance = f"((xxhash64(s.res.doc_id, x.doc_id, {seed}, {level}) & 9007199254740991) / 9007199254740992D)"
-    done = lambda who, up: f"concat(s.out, array(named_struct('doc_id', {who}.doc_id, 'size', {who}.size, 'base', {who}.base, 'up', {up})))"
-    with_p = lambda who, p: f"named_struct('doc_id', {who}.doc_id, 'size', {who}.size, 'base', {who}.base, 'p', least(1D, greatest(0D, {p})))"
+    fields = lambda who: ", ".join(f"'{c}', {who}.{c}" for c in FIELDS)
+    done = lambda who, up: f"concat(s.out, array(named_struct({fields(who)}, 'up', {up})))"
+    with_p = lambda who, p: f"named_struct({fields(who)}, 'p', least(1D, greatest(0D, {p})))"
     step = lambda res, out: f"named_struct('res', {res}, 'out', {out})"
     a = f"if(s.res.size * (1 - s.res.p) <= x.size * x.p, {step(with_p(x, 'x.p - s.res.size * (1 - s.res.p) / x.size'), done(r, 1))}, {step(with_p(r, 's.res.p + x.size * x.p / s.res.size'), done(x, 0))})"
     b = f"if(s.res.size * s.res.p <= x.size * (1 - x.p), {step(with_p(x, 'x.p + s.res.size * s.res.p / x.size'), done(r, 0))}, {step(with_p(r, 's.res.p - x.size * (1 - x.p) / s.res.size'), done(x, 1))})"
@@ -72,11 +76,14 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     rows = common.written(sizes(docs), "sizes")
     per = common.written(targets(rows), "targets")
     rates = per.select(F.col("source").alias("_source"), "n", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    rated = rows.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    rated = rated.withColumn("base", F.least(F.floor("rate"), F.lit(MOST)).cast("int")).withColumn("p", F.least(F.lit(1.0), F.col("rate") - F.col("base")))
+    # Rows alike in doc_id and size are one item, counted before the shuffle: however many, they take no room.
+    alike = rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("m"))
+    rated = alike.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    rated = rated.withColumn("base", F.least(F.floor("rate"), F.lit(MOST)).cast("int")).withColumn("more", F.col("m") * F.least(F.lit(1.0), F.col("rate") - F.col("base")))
+    rated = rated.withColumn("whole", F.floor("more")).withColumn("p", F.col("more") - F.col("whole"))
     certain = (F.col("p") <= 0) | (F.col("size") <= 0)
-    results = [rated.where(certain).select("source", "doc_id", "size", "base", F.lit(0).alias("up"))]
-    item = F.struct("doc_id", "size", "base", "p").alias("item")
+    results = [rated.where(certain).select("source", *FIELDS, F.lit(0).alias("up"))]
+    item = F.struct(*FIELDS, "p").alias("item")
     open_rows = rated.where(~certain).select("source", F.expr(f"cast(ceil(n / {FAN}) as bigint)").alias("blocks"), item)
     level = 0
     while True:
@@ -88,7 +95,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
         if level == 0:
             reserve = folded.where("block = 0").select("source", F.col("folded.out").alias("held"))
         settled = folded.where("block <> 0") if level == 0 else folded
-        results.append(settled.select("source", F.explode("folded.out").alias("d")).select("source", "d.doc_id", "d.size", "d.base", "d.up"))
+        results.append(settled.select("source", F.explode("folded.out").alias("d")).select("source", "d.*"))
         residual = folded.where("folded.res is not null").select("source", "blocks", F.col("folded.res").alias("item"))
         if (residual.agg(F.max("blocks")).first()[0] or 1) <= 1:
             break
@@ -103,13 +110,14 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     flip = "x.up = if(over > 0, 1, 0) and x.size <= s.left"
     ended = ended.withColumn("held", F.expr(f"""aggregate(held, named_struct('left', abs(over), 'out', cast(array() as array<{DONE}>)), (s, x) -> named_struct(
         'left', if({flip}, s.left - x.size, s.left),
-        'out', concat(s.out, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'up', if({flip}, 1 - x.up, x.up)))))).out"""))
-    results.append(ended.select("source", F.explode("held").alias("d")).select("source", "d.doc_id", "d.size", "d.base", "d.up"))
-    results.append(ended.where("item is not null").select("source", "item.doc_id", "item.size", "item.base", F.col("last").alias("up")))
+        'out', concat(s.out, array(named_struct({', '.join(f"'{c}', x.{c}" for c in FIELDS)}, 'up', if({flip}, 1 - x.up, x.up)))))).out"""))
+    results.append(ended.select("source", F.explode("held").alias("d")).select("source", "d.*"))
+    results.append(ended.where("item is not null").select("source", *[f"item.{c}" for c in FIELDS], F.col("last").alias("up")))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    out = out.withColumn("copies", F.col("base") + F.col("up"))
+    out = out.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    out = out.withColumn("copies", F.col("base") + (F.col("_place") <= F.col("whole") + F.col("up")).cast("int"))
     shared = per.select(F.col("source").alias("_source"), "source_size", "target")
     return out.join(shared, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -122,7 +130,7 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("_k").alias("_n"), "copies")
     # All columns go along as one struct, so that none can clash.
     columns = docs.columns
-    row = docs.select(F.struct(*columns).alias("row"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     size = F.when(F.btrim(F.coalesce(F.col("row.text"), F.lit("")), F.lit(common.BLANKS)) == "", 0).otherwise(F.size(F.split(F.btrim("row.text", F.lit(common.BLANKS)), f"[{common.BLANKS}]+"))).cast("long")
     row = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size.alias("size"))
     row = row.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row.text"))))

@@ -146,7 +146,7 @@ def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Votes go along with their rows, so no join is needed; only the counts of patterns take a pass of their own.
     """
-    row = docs.select(F.struct(*docs.columns).alias("row")).withColumn("text", F.col("row.text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text", F.col("row.text"))
     df = features(row, ("row",)).withColumn("pattern", pattern_of()).withColumn("failed", base_failed()).select("row", "pattern", "failed")
     marked = common.written(df, "votes")
     good = marked.where(~F.col("failed") & (quality_table(marked) >= least))

@@ -1,20 +1,23 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Vectors are scaled to length 1, padded to a power of two and turned by TURNS random rotations; the signs after
-each rotation are a binary code, stored with a correction factor (the inner product of the code's own unit
-vector with the vector). From two codes and factors the inner product is estimated without bias, with an
-error bound of known confidence; only pairs whose bound reaches the threshold are computed in full.
-
-Vectors with equal components are one class from the start. Candidates share a band of code bits; bands are
-as long as the number of classes asks for. A band's bucket is cut into blocks of at most BLOCK classes and
-pairs of blocks are compared as whole matrices, so a bucket of any size is spread over many tasks. A pair is
-counted in the first band in which both classes agree. Of pairs found only counts and one link for each
-class and block leave a task; links between classes that differ are never dropped.
+Vectors are scaled to length 1, padded with zeros to a power of two and turned by random rotations. Stored for
+each, once: the signs after the first rotation as packed bits (its code), the correction factor (the inner
+product of the code's own unit vector with the vector), the rotated components rounded to bytes with their
+step, and the signs of all rotations as bands. Bytes of one vector with code and factor of another give an
+unbiased estimate of their inner product, with an error bound of known confidence; vectors themselves are
+fetched only for members of a block with a pair whose bound reaches the threshold, and decide there in full.
+
+Vectors with equal components are one class from the start, named by a hash (another seed is taken if two
+classes clash). Candidates share a band of code bits; bands are as long as the number of classes asks for. A
+band's bucket is cut into blocks of about BLOCK classes and pairs of blocks are compared as whole matrices,
+so a bucket of any size is spread over many tasks. A pair is counted in the first band in which both classes
+agree. Of pairs found only counts and a spanning forest leave a task; links between classes that differ are
+never dropped.
 
 Defined cases: vectors that are null, of length 0, or that hold null or non-finite components link with
 nothing; vectors of different dimension are compared within their dimension; repeated rows are vectors of
-their own; an empty table gives no rows; other columns are ignored. Recall is that of the bands, over
-0.999 for pairs at the threshold itself (see band_plan).
+their own, also under one vec_id; an empty table gives no rows; other columns are ignored. A pair at the
+threshold itself shares no band with probability MISS (see band_plan), nearer ones with less.
 """
 
 from __future__ import annotations
@@ -29,9 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TURNS = 8
-BLOCK = 256
-MISS = 1e-3
+BLOCK = 1024
+MISS = 1e-4
 #: Width of the error bound in standard deviations: a pair is wrongly passed over once in about 30,000.
 EPSILON = 4.0
 SEED = 5
@@ -43,87 +45,128 @@ def rotation(dim: int, turn: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def band_plan(classes: int, threshold: float, miss: float = MISS, per_bucket: float = 128.0) -> tuple[int, int]:
+def band_plan(classes: int, threshold: float, miss: float = MISS, per_bucket: float = 512.0) -> tuple[int, int]:
     """(bits of a band, number of bands) so that random vectors share a bucket with few others and a pair at the threshold is missed with probability `miss`."""
     agree = 1 - acos(min(1.0, threshold)) / pi
-    bits = max(6, min(24, ceil(log2(max(classes, 2) / per_bucket))))
+    bits = max(6, ceil(log2(max(classes, 2) / per_bucket)))
     return bits, max(1, ceil(log(miss) / log(1 - agree**bits)))
 
 
-def _codes(threshold: float, bits: int, bands: int):
-    """Rows (class, unit vector, code bits, factors) once, exploded to (band, bucket)."""
+class Codes:
+    """Codes, factors, rounded components and sign bits of the rows of x."""
+
+    def __init__(self, x: np.ndarray, bits: int = 0):
+        width = 1 << max(0, (x.shape[1] - 1).bit_length())
+        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+        turned = x @ rotation(width, 0)
+        self.code = np.packbits(turned > 0, axis=1)
+        self.factor = np.abs(turned).sum(axis=1) / np.sqrt(width)
+        self.step = np.maximum(np.abs(turned).max(axis=1), 1e-12) / 127
+        self.level = np.rint(turned / self.step[:, None]).astype(np.int8)
+        signs = [turned > 0]
+        while len(signs) * width < bits:
+            signs.append(x @ rotation(width, len(signs)) > 0)
+        self.signs = np.concatenate(signs, axis=1)[:, :bits]
+
+
+def estimate(level: np.ndarray, step: np.ndarray, code: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the inner products of rounded vectors with coded ones, and the half widths of their bounds."""
+    width = level.shape[1]
+    signs = np.unpackbits(code, axis=1, count=width).astype(np.float32) * 2 - 1
+    factor = np.maximum(factor, 1e-9).astype(np.float32)
+    guess = (level.astype(np.float32) * step[:, None].astype(np.float32)) @ signs.T / (np.sqrt(np.float32(width)) * factor)
+    spread = np.sqrt(np.maximum(1 - factor**2, 0) / max(width - 1, 1))
+    return guess, EPSILON * (spread[None, :] + step[:, None].astype(np.float32) / np.sqrt(12)) / factor[None, :]
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _rows(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+CODED = "class_id long, dim int, buckets array<long>, code binary, factor double, step double, level binary, body binary"
+
+
+def _encode(bits: int, bands: int):
+    """One row for each class with all that is stored for it; body holds the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = batch.column("class_id").to_pylist(), batch.column("unit").to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for k, v in enumerate(vectors):
-                by_dim.setdefault(len(v), []).append(k)
-            for dim, rows in by_dim.items():
-                x = np.array([vectors[k] for k in rows], dtype=np.float64)
-                signs, k = [], 0
-                while len(signs) * dim < bits * bands:
-                    signs.append(x @ rotation(dim, k) > 0)
-                    k += 1
-                flat = np.concatenate(signs, axis=1)[:, : bits * bands]
-                weight = (1 << np.arange(bits, dtype=np.int64))
-                buckets = flat.reshape(len(rows), bands, bits).astype(np.int64) @ weight
+            lists = batch.column("unit")
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            start = np.concatenate(([0], np.cumsum(at)))[:-1]
+            ids = np.asarray(batch.column("class_id"))
+            for dim in np.unique(at).tolist():
+                own = np.flatnonzero(at == dim)
+                x = flat[start[own][:, None] + np.arange(dim)[None, :]]
+                c = Codes(x, bits * bands)
+                buckets = c.signs.reshape(len(own), bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, bands), pa.int32()), pa.array(buckets.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in rows], pa.int64()), pa.array([vectors[k] for k in rows], pa.list_(pa.float64())), pa.array(buckets.tolist(), pa.list_(pa.int64())), pa.array([dim] * len(rows), pa.int64())],
-                    names=["class_id", "unit", "buckets", "dim"],
+                    [pa.array(ids[own]), pa.array(np.full(len(own), dim, np.int32)), listed, _bytes(c.code), pa.array(c.factor), pa.array(c.step), _bytes(c.level), _bytes(x)],
+                    names=[x.split()[0] for x in CODED.split(", ")],
                 )
 
     return run
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of all inner products of rows of x and y from y's codes, and the half widths of their bounds."""
-    dim = x.shape[1]
-    turn = rotation(dim, 0)
-    u, v = x @ turn, y @ turn
-    code = np.where(v > 0, 1.0, -1.0) / np.sqrt(dim)
-    factor = np.einsum("ij,ij->i", code, v)  # of each y: the inner product of code and vector
-    factor = np.maximum(factor, 1e-9)
-    guess = (u @ code.T) / factor
-    width = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / max(dim - 1, 1)) / factor
-    return guess, np.broadcast_to(width, guess.shape)
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    side = np.asarray(table.column("side"))
+    same = bool((side == 2).all())
+    return (np.arange(len(side)),) * 2 + (same,) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), same)
+
+
+UNIT = ["dim", "band", "bucket", "p", "q"]
+
+
+def _promising(threshold: float):
+    """Members of a unit with at least one pair whose bound reaches the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, same = _sides(table)
+        hit = np.zeros(table.num_rows, bool)
+        if len(a) and len(b):
+            step, factor = np.asarray(table.column("step")), np.asarray(table.column("factor"))
+            guess, width = estimate(_rows(table.column("level"), np.int8)[a], step[a], _rows(table.column("code"), np.uint8)[b], factor[b])
+            near = guess + width >= threshold
+            if same:
+                np.fill_diagonal(near, False)
+                near |= near.T
+            hit[a] |= near.any(axis=1)
+            hit[b] |= near.any(axis=0)
+        return table.select([*UNIT, "side", "class_id"]).filter(pa.array(hit))
+
+    return run
 
 
 def _compare(threshold: float):
-    """Counts and links of one pair of blocks: rows (class_id, links, partner)."""
+    """Counts and links of one unit: rows (class_id, links, partner)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        empty = {"class_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "partner": pa.array([], pa.int64())}
-        band = key[0].as_py()
+        band = key[1].as_py()
         table = table.sort_by("class_id")
-        side = np.asarray(table.column("side"))
-        unit = np.array(table.column("unit").to_pylist(), dtype=np.float64)
+        a, b, same = _sides(table)
+        unit = _rows(table.column("body"), np.float64)
         ids, size = np.asarray(table.column("class_id")), np.asarray(table.column("copies"))
-        earlier = np.array(table.column("buckets").to_pylist(), dtype=np.int64)[:, :band]
-        same = bool((side == 2).all())
-        a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(a) or not len(b):
-            return pa.table(empty)
-        guess, width = estimate(unit[a], unit[b])
-        near = guess + width >= threshold
+        near = unit[a] @ unit[b].T >= threshold - 1e-9
         if same:
-            near &= a[:, None] < b[None, :]
+            near = np.triu(near, 1)
         i, j = np.nonzero(near)
-        if not len(i):
-            return pa.table(empty)
         i, j = a[i], b[j]
-        exact = np.concatenate([np.einsum("ij,ij->i", unit[i[k : k + 65536]], unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
-        found = exact >= threshold
-        i, j = i[found], j[found]
-        if band:
-            fresh = np.concatenate([~(earlier[i[k : k + 65536]] == earlier[j[k : k + 65536]]).any(axis=1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
-            i, j = i[fresh], j[fresh]
-        if not len(i):
-            return pa.table(empty)
+        parts = range(0, len(i), 65536)
+        if len(i):
+            found = np.concatenate([np.einsum("ij,ij->i", unit[i[k : k + 65536]], unit[j[k : k + 65536]]) for k in parts]) >= threshold
+            if band:  # else it was counted in an earlier band
+                earlier = np.array(table.column("buckets").to_pylist(), dtype=np.int64)[:, :band]
+                found &= np.concatenate([~(earlier[i[k : k + 65536]] == earlier[j[k : k + 65536]]).any(axis=1) for k in parts])
+            i, j = i[found], j[found]
         links = np.zeros(len(ids), dtype=np.int64)
         np.add.at(links, i, size[j])
         np.add.at(links, j, size[i])
-        # A spanning forest of the block's links: all that the components need of them.
+        # A spanning forest of the unit's links: all that the components need of them.
         root = np.arange(len(ids))
 
         def find(k: int) -> int:
@@ -137,18 +180,18 @@ def _compare(threshold: float):
             s, t = find(p), find(q)
             if s != t:
                 root[max(s, t)] = min(s, t)
-                pairs.append((ids[p], ids[q]))
+                pairs.append((int(ids[p]), int(ids[q])))
         held = np.flatnonzero(links)
-        first = [int(p) for p, _ in pairs] + ids[held].tolist()
+        first = [p for p, _ in pairs] + ids[held].tolist()
         count = [0] * len(pairs) + links[held].tolist()
-        other = [int(q) for _, q in pairs] + [None] * len(held)
+        other = [q for _, q in pairs] + [None] * len(held)
         return pa.table({"class_id": pa.array(first, pa.int64()), "links": pa.array(count, pa.int64()), "partner": pa.array(other, pa.int64())})
 
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of rows (vec_id, embedding array)."""
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, class_id; null where it links with nothing) and (class_id, copies, unit) of rows (vec_id, embedding)."""
     raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     high = F.array_max(F.transform("v", lambda x: F.abs(x)))
@@ -156,35 +199,43 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     # Divided by the largest component first, so that squares neither overflow nor vanish.
     raw = raw.withColumn("ok", good).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / high)))
     raw = raw.withColumn("unit", F.when(F.col("ok"), F.transform("v", lambda x: x / norm + 0.0)))
-    raw = common.written(raw.select("vec_id", "unit", F.xxhash64("unit").alias("h"), F.xxhash64("unit", F.lit(1)).alias("h2")), "units")
-    keyed = raw.where("unit is not null")
-    classes = keyed.groupBy("h", "h2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    member = keyed.select("vec_id", "h", "h2").join(classes, ["h", "h2"])
-    member = common.written(member.select("vec_id", "class_id", "copies"), "members")
-    first = member.where("vec_id = class_id").dropDuplicates(["class_id"])
-    heads = keyed.select("vec_id", "unit").join(first, "vec_id").select("class_id", "unit", "copies").dropDuplicates(["class_id"])
-    heads = common.written(heads, "heads")
-    bits, bands = band_plan(heads.count(), threshold)
-    coded = heads.select("class_id", "unit").mapInArrow(_codes(threshold, bits, bands), "class_id long, unit array<double>, buckets array<long>, dim long")
-    coded = common.written(coded.join(heads.select("class_id", "copies"), "class_id"), "codes")
+    for seed in range(1, 9):
+        named = common.written(raw.select("vec_id", "unit", F.when(F.col("unit").isNotNull(), F.xxhash64("unit", F.lit(seed))).alias("class_id")), "units")
+        per = named.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("unit", F.lit(0))).alias("low"), F.max(F.xxhash64("unit", F.lit(0))).alias("high"), F.first("unit").alias("unit"))
+        per = common.written(per, "classes")
+        if not per.where("low <> high").head(1):
+            break
+    return named.select("vec_id", "class_id"), per.select("class_id", "copies", "unit")
+
+
+def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of rows (vec_id, embedding array)."""
+    member, classes = classes_of(rows)
+    bits, bands = band_plan(classes.count(), threshold)
+    coded = common.written(classes.select("class_id", "unit").mapInArrow(_encode(bits, bands), CODED), "codes")
     banded = coded.select("class_id", "dim", F.posexplode("buckets").alias("band", "bucket"))
     load = banded.groupBy("dim", "band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    load = load.select(F.col("dim").alias("_dim"), F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-    at = banded.join(load, (F.col("dim") == F.col("_dim")) & (F.col("band") == F.col("_band")) & (F.col("bucket") == F.col("_bucket")))
-    at = at.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    load = common.small_enough(common.written(load.select("dim", "band", "bucket", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks")), "load"))
+    at = banded.join(load, ["dim", "band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     # Block p meets itself (side 2) and every other block q: of p < q, p is side 0 and q side 1.
     meets = F.expr("transform(sequence(0, blocks - 1), q -> named_struct('p', least(block, q), 'q', greatest(block, q), 'side', if(q = block, 2, if(block < q, 0, 1))))")
     dealt = at.withColumn("meet", F.explode(meets)).select("class_id", "dim", "band", "bucket", "meet.p", "meet.q", "meet.side")
-    full = dealt.join(coded.select("class_id", "unit", "buckets", "copies"), "class_id")
-    found = full.groupBy("band", "dim", "bucket", "p", "q").applyInArrow(_compare(threshold), "class_id long, links long, partner long")
-    found = common.written(found, "found")
+    sent = dealt.join(coded.select("class_id", "code", "factor", "step", "level"), "class_id")
+    schema = "dim int, band int, bucket long, p int, q int, side int, class_id long"
+    hits = common.written(sent.groupBy(*UNIT).applyInArrow(_promising(threshold), schema), "promising")
+    full = hits.join(coded.select("class_id", "body", "buckets").join(classes.select("class_id", "copies"), "class_id"), "class_id")
+    found = common.written(full.groupBy(*UNIT).applyInArrow(_compare(threshold), "class_id long, links long, partner long"), "found")
     links = found.where("partner is not null").select(F.col("class_id").alias("a"), F.col("partner").alias("b"))
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    labels = common.components(links)
-    out = member.join(counts, "class_id", "left").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    linked = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    alone = raw.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    labels = common.components(links).select(F.col("node").alias("class_id"), "component")
+    known = classes.select("class_id", "copies").join(counts, "class_id", "left").join(labels, "class_id", "left")
+    known = known.select("class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
+    known = common.written(known, "labels")
+    least = member.where("class_id is not null").groupBy("class_id").agg(F.min("vec_id").alias("least")).join(known, "class_id").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component").select(F.col("class_id").alias("_class"), "n_links", "component_id")
+    out = member.join(known, F.col("class_id") == F.col("_class"), "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,8 @@ def test_vectors(spark):
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(4)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((200, 64)), rng.standard_normal((200, 64))))
-    guess, width = vectors.estimate(x, y)
+    a, b = vectors.Codes(x), vectors.Codes(y)
+    guess, width = vectors.estimate(a.level, a.step, b.code, b.factor)
     error = guess - x @ y.T
     assert abs(error.mean()) < 0.003 and (np.abs(error) <= width).mean() > 0.9995
 
