@@ -16,6 +16,11 @@ from rankloom.operators import hits as H
 PREFIX = "interval"
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """The same rows, worked out here: else the optimiser would put long expressions into every place that names them."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
 def intervals(others: DataFrame) -> DataFrame:
     """query, b1..b7, w1..w7: best and worst score per simple rank of others (query, score, rank); null where there is none."""
     r = ranks.simple_rank(F.col("rank"))
@@ -40,6 +45,7 @@ def core(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
         above = F.greatest(*[F.col(f"_b{j}") for j in range(k + 1, 8)], F.lit(0.0))
         out = out.withColumn(f"_m{k}", above)
     out = out.withColumns({f"_b{k}": F.when(F.col(f"_b{k}") < F.col(f"_m{k}"), 0.0).otherwise(F.col(f"_b{k}")) for k in range(1, 7)})
+    out = held(out)
     # Unset slots between two set ones are interpolated; worst scores follow where they are unset.
     filled = {}
     for k in range(1, 7):
@@ -53,18 +59,20 @@ def core(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
         filled[f"_f{k}"] = F.when((F.col(f"_b{k}") == 0) & right_at.isNotNull(), between)
     out = out.withColumns(filled)
     out = out.withColumns({**{f"_w{k}": F.when(F.col(f"_f{k}").isNotNull() & (F.col(f"_w{k}") == 0), F.col(f"_f{k}")).otherwise(F.col(f"_w{k}")) for k in range(1, 7)}, **{f"_b{k}": F.coalesce(f"_f{k}", f"_b{k}") for k in range(1, 7)}})
+    out = held(out)
     # Down from 7 as long as the query beats the next slot's best score.
     down = F.lit(0)
     for k in range(1, 8):
         down = F.when(F.col("_q") <= F.col(f"_b{k - 1}"), F.lit(k)).otherwise(down)
     out = out.withColumn("_r", down)
+    out = held(out)
     at = lambda x, shift=0: F.get(F.array(*[F.col(f"_{x}{k}") for k in range(8)]), F.col("_r") - shift)
     better = (F.col("_r") > 0) & (F.col("_q") > at("b")) & (F.col("_q") >= at("w", 1))
     out = out.withColumn("slot", F.col("_r") - better.cast("int"))
     best = F.get(F.array(*[F.col(f"_b{k}") for k in range(8)]), F.col("slot"))
     out = out.withColumn("no_worse", (best == 0) & (F.col("slot") < 7))
     out = out.withColumn("rank_id", F.get(F.array(*[F.lit(r) for r in ranks.RANK_OF_SIMPLE]), F.col("slot")))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return held(out.drop(*[c for c in out.columns if c.startswith("_")]))
 
 
 def assign(rows: DataFrame, match_type: str = "BLASTX") -> DataFrame:
@@ -75,12 +83,13 @@ def assign(rows: DataFrame, match_type: str = "BLASTX") -> DataFrame:
     """
     cut = F.when(F.col("rank_id") > 0, ranks.reduce_by_rank(F.col("path"), F.col("rank_id"))).otherwise(-1)
     if "support" in rows.columns:
+        rows, cut = held(rows.withColumn("_by_score", cut)), F.col("_by_score")
         again = F.greatest(ranks.reduce_by_rank(F.col("path"), F.col("support")), F.lit(0))
         cut = F.when((cut > 0) & F.col("no_worse"), again).otherwise(cut)
     possible = F.col("self_score").isNotNull() & F.col("query_score").isNotNull()
-    out = rows.withColumn("_cut", F.when(possible, cut))
+    out = held(rows.withColumn("_cut", F.when(possible, cut)))
     prop = F.when(~possible, "not_possible").when(F.col("_cut") < 0, "no_valid_rank").otherwise(f"{PREFIX}_{match_type}")
-    return out.withColumn("property", prop).withColumn("taxid", F.when(F.col("_cut") >= 0, F.col("_cut")).otherwise(0)).drop("_cut")
+    return out.withColumn("property", prop).withColumn("taxid", F.when(F.col("_cut") >= 0, F.col("_cut")).otherwise(0)).drop("_cut", "_by_score")
 
 
 def reciprocal(rows: DataFrame) -> DataFrame:

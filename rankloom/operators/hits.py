@@ -72,8 +72,19 @@ def filter_reduced_taxa(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reduced", F.when(rank.isNull(), -1).otherwise(ranks.reduce_by_rank(F.col("path"), rank)))
 
 
+def limits_for(match_type: str, blastx: tuple, blastp: tuple, blastn: tuple) -> tuple:
+    """(e-value, bit score, alignment length) of a match type, as the reference applies them: BLASTN takes those meant for BLASTP, all types but BLASTX and BLASTN take none."""
+    return {"BLASTX": blastx, "BLASTN": blastp}.get(match_type, (float("inf"), 0, 0))
+
+
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """Adds place: a hit's place in its query by falling identity or bit score, or by rising e-value; ties by order."""
+    key = {"identity": F.desc("identity"), "bitscore": F.desc("score"), "evalue": F.asc("ev")}[by]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(key, "ord")))
+
+
 def matching_queries(queries: DataFrame, rows: DataFrame, most_ev, least_score, least_length: int, share: float) -> DataFrame:
-    """query, n_hits, n_left, state: `no_hits`, `no_hits2` (all were filtered) or `hits`, after all filters in one window.
+    """query, n_hits, n_left, evalue, state: `no_hits`, `no_hits2` (all were filtered) or `hits`, after all filters in one window; evalue is the first hit's that is left, `-` if none is.
 
     The order is e-value, bit score, alignment length, top percent, group; a scan that has ended stays ended.
     """
@@ -82,8 +93,9 @@ def matching_queries(queries: DataFrame, rows: DataFrame, most_ev, least_score,
     ids = ranks.taxids(F.col("path"))
     group = (F.get(ids, F.lit(0)) == 1) & F.get(ids, F.lit(2)).isin(*ranks.KEPT_GROUPS)
     kept = rows.withColumn("_tail", F.max(fails.cast("int")).over(so_far())).withColumn("kept", (F.col("_tail") == 0) & (F.col("aln_len") >= least_length) & F.coalesce(group, F.lit(False)))
-    counts = kept.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.col("kept").cast("long")).alias("n_left"))
+    counts = kept.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.col("kept").cast("long")).alias("n_left"), F.min(F.when(F.col("kept"), F.struct("ord", "ev"))).alias("_first"))
     out = queries.join(counts, "query", "left").withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "n_left": F.coalesce("n_left", F.lit(0))})
+    out = out.withColumn("evalue", F.coalesce(F.col("_first.ev").cast("string"), F.lit("-"))).drop("_first")
     return out.withColumn("state", F.when(F.col("n_hits") == 0, "no_hits").when(F.col("n_left") == 0, "no_hits2").otherwise("hits"))
 
 

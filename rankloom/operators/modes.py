@@ -33,12 +33,12 @@ def family(egts: DataFrame, members: DataFrame, matrix: Column, least: int = 50,
     first = F.length(F.regexp_extract("row", r"^\?*", 0))
     last = F.length("row") - F.length(F.regexp_extract("row", r"\?*$", 0)) - 1
     found = found.select("query", "family", "row", (-F.col("b.k")).alias("query_score"), F.col("b.m_path").alias("path"), F.col("b.m_row").alias("best_row"), first.alias("first"), last.alias("last"))
-    found = found.withColumn("self_score", Q.matrix_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last"), matrix))
+    found = C.held(C.held(found).withColumn("self_score", Q.matrix_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last"), matrix)))
     found = found.where((F.col("query_score") >= least) & (F.col("self_score") >= least))
     stats = Q.alignment_stats(F.col("row"), F.col("best_row"), F.col("first"), F.col("last"), matrix)
-    found = found.withColumn("stats", stats)
+    found = C.held(found.withColumn("stats", stats))
     support = ranks.least_rank_for(F.col("stats.length"), F.col("stats.percent"), F.col("stats.gaps"), F.col("stats.positives") - F.col("stats.identities"))
-    found = found.withColumn("support", F.coalesce(support, F.lit(0)))
+    found = C.held(found.withColumn("support", F.coalesce(support, F.lit(0))))
     other = Q.matrix_score(F.col("best_row"), F.col("m_row"), F.col("first"), F.col("last"), matrix)
     pairs = found.select("query", "family", "path", "best_row", "first", "last").join(masked, "family")
     others = pairs.select("query", other.alias("score"), _shared_rank(F.col("path"), F.col("m_path")).alias("rank")).where(F.col("score") >= least)
@@ -71,7 +71,8 @@ def ribosomal(hits: DataFrame, alignment: DataFrame, multiplier: float = 1.0) ->
     end = F.coalesce(_residue(F.col("row"), high), missing) + 1
     score = Q.m8_score(F.col("identity"), F.col("aln_len"), F.col("mismatches"), F.col("openings"))
     best = best.select("query", F.col("ord").alias("best_ord"), F.floor("bitscore").alias("best_bits"), F.col("kingdom").alias("best_kingdom"), F.col("s_path").alias("path"), F.col("row").alias("best_row"), start.alias("first"), end.alias("last"), score.alias("query_score"))
-    best = best.withColumn("self_score", Q.dna_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last")))
+    best = C.held(best)
+    best = C.held(best.withColumn("self_score", Q.dna_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last"))))
     others = rows.join(best, "query").where(F.col("ord") > F.col("best_ord"))
     tied = others.where((F.floor("bitscore") == F.col("best_bits")) & (F.col("kingdom") != F.col("best_kingdom"))).select("query").distinct()
     scored = others.where(F.col("kingdom") == F.col("best_kingdom")).select("query", Q.dna_score(F.col("best_row"), F.col("row"), F.col("first"), F.col("last")).alias("score"), _shared_rank(F.col("path"), F.col("s_path")).alias("rank"))

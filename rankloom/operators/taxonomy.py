@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
+from rankloom.operators.cut import checkpointed
 
 
 def with_merged(nodes: DataFrame, merged: DataFrame) -> DataFrame:
@@ -16,20 +17,18 @@ def with_merged(nodes: DataFrame, merged: DataFrame) -> DataFrame:
 def lineages(nodes: DataFrame, most_depth: int = 256) -> DataFrame:
     """taxid, rank, path (root first) of every node that reaches the root.
 
-    Pointers are doubled: after k joins a path holds 2**k nodes, so a depth of 256 takes 8 joins. Each round
-    is persisted (it is recomputed if an executor is lost) so that the plan stays one join deep.
+    Pointers are doubled: after k joins a path holds 2**k nodes, so a depth of 256 takes 8 joins. Only paths that
+    have not reached the root are joined again, with all as they were before the round; a node whose path ends at
+    a missing parent is left out, and one on a cycle stays open. Each round is checkpointed, so plans stay one
+    join deep and a lost executor costs a task's repetition.
     """
     step = F.when(F.col("parent") == F.col("taxid"), None).otherwise(F.col("parent"))
-    own = F.array(F.struct("taxid", "rank"))
-    rows = nodes.select("taxid", "rank", own.alias("path"), step.alias("top")).persist()
-    open_rows, depth = rows.where("top is not null").count(), 1
-    while open_rows and depth < most_depth:
+    rows, depth = checkpointed(nodes.select("taxid", "rank", F.array(F.struct("taxid", "rank")).alias("path"), step.alias("top"))), 1
+    while depth < most_depth and rows.where("top is not null").limit(1).count():
         up = rows.select(F.col("taxid").alias("_t"), F.col("path").alias("_p"), F.col("top").alias("_top"))
-        far = rows.join(up, F.col("top") == F.col("_t"), "left")
-        reached = F.col("_t").isNotNull()
-        path, top = F.when(reached, F.concat("_p", "path")).otherwise(F.col("path")), F.when(reached, F.col("_top")).otherwise(F.col("top"))
-        rows = far.select("taxid", "rank", path.alias("path"), top.alias("top")).persist()
-        open_rows, depth = rows.where("top is not null").count(), 2 * depth  # of a missing parent or a cycle, some stay open
+        far = rows.where("top is not null").join(up, F.col("top") == F.col("_t"))
+        far = far.select("taxid", "rank", F.concat("_p", "path").alias("path"), F.col("_top").alias("top"))
+        rows, depth = checkpointed(rows.where("top is null").unionByName(far)), 2 * depth
     return rows.where("top is null").select("taxid", "rank", "path")
 
 
@@ -41,10 +40,11 @@ def with_path(rows: DataFrame, tree: DataFrame, taxid: str = "taxid", path: str
 def lca_of_hits(hits: DataFrame) -> DataFrame:
     """query, lca: of the taxa of all hits of a query, -1 where no usable hit is left.
 
-    Hits below the groups of other and unclassified sequences are left out. The common beginning of the
-    first and the last lineage in order is that of all, so the fold is a minimum and a maximum.
+    Hits below the groups of other and unclassified sequences are left out. A hit of taxid 0, or of a taxon that
+    the taxonomy lacks, lands on the root and makes it the result. The common beginning of the first and the last
+    lineage in order is that of all, so the fold is a minimum and a maximum.
     """
-    ids = ranks.taxids(F.col("path"))
+    ids = F.coalesce(ranks.taxids(F.col("path")), F.array(F.lit(1)))
     usable = ~F.coalesce(F.get(ids, F.lit(1)).isin(*ranks.SKIPPED_GROUPS), F.lit(False))
     low, high = F.min(F.when(usable, ids)), F.max(F.when(usable, ids))
     folded = hits.groupBy("query").agg(low.alias("low"), high.alias("high"))
@@ -63,8 +63,14 @@ def excluded(rows: DataFrame, taxa: list[int], tree: DataFrame, rank: int) -> Da
     return rows.join(F.broadcast(found)).where(~F.arrays_overlap(ranks.taxids(F.filter("path", lambda s: s["rank"] >= rank)), "bad")).drop("bad")
 
 
-def specific(path: Column, names: Column | None = None) -> Column:
-    """Whether a taxon is a species or below with a true phylum and a true genus."""
-    own = F.get(path, F.size(path) - 1)["rank"]
+def specific(path: Column, genus_name: Column | None = None) -> Column:
+    """Whether a taxon's lowest rank is species or below, with a true phylum and a true genus that is not called environmental samples."""
     has = lambda r: F.exists(path, lambda s: s["rank"] == r)
-    return (own >= 27) & has(5) & has(23)
+    out = (ranks.lowest_rank(path) >= 27) & has(5) & has(23)
+    return out if genus_name is None else out & ~F.coalesce(genus_name == "environmental samples", F.lit(False))
+
+
+def named_genus(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds genus_name, the name (taxid, name) of the lineage's genus."""
+    genus = F.get(F.filter("path", lambda s: s["rank"] == 23), F.lit(0))["taxid"]
+    return rows.withColumn("_genus", genus).join(names.select(F.col("taxid").alias("_genus"), F.col("name").alias("genus_name")), "_genus", "left").drop("_genus")

@@ -88,7 +88,8 @@ def simple_rank(spark, sf):
     return S.nodes(spark, sf).select("taxid", ranks.simple_rank(F.col("rank")).alias("simple"))
 
 
-LCA = """, use AS (SELECT query, ids, rks, ids[2] IN (28384, 12908) AS skip FROM ph),
+# Some hits have no taxon: they land on the root.
+LCA = """, use AS (SELECT query, CASE WHEN part % 97 = 0 THEN [1] ELSE ids END AS ids, rks, part % 97 <> 0 AND ids[2] IN (28384, 12908) AS skip FROM ph),
 tot AS (SELECT query, count(*) FILTER (NOT coalesce(skip, false)) AS n FROM use GROUP BY query),
 anc AS (SELECT query, unnest(ids) AS node, generate_subscripts(ids, 1) AS pos FROM use WHERE NOT coalesce(skip, false)),
 com AS (SELECT a.query, a.node, max(pos) AS pos FROM anc a JOIN tot USING (query) GROUP BY a.query, a.node, n HAVING count(*) = n),
@@ -98,7 +99,11 @@ lca AS (SELECT tot.query, coalesce(max_by(node, pos), -1) AS lca FROM tot LEFT J
 
 @query("lca_multi", O.sql("SELECT query, lca FROM lca", *O.TREE_HITS, LCA))
 def lca_multi(spark, sf):
-    return T.lca_of_hits(hits_with_path(spark, sf))
+    return T.lca_of_hits(hits_some_without(spark, sf))
+
+
+def hits_some_without(spark, sf):
+    return T.with_path(S.hits(spark, sf).withColumn("taxid", F.when(F.col("part") % 97 == 0, 0).otherwise(F.col("taxid"))), tree(spark, sf))
 
 
 @query("taxon_path_string", O.sql("""SELECT l.taxid, string_agg(coalesce(lower(nm.name), 'unknown'), '!' ORDER BY pos) AS path
@@ -171,17 +176,32 @@ def filter_reduce_taxa(spark, sf):
     return H.filter_reduced_taxa(aligned(spark, sf)).select("query", F.col("ord").cast("long").alias("ord"), "reduced")
 
 
-MATCH = """, flags AS (SELECT query, ord, aln_len, ids, CASE WHEN ev > 8 OR score < 1000000 OR score < (1 - 0.5::DOUBLE) * max(score) OVER (PARTITION BY query) THEN 1 ELSE 0 END AS f FROM ph),
-kept AS (SELECT query, CASE WHEN max(f) OVER (PARTITION BY query ORDER BY ord) = 0 AND aln_len >= 10 AND ids[1] = 1 AND ids[3] IN (2157, 2, 2759, 12884, 10239) THEN 1 ELSE 0 END AS k FROM flags),
-cnt AS (SELECT query, count(*) AS n_hits, sum(k)::BIGINT AS n_left FROM kept GROUP BY query)
-SELECT o_orderkey AS query, coalesce(n_hits, 0) AS n_hits, coalesce(n_left, 0) AS n_left, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'no_hits' WHEN n_left = 0 THEN 'no_hits2' ELSE 'hits' END AS state
+MATCH = """, flags AS (SELECT query, ord, ev, aln_len, ids, CASE WHEN ev > 8 OR score < 1000000 OR score < (1 - 0.5::DOUBLE) * max(score) OVER (PARTITION BY query) THEN 1 ELSE 0 END AS f FROM ph),
+kept AS (SELECT query, ord, ev, CASE WHEN max(f) OVER (PARTITION BY query ORDER BY ord) = 0 AND aln_len >= 10 AND ids[1] = 1 AND ids[3] IN (2157, 2, 2759, 12884, 10239) THEN 1 ELSE 0 END AS k FROM flags),
+cnt AS (SELECT query, count(*) AS n_hits, sum(k)::BIGINT AS n_left, min_by(ev, ord) FILTER (k = 1) AS first FROM kept GROUP BY query)
+SELECT o_orderkey AS query, coalesce(n_hits, 0) AS n_hits, coalesce(n_left, 0) AS n_left, coalesce(first::VARCHAR, '-') AS evalue, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'no_hits' WHEN n_left = 0 THEN 'no_hits2' ELSE 'hits' END AS state
 FROM orders LEFT JOIN cnt ON o_orderkey = query"""
 
 
 @query("filter_matching_query", O.sql(MATCH, *O.TREE_HITS))
 def filter_matching_query(spark, sf):
     queries = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"))
-    return H.matching_queries(queries, hits_with_path(spark, sf), 8, 1000000, 10, 0.5)
+    limits = H.limits_for("BLASTX", (8, 1000000, 10), (0, 0, 0), (0, 0, 0))
+    return H.matching_queries(queries, hits_with_path(spark, sf), *limits, 0.5)
+
+
+@query("order_hits", O.sql("SELECT query, ord, row_number() OVER (PARTITION BY query ORDER BY 40 + part % 60 DESC, ord) AS by_identity, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS by_bitscore, row_number() OVER (PARTITION BY query ORDER BY ev, ord) AS by_evalue FROM hits", O.NODES, O.HITS))
+def order_hits(spark, sf):
+    rows = S.hits(spark, sf).withColumn("identity", 40 + F.col("part") % 60)
+    for by in ("identity", "bitscore", "evalue"):
+        rows = H.ranked(rows, by).withColumn(f"by_{by}", F.col("place").cast("long"))
+    return rows.select("query", F.col("ord").cast("long").alias("ord"), "by_identity", "by_bitscore", "by_evalue")
+
+
+@query("ordered_output", O.sql("SELECT query, min(taxid) AS taxid FROM hits GROUP BY query ORDER BY query", O.NODES, O.HITS))
+def ordered_output(spark, sf):
+    """Results in order of the query: a sort by ranges."""
+    return S.hits(spark, sf).groupBy("query").agg(F.min("taxid").alias("taxid")).orderBy("query")
 
 
 @query("first_unmasked_hit", O.sql("SELECT query, min(ord) AS ord, min_by(taxid, ord) AS taxid FROM hits WHERE aln_len >= 25 GROUP BY query", O.NODES, O.HITS))
@@ -196,9 +216,11 @@ def excluded_taxa(spark, sf):
     return T.excluded(rows, [1000003, 1000010, 1000017], rows, 19).select("taxid")
 
 
-@query("specific_taxon", O.sql("SELECT taxid FROM lin WHERE rank >= 27 AND list_contains(rks, 5) AND list_contains(rks, 23)", *O.TREE))
+@query("specific_taxon", O.sql("SELECT taxid FROM lin WHERE rank >= 27 AND list_contains(rks, 5) AND list_contains(rks, 23) AND ids[list_position(rks, 23)] % 11 <> 0", *O.TREE))
 def specific_taxon(spark, sf):
-    return tree(spark, sf).where(T.specific(F.col("path"))).select("taxid")
+    """Every eleventh genus is called environmental samples here."""
+    names = tree(spark, sf).where("rank = 23").select("taxid", F.when(F.col("taxid") % 11 == 0, "environmental samples").otherwise("genus").alias("name"))
+    return T.named_genus(tree(spark, sf), names).where(T.specific(F.col("path"), F.col("genus_name"))).select("taxid")
 
 
 @query("collapse_consecutive", O.sql("SELECT query, ord, taxid FROM (SELECT *, lag(taxid) OVER (PARTITION BY query ORDER BY ord) AS p FROM hits) WHERE p IS DISTINCT FROM taxid", O.NODES, O.HITS))

@@ -110,6 +110,31 @@ def reciprocal_m8(hits: DataFrame, least: float = 0.0) -> DataFrame:
     return once.groupBy("group").agg(score("self").alias("self_score"), F.coalesce(score("query"), F.min("bitscore")).alias("query_score"), F.count(kept).alias("n_others"))
 
 
+def reciprocal_report(records: DataFrame, least: float = 0.0) -> DataFrame:
+    """group, self_score, query_score, n_others of reports of one group each, whose subjects are `query`, `self` or a taxid; a subject's first alignment counts."""
+    rows = blast_report(records).where("hsp = 0").withColumn("subject", F.substring_index("subject", " ", 1))
+    score = lambda s: F.max(F.when(F.col("subject") == s, F.col("bitscore")))
+    other = ~F.col("subject").isin("query", "self") & (F.col("bitscore") >= least)
+    return rows.groupBy(F.col("query").alias("group")).agg(score("self").alias("self_score"), score("query").alias("query_score"), F.count(F.when(other, 1)).alias("n_others"))
+
+
+def blast_index(lines: DataFrame, file: str = "file") -> DataFrame:
+    """file, query, offset: where the record of each query of a report begins, in bytes; of a repeated query the first counts.
+
+    Lines (ord, value) end with one byte. Their starts are sums within blocks of lines on top of the blocks' sums.
+    """
+    rows = lines.select(file, "ord", "value", (F.octet_length("value") + 1).cast("long").alias("_n"), F.floor(F.col("ord") / LINES).alias("_block"))
+    before = Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(file, "_block").agg(F.sum("_n").alias("_s")).select(file, "_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(file, "_block").orderBy("ord")
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(sums, [file, "_block"])
+    rows = rows.withColumn("_at", F.col("_base") + F.col("_in")).withColumn("_head", F.when(F.startswith("value", F.lit("BLAST")), F.col("_at")))
+    last = rows.groupBy(file, "_block").agg(F.max("_head").alias("_h")).select(file, "_block", F.max("_h").over(before).alias("_carried"))
+    rows = rows.withColumn("_own", F.max("_head").over(own)).join(last, [file, "_block"]).where(F.startswith("value", F.lit("Query=")))
+    first = F.min_by(F.coalesce("_own", "_carried", F.lit(-1)), "ord").alias("offset")
+    return rows.groupBy(file, F.substring("value", 8, 1 << 30).alias("query")).agg(first)
+
+
 def hmmscan(lines: DataFrame) -> DataFrame:
     """accession, read, frame, full_evalue, i_evalue, ali_from, ali_to of a domain table; domains that do not rise are left out."""
     f = F.split(F.trim("value"), r"\s+")
