@@ -79,26 +79,34 @@ def matrix_table(scores: dict[str, int]) -> Column:
     return F.array(*[F.lit(x) for x in table])
 
 
-def read_matrix(rows: DataFrame) -> Column:
-    """The table of a substitution matrix read as rows (a, b, score); as many rows as pairs of letters."""
-    return matrix_table({r["a"] + r["b"]: r["score"] for r in rows.where((F.length("a") == 1) & (F.length("b") == 1)).collect()})
+def read_matrix(rows: DataFrame) -> dict[str, int]:
+    """Scores by pairs of letters of a substitution matrix read as rows (a, b, score); as many rows as pairs of letters."""
+    return {r["a"] + r["b"]: r["score"] for r in rows.where((F.length("a") == 1) & (F.length("b") == 1)).collect()}
 
 
-def pair_score(a: Column, b: Column, matrix: Column) -> Column:
-    """Score of two characters by a table of matrix_table: 0 with a question mark or two gaps; other characters count as '*'."""
+def pair_score(a: Column, b: Column, matrix: Column | dict[str, int]) -> Column:
+    """Score of two characters by a matrix 'AB' -> score, a dictionary or a map column: 0 with a question mark or two gaps; other characters count as '*'.
+
+    A dictionary becomes an array, where a score is found by its place; a map is searched.
+    """
     x, y = F.instr(F.lit(AMINO), a), F.instr(F.lit(AMINO), b)
-    key = F.when(x == 0, y * (len(AMINO) + 1)).otherwise(x * (len(AMINO) + 1) + y)
-    return F.when((a == "?") | (b == "?") | ((x == 0) & (y == 0)), 0).otherwise(F.get(matrix, key))
+    if isinstance(matrix, dict):
+        key = F.when(x == 0, y * (len(AMINO) + 1)).otherwise(x * (len(AMINO) + 1) + y)
+        found = F.get(matrix_table(matrix), key)
+    else:
+        pair = F.when(x == 0, F.concat(b, F.lit("*"))).when(y == 0, F.concat(a, F.lit("*"))).otherwise(F.concat(a, b))
+        found = F.coalesce(F.try_element_at(matrix, pair), F.lit(0))
+    return F.when((a == "?") | (b == "?") | ((x == 0) & (y == 0)), 0).otherwise(found)
 
 
-def matrix_score(a: Column, b: Column, start: Column, end: Column, matrix: Column, least: int = 25) -> Column:
+def matrix_score(a: Column, b: Column, start: Column, end: Column, matrix: Column | dict[str, int], least: int = 25) -> Column:
     """Sum of scores over the columns; 0 if fewer than `least` columns are compared."""
     cols = _columns(a, b, start, end)
     total = F.aggregate(cols, F.lit(0), lambda s, p: s + pair_score(p["a"], p["b"], matrix))
     return F.when(F.size(cols) < least, 0).otherwise(total)
 
 
-def alignment_stats(a: Column, b: Column, start: Column, end: Column, matrix: Column) -> Column:
+def alignment_stats(a: Column, b: Column, start: Column, end: Column, matrix: Column | dict[str, int]) -> Column:
     """struct(length, positives, identities, gaps, percent) over the columns that are not gaps in both."""
     cols = F.filter(_columns(a, b, start, end), lambda p: ~((p["a"] == "-") & (p["b"] == "-")))
     count = lambda f: F.size(F.filter(cols, f))

@@ -17,7 +17,7 @@ def _shared_rank(a: Column, b: Column) -> Column:
     return ranks.lowest_rank(F.filter(a, lambda s: F.array_contains(ranks.taxids(b), s["taxid"])))
 
 
-def family(egts: DataFrame, members: DataFrame, matrix: Column, least: int = 50, multiplier: float = 1.0) -> DataFrame:
+def family(egts: DataFrame, members: DataFrame, matrix: dict[str, int], least: int = 50, multiplier: float = 1.0) -> DataFrame:
     """query, property (the family), taxid of egts (query, family, aligned) against members (family, member, taxid, path, aligned).
 
     The best member of the family plays the self; scores of the others with it are taken over the fragment's

@@ -76,7 +76,7 @@ SCORE = f"CASE WHEN {X} = '?' OR {Y} = '?' THEN 0 WHEN NOT contains({ACID}, {X})
 
 
 def rule_matrix():
-    return Q.matrix_table({a + b: 4 if a == b else -1 for a in Q.AMINO for b in Q.AMINO} | {a + "*": -4 for a in Q.AMINO})
+    return {a + b: 4 if a == b else -1 for a in Q.AMINO for b in Q.AMINO} | {a + "*": -4 for a in Q.AMINO}
 
 
 @query("blosum_score", f"WITH {ROWS}, {COLUMNS} SELECT doc_id, CASE WHEN len(z) < 25 THEN 0 ELSE list_sum([{SCORE} FOR t IN z]) END::INT AS score FROM z")
