@@ -88,16 +88,17 @@ def simple_rank(spark, sf):
     return S.nodes(spark, sf).select("taxid", ranks.simple_rank(F.col("rank")).alias("simple"))
 
 
-# Some hits have no taxon: they land on the root.
-LCA = """, use AS (SELECT query, CASE WHEN part % 97 = 0 THEN [1] ELSE ids END AS ids, rks, part % 97 <> 0 AND ids[2] IN (28384, 12908) AS skip FROM ph),
+LCA = """, use AS (SELECT query, ids, rks, ids[2] IN (28384, 12908) AS skip FROM ph),
 tot AS (SELECT query, count(*) FILTER (NOT coalesce(skip, false)) AS n FROM use GROUP BY query),
 anc AS (SELECT query, unnest(ids) AS node, generate_subscripts(ids, 1) AS pos FROM use WHERE NOT coalesce(skip, false)),
 com AS (SELECT a.query, a.node, max(pos) AS pos FROM anc a JOIN tot USING (query) GROUP BY a.query, a.node, n HAVING count(*) = n),
 lca AS (SELECT tot.query, coalesce(max_by(node, pos), -1) AS lca FROM tot LEFT JOIN com USING (query) GROUP BY tot.query)
 """
+# The same where some hits have no taxon: they land on the root.
+LCA_ROOT = LCA.replace("SELECT query, ids, rks, ids[2]", "SELECT query, CASE WHEN part % 97 = 0 THEN [1] ELSE ids END AS ids, rks, part % 97 <> 0 AND ids[2]")
 
 
-@query("lca_multi", O.sql("SELECT query, lca FROM lca", *O.TREE_HITS, LCA))
+@query("lca_multi", O.sql("SELECT query, lca FROM lca", *O.TREE_HITS, LCA_ROOT))
 def lca_multi(spark, sf):
     return T.lca_of_hits(hits_some_without(spark, sf))
 
