@@ -103,10 +103,11 @@ class Scanner:
         return np.array(found, dtype=np.float64)
 
     def statistic(self, text: str | None) -> float:
-        """Evidence of all segments: minus the log of the chance that r of them sum up so high in clean text, for the r that makes it least.
+        """Evidence of all segments: minus the log of the chance that r of them are so high in clean text, for the r that makes it least.
 
-        For normalised scores x the sum T of the r best has the tail exp(-T) T**(r - 1) / (r! (r - 1)!) (Karlin and
-        Altschul 1993), which holds from T = r (r + 1) on; r = 1 is the best segment alone.
+        For normalised scores x the number of segments from x on is Poisson with mean exp(-x), so r of them have a
+        chance of at most exp(-r x) / r! for the lowest; their sum T has the tail exp(-T) T**(r - 1) / (r! (r - 1)!)
+        (Karlin and Altschul 1993), which holds from T = r (r + 1) on.
         """
         values = self.values(text)
         m = self.model
@@ -117,6 +118,7 @@ class Scanner:
         best, total = float(x[0]), 0.0
         for r, own in enumerate(x[x > 0].tolist(), 1):
             total += own
+            best = max(best, r * own + lgamma(r + 1))
             if r > 1 and total >= r * (r + 1):
                 best = max(best, total - (r - 1) * log(total) + lgamma(r + 1) + lgamma(r))
         return best

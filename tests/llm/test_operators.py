@@ -391,20 +391,66 @@ def test_segments_against_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(v)] == [(a, b) for a, b, _ in brute(v)]
 
 
-def test_empty_tables(spark, empty):
+@pytest.mark.parametrize("operator", [lambda d: packing.pack(d, VOCAB), shards.shard, mixing.mix, rules.judge, jaccard.near_duplicates], ids=["packing", "shards", "mixing", "rules", "jaccard"])
+def test_empty_documents(empty, operator):
+    assert operator(empty).count() == 0
+
+
+def test_empty_store(spark, empty):
     path = common.new_path(spark, "store")
     store.write_store(empty, path, VOCAB)
     assert store.read_store(spark, path).count() == 0
-    assert packing.pack(empty, VOCAB).count() == shards.shard(empty).count() == mixing.mix(empty).count() == rules.judge(empty).count() == jaccard.near_duplicates(empty).count() == 0
+
+
+def test_empty_labels(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def test_empty_vectors_and_urls(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
+
+
+def test_empty_warc(spark):
     path = common.new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_shards_without_values(spark):
+    """Dimensions that hold nothing, and names alike in their first bytes."""
+    rows = [(i, None, None, None) for i in range(9)]
+    assert sorted(r["slot"] for r in shards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 1).collect()) == list(range(9))
+    rows = [(i, "t", "en", f"common_crawl_{i % 3}") for i in range(60)]
+    got = shards.with_rank(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "source").select("source", "k_source").distinct().collect()
+    assert {tuple(r) for r in got} == {(f"common_crawl_{k}", k) for k in range(3)}
+
+
+def test_toxicity_counts_all_segments():
+    """Evidence grows with every significant passage, however many there are."""
+    model = toxicity.Model({"vile$": 3.0}, -1.5, 1.0, 0.0, ([0.0], [0.5]))
+    found = [toxicity.Scanner(model).statistic(" ".join(["vile vile vile vile vile", "calm " * 40] * n)) for n in (1, 5, 12, 30)]
+    assert found == sorted(found) and found[-1] > found[1] + 50
+
+
+def test_mixing_rows_alike(spark):
+    """Many rows of one doc_id and size are one item, and each keeps its own row."""
+    docs = spark.createDataFrame([(1, "a b c", "s0")] * 700 + [(2, "a b c", "s1"), (3, "a b", "s1")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 702 and {r["copies"] for r in got if r["source"] == "s0"} <= {0, 1, 2, 3}
+    for s in ("s0", "s1"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+
+
+def test_vectors_under_one_id(spark):
+    """Different vectors under one vec_id are each compared."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.01, 0.0]), (3, [1.0, 0.01, 0.0, 0.0]), (3, [1.0, 0.01, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "n_links").collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (3, 2), (3, 2)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     got = dict(map(tuple, common.components(links).collect()))
