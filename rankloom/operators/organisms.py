@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions import ranks
 from rankloom.operators import taxonomy as T
 
 
@@ -96,3 +97,53 @@ def specific_records(rows: DataFrame, tree: DataFrame, names: DataFrame, left_ou
     kept = without_gap_columns(kept)
     head = F.concat(F.lit(">"), "id", F.lit("_"), F.col("taxid").cast("string"), F.when(F.col("offset") > 0, F.concat(F.lit(" OFFSET"), F.col("offset").cast("string"))).otherwise(""))
     return kept.select(F.concat(head, F.lit("\n"), "aligned").alias("record"), "id", "taxid")
+
+
+#: Ranks that the lineages of a 16S training set hold, and the superkingdoms right below its root.
+TRAINED_RANKS = (1, 5, 8, 14, 19, 23)
+SUPERKINGDOMS = (2, 2157, 2759)
+
+
+def _error(text: str, *parts: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(text), *[x.cast("string") for x in parts])).cast("string")
+
+
+def _trained(path: Column) -> Column:
+    return F.filter(path, lambda s: s["rank"].isin(*TRAINED_RANKS))
+
+
+def training_records(rows: DataFrame, tree: DataFrame, names: DataFrame) -> DataFrame:
+    """record, id of sequences (id, taxid, seq): `>id 1_root;taxid_name;...` over the trained ranks, and the sequence.
+
+    Lineages are written once a taxon before they meet the sequences. A taxon that the taxonomy lacks, or a
+    lineage with a node without a name, raises.
+    """
+    taxa = T.with_path(rows.select("taxid").distinct(), tree)
+    each = T.ancestors(taxa.where("taxid > 1"), "taxid").where("ancestor > 1").join(names.select(F.col("taxid").alias("ancestor"), "name"), "ancestor", "left")
+    name = F.coalesce("name", _error("no name of taxon ", F.col("ancestor")))
+    part = F.struct("pos", F.col("ancestor_rank").isin(*TRAINED_RANKS).alias("trained"), F.concat(F.col("ancestor").cast("string"), F.lit("_"), name).alias("text"))
+    listed = F.filter(F.array_sort(F.collect_list(part)), lambda s: s["trained"])
+    lineage = each.groupBy("taxid").agg(F.array_join(F.transform(listed, lambda s: s["text"]), ";").alias("_lineage"))
+    text = F.when(F.col("taxid") <= 1, "").otherwise(F.coalesce("_lineage", _error("unknown taxon ", F.col("taxid"))))
+    return rows.join(lineage, "taxid", "left").select(F.concat(F.lit(">"), "id", F.lit(" 1_root;"), text, F.lit("\n"), "seq").alias("record"), "id")
+
+
+def training_taxa(rows: DataFrame, tree: DataFrame, names: DataFrame) -> DataFrame:
+    """taxid, line for the root and each trained node above the taxa of rows: `taxid*taxid_name*parent*depth*rank`.
+
+    The parent is the nearest trained node above, 1 for a superkingdom of cellular organisms; any other node
+    without one raises, and so does a node without a name.
+    """
+    def entry(used: Column, s: Column, i: Column) -> Column:
+        above = F.when(s["taxid"].isin(*SUPERKINGDOMS), 1).when(i > 0, F.get(used, i - 1)["taxid"])
+        return F.struct(s["taxid"].alias("taxid"), s["rank"].alias("rank"), above.alias("parent"), (i + 1).alias("depth"))
+
+    taxa = T.with_path(rows.select("taxid").distinct(), tree).select(_trained(F.col("path")).alias("used"))
+    nodes = taxa.select(F.explode(F.transform("used", lambda s, i: entry(F.col("used"), s, i))).alias("e")).select("e.*").distinct()
+    named = nodes.join(names.select("taxid", "name"), "taxid", "left")
+    taxid = F.col("taxid").cast("string")
+    name = F.concat(taxid, F.lit("_"), F.coalesce("name", _error("no name of taxon ", F.col("taxid"))))
+    parent = F.coalesce(F.col("parent").cast("string"), _error("no trained node above taxon ", F.col("taxid")))
+    lines = named.select("taxid", F.concat_ws("*", taxid, name, parent, F.col("depth").cast("string"), ranks.rank_name(F.col("rank"))).alias("line"))
+    root = rows.sparkSession.range(1).select(F.lit(1).alias("taxid"), F.lit("1*1_root*0*0*norank").alias("line"))
+    return root.unionByName(lines)

@@ -40,6 +40,17 @@ def taxonomic_profile(reads: DataFrame, names: DataFrame, wanted: tuple[str, ...
     return out.select(ranks.rank_name(F.col("rank")).alias("rank"), taxon.alias("taxon"), "n").groupBy("rank", "taxon").agg(F.sum("n").alias("n"))
 
 
+def unknown_above(reads: DataFrame, cutoff: float, evalue: str = "evalue") -> DataFrame:
+    """reads (taxid, path) with those whose e-value is above the cutoff made unknown; an e-value that is no number counts as 0."""
+    above = F.coalesce(F.expr(f"try_cast({evalue} as double)"), F.lit(0.0)) > cutoff
+    return reads.withColumns({"taxid": F.when(above, 0).otherwise(F.col("taxid")), "path": F.when(~above, F.col("path"))})
+
+
+def within(rows: DataFrame, cutoff: float, evalue: str = "evalue") -> DataFrame:
+    """rows whose e-value is at most the cutoff; one that is no number counts as 0."""
+    return rows.where(F.coalesce(F.expr(f"try_cast({evalue} as double)"), F.lit(0.0)) <= cutoff)
+
+
 def comparative_profile(rows: DataFrame, cutoff: float) -> DataFrame:
     """sample, rank, taxon, n, share of rows (sample, rank, taxon, n): taxa above the cutoff in any sample, shares taken anew."""
     share = F.col("n") / F.sum("n").over(Window.partitionBy("sample", "rank"))

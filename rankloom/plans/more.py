@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankloom.functions import formats, sequence as Q
+from rankloom.functions import formats, ranks, sequence as Q
 from rankloom.operators import modes
 from rankloom.operators import organisms as G
 from rankloom.operators import taxonomy as T
@@ -74,6 +74,28 @@ def specific_rdp(spark, sf):
     return G.specific_records(rows, tree(spark, sf), names, [], 19)
 
 
+CELLULAR_SPECIES = "WHERE rank = 27 AND list_contains(ids, 131567)"
+
+
+def _sequences(spark, sf):
+    """A sequence of each cellular species, and a name of each node."""
+    nodes = tree(spark, sf)
+    t = F.col("taxid")
+    rows = nodes.where((F.col("rank") == 27) & F.array_contains(ranks.taxids(F.col("path")), ranks.CELLULAR)).select(F.concat(F.lit("S"), t.cast("string")).alias("id"), "taxid", F.substring(F.lit("ACGT"), t % 4 + 1, F.lit(1)).alias("seq"))
+    return rows, nodes, nodes.select("taxid", F.concat(F.lit("n"), t.cast("string")).alias("name"))
+
+
+@query("rdp_training", O.sql("SELECT '>S' || taxid || ' 1_root;' || array_to_string(list_transform(ids[3:8], lambda x: x || '_n' || x), ';') || chr(10) || substring('ACGT', taxid % 4 + 1, 1) AS record, 'S' || taxid AS id FROM lin " + CELLULAR_SPECIES, *O.TREE))
+def rdp_training(spark, sf):
+    return G.training_records(*_sequences(spark, sf))
+
+
+@query("rdp_training_taxa", O.sql("""SELECT taxid, taxid || '*' || taxid || '_n' || taxid || '*' || CASE WHEN rank = 1 THEN 1 ELSE parent END || '*' || CASE rank WHEN 1 THEN '1*superkingdom' WHEN 5 THEN '2*phylum' WHEN 8 THEN '3*class' WHEN 14 THEN '4*order' WHEN 19 THEN '5*family' ELSE '6*genus' END AS line
+ FROM nodes WHERE rank IN (1, 5, 8, 14, 19, 23) AND taxid IN (SELECT unnest(ids) FROM lin """ + CELLULAR_SPECIES + ") UNION ALL SELECT 1, '1*1_root*0*0*norank'", *O.TREE))
+def rdp_training_taxa(spark, sf):
+    return G.training_taxa(*_sequences(spark, sf))
+
+
 @query("banded_nw")
 def banded_nw(spark, sf):
     """Each benchmark text against itself less some letters."""

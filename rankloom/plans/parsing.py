@@ -46,9 +46,16 @@ def scan_scinames(spark, sf):
     return P.scientific_names(name_rows(spark, sf))
 
 
-@query("scan_name_variants", O.sql("SELECT CASE WHEN n = 1 THEN name ELSE name || '|' || n END AS name, taxid FROM (SELECT lower(substring(name, 1, 14)) AS name, taxid, row_number() OVER (PARTITION BY lower(substring(name, 1, 14)) ORDER BY taxid, class) AS n FROM names)", O.NODES, O.NAMES))
+@query("scan_name_variants", O.sql(""", nm AS (SELECT taxid, name, taxid * 2 + (class = 'synonym')::INT AS ord FROM names UNION ALL SELECT 2000000 + p_partkey, p_name, (2000000 + p_partkey) * 2 FROM part),
+fm AS (SELECT lower(name) AS name, 0 AS kind, ord, taxid FROM nm UNION ALL SELECT lower(name[1] || '.' || name[strpos(name, ' '):]), 1, ord, taxid FROM nm WHERE strpos(name, ' ') > 1
+ UNION ALL SELECT lower(name[1] || '.' || name[strpos(name, ' ') + 1:]), 2, ord, taxid FROM nm WHERE strpos(name, ' ') > 1),
+pl AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord, kind) AS place, count(*) FILTER (kind = 0) OVER (PARTITION BY name ORDER BY ord, kind) AS full_names, first_value(kind) OVER (PARTITION BY name ORDER BY ord, kind) AS first_kind FROM fm)
+SELECT CASE WHEN place = 1 THEN name ELSE name || '|' || (full_names + (first_kind > 0)::INT) END AS name, taxid FROM pl WHERE place = 1 OR kind = 0""", O.NODES, O.NAMES))
 def scan_name_variants(spark, sf):
-    return P.name_variants(name_rows(spark, sf).withColumn("name", F.substring("name", 1, 14)))
+    """Names of taxa and, as names that recur, those of parts."""
+    parts = S.table(spark, sf, "part").select((2000000 + F.col("p_partkey")).cast("int").alias("taxid"), F.col("p_name").alias("name"))
+    rows = name_rows(spark, sf).select("taxid", "name", F.col("ord").cast("long"))
+    return P.name_variants(rows.unionByName(parts.withColumn("ord", F.col("taxid").cast("long") * 2)))
 
 
 # A record for each document: header, and all its letters in lines of 60.

@@ -80,6 +80,24 @@ def profile_evalue_cutoff(spark, sf):
     return S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query")).agg(F.count_if(ev <= 5).alias("kept"), F.count_if(ev > 5).alias("unknown"))
 
 
+TEXT_EVALUE = "CASE {0} % 9 WHEN 0 THEN '-' ELSE '1e-' || {0} % 9 END"
+
+
+@query("taxonomic_profile_cutoff", O.sql(f", cut AS (SELECT query, {TEXT_EVALUE.format('query')} AS e FROM rd) SELECT rank, taxon, sum(n)::BIGINT AS n FROM (SELECT rank, taxon, count(*) AS n FROM ent JOIN cut USING (query) WHERE coalesce(try_cast(e AS DOUBLE), 0) <= 1e-3 GROUP BY ALL UNION ALL SELECT 'superkingdom', 'Unknown', count(*) FROM cut WHERE try_cast(e AS DOUBLE) > 1e-3) WHERE n > 0 GROUP BY ALL", *BASE))
+def taxonomic_profile_cutoff(spark, sf):
+    """E-values by order, some of them not known."""
+    q = F.col("query") % 9
+    rows = reads(spark, sf).withColumn("evalue", F.when(q == 0, "-").otherwise(F.concat(F.lit("1e-"), q.cast("string"))))
+    return P.taxonomic_profile(P.unknown_above(rows, 1e-3), scientific(spark, sf))
+
+
+@query("functional_profile_cutoff", f"SELECT go_id, upper(go_id) AS term, length(go_id)::VARCHAR AS category, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS go_id FROM part WHERE coalesce(try_cast({TEXT_EVALUE.format('p_partkey')} AS DOUBLE), 0) <= 1e-3) GROUP BY go_id")
+def functional_profile_cutoff(spark, sf):
+    k = F.col("p_partkey") % 9
+    rows = S.table(spark, sf, "part").select(F.split("p_name", " ").alias("go"), F.when(k == 0, "-").otherwise(F.concat(F.lit("1e-"), k.cast("string"))).alias("evalue"))
+    return P.functional_profile(P.within(rows, 1e-3), terms(spark, sf))
+
+
 GO = "SELECT unnest(string_split(p_name, ' ')) AS go_id FROM part"
 
 

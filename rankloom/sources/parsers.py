@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.ranks import rank_id
@@ -47,9 +47,19 @@ def scientific_names(rows: DataFrame) -> DataFrame:
 
 
 def name_variants(rows: DataFrame) -> DataFrame:
-    """name to taxid with the first line keeping the name and later ones numbered `name|2`, `name|3`; environmental samples are left out."""
-    own = rows.where(~F.lower("name").contains("environmental samples")).withColumn("n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("ord")))
-    return own.select(F.when(F.col("n") == 1, F.lower("name")).otherwise(F.concat(F.lower("name"), F.lit("|"), F.col("n").cast("string"))).alias("name"), "taxid")
+    """name (lower case) to taxid of names (name, taxid, ord) and of their short forms "g. species" and "g.species".
+
+    Lines go by ord. The first to use a name has it; a later full name is numbered `name|2`, `name|3`, a later
+    short form is left out. Lines that read `environmental samples` are left out.
+    """
+    own = rows.where("name <> 'environmental samples'")
+    at, initial = F.instr("name", " "), F.concat(F.substring("name", 1, 1), F.lit("."))
+    forms = F.array(F.col("name"), *[F.when(at > 1, F.concat(initial, F.substring(F.col("name"), at + k, F.length("name")))) for k in (0, 1)])
+    each = own.select("taxid", "ord", F.posexplode(F.transform(forms, F.lower)).alias("kind", "name")).where("name is not null")
+    by_name = Window.partitionBy("name").orderBy("ord", "kind")
+    each = each.withColumn("place", F.row_number().over(by_name)).where("place = 1 or kind = 0")
+    n = F.row_number().over(by_name)
+    return each.select(F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit("|"), n.cast("string"))).alias("name"), "taxid")
 
 
 #: Lines of a block.
@@ -74,6 +84,20 @@ def fasta(lines: DataFrame, file: str = "file") -> DataFrame:
     return out.where("record is not null").select(file, F.regexp_extract("header", "^[^ \t]*", 0).alias("id"), F.regexp_extract("header", "^[^ \t]*[ \t]*(.*)$", 1).alias("description"), F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("seq"))
 
 
+def fasta_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """id, description, seq of the records of FASTA files, packed by gzip or plain.
+
+    Spark cuts the text at each header, so plain files are read in splits and no lines are put in order. Blank
+    lines and those that begin with # are skipped; what precedes the first header is left out.
+    """
+    chunks = spark.read.text(path, lineSep="\n>").select(F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n").alias("_lines"))
+    skipped = lambda line: (F.trim(line) == "") | line.startswith("#")
+    chunks = chunks.where(F.exists("_lines", lambda line: ~skipped(line)))
+    header = F.get("_lines", F.lit(0))
+    body = F.filter(F.slice("_lines", F.lit(2), F.size("_lines")), lambda line: ~skipped(line))
+    return chunks.select(F.regexp_extract(header, "^[^ \t]*", 0).alias("id"), F.regexp_extract(header, "^[^ \t]*[ \t]*(.*)$", 1).alias("description"), F.array_join(body, "").alias("seq"))
+
+
 def fasta_by_id(records: DataFrame) -> DataFrame:
     """id, seq; a repeated id raises."""
     per = records.groupBy("id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import formats, sequence
-from rankloom.operators import classify, modes, organisms, taxonomy
+from rankloom.operators import classify, modes, organisms, profile, taxonomy
 from rankloom.plans.functions import rule_matrix
 from rankloom.sources import parsers
 from tests.test_core import NODES, mirror
@@ -164,3 +165,62 @@ def test_fasta_across_blocks(spark, monkeypatch):
     lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(text)] + [("g", k, x) for k, x in enumerate(text)], "file string, ord int, value string")
     got = sorted(tuple(r) for r in parsers.fasta(lines).collect())
     assert got == [(f, *r) for f in "fg" for r in (("a", "one", "ACGTTT"), ("b", "", "GG"), ("c", "two words", "ACGTA"))]
+
+
+def test_name_variants(spark):
+    rng = random.Random(7)
+    words = ["Alpha", "Aleph", "A.", "beta", "Beta", "gamma", "a.beta", "environmental samples"]
+    lines = [(k, " ".join(rng.choices(words, k=rng.randint(1, 3))), k) for k in range(200)] + [(200, "environmental samples", 200)]
+    want = {}
+    for t, name, _ in lines:
+        if name == "environmental samples":
+            continue
+        key, n = name.lower(), 2
+        while key in want:
+            key, n = f"{name.lower()}|{n}", n + 1
+        want[key] = t
+        head, _, rest = name.partition(" ")
+        if rest:
+            want.setdefault(f"{head[0]}. {rest}".lower(), t)
+            want.setdefault(f"{head[0]}.{rest}".lower(), t)
+    got = parsers.name_variants(spark.createDataFrame(lines, "taxid int, name string, ord int").repartition(3)).collect()
+    assert len(got) == len(want) and {r["name"]: r.taxid for r in got} == want
+
+
+def test_fasta_files(spark, tmp_path):
+    import gzip
+
+    text = "# made by hand\n\n>a first one\r\nAC\r\nGT\r\n\n# note\n>b\n>c\tthird > of all\nAA\nCC"
+    (tmp_path / "x.fa").write_bytes(text.encode())
+    (tmp_path / "y.fa.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "z.fa").write_bytes(b"")
+    want = {("a", "first one", "ACGT"), ("b", "", ""), ("c", "third > of all", "AACC")}
+    for name in ("x.fa", "y.fa.gz"):
+        assert {tuple(r) for r in parsers.fasta_files(spark, f"{tmp_path}/{name}").collect()} == want
+    assert parsers.fasta_files(spark, f"{tmp_path}/z.fa").count() == 0
+    assert parsers.fasta_files(spark, str(tmp_path)).count() == 6
+
+
+def test_training_records(spark):
+    nodes = [(1, 1, 0), (131567, 1, 0), (2, 131567, 1), (20, 2, 0), (21, 20, 5), (22, 21, 23), (23, 22, 27), (10239, 1, 1), (31, 10239, 27)]
+    tree = taxonomy.lineages(spark.createDataFrame(nodes, "taxid int, parent int, rank int"))
+    names = spark.createDataFrame([(t, f"n{t}") for t, _, _ in nodes], "taxid int, name string")
+    rows = spark.createDataFrame([("s", 23, "AC"), ("t", 20, "GG"), ("u", 1, "")], "id string, taxid int, seq string")
+    got = {r.id: r.record for r in organisms.training_records(rows, tree, names).collect()}
+    assert got == {"s": ">s 1_root;2_n2;21_n21;22_n22\nAC", "t": ">t 1_root;2_n2\nGG", "u": ">u 1_root;\n"}
+    lines = {r.line for r in organisms.training_taxa(rows, tree, names).collect()}
+    assert lines == {"1*1_root*0*0*norank", "2*2_n2*1*1*superkingdom", "21*21_n21*2*2*phylum", "22*22_n22*21*3*genus"}
+    with pytest.raises(Exception, match="no trained node above taxon 10239"):
+        organisms.training_taxa(rows.withColumn("taxid", F.lit(31)), tree, names).collect()
+    with pytest.raises(Exception, match="unknown taxon 99"):
+        organisms.training_records(rows.withColumn("taxid", F.lit(99)), tree, names).collect()
+    with pytest.raises(Exception, match="no name of taxon 20"):
+        organisms.training_records(rows, tree, names.where("taxid <> 20")).collect()
+    assert organisms.training_taxa(rows.limit(0), tree, names).count() == 1
+
+
+def test_evalue_cutoff(spark):
+    rows = spark.createDataFrame([("a", 5, "1e-5"), ("b", 6, "0.1"), ("c", 7, "-"), ("d", 8, None)], "query string, taxid int, evalue string").withColumn("path", F.array(F.struct("taxid")))
+    got = {r["query"]: (r.taxid, r.path is None) for r in profile.unknown_above(rows, 1e-3).collect()}
+    assert got == {"a": (5, False), "b": (0, True), "c": (7, False), "d": (8, False)}
+    assert {r["query"] for r in profile.within(rows, 1e-3).collect()} == {"a", "c", "d"}
