@@ -19,11 +19,15 @@ MODULES = {
     "op8_jaccard": "jaccard",
     "op9_warc": "warc",
     "op10_store": "store",
+    "op11_exact": "exactfit",
+    "op12_resampling": "resampling",
+    "op13_search": "search",
 }
 
 #: Query: module and constant that hold its DuckDB SQL.
 SQL = {
     "op9_warc": ("warc", "OP9_SQL"),
+    "op13_search": ("search", "OP13_SQL"),
 }
 
 
