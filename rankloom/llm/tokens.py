@@ -133,7 +133,7 @@ class ByteEncoder:
     """
 
     #: What only the tokenizer's own library encodes.
-    OTHER = re.compile("[^\t-\r -~\xa1-\u024f\u2010-\u2027]|<\\|")
+    OTHER = re.compile("[^\t-\r -~\xa1-\u024f\u2010-\u2027]|<\\||\\s{999}")
     #: First step of byte-level tokenizers: a fixed pattern.
     STEP = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     PROBE = ("The end isn't near.", "a  b \n c\t\n", "straße élève ñandú 12345 ½", "x...!? (b_c)-- ‘q’ — …", "zzzzqzzzz' 'll we'll", "")
