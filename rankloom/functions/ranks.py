@@ -75,7 +75,7 @@ def reduce_by_rank(path: Column, rank: Column) -> Column:
     start = F.struct(F.lit(0).alias("rank"), F.lit(-1).alias("taxid"))
     rises = lambda acc, s: (s["rank"] > 0) & (s["rank"] <= rank) & (s["rank"] > acc["rank"]) & (acc["rank"] != rank)
     step = lambda acc, s: F.struct(F.when(rises(acc, s), s["rank"]).otherwise(acc["rank"]).alias("rank"), F.when(rises(acc, s), s["taxid"]).otherwise(acc["taxid"]).alias("taxid"))
-    return F.aggregate(F.slice(path, 2, 1000), start, step)["taxid"]
+    return F.aggregate(F.slice(path, F.lit(2), F.size(path)), start, step)["taxid"]
 
 
 def least_rank_for(length: Column, identity: Column, gaps: Column, positives_more: Column) -> Column:

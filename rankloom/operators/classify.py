@@ -84,7 +84,7 @@ def assign(rows: DataFrame, match_type: str = "BLASTX") -> DataFrame:
     cut = F.when(F.col("rank_id") > 0, ranks.reduce_by_rank(F.col("path"), F.col("rank_id"))).otherwise(-1)
     if "support" in rows.columns:
         rows, cut = held(rows.withColumn("_by_score", cut)), F.col("_by_score")
-        again = F.greatest(ranks.reduce_by_rank(F.col("path"), F.col("support")), F.lit(0))
+        again = F.greatest(ranks.reduce_by_rank(F.col("path"), F.least("rank_id", "support")), F.lit(0))
         cut = F.when((cut > 0) & F.col("no_worse"), again).otherwise(cut)
     possible = F.col("self_score").isNotNull() & F.col("query_score").isNotNull()
     out = held(rows.withColumn("_cut", F.when(possible, cut)))

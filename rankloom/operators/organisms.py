@@ -9,9 +9,8 @@ from rankloom.functions import ranks
 from rankloom.operators import taxonomy as T
 
 
-def _beginnings(text: Column) -> Column:
-    """A text less its last word, less its last two, and so on."""
-    words = F.split(text, " ")
+def _beginnings(words: Column) -> Column:
+    """A text, given as its words, less its last word, less its last two, and so on."""
     n = F.size(words)
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(words, 1, n - k), " "))).otherwise(F.array().cast("array<string>"))
 
@@ -34,34 +33,38 @@ def _bracketed(text: Column) -> Column:
     return F.when(found["height"] == 0, F.substring(before, F.length(before) - found["seen"] + 2, found["seen"] - 1))
 
 
-def candidates(header: Column) -> Column:
-    """Names that a description line may mean, the most likely first, in lower case.
+def with_candidates(rows: DataFrame, header: Column, out: str = "candidates") -> DataFrame:
+    """Adds the names that a description line may mean, the most likely first, in lower case.
 
     Lines of `>pir|` give what follows " - ", then what stands in the last round brackets, then the text without
     these brackets and the word strain, then its beginnings. Other lines give what stands in the last square
     brackets, or what of it precedes a comma; without such brackets what follows " from ", then beginnings.
+
+    Each step is a column of its own, so that none is worked out again wherever it is named. Explode the result with
+    posexplode_outer: for the plain form the optimiser puts all steps, copied into each other, into a filter of its own.
     """
-    name = F.lower(F.when(F.contains(header, F.lit(" - ")), F.substring(header, F.instr(header, F.lit(" - ")) + 3, F.lit(1 << 30))))
-    open_, close = _last(name, "("), _last(name, ")")
+    c, keep = F.col, rows.columns
+    after = lambda s, mark: F.when(F.contains(s, F.lit(mark)), F.substring(s, F.instr(s, F.lit(mark)) + len(mark), F.lit(1 << 30)))
     cut = lambda s, at: F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + 1, F.lit(1 << 30)))
-    bare = F.when(open_ < close, cut(cut(name, close), open_)).otherwise(cut(cut(name, close), open_))
-    once = lambda s, word: F.when(F.contains(s, F.lit(word)), F.concat(F.substring(s, F.lit(1), F.instr(s, F.lit(word)) - 1), F.substring(s, F.instr(s, F.lit(word)) + len(word), F.lit(1 << 30)))).otherwise(s)
-    clean = F.regexp_replace(once(once(bare, ", substrain"), "strain"), " {2,}", " ")
-    inside = F.substring(name, open_ + 1, close - open_ - 1)
-    pir = F.when((open_ > 0) & (close > 0), F.concat(F.array(name, inside, clean), _beginnings(clean))).otherwise(F.concat(F.array(name), _beginnings(name)))
-    low = F.lower(header)
-    source = F.when(F.contains(low, F.lit(" from ")), F.substring(low, F.instr(low, F.lit(" from ")) + 6, F.lit(1 << 30)))
-    after = F.when(F.contains(low, F.lit(" ")), F.substring(low, F.instr(low, F.lit(" ")) + 1, F.lit(1 << 30)))
-    loose = F.concat(F.array(source), F.coalesce(_beginnings(after), F.array().cast("array<string>")))
-    square = F.lower(_bracketed(header))
-    boxed = F.array(square, F.substring_index(square, ",", 1))
-    out = F.when(F.startswith(header, F.lit(">pir|")), pir).when(F.contains(header, F.lit("]")), boxed).otherwise(loose)
-    return F.filter(F.coalesce(out, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    once = lambda s, word: F.when(F.contains(s, F.lit(word)), F.concat(F.substring(s, F.lit(1), F.instr(s, F.lit(word)) - 1), after(s, word))).otherwise(s)
+    rows = rows.withColumn("_h", header)
+    rows = rows.withColumns({"_low": F.lower("_h"), "_name": F.lower(after(c("_h"), " - "))})
+    rows = rows.withColumns({"_open": _last(c("_name"), "("), "_close": _last(c("_name"), ")"), "_source": after(c("_low"), " from "), "_words": F.split(after(c("_low"), " "), " ")})
+    far, near = F.greatest("_open", "_close"), F.least("_open", "_close")
+    rows = rows.withColumn("_bare", cut(cut(c("_name"), far), near)).withColumn("_bare", once(c("_bare"), ", substrain")).withColumn("_bare", F.regexp_replace(once(c("_bare"), "strain"), " {2,}", " "))
+    rows = rows.withColumns({"_inside": F.substring(c("_name"), c("_open") + 1, c("_close") - c("_open") - 1), "_bare_words": F.split("_bare", " "), "_name_words": F.split("_name", " ")})
+    rows = rows.withColumn("_square", F.when(F.contains("_h", F.lit("]")), F.lower(_bracketed(c("_h")))))
+    none = F.array().cast("array<string>")
+    pir = F.when((c("_open") > 0) & (c("_close") > 0), F.concat(F.array("_name", "_inside", "_bare"), _beginnings(c("_bare_words")))).otherwise(F.concat(F.array("_name"), _beginnings(c("_name_words"))))
+    loose = F.concat(F.array("_source"), F.coalesce(_beginnings(c("_words")), none))
+    boxed = F.array(c("_square"), F.substring_index("_square", ",", 1))
+    found = F.when(F.startswith("_h", F.lit(">pir|")), pir).when(F.contains("_h", F.lit("]")), boxed).otherwise(loose)
+    return rows.withColumn("_found", found).select(*keep, F.filter(F.coalesce("_found", none), lambda x: x.isNotNull()).alias(out))
 
 
 def organism_taxid(rows: DataFrame, key: str, header: str, names: DataFrame) -> DataFrame:
     """key, taxid of each description: the first of its candidates that is a name (name, taxid), 0 if none is."""
-    wide = rows.select(key, F.posexplode(candidates(F.col(header))).alias("_at", "name"))
+    wide = with_candidates(rows.select(key, header), F.col(header)).select(key, F.posexplode_outer("candidates").alias("_at", "name"))
     found = wide.join(names, "name").groupBy(key).agg(F.min_by("taxid", "_at").alias("taxid"))
     return rows.select(key).join(found, key, "left").select(key, F.coalesce("taxid", F.lit(0)).alias("taxid"))
 
@@ -86,20 +89,25 @@ def without_gap_columns(rows: DataFrame, column: str = "aligned", least_width: i
 
 
 def specific_records(rows: DataFrame, tree: DataFrame, names: DataFrame, left_out: list[int], rank: int) -> DataFrame:
-    """record, id, taxid of aligned sequences (id, taxid, offset, aligned) of specific taxa not below the ancestors of the listed ones; all-gap columns are taken out.
+    """record, id, taxid of aligned sequences (id, taxid, aligned) of specific taxa not below the ancestors of the listed ones; all-gap columns are taken out.
 
-    A record is `>id_taxid`, with ` OFFSETn` where n is not 0, and the row on the next line.
+    A record is `>id_taxid OFFSETn` and the row without its outer gaps, n of which stood before it. A row of gaps
+    alone and a repeated id raise.
     """
     kept = T.with_path(rows, tree).where(F.col("path").isNotNull())
     kept = T.named_genus(kept, names).where(T.specific(F.col("path"), F.col("genus_name"))).drop("genus_name")
     if left_out:
         kept = T.excluded(kept, left_out, tree, rank)
-    kept = without_gap_columns(kept)
-    head = F.concat(F.lit(">"), "id", F.lit("_"), F.col("taxid").cast("string"), F.when(F.col("offset") > 0, F.concat(F.lit(" OFFSET"), F.col("offset").cast("string"))).otherwise(""))
-    return kept.select(F.concat(head, F.lit("\n"), "aligned").alias("record"), "id", "taxid")
+    once = kept.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = without_gap_columns(kept).join(once, "id")
+    inner = F.regexp_replace("aligned", "^-+|-+$", "")
+    offset = F.length("aligned") - F.length(F.regexp_replace("aligned", "^-+", ""))
+    name = F.when(F.col("_n") == 1, F.col("id")).otherwise(_error("repeated id: ", F.col("id")))
+    body = F.when(inner != "", inner).otherwise(_error("gaps alone: ", F.col("id")))
+    return kept.select(F.concat(F.lit(">"), name, F.lit("_"), F.col("taxid").cast("string"), F.lit(" OFFSET"), offset.cast("string"), F.lit("\n"), body).alias("record"), "id", "taxid")
 
 
-#: Ranks that the lineages of a 16S training set hold, and the superkingdoms right below its root.
+# Ranks that the lineages of a 16S training set hold, and the superkingdoms right below its root.
 TRAINED_RANKS = (1, 5, 8, 14, 19, 23)
 SUPERKINGDOMS = (2, 2157, 2759)
 

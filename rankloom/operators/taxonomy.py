@@ -14,22 +14,25 @@ def with_merged(nodes: DataFrame, merged: DataFrame) -> DataFrame:
     return nodes.unionByName(merged.join(nodes, F.col("new_id") == F.col("taxid")).select(F.col("old_id").alias("taxid"), "parent", "rank"))
 
 
-def lineages(nodes: DataFrame, most_depth: int = 256) -> DataFrame:
-    """taxid, rank, path (root first) of every node that reaches the root.
+def lineages(nodes: DataFrame) -> DataFrame:
+    """taxid, rank, path (root first) of every node that reaches the root, however deep; a cycle raises.
 
-    Pointers are doubled: after k joins a path holds 2**k nodes, so a depth of 256 takes 8 joins. Only paths that
+    Pointers are doubled: after k joins a path holds 2**k nodes, so a depth of d takes log2(d) joins. Only paths that
     have not reached the root are joined again, with all as they were before the round; a node whose path ends at
-    a missing parent is left out, and one on a cycle stays open. Each round is checkpointed, so plans stay one
-    join deep and a lost executor costs a task's repetition.
+    a missing parent is left out. Each round is checkpointed, so plans stay one join deep and a lost executor costs a
+    task's repetition.
     """
     step = F.when(F.col("parent") == F.col("taxid"), None).otherwise(F.col("parent"))
-    rows, depth = checkpointed(nodes.select("taxid", "rank", F.array(F.struct("taxid", "rank")).alias("path"), step.alias("top"))), 1
-    while depth < most_depth and rows.where("top is not null").limit(1).count():
+    rows = checkpointed(nodes.select("taxid", "rank", F.array(F.struct("taxid", "rank")).alias("path"), step.alias("top")))
+    inside = F.exists("path", lambda s: s["taxid"] == F.col("top"))
+    while (said := rows.where("top is not null").agg(F.count("top").alias("open"), F.bool_or(inside).alias("cycle")).first())["open"]:
+        if said["cycle"]:
+            raise ValueError("the taxonomy has a cycle")
         up = rows.select(F.col("taxid").alias("_t"), F.col("path").alias("_p"), F.col("top").alias("_top"))
         far = rows.where("top is not null").join(up, F.col("top") == F.col("_t"))
         far = far.select("taxid", "rank", F.concat("_p", "path").alias("path"), F.col("_top").alias("top"))
-        rows, depth = checkpointed(rows.where("top is null").unionByName(far)), 2 * depth
-    return rows.where("top is null").select("taxid", "rank", "path")
+        rows = checkpointed(rows.where("top is null").unionByName(far))
+    return rows.select("taxid", "rank", "path")
 
 
 def with_path(rows: DataFrame, tree: DataFrame, taxid: str = "taxid", path: str = "path") -> DataFrame:

@@ -69,9 +69,10 @@ def core_classify(spark, sf):
 USABLE = f""", alw AS (SELECT query, ord, {ALN} FROM ph), sup AS (SELECT query, ord, coalesce({RANK_FOR}, 0) AS support FROM alw),
 use AS (SELECT * FROM (SELECT ph.*, support, max(CASE WHEN ev > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY ph.query ORDER BY ph.ord) AS f FROM ph JOIN sup ON ph.query = sup.query AND ph.ord = sup.ord) WHERE f = 0 AND aln_len >= 10)"""
 COMPUTED = """, bs AS (SELECT query, max_by(support, (score, -ord)) AS support FROM use GROUP BY query),
-red AS (SELECT res.*, coalesce(bids[list_position(brks, list_max(list_filter(brks, lambda z: z > 0 AND z <= support)))], 0) AS again FROM res JOIN bs USING (query))
+red AS (SELECT res.*, coalesce(bids[list_position(brks, list_max(list_filter(brks, lambda z: z > 0 AND z <= support)))], 0) AS alone,
+  coalesce(bids[list_position(brks, list_max(list_filter(brks, lambda z: z > 0 AND z <= least(support, rank_id))))], 0) AS again FROM res JOIN bs USING (query))
 SELECT o.o_orderkey AS query, CASE WHEN n IS NULL THEN 'not_possible' WHEN n = 1 THEN 'single_hit' WHEN cut < 0 THEN 'no_valid_rank' ELSE 'interval_BLASTX' END AS property,
- CASE WHEN n IS NULL THEN 0 WHEN n = 1 THEN again WHEN cut < 0 THEN 0 WHEN no_worse THEN again ELSE cut END AS taxid FROM orders o LEFT JOIN red ON o.o_orderkey = query"""
+ CASE WHEN n IS NULL THEN 0 WHEN n = 1 THEN alone WHEN cut < 0 THEN 0 WHEN no_worse THEN again ELSE cut END AS taxid FROM orders o LEFT JOIN red ON o.o_orderkey = query"""
 
 
 @query("compute_classification", O.sql(COMPUTED, *O.TREE_HITS, USABLE, PAIRS.format(src="use"), SLOTS.replace("{k}", "")))

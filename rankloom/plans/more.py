@@ -11,7 +11,7 @@ from rankloom.operators import organisms as G
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.functions import rule_matrix
-from rankloom.plans.parsing import name_rows
+from rankloom.plans.parsing import listed_others, name_rows
 from rankloom.plans.registry import query
 from rankloom.plans.taxonomy import tree
 from rankloom.sources import parsers as P
@@ -29,14 +29,14 @@ def scan_blast_index(spark, sf):
     return P.blast_index(lines.select("file", (k * 4 + F.col("k")).alias("ord"), "value"))
 
 
-@query("scan_reciprocal_report", """SELECT l_orderkey::VARCHAR AS "group", max(l_quantity) FILTER (l_linenumber = 1) AS self_score, max(l_quantity) FILTER (l_linenumber = 2) AS query_score,
- count(*) FILTER (l_linenumber > 2 AND l_quantity >= 20) AS n_others FROM lineitem GROUP BY l_orderkey""")
+@query("scan_reciprocal_report", """SELECT l_orderkey::VARCHAR AS "group", max_by(l_quantity, l_quantity::VARCHAR) FILTER (l_linenumber = 1) AS self_score, max_by(l_quantity, l_quantity::VARCHAR) FILTER (l_linenumber = 2) AS query_score,
+ count(*) FILTER (l_linenumber > 2 AND l_quantity >= 20) AS n_others, coalesce(string_agg(l_partkey || ':' || l_quantity::INT, ',' ORDER BY l_partkey || chr(10), l_quantity::VARCHAR) FILTER (l_linenumber > 2 AND l_quantity >= 20), '') AS others FROM lineitem GROUP BY l_orderkey""")
 def scan_reciprocal_report(spark, sf):
     n = F.col("l_linenumber")
     subject = F.when(n == 1, "self").when(n == 2, "query").otherwise(F.col("l_partkey").cast("string"))
     block = F.concat(F.lit("\n>"), subject, F.lit("\n          Length = 90\n\n Score = "), F.col("l_quantity").cast("string"), F.lit(" bits (9), Expect = 1e-5\n\n Score = 999.0 bits (9), Expect = 1e-5\n"))
     rows = S.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(block)), "").alias("blocks"))
-    return P.reciprocal_report(rows.select(F.concat(F.lit("Query= "), F.col("l_orderkey").cast("string"), F.lit("\n"), "blocks").alias("value")), 20)
+    return listed_others(P.reciprocal_report(rows.select(F.concat(F.lit("Query= "), F.col("l_orderkey").cast("string"), F.lit("\n"), "blocks").alias("value")), 20))
 
 
 @query("number_formats", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%g', l_extendedprice / 3.7::DOUBLE) AS a, printf('%g', l_extendedprice * 1000 / 3.7::DOUBLE) AS b, printf('%g', l_quantity / l_extendedprice / 700) AS c FROM lineitem")
@@ -64,12 +64,18 @@ def rdp_taxid_map(spark, sf):
     return G.id_to_taxid(rows.select("id", F.coalesce("taxid", F.lit(0)).alias("taxid")))
 
 
-@query("specific_rdp", O.sql("""SELECT '>S' || taxid || '_' || taxid || CASE WHEN taxid % 3 > 0 THEN ' OFFSET' || taxid % 3 ELSE '' END || chr(10) || substring('ACGT', taxid % 4 + 1, 1) AS record, 'S' || taxid AS id, taxid FROM lin
- WHERE rank >= 27 AND list_contains(rks, 5) AND list_contains(rks, 23) AND ids[list_position(rks, 23)] % 11 <> 0""", *O.TREE))
+@query("specific_rdp", O.sql("""SELECT '>S' || taxid || '_' || taxid || ' OFFSET' || (length(cells) - length(ltrim(cells, '-'))) || chr(10) || trim(cells, '-') AS record, 'S' || taxid AS id, taxid FROM keep""", *O.TREE, """,
+spec AS (SELECT taxid FROM lin WHERE rank >= 27 AND list_contains(rks, 5) AND list_contains(rks, 23) AND ids[list_position(rks, 23)] % 11 <> 0),
+raw AS (SELECT taxid, repeat('-', taxid % 4) || substring(md5(taxid::VARCHAR), 1, 9) || repeat('-', 1 + taxid % 3) || substring(md5(taxid::VARCHAR), 9, 7) || repeat('-', 5 - taxid % 5) AS broad FROM spec),
+cut AS (SELECT taxid, substring(translate(broad, '0123456789abcdef', 'ACG-ACG-ACG-ACGT'), 1, 18) AS aligned FROM raw),
+used AS (SELECT list(pos ORDER BY pos) AS kept FROM (SELECT DISTINCT pos FROM (SELECT unnest(string_split(aligned, '')) AS c, generate_subscripts(string_split(aligned, ''), 1) AS pos FROM cut) WHERE c <> '-')),
+keep AS (SELECT taxid, array_to_string(list_transform(kept, lambda p: substring(aligned, p, 1)), '') AS cells FROM cut, used WHERE length(replace(aligned, '-', '')) > 0)"""))
 def specific_rdp(spark, sf):
-    """Of four columns only the third holds residues."""
-    t = F.col("taxid")
-    rows = tree(spark, sf).select(F.concat(F.lit("S"), t.cast("string")).alias("id"), "taxid", (t % 3).alias("offset"), F.concat(F.lit("--"), F.substring(F.lit("ACGT"), t % 4 + 1, F.lit(1)), F.lit("-")).alias("aligned"))
+    """Rows with gaps inside and outside; columns of gaps alone go, and offsets are those of what is left."""
+    t, text = F.col("taxid"), F.md5(F.col("taxid").cast("string"))
+    gaps = lambda n: F.repeat(F.lit("-"), n.cast("int"))
+    full = F.concat(gaps(t % 4), F.substring(text, 1, 9), gaps(1 + t % 3), F.substring(text, 9, 7), gaps(5 - t % 5))
+    rows = tree(spark, sf).select(F.concat(F.lit("S"), t.cast("string")).alias("id"), "taxid", F.substring(F.translate(full, "0123456789abcdef", "ACG-ACG-ACG-ACGT"), 1, 18).alias("aligned"))
     names = tree(spark, sf).where("rank = 23").select("taxid", F.when(t % 11 == 0, "environmental samples").otherwise("genus").alias("name"))
     return G.specific_records(rows, tree(spark, sf), names, [], 19)
 

@@ -79,14 +79,33 @@ def fasta_to_map(spark, sf):
     return P.fasta_by_id(P.fasta(fasta_lines(spark, sf)))
 
 
-@query("scan_blast_m8", "SELECT l_orderkey::VARCHAR AS query, 'gi|' || l_partkey AS subject, (60 + l_suppkey % 40)::DOUBLE AS pct_identity, l_quantity::INT AS aln_len, l_linenumber AS mismatches, l_extendedprice AS bitscore FROM lineitem")
+@query("scan_blast_m8", "SELECT l_orderkey::VARCHAR AS query, 'gi|' || l_partkey AS subject, (60 + l_suppkey % 40)::DOUBLE AS pct_identity, l_quantity::INT AS aln_len, l_linenumber AS mismatches, (l_suppkey % 3)::INT AS gap_openings, l_linenumber + 1 AS q_start, l_linenumber + 2 AS q_end, l_linenumber + 3 AS s_start, l_linenumber + 4 AS s_end, 1e-5::DOUBLE AS evalue, l_extendedprice AS bitscore FROM lineitem")
 def scan_blast_m8(spark, sf):
     r = S.table(spark, sf, "lineitem")
-    one, text = F.lit(1), F.lit("x")
-    cells = [F.col("l_orderkey"), F.concat(F.lit("gi|"), F.col("l_partkey").cast("string")), 60 + F.col("l_suppkey") % 40, F.col("l_quantity").cast("int"), F.col("l_linenumber"), one, one, one, one, one, F.lit("1e-5"), F.col("l_extendedprice")]
-    plain, surplus = line(*cells), line(cells[0], text, *cells[1:])
-    rows = r.select(F.when(F.col("l_linenumber") % 2 == 0, plain).otherwise(surplus).alias("value"), F.lit(0).alias("ord"))
-    return P.blast_m8(rows).select("query", "subject", "pct_identity", "aln_len", "mismatches", "bitscore")
+    n = F.col("l_linenumber")
+    cells = [F.col("l_orderkey"), F.concat(F.lit("gi|"), F.col("l_partkey").cast("string")), 60 + F.col("l_suppkey") % 40, F.col("l_quantity").cast("int"), n, F.col("l_suppkey") % 3, n + 1, n + 2, n + 3, n + 4, F.lit("1e-5"), F.col("l_extendedprice")]
+    plain, surplus = line(*cells), line(cells[0], F.lit("x"), *cells[1:])
+    rows = r.select(F.when(n % 2 == 0, plain).otherwise(surplus).alias("value"), F.lit(0).alias("ord"))
+    return P.blast_m8(rows).drop("ord")
+
+
+def m8_file(spark, sf):
+    """One file of tabular hits in order: a comment for every order, and its hits; every seventh query comes back at the end."""
+    k = F.col("o_orderkey")
+    head = S.table(spark, sf, "orders").select((k * 64).alias("ord"), F.concat(F.lit("# Query: q"), k.cast("string"), F.lit(" text")).alias("value"))
+    h, one = S.hits(spark, sf), F.lit(1)
+    place = F.when((F.col("query") % 7 == 0) & (F.col("ord") > 2), F.col("query") * 64 + (1 << 40)).otherwise(F.col("query") * 64)
+    rows = h.select((place + F.col("ord")).alias("ord"), line(F.concat(F.lit("q"), F.col("query").cast("string")), F.col("taxid"), *[one] * 9, F.col("score")))
+    return head.unionByName(rows)
+
+
+@query("m8_groups", O.sql("""SELECT g, query, n_hits, score FROM (
+ SELECT query * 64 AS g, 'q' || query AS query, count(*) FILTER (NOT late) AS n_hits, max(score) FILTER (NOT late)::DOUBLE AS score FROM (SELECT o_orderkey AS query, score, coalesce(query % 7 = 0 AND ord > 2, score IS NULL) AS late FROM orders LEFT JOIN hits ON query = o_orderkey) GROUP BY query
+ UNION ALL SELECT query * 64 + 1099511627776 + min(ord), 'q' || query, count(*), max(score)::DOUBLE FROM hits WHERE query % 7 = 0 AND ord > 2 GROUP BY query)""", O.NODES, O.HITS))
+def m8_groups(spark, sf):
+    """Groups of tabular hits: a new one wherever the query changes, empty ones for comments without hits."""
+    rows = P.m8_groups(m8_file(spark, sf))
+    return rows.groupBy(F.col("group").alias("g"), "query").agg(F.count("bitscore").alias("n_hits"), F.max("bitscore").alias("score"))
 
 
 @query("blast_field_extract", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS bitscore, l_suppkey::INT AS identities, (l_suppkey + 50)::INT AS aln_len, (l_suppkey % 90)::INT AS percent, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END AS gaps FROM lineitem")
@@ -103,23 +122,32 @@ def blast_field_extract(spark, sf):
     return rows.select(*keys, "bitscore", f["identities"].alias("identities"), f["aln_len"].alias("aln_len"), f["percent"].alias("percent"), f["gaps"].alias("gaps"))
 
 
-@query("scan_blast_report")
+@query("scan_blast_report", """SELECT 'BLASTX' AS "match", l_orderkey::VARCHAR AS query, 'gi|' || l_partkey || ' part' AS subject, 0 AS hsp, l_extendedprice AS bitscore, 1e-9::DOUBLE AS evalue, l_suppkey::INT AS identities, 900 AS aln_len, 10 AS percent, l_suppkey::INT AS positives, 0 AS gaps,
+ CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS frame, 1 AS q_start, 9 AS q_end, 5 AS s_start, 13 AS s_end, 'ACGTAC' AS q_seq, 'ACGTTT' AS s_seq FROM lineitem""")
 def scan_blast_report(spark, sf):
-    """A report record for each order, read back."""
+    """A report record for each order, read back: wrapped alignments, in frames and on strands."""
     s = lambda c: F.col(c).cast("string")
-    hit = F.concat(F.lit("\n>gi|"), s("l_partkey"), F.lit(" part\n          Length = 90\n\n Score = "), s("l_extendedprice"), F.lit(" bits (9), Expect = 1e-9\n Identities = "), s("l_suppkey"), F.lit("/900 (10%), Positives = "), s("l_suppkey"), F.lit("/900 (10%)\n Frame = +1\n\nQuery: 1 ACGT 4\n         ||||\nSbjct: 5 ACGT 8\n"))
+    minus = F.col("l_linenumber") % 2 == 0
+    wrapped = lambda ends: F.concat(*[F.lit(f"\n\nQuery: {a} {x} {b}\n         ||||\nSbjct: {c} {y} {d}\n") for (a, b), x, (c, d), y in zip(ends, ("ACGT", "AC"), ((5, 8), (9, 13)), ("ACGT", "TT"))])
+    ends = F.when(minus, F.concat(F.lit(" Strand = Plus / Minus"), wrapped(((9, 6), (5, 1))))).otherwise(F.concat(F.lit(" Frame = +1"), wrapped(((1, 4), (5, 9)))))
+    hit = F.concat(F.lit("\n>gi|"), s("l_partkey"), F.lit(" part\n          Length = 90\n\n Score = "), s("l_extendedprice"), F.lit(" bits (9), Expect = 1e-9\n Identities = "), s("l_suppkey"), F.lit("/900 (10%), Positives = "), s("l_suppkey"), F.lit("/900 (10%)\n"), ends)
     rows = S.table(spark, sf, "lineitem").select("l_orderkey", hit.alias("hit")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("hit"), "").alias("hits"))
-    return P.blast_report(rows.select(F.concat(F.lit("BLASTX 2.2\n\nQuery= "), s("l_orderkey"), F.lit("\n"), "hits").alias("value")))
+    return P.blast_report(rows.select(F.concat(F.lit("BLASTX 2.2\n\nQuery= "), s("l_orderkey"), F.lit("\n"), "hits").alias("value"))).drop("hit", "entries")
+
+
+def listed_others(rows):
+    """The taxa of the other scores as one text."""
+    return rows.withColumn("others", F.array_join(F.transform("others", lambda o: F.concat(o["taxid"].cast("string"), F.lit(":"), F.floor(o["score"]).cast("string"))), ","))
 
 
-@query("scan_reciprocal_m8", O.sql("SELECT query::VARCHAR AS \"group\", max(score) FILTER (ord = 1)::DOUBLE AS self_score, coalesce(max(score) FILTER (ord = 2), min(score))::DOUBLE AS query_score, count(*) FILTER (ord > 2) AS n_others FROM (SELECT query, ord, score FROM (SELECT *, CASE ord WHEN 1 THEN 'self' WHEN 2 THEN 'query' ELSE taxid::VARCHAR END AS subj FROM hits) QUALIFY lag(subj) OVER (PARTITION BY query ORDER BY ord) IS DISTINCT FROM subj) GROUP BY query", O.NODES, O.HITS))
+@query("scan_reciprocal_m8", O.sql("SELECT query::VARCHAR AS \"group\", max(score) FILTER (ord = 1)::DOUBLE AS self_score, coalesce(max(score) FILTER (ord = 2), min(score))::DOUBLE AS query_score, count(*) FILTER (ord > 2) AS n_others, coalesce(string_agg(taxid || ':' || score, ',' ORDER BY ord) FILTER (ord > 2), '') AS others FROM (SELECT query, ord, score, taxid FROM (SELECT *, CASE ord WHEN 1 THEN 'self' WHEN 2 THEN 'query' ELSE taxid::VARCHAR END AS subj FROM hits) QUALIFY lag(subj) OVER (PARTITION BY query ORDER BY ord) IS DISTINCT FROM subj) GROUP BY query", O.NODES, O.HITS))
 def scan_reciprocal_m8(spark, sf):
     h = S.hits(spark, sf)
     subject = F.when(F.col("ord") == 1, "self").when(F.col("ord") == 2, "query").otherwise(F.col("taxid").cast("string"))
     one = F.lit(1)
     lines = h.select(line(F.col("query"), subject, one, one, one, one, one, one, one, one, one, F.col("score")), "ord")
     rows = P.blast_m8(lines).select(F.col("query").alias("group"), "ord", "subject", "bitscore")
-    return P.reciprocal_m8(rows)
+    return listed_others(P.reciprocal_m8(rows))
 
 
 @query("scan_hmmscan", "SELECT 'PF' || l_partkey AS accession, l_orderkey::VARCHAR AS read, CASE WHEN l_linenumber = 1 THEN 0 ELSE -l_linenumber END AS frame, l_linenumber AS ali_from, (l_linenumber + l_quantity::INT)::INT AS ali_to FROM lineitem WHERE l_quantity::INT > 10")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from rankloom.plans import classification, functions, lookups, more, parsing, profiles, taxonomy  # noqa: F401
+    from rankloom.plans import classification, functions, lookups, modes, more, parsing, profiles, taxonomy  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

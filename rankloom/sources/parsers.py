@@ -121,25 +121,65 @@ def m8_queries(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith("# Query:")).select(F.regexp_extract("value", r"^# Query:\s*(\S+)", 1).alias("query"))
 
 
-def reciprocal_m8(hits: DataFrame, least: float = 0.0) -> DataFrame:
-    """group, self_score, query_score, others: of tabular hits (group, ord, subject, bitscore) with subjects `query`, `self` or a taxid.
+def m8_groups(lines: DataFrame) -> DataFrame:
+    """The hits of one file's lines (ord, value) with group, the place of the line that begins it; a query without hits has one row of nulls.
 
-    Of subjects repeated in a row the first counts; the query's score defaults to the least score kept.
+    A group begins at a `# Query:` comment and at a hit whose query is not that of the line before, so a query that
+    comes back begins another. The line before is looked for within blocks of lines and, for the first of a block, in
+    the last block that has one, so no task sorts the file.
     """
+    asked = F.regexp_extract("value", r"^# Query:\s*(\S+)", 1)
+    named = F.when(F.startswith("value", F.lit("#")), F.when(asked != "", asked)).otherwise(F.get(F.split("value", "\t"), F.lit(0)))
+    rows = lines.where(F.trim("value") != "").select("ord", "value", named.alias("query"), (asked != "").alias("_head"), F.floor(F.col("ord") / LINES).alias("_block")).where("query is not null")
+    own, before = Window.partitionBy("_block").orderBy("ord"), Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_block").agg(F.max_by("query", "ord").alias("_q")).select("_block", F.last("_q").over(before).alias("_carried"))  # a row a block
+    rows = rows.join(carried, "_block").withColumn("_previous", F.coalesce(F.lag("query").over(own), "_carried"))
+    rows = rows.withColumn("_start", F.when(F.col("_head") | ~F.col("query").eqNullSafe(F.col("_previous")), F.col("ord")))
+    started = rows.groupBy("_block").agg(F.max("_start").alias("_s")).select("_block", F.max("_s").over(before).alias("_open"))
+    rows = rows.join(started, "_block").withColumn("group", F.coalesce(F.max("_start").over(own), "_open"))
+    hits = blast_m8(rows.where("not _head").select(F.struct("ord", "group").alias("ord"), "value"))
+    groups = rows.select("group", "query").distinct()
+    cells = hits.select(F.col("ord.group").alias("group"), F.col("ord.ord").alias("ord"), *[c for c, _ in M8[1:]])
+    return groups.join(cells, "group", "left")
+
+
+def _kinds(rows: DataFrame, least: float, *keep: str) -> DataFrame:
+    """kind (self, query, other, low), taxid and score of subjects `query`, `self` or a taxid; others below `least` are low."""
+    own = F.col("subject").isin("query", "self")
+    kind = F.when(own, F.col("subject")).when(F.col("bitscore") >= least, "other").otherwise("low")
+    return rows.select(*keep, kind.alias("kind"), F.when(~own, F.col("subject").cast("int")).alias("taxid"), F.col("bitscore").cast("double").alias("score"))
+
+
+def reciprocal_rows_m8(hits: DataFrame, least: float = 0.0) -> DataFrame:
+    """group, ord, kind, taxid, score of tabular hits (group, ord, subject, bitscore); of subjects repeated in a row the first counts."""
     w = Window.partitionBy("group").orderBy("ord")
     once = hits.withColumn("_b", F.lag("subject").over(w)).where(~F.col("subject").eqNullSafe(F.col("_b")))
-    other = ~F.col("subject").isin("query", "self")
-    score = lambda s: F.max(F.when(F.col("subject") == s, F.col("bitscore")))
-    kept = F.when(other & (F.col("bitscore") >= least), F.col("bitscore"))
-    return once.groupBy("group").agg(score("self").alias("self_score"), F.coalesce(score("query"), F.min("bitscore")).alias("query_score"), F.count(kept).alias("n_others"))
+    return _kinds(once, least, "group", "ord")
 
 
-def reciprocal_report(records: DataFrame, least: float = 0.0) -> DataFrame:
-    """group, self_score, query_score, n_others of reports of one group each, whose subjects are `query`, `self` or a taxid; a subject's first alignment counts."""
+def reciprocal_rows_report(records: DataFrame, least: float = 0.0) -> DataFrame:
+    """The same of reports (value) of one group each; a subject's first alignment counts."""
     rows = blast_report(records).where("hsp = 0").withColumn("subject", F.substring_index("subject", " ", 1))
-    score = lambda s: F.max(F.when(F.col("subject") == s, F.col("bitscore")))
-    other = ~F.col("subject").isin("query", "self") & (F.col("bitscore") >= least)
-    return rows.groupBy(F.col("query").alias("group")).agg(score("self").alias("self_score"), score("query").alias("query_score"), F.count(F.when(other, 1)).alias("n_others"))
+    return _kinds(rows.withColumnsRenamed({"query": "group", "hit": "ord"}), least, "group", "ord")
+
+
+def reciprocal_m8(hits: DataFrame, least: float = 0.0) -> DataFrame:
+    """group, self_score, query_score, n_others, others (score, taxid) of tabular hits; the query's score defaults to the least, a group without self raises."""
+    own, asked = F.max_by("_self", "_self_ord"), F.max_by("_query", "_query_ord")
+    missing = F.raise_error(F.concat(F.lit("no self in group "), F.first("group").cast("string"))).cast("double")
+    return _by_group(reciprocal_rows_m8(hits, least), F.coalesce(own, missing), F.coalesce(asked, F.min("score")))
+
+
+def reciprocal_report(records: DataFrame, least: float = 0.0) -> DataFrame:
+    """The same of reports, where both scores may be missing."""
+    return _by_group(reciprocal_rows_report(records, least), F.max_by("_self", "_self_ord"), F.max_by("_query", "_query_ord"))
+
+
+def _by_group(rows: DataFrame, own: Column, asked: Column) -> DataFrame:
+    rows = rows.withColumns({f"_{k}{x}": F.when(F.col("kind") == k, F.col(c)) for k in ("self", "query") for x, c in (("", "score"), ("_ord", "ord"))})
+    other = F.when(F.col("kind") == "other", F.struct("ord", "score", "taxid"))
+    listed = F.transform(F.array_sort(F.collect_list(other)), lambda s: F.struct(s["score"].alias("score"), s["taxid"].alias("taxid")))
+    return rows.groupBy("group").agg(own.alias("self_score"), asked.alias("query_score"), F.count(other).alias("n_others"), listed.alias("others"))
 
 
 def blast_index(lines: DataFrame, file: str = "file") -> DataFrame:
@@ -191,9 +231,10 @@ def rdp_header(lines: DataFrame) -> DataFrame:
 
 
 def rna_header(lines: DataFrame) -> DataFrame:
-    """id, taxid, offset of `>id_taxid OFFSETn` lines."""
+    """id, taxid, offset of `>id_taxid OFFSETn` lines; one without an offset raises."""
     off = F.regexp_extract("value", r"OFFSET(\d+)", 1)
-    return lines.select(F.regexp_extract("value", r"^>(\S+)_(\d+)", 1).alias("id"), F.regexp_extract("value", r"^>(\S+)_(\d+)", 2).cast("int").alias("taxid"), F.when(off != "", off.cast("int")).otherwise(0).alias("offset"))
+    missing = F.raise_error(F.concat(F.lit("no offset in header: "), "value")).cast("int")
+    return lines.select(F.regexp_extract("value", r"^>(\S+)_(\d+)", 1).alias("id"), F.regexp_extract("value", r"^>(\S+)_(\d+)", 2).cast("int").alias("taxid"), F.when(off != "", off.cast("int")).otherwise(missing).alias("offset"))
 
 
 def obo(records: DataFrame) -> DataFrame:
@@ -208,11 +249,14 @@ def matrix(lines: DataFrame) -> DataFrame:
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("ord", F.split(F.trim("value"), r"\s+").alias("c"))
     head = rows.groupBy().agg(F.min_by("c", "ord").alias("head"), F.min("ord").alias("first"))
     body = rows.join(F.broadcast(head)).where("ord > first")  # one row
-    return body.select(F.col("c")[0].alias("a"), F.posexplode(F.slice("c", 2, 1000)).alias("k", "score"), "head").select("a", F.get("head", F.col("k")).alias("b"), F.col("score").cast("int").alias("score"))
+    return body.select(F.col("c")[0].alias("a"), F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("k", "score"), "head").select("a", F.get("head", F.col("k")).alias("b"), F.col("score").cast("int").alias("score"))
 
 
-def pfam_taxid(lines: DataFrame) -> DataFrame:
+def pfam_taxid(lines: DataFrame, least: int = 10) -> DataFrame:
+    """pfam_seq_id, taxid of comma-separated lines; fewer lines than `least` raise, as the file is cut off then."""
     f = F.split("value", ",")
+    if lines.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} lines of ids and taxa")
     return lines.select(f[0].alias("pfam_seq_id"), f[1].cast("int").alias("taxid"))
 
 
@@ -223,8 +267,9 @@ def quoted(lines: DataFrame, least: int) -> DataFrame:
 
 
 def pfam_go(families: DataFrame, ontology: DataFrame) -> DataFrame:
-    """acc, go: comma-joined terms in file order of families (auto_id, acc) and ontology (auto_id, go_id, ord)."""
-    rows = ontology.join(families, "auto_id")
+    """acc, go: comma-joined terms in file order of families (auto_id, acc) and ontology (auto_id, go_id, ord); a term of an unknown family raises."""
+    missing = F.raise_error(F.concat(F.lit("no family of key "), F.col("auto_id").cast("string"))).cast("string")
+    rows = ontology.join(families, "auto_id", "left").withColumn("acc", F.coalesce("acc", missing))
     listed = F.array_sort(F.collect_list(F.struct("ord", "go_id")))
     return rows.groupBy("acc").agg(F.array_join(F.transform(listed, lambda s: s["go_id"]), ",").alias("go"))
 
@@ -247,28 +292,53 @@ def blast_fields() -> dict[str, Column]:
     }
 
 
+#: Sign of an alignment by its strands; others raise.
+STRANDS = {"Plus / Plus": 1, "Plus / Minus": -1}
+
+
 def report_record(text: str) -> Iterator[dict]:
-    """The hits of one query of a default search report: subjects in order, each with its alignments."""
+    """The alignments of one query of a default search report: its subjects in order, each with its alignments.
+
+    A subject's `entries` are its descriptions: lines that begin with five spaces go on with the one before, all
+    others up to the length begin a new one. On the minus strand and in negative frames a query runs from its last
+    line's second number to its first line's first.
+    """
     found = re.search(r"Query=\s*(\S+)", text)
     query = found[1] if found else None
-    for block in re.split(r"\n(?=>)", text)[1:]:
+    kind = re.search(r"^BLAST[A-Z]", text, re.M)
+    for place, block in enumerate(re.split(r"\n(?=>)", text)[1:]):
         head, _, rest = block.partition("Score =")
-        subject = re.sub(r"\s*Length\s*=\s*\d+\s*$", "", " ".join(head[1:].split()))
+        head = re.split(r"\n {10}Length", head)[0]
+        entries = [" ".join(e[1:].split()) for e in re.split(r"\n(?! {5})", re.sub(r"\n\s*$", "", head))]
+        entries = [e for e in entries if e]
+        subject = " ".join(entries)
         for n, hsp in enumerate(re.split(r"(?=Score =)", "Score =" + rest)[1:]):
             num = lambda pattern, kind=int, none=None: (kind(m[1]) if (m := re.search(pattern, hsp)) else none)  # noqa: B023, E731
             q = re.findall(r"^Query:?\s+(\d+)\s+(\S+)\s+(\d+)", hsp, re.M)
             s = re.findall(r"^Sbjct:?\s+(\d+)\s+(\S+)\s+(\d+)", hsp, re.M)
             e = re.search(r"Expect(?:\(\d+\))?\s*=\s*([0-9.eE+-]+)", hsp)
+            strand = re.search(r"^ Strand = (.*?)\s*$", hsp, re.M)
+            if strand and strand[1] not in STRANDS:
+                raise ValueError(f"unknown strands: {strand[1]}")
+            frame = STRANDS[strand[1]] if strand else num(r"Frame\s*=\s*([+-]?\d)")
+            back = (frame or 0) < 0
             yield {
-                "query": query, "subject": subject, "hsp": n, "bitscore": num(r"Score\s*=\s*([0-9.eE+-]+) bits", float),
+                "match": kind[0] if kind else None, "query": query, "hit": place, "subject": subject, "entries": entries, "hsp": n, "bitscore": num(r"Score\s*=\s*([0-9.eE+-]+) bits", float),
                 "evalue": float(re.sub("^e", "1e", e[1])) if e else None, "identities": num(r"Identities\s*=\s*(\d+)/"), "aln_len": num(r"Identities\s*=\s*\d+/(\d+)"),
-                "percent": num(r"Identities\s*=\s*\d+/\d+\s*\((\d+)%"), "positives": num(r"Positives\s*=\s*(\d+)/"), "gaps": num(r"Gaps\s*=\s*(\d+)/", int, 0), "frame": num(r"Frame\s*=\s*([+-]?\d)"),
-                "q_start": int(q[0][0]) if q else None, "q_end": int(q[-1][2]) if q else None, "s_start": int(s[0][0]) if s else None, "s_end": int(s[-1][2]) if s else None,
+                "percent": num(r"Identities\s*=\s*\d+/\d+\s*\((\d+)%"), "positives": num(r"Positives\s*=\s*(\d+)/"), "gaps": num(r"Gaps\s*=\s*(\d+)/", int, 0), "frame": frame,
+                "q_start": int(q[-1][2] if back else q[0][0]) if q else None, "q_end": int(q[0][0] if back else q[-1][2]) if q else None, "s_start": int(s[0][0]) if s else None, "s_end": int(s[-1][2]) if s else None,
                 "q_seq": "".join(x[1] for x in q), "s_seq": "".join(x[1] for x in s),
             }
 
 
-REPORT = "query string, subject string, hsp int, bitscore double, evalue double, identities int, aln_len int, percent int, positives int, gaps int, frame int, q_start int, q_end int, s_start int, s_end int, q_seq string, s_seq string"
+REPORT = "match string, query string, hit int, subject string, entries array<string>, hsp int, bitscore double, evalue double, identities int, aln_len int, percent int, positives int, gaps int, frame int, q_start int, q_end int, s_start int, s_end int, q_seq string, s_seq string"
+
+
+def report_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value: the records of default search reports, from one banner to the next. Spark cuts the text there, so plain files are read in splits."""
+    rows = spark.read.text(path, lineSep="\nBLAST")
+    whole = F.when(F.startswith("value", F.lit("BLAST")), F.col("value")).otherwise(F.concat(F.lit("BLAST"), "value"))
+    return rows.where(F.contains("value", F.lit("Query="))).select(F.regexp_replace(whole, "\r", "").alias("value"))
 
 
 def blast_report(records: DataFrame) -> DataFrame:

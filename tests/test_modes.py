@@ -127,7 +127,7 @@ def test_candidates(spark):
         ">pir|A|b kinase - Mus musculus (Strain X, substrain Y)", ">pir|A|b kinase - Mus musculus", ">pir|none", ">gi|1 x [Homo [sub] sapiens]", ">gi|1 x [a, b]", ">gi|1 broken ] here",
         ">gi|1 thing from Bos taurus", ">gi|1", ">gi|1 Rattus rattus x",
     ]
-    got = [r["c"] for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, h string").select("k", organisms.candidates(F.col("h")).alias("c")).orderBy("k").collect()]
+    got = [r["c"] for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, h string").transform(organisms.with_candidates, F.col("h"), "c").orderBy("k").collect()]
     assert got[0][:3] == ["mus musculus (strain x, substrain y)", "strain x, substrain y", "mus musculus x y"] and got[0][3:] == ["mus musculus x", "mus musculus", "mus"]
     assert got[1] == ["mus musculus", "mus"] and got[2] == [] and got[3][0] == "homo [sub] sapiens" and got[4] == ["a, b", "a"] and got[5] == []
     assert got[6][0] == "bos taurus" and got[7] == [] and got[8] == ["rattus rattus", "rattus"]
