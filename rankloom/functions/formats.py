@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,3 +40,13 @@ def banded_score(scores: dict[str, int], band: int = 10, indel: int = -4):
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")
 
     return banded
+
+
+def columns(text: Column, separators: str | None = None, separator: str | None = None) -> Column:
+    """The parts of a line between any of the characters `separators`, or between each `separator`, a string; empty parts are skipped.
+
+    A line that ends in a separator raises: what should follow it is missing.
+    """
+    pattern = f"[{re.escape(separators)}]" if separators else re.escape(separator)
+    parts = F.filter(F.split(text, pattern), lambda x: x != "")
+    return F.when(F.regexp_like(text, F.lit(f"(?:{pattern})$")), F.raise_error(F.concat(F.lit("nothing after the last separator: "), text)).cast("array<string>")).otherwise(parts)

@@ -67,6 +67,24 @@ def comparative_other(rows: DataFrame, cutoff: float) -> DataFrame:
     return out.withColumn("other", 1 - F.try_divide("kept_total", "total"))
 
 
+def comparative_wide(rows: DataFrame, samples: list[str], cutoff: float = 0.0, absolute: bool = False) -> DataFrame:
+    """rank, taxon and a column for each of the samples, in their order: the taxon's share of the rank (or its count), 0 where it is absent.
+
+    The samples are given, so the columns need no look at the data; taxa above the cutoff in any sample stay.
+    """
+    kept = comparative_profile(rows.where(F.col("sample").isin(*samples)), cutoff)
+    value = "n" if absolute else "share"
+    return kept.groupBy("rank", "taxon").pivot("sample", samples).agg(F.first(value)).fillna(0, subset=samples)
+
+
+def filtered_away(rows: DataFrame, samples: list[str], cutoff: float) -> DataFrame:
+    """rank and for each sample `s` the reads that the cutoff takes away (`s`) and their share of those that stay (`s_share`, null where none stay)."""
+    other = comparative_other(rows.where(F.col("sample").isin(*samples)), cutoff)
+    away = F.col("total") - F.col("kept_total")
+    wide = other.groupBy("rank").pivot("sample", samples).agg(F.first(away).alias("n"), F.first(F.try_divide(away, F.col("kept_total"))).alias("share"))
+    return wide.select("rank", *[F.coalesce(F.col(f"`{s}_n`"), F.lit(0)).alias(s) for s in samples], *[F.col(f"`{s}_share`").alias(f"{s}_share") for s in samples])
+
+
 def functional_profile(rows: DataFrame, terms: DataFrame, alternatives: DataFrame | None = None) -> DataFrame:
     """go_id, term, category, n of rows (go array): counts above 0; alternative ids count for their main one."""
     each = rows.select(F.explode("go").alias("go_id"))
@@ -97,12 +115,22 @@ def first_file_wins(rows: DataFrame, read: str = "read", priority: str = "priori
     return rows.groupBy(read).agg(F.min(F.struct(priority, *rest)).alias("r")).select(read, *[f"r.{c}" for c in rest])
 
 
-def best_evalue_wins(rows: DataFrame, read: str = "read", evalue: str = "evalue") -> DataFrame:
-    """One row a read: that of the least positive e-value below 100000; reads without one are left out."""
+def best_evalue_wins(rows: DataFrame, read: str = "read", evalue: str = "evalue", file: str | None = None) -> DataFrame:
+    """One row a read: that of the least positive e-value below 100000; reads without one are left out.
+
+    With a column `file`, a read that occurs twice in one file raises. Files are few, reads are never gathered.
+    """
     rest = [c for c in rows.columns if c not in (read, evalue)]
     value = F.expr(f"try_cast({evalue} as double)")
-    good = rows.withColumn("_e", value).where("_e > 0 and _e < 100000")
-    return good.groupBy(read).agg(F.min(F.struct("_e", *rest, evalue)).alias("r")).select(read, *[f"r.{c}" for c in rest], f"r.{evalue}")
+    good = F.when((F.col("_e") > 0) & (F.col("_e") < 100000), F.struct("_e", *rest, evalue))
+    found = F.min(good).alias("r")
+    if not file:
+        out = rows.withColumn("_e", value).where("_e > 0 and _e < 100000").groupBy(read).agg(found)
+    else:
+        twice = F.raise_error(F.concat(F.lit("twice in one file: "), F.col(read).cast("string"))).cast("boolean")
+        out = rows.withColumn("_e", value).groupBy(read).agg(found, F.count(F.lit(1)).alias("_n"), F.size(F.collect_set(file)).alias("_files"))
+        out = out.where(F.when(F.col("_n") == F.col("_files"), F.col("r").isNotNull()).otherwise(twice))
+    return out.select(read, *[f"r.{c}" for c in rest], f"r.{evalue}")
 
 
 def read_of(name):

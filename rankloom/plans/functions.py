@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions import formats
 from rankloom.functions import sequence as Q
+from rankloom.operators import sequences as Z
 from rankloom.plans.registry import query
 from rankloom.sources import tables as S
 
@@ -41,6 +43,19 @@ def substring_region(spark, sf):
     return dna(spark, sf).select("doc_id", Q.substring_region(F.col("s"), F.when(even, 3).otherwise(12), F.when(even, 12).otherwise(5)).alias("region"))
 
 
+@query("region_store", f"""WITH {DNA}, want AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 300 AS id, 1 + l_partkey * 7 % 3000 AS a, 1 + l_partkey * 7 % 3000 + l_quantity::INT * 40 AS b, l_suppkey % 2 = 1 AS back FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(CASE WHEN back THEN translate(reverse(substring(s, greatest(1, a - 5), b - greatest(1, a - 5) + 6)), 'ACGT', 'TGCA') ELSE substring(s, greatest(1, a - 5), b - greatest(1, a - 5) + 6) END, '') AS region FROM want LEFT JOIN dna ON id = doc_id""")
+def region_store(spark, sf):
+    """A region of a stored sequence for each line item, with five letters more on both sides."""
+    a = 1 + F.col("l_partkey") * 7 % 3000
+    b = a + F.col("l_quantity").cast("int") * 40
+    back = F.col("l_suppkey") % 2 == 1
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    wanted = S.table(spark, sf, "lineitem").select(*keys, (F.col("l_orderkey") % 300).alias("id"), F.when(back, b).otherwise(a).alias("start"), F.when(back, a).otherwise(b).alias("end"))
+    store = Z.stored(dna(spark, sf).select(F.col("doc_id").alias("id"), F.col("s").alias("seq")), 256)
+    return Z.regions(store, wanted, 5, 256).select(*keys, "region")
+
+
 # Aligned rows: two outer runs of gaps, and gaps inside, by doc_id.
 ROWS = DNA + ", al AS (SELECT doc_id, repeat('-', (doc_id % 5)::INT) || replace(s, 'AC', '--') || repeat('-', (doc_id % 3)::INT) AS a, repeat('-', (doc_id % 4)::INT) || replace(s, 'GT', '-N') AS b FROM dna)"
 
@@ -128,7 +143,7 @@ def min_sequence_length(spark, sf):
 
 @query("split_columns", "SELECT o_orderkey, list_filter(string_split_regex(o_orderpriority, '[ -]+'), lambda x: x <> '')[1] AS first, len(list_filter(string_split_regex(o_orderpriority, '[ -]+'), lambda x: x <> ''))::BIGINT AS n FROM orders")
 def split_columns(spark, sf):
-    parts = F.filter(F.split("o_orderpriority", "[ -]+"), lambda x: x != "")
+    parts = formats.columns(F.col("o_orderpriority"), " -")
     return S.table(spark, sf, "orders").select("o_orderkey", F.get(parts, F.lit(0)).alias("first"), F.size(parts).cast("long").alias("n"))
 
 

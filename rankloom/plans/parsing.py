@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
 from rankloom.operators import joins as J
+from rankloom.operators import sequences as Z
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
@@ -232,14 +233,14 @@ def scan_matrix(spark, sf):
     return P.matrix(head.unionByName(body))
 
 
-@query("gi_dump", "SELECT p_partkey AS gi, p_brand AS organism FROM part UNION ALL SELECT p_partkey + 1000000, p_brand FROM part")
+@query("gi_dump", O.sql("SELECT c_custkey::BIGINT AS gi, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1000000 + c_custkey END::INT AS taxid, repeat(c_mktsegment, 3) AS seq FROM customer UNION ALL SELECT c_custkey + 1000000, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1000000 + c_custkey END, repeat(c_mktsegment, 3) FROM customer"))
 def gi_dump(spark, sf):
-    """Headers that list several entries: one row each, with the first organism in brackets."""
-    k = F.col("p_partkey")
-    text = F.concat(F.lit(">gi|"), k.cast("string"), F.lit("|x protein ["), "p_brand", F.lit("] >gi|"), (k + 1000000).cast("string"), F.lit("|y protein"))
-    rows = S.table(spark, sf, "part").select(text.alias("value"))
-    ids = F.regexp_extract_all("value", F.lit(r">gi\|(\d+)\|"), F.lit(1))
-    return rows.select(F.explode(ids.cast("array<bigint>")).alias("gi"), F.regexp_extract("value", r"\[([^\]]*)\]", 1).alias("organism"))
+    """Headers that list two entries; the first, the second or none of them names a taxon."""
+    k = F.col("c_custkey")
+    mark = lambda own: F.when(own, F.concat(F.lit(" ["), "c_name", F.lit("]"))).otherwise(" [no such]")
+    text = F.concat(F.lit(">gi|"), k.cast("string"), F.lit("|x protein"), mark(k % 4 == 1), F.lit(" >gi|"), (k + 1000000).cast("string"), F.lit("|y protein"), mark(k % 4 > 1))
+    rows = S.table(spark, sf, "customer").select(text.alias("header"), F.repeat("c_mktsegment", F.lit(3)).alias("seq"))
+    return Z.dumped(rows, P.name_to_taxid(name_rows(spark, sf)))
 
 
 # Lookups.

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
+from rankloom.operators import joins as J
 from rankloom.operators import profile as P
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
 from rankloom.plans.taxonomy import LCA, hits_with_path, tree
+from rankloom.sources import parsers
+from rankloom.sources import sinks as K
 from rankloom.sources import tables as S
 
 NAME = """CASE rk WHEN 1 THEN 'superkingdom' WHEN 5 THEN 'phylum' WHEN 8 THEN 'class' WHEN 14 THEN 'order' WHEN 19 THEN 'family' WHEN 23 THEN 'genus' WHEN 27 THEN 'species' END"""
@@ -59,6 +62,35 @@ def comparative_other(spark, sf):
     return P.comparative_other(counts(spark, sf), 0.01)
 
 
+SAMPLES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+WIDE = ", ".join(f"coalesce(max({{0}}) FILTER (sample = '{s}'), 0)::{{1}} AS \"{s}\"" for s in SAMPLES)
+
+
+@query("comparative_wide", O.sql("SELECT rank, taxon, " + WIDE.format("share", "DOUBLE") + " FROM (SELECT *, n / sum(n) OVER (PARTITION BY sample, rank) AS share FROM mx WHERE m > 0.01) GROUP BY rank, taxon", *BASE, CUT))
+def comparative_wide(spark, sf):
+    """One column a sample."""
+    return P.comparative_wide(counts(spark, sf), SAMPLES, 0.01)
+
+
+@query("comparative_filtered", O.sql("SELECT rank, " + ", ".join(f"""coalesce(max(away) FILTER (sample = '{s}'), 0)::BIGINT AS "{s}", max(part) FILTER (sample = '{s}')::DOUBLE AS "{s}_share\"""" for s in SAMPLES) + """
+ FROM (SELECT *, away / nullif(stay, 0)::DOUBLE AS part FROM (SELECT sample, rank, coalesce(sum(n) FILTER (m <= 0.01), 0) AS away, coalesce(sum(n) FILTER (m > 0.01), 0) AS stay FROM mx GROUP BY sample, rank)) GROUP BY rank""", *BASE, CUT))
+def comparative_filtered(spark, sf):
+    """What the cutoff takes away of each sample, and its share of what stays."""
+    return P.filtered_away(counts(spark, sf), SAMPLES, 0.01)
+
+
+@query("sink_comparative", O.sql("SELECT rank || chr(9) || '\"' || taxon || '\"' || chr(9) || concat_ws(chr(9), " + ", ".join(f'"{s}"' for s in SAMPLES) + ") AS line FROM (SELECT rank, taxon, " + WIDE.format("n", "BIGINT") + " FROM mx WHERE m > 0.01 GROUP BY rank, taxon)", *BASE, CUT))
+def sink_comparative(spark, sf):
+    """Lines of the wide profile's counts."""
+    return K.comparative_lines(P.comparative_wide(counts(spark, sf), SAMPLES, 0.01, absolute=True), SAMPLES, absolute=True)
+
+
+@query("sink_profile", O.sql("SELECT rank, taxon, count(*) AS n FROM ent GROUP BY ALL", *BASE))
+def sink_profile(spark, sf):
+    """The lines of a profile, read back."""
+    return parsers.profile(K.profile_lines(taxonomic_profile(spark, sf)).withColumnRenamed("line", "value"))
+
+
 @query("topk_taxa_per_rank", O.sql("SELECT rank, taxon, n, place FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY n DESC, taxon) AS place FROM (SELECT rank, taxon, count(*) AS n FROM ent GROUP BY ALL)) WHERE place <= 10", *BASE))
 def topk_taxa_per_rank(spark, sf):
     return P.top_per_rank(taxonomic_profile(spark, sf), 10).withColumn("place", F.col("place").cast("long"))
@@ -142,9 +174,9 @@ def merge_tax_files(spark, sf):
     return result_files(spark, sf).select("name", "priority", "evalue", "taxid")
 
 
-@query("read_id_strip", f"WITH {FILES} SELECT name, regexp_replace(name, '_[+-]?[0-9]_[+-]?[0-9]$', '') AS read FROM fl WHERE priority = 1")
+@query("read_id_strip", f"WITH {FILES} SELECT name, regexp_replace(name, '_[+-]?[0-9]_[+-]?[0-9]$', '') AS read FROM fl")
 def read_id_strip(spark, sf):
-    return result_files(spark, sf).where("priority = 1").select("name", "read")
+    return result_files(spark, sf).select("name", "read")
 
 
 @query("combine_first_wins", f"WITH {FILES} SELECT read, min_by(taxid, priority) AS taxid FROM (SELECT *, regexp_replace(name, '_[+-]?[0-9]_[+-]?[0-9]$', '') AS read FROM fl) GROUP BY read")
@@ -154,7 +186,7 @@ def combine_first_wins(spark, sf):
 
 @query("combine_by_evalue", f"WITH {FILES} SELECT read, min_by(evalue, (e, priority)) AS evalue, min_by(taxid, (e, priority)) AS taxid FROM (SELECT *, regexp_replace(name, '_[+-]?[0-9]_[+-]?[0-9]$', '') AS read, try_cast(evalue AS DOUBLE) AS e FROM fl) WHERE e > 0 AND e < 100000 GROUP BY read")
 def combine_by_evalue(spark, sf):
-    return P.best_evalue_wins(result_files(spark, sf).select("read", "priority", "taxid", "evalue")).select("read", "evalue", "taxid")
+    return P.best_evalue_wins(result_files(spark, sf).select("read", "priority", "taxid", "evalue"), file="priority").select("read", "evalue", "taxid")
 
 
 @query("semi_anti_incomplete_jobs", "SELECT c_custkey AS job FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -178,4 +210,4 @@ def query_count_check(spark, sf):
 
 @query("identifier_uniqueness", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def identifier_uniqueness(spark, sf):
-    return S.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return J.repeated(S.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")

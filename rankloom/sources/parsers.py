@@ -364,3 +364,9 @@ def stockholm(lines: DataFrame, file: str = "file") -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     listed = F.array_sort(F.collect_list(F.struct("ord", f[1].alias("part"))))
     return rows.groupBy(file, f[0].alias("row_id")).agg(F.translate(F.upper(F.array_join(F.transform(listed, lambda s: s["part"]), "")), ".", "-").alias("aligned"))
+
+
+def profile(lines: DataFrame) -> DataFrame:
+    """rank, taxon, n of a profile's lines; other lines are left out."""
+    parts = lambda k: F.regexp_extract("value", r'^([^\t]+)\t"(.*)"\t(\d+)$', k)
+    return lines.select(parts(1).alias("rank"), parts(2).alias("taxon"), parts(3).try_cast("long").alias("n")).where("n is not null")
