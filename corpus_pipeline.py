@@ -17,8 +17,8 @@ ORACLE_SQL = None
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept (doc_id); a null doc_id counts as a value."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    ids = kept.select("doc_id").distinct()
+    return docs.alias("docs").join(ids.alias("kept"), F.col("docs.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
