@@ -197,6 +197,8 @@ def _postings(seed: int, shared):
                     first = prefix(own, cells)
                     hs.append(first)
                     ks.append(np.full(len(first), k[0], np.int64))
+                    if len(own) >> SHIFT:
+                        raise ValueError(f"a text has {len(own)} shingles, more than a posting can count")
                     nps.append((len(own) << SHIFT) + np.arange(len(first), dtype=np.int64))
                 if hs:
                     h, k = np.concatenate(hs), np.concatenate(ks)
@@ -381,6 +383,8 @@ class Join:
             self.classes = common.written(self.meta.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("k2").alias("low"), F.max("k2").alias("high")), "classes")
             if not self.classes.where("low <> high").head(1):
                 break
+        else:
+            raise RuntimeError("different sets have one hash by every seed")
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(a, b) distinct star pairs, and (h, k, np, salted) rows of buckets with more than two members."""

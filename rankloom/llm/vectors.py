@@ -205,6 +205,8 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         per = common.written(per, "classes")
         if not per.where("low <> high").head(1):
             break
+    else:
+        raise RuntimeError("different vectors have one hash by every seed")
     return named.select("vec_id", "class_id"), per.select("class_id", "copies", "unit")
 
 
