@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
@@ -41,11 +41,11 @@ def with_path(rows: DataFrame, tree: DataFrame, taxid: str = "taxid", path: str
 
 
 def lca_of_hits(hits: DataFrame) -> DataFrame:
-    """query, lca: of the taxa of all hits of a query, -1 where no usable hit is left.
+    """query, lca: of the taxa of all hits (with path) of a query, -1 where no usable hit is left.
 
     Hits below the groups of other and unclassified sequences are left out. A hit of taxid 0, or of a taxon that
     the taxonomy lacks, lands on the root and makes it the result. The common beginning of the first and the last
-    lineage in order is that of all, so the fold is a minimum and a maximum.
+    lineage in order is that of all, so the fold is a minimum and a maximum. For many hits see lca_by_number.
     """
     ids = F.coalesce(ranks.taxids(F.col("path")), F.array(F.lit(1)))
     usable = ~F.coalesce(F.get(ids, F.lit(1)).isin(*ranks.SKIPPED_GROUPS), F.lit(False))
@@ -54,6 +54,44 @@ def lca_of_hits(hits: DataFrame) -> DataFrame:
     return folded.select("query", F.when(F.col("low").isNull(), -1).otherwise(ranks.lca(F.col("low"), F.col("high"))).alias("lca"))
 
 
+def numbered(tree: DataFrame) -> DataFrame:
+    """tree with enter and exit of each node, and `exits`, those of all nodes of its path: a walk over the tree, parents first, numbered.
+
+    Lineages in order are such a walk, so enter is a lineage's place: rows are dealt by ranges of their lineage,
+    numbered within a range, and the ranges' sizes are added up. The subtree of a node fills the numbers from
+    enter on, so exit follows from its size. No task walks the tree.
+    """
+    ids = ranks.taxids(F.col("path"))
+    sorted_ = tree.withColumn("_ids", ids).repartitionByRange("_ids").withColumn("_part", F.spark_partition_id())
+    placed = checkpointed(sorted_.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("_ids"))).drop("_ids"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_base"))  # a row a range
+    nodes = placed.join(F.broadcast(base), "_part").withColumn("enter", (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_base", "_place")
+    each = nodes.select(F.col("taxid").alias("_own"), F.posexplode("path").alias("_pos", "_s")).select("_own", "_pos", F.col("_s.taxid").alias("_node"))
+    size = each.groupBy("_node").agg(F.count(F.lit(1)).alias("_size"))
+    nodes = nodes.join(size, F.col("taxid") == F.col("_node")).withColumn("exit", F.col("enter") + F.col("_size") - 1).drop("_node", "_size")
+    ends = each.join(nodes.select(F.col("taxid").alias("_node"), "exit"), "_node").groupBy("_own").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "exit"))), lambda x: x["exit"]).alias("exits"))
+    return checkpointed(nodes.join(ends, F.col("taxid") == F.col("_own")).drop("_own"))
+
+
+def lca_by_number(hits: DataFrame, tree: DataFrame) -> DataFrame:
+    """query, lca of hits (query, taxid) by a numbered tree: the rows of lca_of_hits.
+
+    A hit carries one number through the shuffle. Nodes whose numbers span the least and the greatest of a query are
+    its common ancestors; they lie on the lineage of the least, which is joined once a query.
+    """
+    ids = ranks.taxids(F.col("path"))
+    skipped = F.coalesce(F.get(ids, F.lit(1)).isin(*ranks.SKIPPED_GROUPS), F.lit(False))
+    places = tree.select(F.col("taxid").alias("_node"), F.when(skipped, -1).otherwise(F.col("enter")).alias("_enter"))
+    # The root's number is 1, also for taxa that the tree lacks.
+    number = F.coalesce("_enter", F.lit(1).cast("long"))
+    own = F.when(number > 0, number)
+    folded = hits.select("query", "taxid").join(places, F.col("taxid") == F.col("_node"), "left").groupBy("query").agg(F.min(own).alias("_low"), F.max(own).alias("_high"))
+    rows = folded.join(tree.select("enter", "exits", ids.alias("_ids")), F.col("_low") == F.col("enter"), "left")
+    deepest = F.size(F.filter("exits", lambda e: e >= F.col("_high")))
+    return rows.select("query", F.when(F.col("_low").isNull(), -1).otherwise(F.get("_ids", deepest - 1)).alias("lca"))
+
+
 def ancestors(rows: DataFrame, *keep: str) -> DataFrame:
     """A row for each node of each lineage: the columns to keep, pos, ancestor, ancestor_rank."""
     return rows.select(*keep, F.posexplode("path").alias("pos", "node")).select(*keep, "pos", F.col("node.taxid").alias("ancestor"), F.col("node.rank").alias("ancestor_rank"))

@@ -10,7 +10,7 @@ from rankloom.operators import hits as H
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
-from rankloom.plans.taxonomy import ALN, LCA_ROOT, RANK_FOR, SIMPLE, aligned, hits_some_without, hits_with_path
+from rankloom.plans.taxonomy import ALN, LCA_ROOT, RANK_FOR, SIMPLE, aligned, hits_some_without, hits_with_path, numbered_tree
 from rankloom.sources import tables as S
 
 # The best hit plays the query itself; its own score times 70 to 100 per cent is the query's score.
@@ -97,7 +97,7 @@ def adaptive_top_percent(spark, sf):
 
 @query("lca_classify", O.sql("SELECT query, CASE WHEN lca < 1 THEN 0 ELSE lca END AS taxid, CASE WHEN lca < 1 THEN 'not_possible' ELSE 'lca' END AS property FROM lca", *O.TREE_HITS, LCA_ROOT))
 def lca_classify(spark, sf):
-    rows = T.lca_of_hits(hits_some_without(spark, sf))
+    rows = T.lca_by_number(hits_some_without(spark, sf), numbered_tree(spark, sf))
     found = F.col("lca") >= 1
     return rows.select("query", F.when(found, F.col("lca")).otherwise(0).alias("taxid"), F.when(found, "lca").otherwise("not_possible").alias("property"))
 

@@ -10,7 +10,7 @@ from rankloom.operators import profile as P
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
-from rankloom.plans.taxonomy import LCA, hits_with_path, tree
+from rankloom.plans.taxonomy import LCA, hits_with_path, numbered_tree, tree
 from rankloom.sources import parsers
 from rankloom.sources import sinks as K
 from rankloom.sources import tables as S
@@ -31,8 +31,7 @@ def scientific(spark, sf):
 
 def reads(spark, sf):
     """query, taxid, path and sample of every read, by the common ancestor of its hits."""
-    rows = hits_with_path(spark, sf)
-    lca = T.lca_of_hits(rows).withColumnRenamed("lca", "taxid")
+    lca = T.lca_by_number(S.hits(spark, sf), numbered_tree(spark, sf)).withColumnRenamed("lca", "taxid")
     sample = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"), F.col("o_orderpriority").alias("sample"))
     return T.with_path(lca, tree(spark, sf)).join(sample, "query")
 
@@ -44,8 +43,7 @@ def counts(spark, sf):
 
 @query("taxonomic_profile", O.sql("SELECT rank, taxon, count(*) AS n FROM ent GROUP BY ALL", *BASE))
 def taxonomic_profile(spark, sf):
-    rows = hits_with_path(spark, sf)
-    lca = T.lca_of_hits(rows).withColumnRenamed("lca", "taxid")
+    lca = T.lca_by_number(S.hits(spark, sf), numbered_tree(spark, sf)).withColumnRenamed("lca", "taxid")
     return P.taxonomic_profile(T.with_path(lca, tree(spark, sf)), scientific(spark, sf))
 
 

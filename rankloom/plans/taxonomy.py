@@ -23,6 +23,19 @@ def tree(spark, sf):
     return _TREES[key]
 
 
+def numbered_tree(spark, sf):
+    """The same with the numbers of a walk over the tree."""
+    key = (spark.sparkContext.applicationId, sf, "numbered")
+    if key not in _TREES:
+        _TREES[key] = T.numbered(tree(spark, sf))
+    return _TREES[key]
+
+
+@query("tree_numbers", O.sql("SELECT a.taxid, row_number() OVER (ORDER BY a.ids) AS enter, row_number() OVER (ORDER BY a.ids) + n - 1 AS exit FROM lin a JOIN (SELECT node, count(*) AS n FROM (SELECT unnest(ids) AS node FROM lin) GROUP BY node) s ON s.node = a.taxid", *O.TREE))
+def tree_numbers(spark, sf):
+    return numbered_tree(spark, sf).select("taxid", "enter", "exit")
+
+
 def hits_with_path(spark, sf):
     return T.with_path(S.hits(spark, sf), tree(spark, sf))
 
@@ -100,11 +113,11 @@ LCA_ROOT = LCA.replace("SELECT query, ids, rks, ids[2]", "SELECT query, CASE WHE
 
 @query("lca_multi", O.sql("SELECT query, lca FROM lca", *O.TREE_HITS, LCA_ROOT))
 def lca_multi(spark, sf):
-    return T.lca_of_hits(hits_some_without(spark, sf))
+    return T.lca_by_number(hits_some_without(spark, sf), numbered_tree(spark, sf))
 
 
 def hits_some_without(spark, sf):
-    return T.with_path(S.hits(spark, sf).withColumn("taxid", F.when(F.col("part") % 97 == 0, 0).otherwise(F.col("taxid"))), tree(spark, sf))
+    return S.hits(spark, sf).withColumn("taxid", F.when(F.col("part") % 97 == 0, 0).otherwise(F.col("taxid")))
 
 
 @query("taxon_path_string", O.sql("""SELECT l.taxid, string_agg(coalesce(lower(nm.name), 'unknown'), '!' ORDER BY pos) AS path

@@ -123,3 +123,17 @@ def test_groups_by_runs(spark, monkeypatch):
 
 def test_translation_is_unchanged(spark):
     assert spark.range(1).select(sequence.translate_frame(F.lit("ATGGCC"), 1)).first()[0] == "MA"
+
+
+def test_lca_by_number_is_that_of_lineages(spark):
+    rng = random.Random(11)
+    nodes = [(1, 1, 0), (131567, 1, 0), (12908, 1, 0)] + [(k, rng.choice([1, 131567, 12908, *range(2, k)] if k > 2 else [131567]), 0) for k in range(2, 300)]
+    tree = taxonomy.lineages(spark.createDataFrame(nodes, "taxid int, parent int, rank int"))
+    hits = spark.createDataFrame([(rng.randint(0, 150), rng.choice([0, 999, *range(1, 300)] if k % 9 else [12908])) for k in range(900)], "query int, taxid int")
+    numbered = taxonomy.numbered(tree)
+    by = {r["taxid"]: r for r in numbered.collect()}
+    assert sorted(r["enter"] for r in by.values()) == list(range(1, len(by) + 1)) and by[1]["exit"] == len(by)
+    for r in by.values():
+        assert [by[s["taxid"]]["exit"] for s in r["path"]] == r["exits"] and all(by[s["taxid"]]["enter"] <= r["enter"] <= by[s["taxid"]]["exit"] for s in r["path"])
+    want = sorted(tuple(r) for r in taxonomy.lca_of_hits(taxonomy.with_path(hits, tree)).collect())
+    assert sorted(tuple(r) for r in taxonomy.lca_by_number(hits, numbered).collect()) == want
