@@ -4,40 +4,94 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def six_digits(number: Column) -> Column:
-    """A number with at most six significant digits, halves of its shortest decimal form away from zero: plain from 1e-4 up to 1e6, else with an exponent of two digits or more."""
+    """A number with at most six significant digits as C's %g writes it: plain from 1e-4 up to 1e6, else with an exponent of two digits or more.
+
+    Spark rounds the shortest decimal form, whose halves may stand for doubles on either side. Only where it has
+    seven digits and ends in 5, the double's exact value decides, outside the JVM; all else stays in it.
+    """
     x = number.cast("double")
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.16e", x), "e.*$", ""), r"[-.]|0+$", "")
+    half = (F.length(digits) == 7) & F.endswith(digits, F.lit("5"))
     text = F.format_string("%.5e", x)
     power = F.substring_index(text, "e", -1).cast("int")
     bare = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     plain = F.element_at(F.array(*[F.format_string(f"%.{k}f", x) for k in range(10)]), F.greatest(F.lit(0), F.least(F.lit(9), 5 - power)) + 1)
     out = F.when((power < -4) | (power >= 6), F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))).otherwise(bare(plain))
-    return F.when(x == 0, "0").otherwise(out)
 
+    @F.pandas_udf("string")
+    def exact(halves: pd.Series) -> pd.Series:
+        return halves.map(lambda v: "%g" % v, na_action="ignore")
+
+    return F.when(x == 0, "0").otherwise(F.coalesce(exact(F.when(half, x)), out))
+
+
+def waves(a: list[np.ndarray], b: list[np.ndarray], matrix: np.ndarray, band: int, indel: int) -> np.ndarray:
+    """Scores of the global alignments of pairs of coded sequences within a band, whose lengths differ by `band` at most.
 
-def banded_score(scores: dict[str, int], band: int = 10, indel: int = -4):
-    """A function of two columns of sequences: the score of their global alignment within a band of the diagonal; null where the end lies outside it."""
+    Cells of one antidiagonal depend on the two before only, so each is one step for all pairs at once. A row of
+    the band holds the cells by their distance from the diagonal; cells beyond a pair's end are worked out too, but
+    its last cell never looks at them.
+    """
+    n, width, low = len(a), 2 * band + 1, -(1 << 40)
+    len_a, len_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    most_a, most_b = int(len_a.max(initial=0)), int(len_b.max(initial=0))
+    code_a, code_b = np.zeros((n, most_a), dtype=np.int64), np.zeros((n, most_b), dtype=np.int64)
+    for k in range(n):
+        code_a[k, : len_a[k]], code_b[k, : len_b[k]] = a[k], b[k]
+    out, total = np.zeros(n, dtype=np.int64), len_a + len_b
+    before, last = np.full((n, width + 2), low), np.full((n, width + 2), low)
+    for t in range(int(total.max(initial=0)) + 1):
+        now = np.full((n, width + 2), low)
+        if not t:
+            now[:, band + 1] = 0
+        else:
+            d = np.arange((band + t) % 2, width, 2)
+            i = (t + band - d) // 2
+            inside = (i >= 0) & (i <= t) & (i <= most_a) & (t - i <= most_b)
+            d, i = d[inside], i[inside]
+            best = np.maximum(last[:, d], last[:, d + 2]) + indel
+            both = (i >= 1) & (t - i >= 1)
+            pair = matrix[code_a[:, i[both] - 1], code_b[:, t - i[both] - 1]]
+            best[:, both] = np.maximum(best[:, both], before[:, d[both] + 1] + pair)
+            now[:, d + 1] = best
+        ends = np.flatnonzero(total == t)
+        out[ends] = now[ends, (len_b - len_a)[ends] + band + 1]
+        before, last = last, now
+    return out
+
+
+def banded_score(scores: dict[str, int], band: int = 10, indel: int = -4, together: int = 256):
+    """A function of two columns of sequences: the score of their global alignment within a band of the diagonal; null where the end lies outside it.
+
+    Pairs of a batch are taken by length, `together` at a time, one step an antidiagonal for all of them. Pairs of
+    letters without a score count 0.
+    """
+    letters = np.array(sorted({ord(c) for pair in scores for c in pair}), dtype=np.int64)
+    matrix = np.zeros((len(letters) + 1,) * 2, dtype=np.int64)
+    for (x, y), score in scores.items():
+        matrix[np.searchsorted(letters, ord(x)), np.searchsorted(letters, ord(y))] = score
 
-    def one(a: str | None, b: str | None) -> int | None:
-        if a is None or b is None or abs(len(a) - len(b)) > band:
-            return None
-        low = -(1 << 30)
-        row = {j: indel * j for j in range(0, min(band, len(b)) + 1)}
-        for i in range(1, len(a) + 1):
-            now = {0: indel * i} if i <= band else {}
-            for j in range(max(1, i - band), min(len(b), i + band) + 1):
-                now[j] = max(row.get(j - 1, low) + scores.get(a[i - 1] + b[j - 1], 0), row.get(j, low) + indel, now.get(j - 1, low) + indel)
-            row = now
-        return row[len(b)]
+    def coded(text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+        return np.where(letters[at] == points, at, len(letters))
 
     @F.pandas_udf("long")
     def banded(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")
+        out = pd.Series([None] * len(a), dtype="Int64")
+        fits = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None and abs(len(x) - len(y)) <= band]
+        fits.sort(key=lambda k: len(a.iloc[k]))
+        for start in range(0, len(fits), together):
+            part = fits[start : start + together]
+            out.iloc[part] = waves([coded(a.iloc[k]) for k in part], [coded(b.iloc[k]) for k in part], matrix, band, indel)
+        return out
 
     return banded
 
