@@ -36,13 +36,24 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(F.regexp_replace(seq, "[^ACGTU]", "N")), "ACGTU", "TGCAC")
 
 
+def _triplets(digits: Column, offset: int) -> Column:
+    return F.regexp_extract_all(F.substring(digits, offset, 1 << 30), F.lit("..."), F.lit(0))
+
+
 def translate_frame(seq: Column, frame: int) -> Column:
     """Protein of one reading frame: 1 to 3 forward from that base, -1 to -3 on the other strand by forward codon places modulo 3."""
-    triplets = F.regexp_extract_all(F.substring(_digits(seq), abs(frame), 1 << 30), F.lit("..."), F.lit(0))
-    amino = _amino(triplets, frame < 0)
+    amino = _amino(_triplets(_digits(seq), abs(frame)), frame < 0)
     return F.array_join(amino if frame > 0 else F.reverse(amino), "")
 
 
+def with_frames(rows: DataFrame, seq: str) -> DataFrame:
+    """Adds f1, f2, f3, r1, r2, r3, the proteins of all six frames: bases are read once, and f and r of a place share its triplets."""
+    rows = rows.withColumn("_digits", _digits(F.col(seq)))
+    rows = rows.withColumns({f"_t{k}": _triplets(F.col("_digits"), k) for k in (1, 2, 3)})
+    protein = lambda k, other: F.array_join(F.reverse(_amino(F.col(f"_t{k}"), True)) if other else _amino(F.col(f"_t{k}"), False), "")
+    return rows.withColumns({f"{'r' if other else 'f'}{k}": protein(k, other) for other in (False, True) for k in (1, 2, 3)}).drop("_digits", "_t1", "_t2", "_t3")
+
+
 def mask_outer_gaps(seq: Column) -> Column:
     """Gaps before the first and after the last residue become question marks."""
     head, tail = F.length(F.regexp_extract(seq, "^-*", 0)), F.length(F.regexp_extract(seq, "-*$", 0))

@@ -29,7 +29,7 @@ def _frame_sql(frame: int) -> str:
 
 @query("translate_frames", f"WITH {DNA} SELECT doc_id, " + ", ".join(f"{_frame_sql(f)} AS {'f' if f > 0 else 'r'}{abs(f)}" for f in (1, 2, 3, -1, -2, -3)) + " FROM dna")
 def translate_frames(spark, sf):
-    return dna(spark, sf).select("doc_id", *[Q.translate_frame(F.col("s"), f).alias(f"{'f' if f > 0 else 'r'}{abs(f)}") for f in (1, 2, 3, -1, -2, -3)])
+    return Q.with_frames(dna(spark, sf), "s").drop("s")
 
 
 @query("reverse_complement", f"WITH {DNA} SELECT doc_id, translate(reverse(s), 'ACGTU', 'TGCAC') AS rc FROM dna")
