@@ -27,6 +27,7 @@ MODULES = {
 #: Query: module and constant that hold its DuckDB SQL.
 SQL = {
     "op9_warc": ("warc", "OP9_SQL"),
+    "op12_resampling": ("resampling", "OP12_SQL"),
     "op13_search": ("search", "OP13_SQL"),
 }
 

@@ -159,3 +159,37 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents with 20 words or more, drawn towards the benchmark's texts."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB SQL of the query; the checksum goes byte by byte through the table of its polynomial.
+OP12_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark
+), words AS (
+  SELECT side, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM texts
+), features AS (
+  SELECT side, doc_id, f, count(*) AS n
+  FROM (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words) GROUP BY ALL
+), bytes AS (
+  SELECT f, list_transform(range(0, strlen(f)), lambda i: ('0x' || substring(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT f FROM features)
+), buckets AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM features JOIN buckets USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM counts
+), weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scores AS (
+  SELECT w.doc_id, len(w.w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words w LEFT JOIN weights USING (doc_id) WHERE side = 0
+), places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS take FROM scores WHERE able
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= take THEN place END AS rank FROM scores LEFT JOIN places USING (doc_id)
+"""
