@@ -75,6 +75,13 @@ def id_to_taxid(rows: DataFrame) -> DataFrame:
     return per.select("id", F.when(F.col("n") == 1, F.col("taxid")).otherwise(F.raise_error(F.concat(F.lit("repeated id: "), "id")).cast("int")).alias("taxid"))
 
 
+def record_taxa(headers: DataFrame, names: DataFrame) -> DataFrame:
+    """id, taxid of 16S headers (id, organism) by their organism's name (name, taxid), 0 without one; a repeated id raises."""
+    known = names.select("name", F.col("taxid").alias("_taxid"))
+    rows = headers.select("id", F.lower("organism").alias("name")).join(known, "name", "left")
+    return id_to_taxid(rows.select("id", F.coalesce("_taxid", F.lit(0)).alias("taxid")))
+
+
 def without_gap_columns(rows: DataFrame, column: str = "aligned", least_width: int = 0) -> DataFrame:
     """rows with the columns taken out that are a gap in every row that reaches them.
 

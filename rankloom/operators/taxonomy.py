@@ -97,6 +97,13 @@ def ancestors(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode("path").alias("pos", "node")).select(*keep, "pos", F.col("node.taxid").alias("ancestor"), F.col("node.rank").alias("ancestor_rank"))
 
 
+def ranks_of(rows: DataFrame) -> DataFrame:
+    """rows (with path) with by_rank, a map from the name of each rank of the lineage to its node; of a rank met twice the lower node counts."""
+    ranked = F.filter("path", lambda s: s["rank"] != 0)
+    once = F.filter(ranked, lambda s, i: ~F.exists(F.slice(ranked, i + 2, F.size(ranked)), lambda x: x["rank"] == s["rank"]))
+    return rows.withColumn("by_rank", F.map_from_entries(F.transform(once, lambda s: F.struct(ranks.rank_name(s["rank"]), s["taxid"]))))
+
+
 def excluded(rows: DataFrame, taxa: list[int], tree: DataFrame, rank: int) -> DataFrame:
     """rows (with path) not below the ancestors, at the given rank, of the listed taxa."""
     held = tree.where(F.col("taxid").isin(taxa)).select(ranks.taxon_at_rank(F.col("path"), F.lit(rank)).alias("bad")).where("bad <> 0").distinct()

@@ -56,12 +56,13 @@ def organism_name(spark, sf):
     return G.organism_taxid(rows, "c", "header", P.name_to_taxid(name_rows(spark, sf)))
 
 
-@query("rdp_taxid_map", "SELECT 'S' || c_custkey AS id, (1000000 + c_custkey)::INT AS taxid FROM customer")
+@query("rdp_taxid_map", O.sql("SELECT 'S' || c_custkey AS id, coalesce(taxid, 0)::INT AS taxid FROM customer LEFT JOIN (SELECT lower(name) AS nm, max(taxid) AS taxid FROM names GROUP BY 1) ON nm = lower(CASE WHEN c_custkey % 4 = 0 THEN 'Syn ' || c_name WHEN c_custkey % 4 = 1 THEN 'odd one' ELSE c_name END)", O.NODES, O.NAMES))
 def rdp_taxid_map(spark, sf):
-    """Ids of 16S headers with the taxon of their organism."""
-    lines = S.table(spark, sf, "customer").select(F.concat(F.lit(">S"), F.col("c_custkey").cast("string"), F.lit(" "), "c_name", F.lit("; 16S; OFFSET4")).alias("value"))
-    rows = P.rdp_header(lines).select("id", F.lower("organism").alias("name")).join(P.name_to_taxid(name_rows(spark, sf)), "name", "left")
-    return G.id_to_taxid(rows.select("id", F.coalesce("taxid", F.lit(0)).alias("taxid")))
+    """Ids of 16S headers with the taxon of their organism: names, synonyms and what names nothing."""
+    k = F.col("c_custkey")
+    organism = F.when(k % 4 == 0, F.concat(F.lit("Syn "), "c_name")).when(k % 4 == 1, "odd one").otherwise(F.col("c_name"))
+    lines = S.table(spark, sf, "customer").select(F.concat(F.lit(">S"), k.cast("string"), F.lit(" "), organism, F.lit("; 16S; OFFSET4")).alias("value"))
+    return G.record_taxa(P.rdp_header(lines), P.name_to_taxid(name_rows(spark, sf)))
 
 
 @query("specific_rdp", O.sql("""SELECT '>S' || taxid || '_' || taxid || ' OFFSET' || (length(cells) - length(ltrim(cells, '-'))) || chr(10) || trim(cells, '-') AS record, 'S' || taxid AS id, taxid FROM keep""", *O.TREE, """,

@@ -109,18 +109,23 @@ def m8_groups(spark, sf):
     return rows.groupBy(F.col("group").alias("g"), "query").agg(F.count("bitscore").alias("n_hits"), F.max("bitscore").alias("score"))
 
 
-@query("blast_field_extract", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS bitscore, l_suppkey::INT AS identities, (l_suppkey + 50)::INT AS aln_len, (l_suppkey % 90)::INT AS percent, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END AS gaps FROM lineitem")
+@query("blast_field_extract", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS bitscore, l_discount AS evalue, l_suppkey::INT AS identities, (l_suppkey + 50)::INT AS aln_len, (l_suppkey % 90)::INT AS percent, (l_suppkey + 1)::INT AS positives, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END AS gaps, CASE WHEN l_linenumber % 2 = 0 THEN -3 ELSE 2 END AS frame, l_partkey::INT AS seq_start, (l_partkey + 4)::INT AS seq_end FROM lineitem")
 def blast_field_extract(spark, sf):
+    """All fields, each from the line that holds it."""
     s = lambda c: c.cast("string")
-    n = F.col("l_suppkey")
-    gaps = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(", Gaps = "), s(F.col("l_linenumber")), F.lit("/"), s(n + 50))).otherwise("")
-    first = F.concat(F.lit(" Score = "), s(F.col("l_extendedprice")), F.lit(" bits (300), Expect = 2e-10"))
-    second = F.concat(F.lit(" Identities = "), s(n), F.lit("/"), s(n + 50), F.lit(" ("), s(n % 90), F.lit("%)"), gaps)
-    f = P.blast_fields()
+    n, even = F.col("l_suppkey"), F.col("l_linenumber") % 2 == 0
+    gaps = F.when(even, F.concat(F.lit(", Gaps = "), s(F.col("l_linenumber")), F.lit("/"), s(n + 50))).otherwise("")
+    lines = [
+        F.concat(F.lit(" Score = "), s(F.col("l_extendedprice")), F.lit(" bits (300), Expect(2) = "), s(F.col("l_discount"))),
+        F.concat(F.lit(" Identities = "), s(n), F.lit("/"), s(n + 50), F.lit(" ("), s(n % 90), F.lit("%), Positives = "), s(n + 1), F.lit("/"), s(n + 50), F.lit(" (1%)"), gaps),
+        F.concat(F.lit(" Frame = "), F.when(even, "-3").otherwise("+2")),
+        F.concat(F.lit("Query: "), s(F.col("l_partkey")), F.lit(" MK-VL "), s(F.col("l_partkey") + 4)),
+    ]
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = S.table(spark, sf, "lineitem").select(*keys, first.alias("a"), second.alias("b"))
-    rows = rows.withColumn("value", F.col("a")).select(*keys, "b", f["bitscore"].alias("bitscore")).withColumn("value", F.col("b"))
-    return rows.select(*keys, "bitscore", f["identities"].alias("identities"), f["aln_len"].alias("aln_len"), f["percent"].alias("percent"), f["gaps"].alias("gaps"))
+    rows, fields = S.table(spark, sf, "lineitem").select(*keys, *[x.alias(f"_{k}") for k, x in enumerate(lines)]), P.blast_fields()
+    for k in range(len(lines)):
+        rows = rows.withColumn("value", F.col(f"_{k}")).withColumns({f"{name}_{k}": c for name, c in fields.items()})
+    return rows.select(*keys, *[F.coalesce(*[F.col(f"{name}_{k}") for k in range(len(lines))]).alias(name) for name in fields])
 
 
 @query("scan_blast_report", """SELECT 'BLASTX' AS "match", l_orderkey::VARCHAR AS query, 'gi|' || l_partkey || ' part' AS subject, 0 AS hsp, l_extendedprice AS bitscore, 1e-9::DOUBLE AS evalue, l_suppkey::INT AS identities, 900 AS aln_len, 10 AS percent, l_suppkey::INT AS positives, 0 AS gaps,
@@ -205,14 +210,16 @@ def scan_pfam_go(spark, sf):
     return P.pfam_go(families, ontology)
 
 
-@query("build_pfam_taxid", "SELECT p_brand AS id, min(p_size) AS taxid, count(DISTINCT p_size) > 1 AS conflict FROM part GROUP BY p_brand")
+@query("build_pfam_taxid", "SELECT 'P' || p_partkey AS id, p_size::INT AS taxid FROM part")
 def build_pfam_taxid(spark, sf):
-    """Column 1 and 15 of quoted rows of at least 16; a conflict is an id with several taxa."""
-    blank = [F.lit("''")] * 13
+    """Quoted rows of which every third is broken into two lines."""
+    k = F.col("p_partkey")
     q = lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'"))
-    lines = S.table(spark, sf, "part").select(F.concat_ws("\t", F.lit("'0'"), q(F.col("p_brand")), *blank, q(F.col("p_size")), F.lit("''")).alias("value"))
-    rows = P.quoted(lines, 16).select(F.col("c")[1].alias("id"), F.col("c")[15].cast("int").alias("taxid"))
-    return rows.groupBy("id").agg(F.min("taxid").alias("taxid"), (F.countDistinct("taxid") > 1).alias("conflict"))
+    head, tail = F.concat_ws("\t", F.lit("'0'"), q(F.concat(F.lit("P"), k.cast("string"))), *[F.lit("''")] * 5), F.concat_ws("\t", *[F.lit("''")] * 8, q(F.col("p_size")), F.lit("''"))
+    whole = F.array(F.concat(head, F.lit("\t"), tail))
+    parts = F.when(k % 3 == 0, F.array(F.concat(head, F.lit("\t\\")), tail)).otherwise(whole)
+    rows = S.table(spark, sf, "part").select(k, F.posexplode(parts).alias("at", "value"))
+    return P.pfam_taxid_table(rows.select((k * 2 + F.col("at")).alias("ord"), "value"))
 
 
 @query("scan_stockholm", "SELECT 's' || doc_id || '/1-9' AS row_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) || 'AC' AS aligned FROM documents")
@@ -256,9 +263,16 @@ def join_name_taxid(spark, sf):
     return S.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), text.alias("name")).join(P.name_to_taxid(name_rows(spark, sf)), "name", "left").select("c", "taxid")
 
 
-@query("join_name_backoff", O.sql("SELECT c_custkey AS c, (1000000 + c_custkey)::INT AS taxid FROM customer"))
+@query("join_name_backoff", O.sql(""", known AS (SELECT lower(name) AS name, max_by(taxid, taxid) AS taxid FROM names GROUP BY 1),
+asked AS (SELECT c_custkey AS c, string_split(lower(CASE c_custkey % 5 WHEN 0 THEN 'Syn ' || c_name || ' x 1' WHEN 1 THEN c_name || ' strain 12' WHEN 2 THEN 'no such thing' WHEN 3 THEN c_name ELSE 'abc ' || c_name END), ' ') AS w FROM customer),
+begun AS (SELECT c, unnest(list_transform(range(1, len(w) + 1), lambda k: array_to_string(w[1:k], ' '))) AS name FROM asked),
+hit AS (SELECT c, max_by(taxid, length(begun.name)) AS taxid FROM begun JOIN known USING (name) WHERE length(begun.name) >= 4 GROUP BY c)
+SELECT c_custkey AS c, taxid FROM customer LEFT JOIN hit ON c = c_custkey""", O.NODES, O.NAMES))
 def join_name_backoff(spark, sf):
-    rows = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.concat("c_name", F.lit(" strain x 12")).alias("organism"))
+    """Names with more behind them, synonyms, and texts that name nothing."""
+    k = F.col("c_custkey") % 5
+    text = F.when(k == 0, F.concat(F.lit("Syn "), "c_name", F.lit(" x 1"))).when(k == 1, F.concat("c_name", F.lit(" strain 12"))).when(k == 2, "no such thing").when(k == 3, F.col("c_name")).otherwise(F.concat(F.lit("abc "), "c_name"))
+    rows = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), text.alias("organism"))
     return J.by_longest_prefix(rows, "c", "organism", P.name_to_taxid(name_rows(spark, sf))).select("c", "taxid")
 
 
@@ -269,11 +283,13 @@ def join_gi(spark, sf):
     return rows.join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.coalesce("p_size", F.lit(0)).alias("taxid"))
 
 
-@query("join_pfam_go", "SELECT p_partkey, CASE WHEN p_size > 25 THEN '{' || p_type || '}' ELSE '{}' END AS go FROM part")
+@query("join_pfam_go", "SELECT p_partkey, '{' || coalesce(go, '') || '}' AS go FROM part LEFT JOIN (SELECT 'PF' || lpad(p_size::VARCHAR, 5, '0') AS acc, string_agg('GO:' || p_partkey, ',' ORDER BY p_partkey) AS go FROM part WHERE p_size > 25 GROUP BY 1) ON acc = 'PF' || lpad(p_size::VARCHAR, 5, '0')")
 def join_pfam_go(spark, sf):
-    p = S.table(spark, sf, "part")
-    known = p.where("p_size > 25").select("p_partkey", "p_type")
-    return p.select("p_partkey").join(known, "p_partkey", "left").select("p_partkey", F.concat(F.lit("{"), F.coalesce("p_type", F.lit("")), F.lit("}")).alias("go"))
+    """Properties with a version behind the accession; families of small parts have no terms."""
+    p = S.table(spark, sf, "part").withColumn("acc", F.concat(F.lit("PF"), F.lpad(F.col("p_size").cast("string"), 5, "0")))
+    families = p.where("p_size > 25").select("acc", F.col("p_size").alias("auto_id")).distinct()
+    ontology = p.where("p_size > 25").select(F.col("p_size").alias("auto_id"), F.concat(F.lit("GO:"), F.col("p_partkey").cast("string")).alias("go_id"), F.col("p_partkey").alias("ord"))
+    return J.with_go(p.select("p_partkey", F.concat("acc", F.lit(".7")).alias("property")), P.pfam_go(families, ontology)).select("p_partkey", "go")
 
 
 @query("sink_classification", O.sql("""SELECT l.taxid::VARCHAR || chr(9) || 'PF1' || chr(9) || '{}' || chr(9) || l.taxid || chr(9) || CASE WHEN l.taxid <= 1 THEN 'unknown' ELSE path END || chr(9) || '1e-5' AS line FROM

@@ -129,10 +129,10 @@ def taxon_path_string(spark, sf):
     return rows.groupBy("taxid").agg(F.array_join(F.transform(listed, lambda s: s["name"]), "!").alias("path"))
 
 
-@query("ranks_of_taxon", O.sql("SELECT taxid, node, rk FROM (SELECT taxid, unnest(ids) AS node, unnest(rks) AS rk FROM lin) WHERE rk IN (5, 14, 23)", *O.TREE))
+@query("ranks_of_taxon", O.sql("SELECT taxid, ids[list_position(rks, 5)] AS phylum, ids[list_position(rks, 14)] AS ord, ids[list_position(rks, 23)] AS genus, len(list_filter(rks, lambda r: r <> 0)) AS n FROM lin", *O.TREE))
 def ranks_of_taxon(spark, sf):
-    rows = T.ancestors(tree(spark, sf), "taxid").where(F.col("ancestor_rank").isin(5, 14, 23))
-    return rows.select("taxid", F.col("ancestor").alias("node"), F.col("ancestor_rank").alias("rk"))
+    by = F.col("by_rank")
+    return T.ranks_of(tree(spark, sf)).select("taxid", by["phylum"].alias("phylum"), by["order"].alias("ord"), by["genus"].alias("genus"), F.size(by).cast("long").alias("n"))
 
 
 WHILE = "SELECT query, ord FROM (SELECT *, max(CASE WHEN {} THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY ord) AS f FROM (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM hits)) WHERE f = 0"
@@ -190,20 +190,36 @@ def filter_reduce_taxa(spark, sf):
     return H.filter_reduced_taxa(aligned(spark, sf)).select("query", F.col("ord").cast("long").alias("ord"), "reduced")
 
 
-MATCH = """, flags AS (SELECT query, ord, ev, aln_len, ids, CASE WHEN ev > 8 OR score < 1000000 OR score < (1 - 0.5::DOUBLE) * max(score) OVER (PARTITION BY query) THEN 1 ELSE 0 END AS f FROM ph),
-kept AS (SELECT query, ord, ev, CASE WHEN max(f) OVER (PARTITION BY query ORDER BY ord) = 0 AND aln_len >= 10 AND ids[1] = 1 AND ids[3] IN (2157, 2, 2759, 12884, 10239) THEN 1 ELSE 0 END AS k FROM flags),
+MATCH = """, flags AS (SELECT query, ord, ev, aln_len, ids, CASE WHEN ev > {0} OR score < {1} OR score < (1 - 0.5::DOUBLE) * max(score) OVER (PARTITION BY query) THEN 1 ELSE 0 END AS f FROM ph),
+kept AS (SELECT query, ord, ev, CASE WHEN max(f) OVER (PARTITION BY query ORDER BY ord) = 0 AND aln_len >= {2} AND ids[1] = 1 AND ids[3] IN (2157, 2, 2759, 12884, 10239) THEN 1 ELSE 0 END AS k FROM flags),
 cnt AS (SELECT query, count(*) AS n_hits, sum(k)::BIGINT AS n_left, min_by(ev, ord) FILTER (k = 1) AS first FROM kept GROUP BY query)
 SELECT o_orderkey AS query, coalesce(n_hits, 0) AS n_hits, coalesce(n_left, 0) AS n_left, coalesce(first::VARCHAR, '-') AS evalue, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'no_hits' WHEN n_left = 0 THEN 'no_hits2' ELSE 'hits' END AS state
 FROM orders LEFT JOIN cnt ON o_orderkey = query"""
 
 
-@query("filter_matching_query", O.sql(MATCH, *O.TREE_HITS))
-def filter_matching_query(spark, sf):
+def matching(spark, sf, match_type):
     queries = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"))
-    limits = H.limits_for("BLASTX", (8, 1000000, 10), (0, 0, 0), (0, 0, 0))
+    limits = H.limits_for(match_type, (8, 1000000, 10), (6, 2000000, 20), (1, 9000000, 40))
     return H.matching_queries(queries, hits_with_path(spark, sf), *limits, 0.5)
 
 
+@query("filter_matching_query", O.sql(MATCH.format(8, 1000000, 10), *O.TREE_HITS))
+def filter_matching_query(spark, sf):
+    return matching(spark, sf, "BLASTX")
+
+
+@query("filter_matching_query_n", O.sql(MATCH.format(6, 2000000, 20), *O.TREE_HITS))
+def filter_matching_query_n(spark, sf):
+    """Nucleotide hits take the limits meant for proteins."""
+    return matching(spark, sf, "BLASTN")
+
+
+@query("filter_matching_query_p", O.sql(MATCH.format("1e300", 0, 0), *O.TREE_HITS))
+def filter_matching_query_p(spark, sf):
+    """Protein hits take no limits."""
+    return matching(spark, sf, "BLASTP")
+
+
 @query("order_hits", O.sql("SELECT query, ord, row_number() OVER (PARTITION BY query ORDER BY 40 + part % 60 DESC, ord) AS by_identity, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS by_bitscore, row_number() OVER (PARTITION BY query ORDER BY ev, ord) AS by_evalue FROM hits", O.NODES, O.HITS))
 def order_hits(spark, sf):
     rows = S.hits(spark, sf).withColumn("identity", 40 + F.col("part") % 60)

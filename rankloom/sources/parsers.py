@@ -260,6 +260,27 @@ def pfam_taxid(lines: DataFrame, least: int = 10) -> DataFrame:
     return lines.select(f[0].alias("pfam_seq_id"), f[1].cast("int").alias("taxid"))
 
 
+def pfam_taxid_table(lines: DataFrame) -> DataFrame:
+    """id, taxid of a dump's rows (ord, value): the second and the sixteenth of at least sixteen tab-separated cells in quotes.
+
+    A line that ends in a backslash goes on in the next one. An id with several taxa raises.
+    """
+    if lines.where(F.endswith("value", F.lit("\\"))).limit(1).count():
+        rows = lines.select("ord", "value", F.floor(F.col("ord") / LINES).alias("_block"))
+        open_at = rows.groupBy("_block").agg(F.max_by(F.endswith("value", F.lit("\\")), "ord").alias("_open")).select((F.col("_block") + 1).alias("_block"), "_open")
+        own = Window.partitionBy("_block").orderBy("ord")
+        rows = rows.join(open_at, "_block", "left").withColumn("_goes_on", F.coalesce(F.lag(F.endswith("value", F.lit("\\"))).over(own), "_open", F.lit(False)))
+        rows = rows.withColumn("_start", F.max(F.when(~F.col("_goes_on"), F.col("ord"))).over(own))
+        last = rows.groupBy("_block").agg(F.max("_start").alias("_l"))
+        last = last.select("_block", F.max("_l").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+        rows = rows.join(last, "_block").withColumn("_start", F.coalesce("_start", "_carried"))
+        listed = F.array_sort(F.collect_list(F.struct("ord", F.regexp_replace("value", r"\\\\$", "").alias("v"))))
+        lines = rows.groupBy("_start").agg(F.array_join(F.transform(listed, lambda x: x["v"]), "").alias("value"))
+    per = quoted(lines, 16).select(F.col("c")[1].alias("id"), F.col("c")[15].cast("int").alias("taxid")).groupBy("id").agg(F.min("taxid").alias("taxid"), F.max("taxid").alias("_high"))
+    several = F.raise_error(F.concat(F.lit("several taxa: "), "id")).cast("int")
+    return per.select("id", F.when(F.col("taxid").eqNullSafe(F.col("_high")), F.col("taxid")).otherwise(several).alias("taxid"))
+
+
 def quoted(lines: DataFrame, least: int) -> DataFrame:
     """The cells of tab-separated lines in single quotes that have at least so many."""
     f = F.transform(F.split("value", "\t"), lambda x: F.regexp_replace(x, "^'|'$", ""))

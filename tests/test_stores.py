@@ -137,3 +137,21 @@ def test_lca_by_number_is_that_of_lineages(spark):
         assert [by[s["taxid"]]["exit"] for s in r["path"]] == r["exits"] and all(by[s["taxid"]]["enter"] <= r["enter"] <= by[s["taxid"]]["exit"] for s in r["path"])
     want = sorted(tuple(r) for r in taxonomy.lca_of_hits(taxonomy.with_path(hits, tree)).collect())
     assert sorted(tuple(r) for r in taxonomy.lca_by_number(hits, numbered).collect()) == want
+
+
+def test_broken_lines_and_conflicts(spark, monkeypatch):
+    """A dump's row over many lines, across blocks of lines; an id with two taxa raises."""
+    monkeypatch.setattr(parsers, "LINES", 3)
+    cells = ["'0'", "'id{}'", *["''"] * 13, "'{}'"]
+    whole = lambda k, t: "\t".join(cells).format(k, t)
+    broken = [*(c + "\t\\" for c in whole(2, 7).split("\t")[:-1]), "'7'"]
+    lines = [whole(1, 5), *broken, whole(3, 9), whole(1, 5), "'short'\t'x'"]
+    table = lambda rows: spark.createDataFrame(list(enumerate(rows)), "ord long, value string")
+    assert sorted(tuple(r) for r in parsers.pfam_taxid_table(table(lines)).collect()) == [("id1", 5), ("id2", 7), ("id3", 9)]
+    with pytest.raises(Exception, match="several taxa: id1"):
+        parsers.pfam_taxid_table(table([*lines, whole(1, 6)])).collect()
+
+
+def test_ranks_of_a_lineage(spark):
+    rows = spark.createDataFrame([(1, [(1, 0), (2, 1), (5, 5), (6, 5), (9, 27)]), (2, [(1, 0)])], "k int, path array<struct<taxid:int,rank:int>>")
+    assert [r["by_rank"] for r in taxonomy.ranks_of(rows).orderBy("k").collect()] == [{"superkingdom": 2, "phylum": 6, "species": 9}, {}]
