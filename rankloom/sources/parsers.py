@@ -274,7 +274,7 @@ def pfam_taxid_table(lines: DataFrame) -> DataFrame:
         last = rows.groupBy("_block").agg(F.max("_start").alias("_l"))
         last = last.select("_block", F.max("_l").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
         rows = rows.join(last, "_block").withColumn("_start", F.coalesce("_start", "_carried"))
-        listed = F.array_sort(F.collect_list(F.struct("ord", F.regexp_replace("value", r"\\\\$", "").alias("v"))))
+        listed = F.array_sort(F.collect_list(F.struct("ord", F.regexp_replace("value", r"\\$", "").alias("v"))))
         lines = rows.groupBy("_start").agg(F.array_join(F.transform(listed, lambda x: x["v"]), "").alias("value"))
     per = quoted(lines, 16).select(F.col("c")[1].alias("id"), F.col("c")[15].cast("int").alias("taxid")).groupBy("id").agg(F.min("taxid").alias("taxid"), F.max("taxid").alias("_high"))
     several = F.raise_error(F.concat(F.lit("several taxa: "), "id")).cast("int")
