@@ -27,7 +27,7 @@ def six_digits(number: Column) -> Column:
 
     @F.pandas_udf("string")
     def exact(halves: pd.Series) -> pd.Series:
-        return halves.map(lambda v: "%g" % v, na_action="ignore")
+        return pd.Series([None if pd.isna(v) else "%g" % v for v in halves], dtype=object)
 
     return F.when(x == 0, "0").otherwise(F.coalesce(exact(F.when(half, x)), out))
 

@@ -39,11 +39,12 @@ def scan_reciprocal_report(spark, sf):
     return listed_others(P.reciprocal_report(rows.select(F.concat(F.lit("Query= "), F.col("l_orderkey").cast("string"), F.lit("\n"), "blocks").alias("value")), 20))
 
 
-@query("number_formats", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%g', l_extendedprice / 3.7::DOUBLE) AS a, printf('%g', l_extendedprice * 1000 / 3.7::DOUBLE) AS b, printf('%g', l_quantity / l_extendedprice / 700) AS c FROM lineitem")
+@query("number_formats", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%g', l_extendedprice / 3.7::DOUBLE) AS a, printf('%g', l_extendedprice * 1000 / 3.7::DOUBLE) AS b, printf('%g', l_quantity / l_extendedprice / 700) AS c, printf('%g', 100000 + l_partkey + 0.5::DOUBLE) AS d, printf('%g', (1000005 + 10 * l_partkey) / 10000000::DOUBLE) AS e FROM lineitem")
 def number_formats(spark, sf):
     rows = S.table(spark, sf, "lineitem")
     a, b, c = F.col("l_extendedprice") / 3.7, F.col("l_extendedprice") * 1000 / 3.7, F.col("l_quantity") / F.col("l_extendedprice") / 700
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[formats.six_digits(x).alias(name) for name, x in (("a", a), ("b", b), ("c", c))])
+    d, e = 100000 + F.col("l_partkey") + 0.5, (1000005 + 10 * F.col("l_partkey")) / 10000000
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[formats.six_digits(x).alias(name) for name, x in (("a", a), ("b", b), ("c", c), ("d", d), ("e", e))])
 
 
 @query("organism_name", "SELECT c_custkey AS c, CASE WHEN c_custkey % 5 = 3 THEN 0 ELSE 1000000 + c_custkey END::INT AS taxid FROM customer")
