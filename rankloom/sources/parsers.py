@@ -321,8 +321,8 @@ def report_record(text: str) -> Iterator[dict]:
     """The alignments of one query of a default search report: its subjects in order, each with its alignments.
 
     A subject's `entries` are its descriptions: lines that begin with five spaces go on with the one before, all
-    others up to the length begin a new one. On the minus strand and in negative frames a query runs from its last
-    line's second number to its first line's first.
+    others up to the length begin a new one. On the minus strand and in negative frames, where numbers fall, a query
+    runs from its least number to its greatest.
     """
     found = re.search(r"Query=\s*(\S+)", text)
     query = found[1] if found else None
@@ -342,12 +342,12 @@ def report_record(text: str) -> Iterator[dict]:
             if strand and strand[1] not in STRANDS:
                 raise ValueError(f"unknown strands: {strand[1]}")
             frame = STRANDS[strand[1]] if strand else num(r"Frame\s*=\s*([+-]?\d)")
-            back = (frame or 0) < 0
+            back, places = (frame or 0) < 0, [int(x) for line in q for x in (line[0], line[2])]
             yield {
                 "match": kind[0] if kind else None, "query": query, "hit": place, "subject": subject, "entries": entries, "hsp": n, "bitscore": num(r"Score\s*=\s*([0-9.eE+-]+) bits", float),
                 "evalue": float(re.sub("^e", "1e", e[1])) if e else None, "identities": num(r"Identities\s*=\s*(\d+)/"), "aln_len": num(r"Identities\s*=\s*\d+/(\d+)"),
                 "percent": num(r"Identities\s*=\s*\d+/\d+\s*\((\d+)%"), "positives": num(r"Positives\s*=\s*(\d+)/"), "gaps": num(r"Gaps\s*=\s*(\d+)/", int, 0), "frame": frame,
-                "q_start": int(q[-1][2] if back else q[0][0]) if q else None, "q_end": int(q[0][0] if back else q[-1][2]) if q else None, "s_start": int(s[0][0]) if s else None, "s_end": int(s[-1][2]) if s else None,
+                "q_start": (min(places) if back else places[0]) if q else None, "q_end": (max(places) if back else places[-1]) if q else None, "s_start": int(s[0][0]) if s else None, "s_end": int(s[-1][2]) if s else None,
                 "q_seq": "".join(x[1] for x in q), "s_seq": "".join(x[1] for x in s),
             }
 
