@@ -1,10 +1,16 @@
 """URL filters: written rules first, then a path-template tree for each host.
 
-Paths become templates: digits, long hexadecimal strings and dates are generalised by their shape, and a
-segment that is rare among the pages of its node (under FREQUENT pages and under 1 / WIDE of them) becomes a
-wildcard; frequent ones stay apart at any fan-out. Nodes are walked for LEVELS segments; each later segment is
-judged in the same way among those at its place below the same first LEVELS. First branches that both hold
-labelled pages and whose shares of blocked ones do not differ significantly are merged.
+Paths become templates: digits, long hexadecimal strings and dates are generalised by their shape, and the
+segments that vary below a node become a wildcard. Which do is told by the node's own distribution: the
+children with at most t pages each are variable if they are more than OPEN times the square root of their
+pages, for then they grow with the pages (names, slugs), where the sections of a site stay as they are. The
+largest such t is taken, so frequent sections stand apart beside a tail of names. The tree is walked from fork
+to fork: what all paths of a node share is passed at once, so a path of any depth costs no round of its own,
+and rounds are as many as forks stand below one another.
+
+Templates of a host that differ in the segment of one fork only are similar branches if both hold labelled
+pages, lie on the same side (mostly blocked or not), and the share of blocked ones does not differ
+significantly from that of the others of that side; they are merged at the fork that pools most labels.
 
 Labels are the written rules' own verdicts. From the host down, a node's purity is its share of blocked pages, in
 which its unlabelled pages and SMOOTHING more count with the purity of the node above (those of a host as not
@@ -13,20 +19,23 @@ template is rejected if its purity is high enough and its host has LEAST_LABELLE
 
 Only counts by (host, template) are joined, never the pages of a host with one another, so a host may hold
 any share of the rows. Defined cases: a null url, or one without "://", has an empty host and path, fits no
-rule and is allowed; an empty table gives no rows; repeated rows each get their verdict; other columns are ignored.
+rule and is allowed; a null page_id stays null; an empty table gives no rows; repeated rows each get their
+verdict; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: The rules of the query: (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-LEVELS, WIDE, FREQUENT = 8, 32, 5
+#: Distinct children over the square root of their pages, above which they are variable.
+OPEN = 2.0
 LEAST_LABELLED, SMOOTHING, LIMIT, SIGNIFICANT = 5, 4.0, 0.8, 1.96
+COUNTS = ("n", "labelled", "blocked")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the table of verdicts up to which it is broadcast (about 100 bytes a row).
 BROADCAST_ROWS = 50_000
@@ -56,61 +65,94 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(s, r"[0-9]+", "<n>")
 
 
-def _with_wildcards(rows: DataFrame, node: list[str]) -> DataFrame:
-    """rows (*node, part, n) with `own`: the part, or a wildcard where it is rare in its node."""
-    child = rows.where("part is not null").groupBy(*node, "part").agg(F.sum("n").alias("k"))
-    whole = child.groupBy(*node).agg(F.sum("k").alias("all")).where(F.col("all") > WIDE)
-    rare = child.where(F.col("k") < FREQUENT).join(common.small_enough(whole), node).where(F.col("k") * WIDE < F.col("all"))
-    rare = rare.select(*[F.col(c).alias(f"_{c}") for c in [*node, "part"]])
-    marked = rows.join(rare, [F.col(c) == F.col(f"_{c}") for c in [*node, "part"]], "left")
-    return marked.withColumn("own", F.when(F.col("_part").isNotNull(), "*").otherwise(F.col("part"))).drop(*rare.columns)
+def _share(labelled: Column, blocked: Column, n: Column, parent: Column) -> Column:
+    """Share of blocked pages, in which unlabelled ones and SMOOTHING more count with the parent's share."""
+    return (blocked + (SMOOTHING + n - labelled) * parent) / (n + SMOOTHING)
+
+
+def _sums(prefix: str = "") -> list[Column]:
+    return [F.sum(c).alias(prefix + c) for c in COUNTS]
+
+
+def _variable(rows: DataFrame) -> DataFrame:
+    """(host, template, part): the variable children of the nodes of rows (host, template, part, n)."""
+    children = rows.groupBy("host", "template", "part").agg(F.sum("n").alias("k"))
+    # A node has at most about sqrt(2 * pages) distinct counts, so its window is short.
+    upto = Window.partitionBy("host", "template").orderBy("k")
+    tail = children.groupBy("host", "template", "k").agg(F.count(F.lit(1)).alias("m"))
+    tail = tail.withColumns({"distinct": F.sum("m").over(upto), "pages": F.sum(F.col("k") * F.col("m")).over(upto)})
+    most = tail.where(F.col("distinct") > OPEN * F.sqrt("pages")).groupBy("host", "template").agg(F.max("k").alias("most"))
+    return children.join(common.small_enough(most), ["host", "template"]).where(F.col("k") <= F.col("most")).select("host", "template", "part")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, raw, n, labelled, blocked, template): the distinct shaped paths of each host with their counts and templates."""
+    """(host, raw, n, labelled, blocked, template, forks, p, known): the distinct shaped paths of each host with their templates.
+
+    forks are the numbers of the template's segments at which nodes fork, p is the purity of its last node.
+    """
     counted = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    tree = common.written(counted.withColumn("parts", F.split("raw", "/")).withColumn("template", F.lit("")), "tree0")
-    longest = tree.agg(F.max(F.size("parts"))).first()[0] or 1
-    for d in range(1, min(LEVELS, longest - 1) + 1):
-        tree = _with_wildcards(tree.withColumn("part", F.get("parts", F.lit(d))), ["host", "template"])
-        tree = tree.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "own"))).drop("part", "own")
-        tree = common.written(tree, f"tree{d}")
-    if longest > LEVELS + 1:
-        deep = tree.where(F.size("parts") > LEVELS + 1).select("host", "raw", "template", "n", F.posexplode(F.slice("parts", F.lit(LEVELS + 2), F.size("parts"))).alias("place", "part"))
-        deep = _with_wildcards(common.written(deep, "deep"), ["host", "template", "place"]).groupBy("host", "raw").agg(F.array_sort(F.collect_list(F.struct("place", "own"))).alias("rest"))
-        deep = deep.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), F.concat(F.lit("/"), F.array_join(F.transform("rest", lambda x: x["own"]), "/")).alias("rest"))
-        tree = tree.join(deep, (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
-        tree = common.written(tree.withColumn("template", F.concat("template", F.coalesce("rest", F.lit("")))).drop("_h", "_r", "rest"), "tree")
-    return tree.drop("parts")
+    base = pages.agg(F.sum("label") / F.greatest(F.count("label"), F.lit(1))).first()[0] or 0.0
+    # A raw path is empty or starts with a slash, so its first part is always empty.
+    rest = F.slice(F.split("raw", "/"), F.lit(2), F.size(F.split("raw", "/")))
+    fresh = {"rest": rest, "template": F.lit(""), "place": F.lit(0), "forks": F.array().cast("array<int>"), "p": F.lit(None).cast("double"), "known": F.lit(None).cast("boolean")}
+    open_rows, settled = common.written(counted.withColumns(fresh), "tree"), []
+    while True:
+        nodes = open_rows.groupBy("host", "template").agg(*_sums("node_"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        # What the first and the last path of a node share, all of them share.
+        unlike = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        nodes = nodes.withColumn("shared", F.when(unlike > 0, unlike - 1).otherwise(F.size("low")).cast("int")).drop("low", "high")
+        rows = open_rows.join(common.small_enough(nodes), ["host", "template"])
+        p = F.when(F.col("p").isNull(), (F.col("node_blocked") + SMOOTHING * F.lit(float(base))) / (F.col("node_n") + SMOOTHING))
+        p = p.otherwise(_share(F.col("node_labelled"), F.col("node_blocked"), F.col("node_n"), F.col("p")))
+        passed = F.slice("rest", F.lit(1), F.col("shared"))
+        rows = rows.withColumns({
+            "p": p, "known": F.coalesce("known", F.col("node_labelled") >= LEAST_LABELLED), "part": F.get("rest", F.col("shared")), "place": F.col("place") + F.col("shared"),
+            "template": F.concat("template", F.array_join(F.transform(passed, lambda x: F.concat(F.lit("/"), x)), "")),
+            "rest": F.slice("rest", F.col("shared") + 2, F.size("rest")),
+        }).drop("shared", *[f"node_{c}" for c in COUNTS])
+        rows = common.written(rows, "nodes")
+        settled.append(rows.where("part is null"))
+        on = rows.where("part is not null")
+        if on.isEmpty():
+            break
+        variable = _variable(on).select(*[F.col(c).alias(f"_{c}") for c in ("host", "template", "part")])
+        on = on.join(common.small_enough(variable), [F.col(c) == F.col(f"_{c}") for c in ("host", "template", "part")], "left")
+        own = F.when(F.col("_part").isNotNull(), "*").otherwise(F.col("part"))
+        on = on.withColumns({"template": F.concat("template", F.lit("/"), own), "forks": F.concat("forks", F.array("place")), "place": F.col("place") + 1})
+        open_rows = common.written(on.select(open_rows.columns), "tree")
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out.drop("rest", "part", "place")
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
     """(host, template, branch, labelled, blocked, purity, rejected): the templates after merging similar branches."""
-    sums = lambda p="": [F.sum(c).alias(p + c) for c in ("n", "labelled", "blocked")]
-    rows = common.written(tree.groupBy("host", "template").agg(*sums()), "templates")
-    # The branch of a template is its first segment's; what stands below it is its form.
-    cut = rows.withColumn("first", F.regexp_extract("template", "^/?([^/]*)", 1)).withColumn("form", F.regexp_extract("template", "^/?[^/]*(.*)$", 1))
-    cut = cut.join(common.small_enough(cut.groupBy("host", "form").agg(*sums("all_"))), ["host", "form"])
-    cut = cut.withColumn("others", F.col("all_labelled") - F.col("labelled")).withColumn("others_blocked", F.col("all_blocked") - F.col("blocked"))
-    pooled = (F.col("blocked") + F.col("others_blocked")) / F.greatest(F.col("labelled") + F.col("others"), F.lit(1))
-    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest("others", F.lit(1))))
-    distance = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - F.col("others_blocked") / F.greatest("others", F.lit(1))) / spread
-    similar = (F.col("labelled") >= LEAST_LABELLED) & (F.col("others") >= LEAST_LABELLED) & (distance < SIGNIFICANT)
-    cut = cut.withColumn("branch", F.when(similar, F.concat(F.lit("/*"), "form")).otherwise(F.col("template"))).select("host", "template", "branch", "n", "labelled", "blocked")
-    whole = common.small_enough(cut.groupBy("host", "branch").agg(*sums()))
-    cut = cut.select("host", "template", "branch").join(whole, ["host", "branch"])
-    base = tree.agg(F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0] or 0.0
-    # The nodes above a template, the host first.
+    # Paths of one template have passed the same nodes.
+    rows = tree.groupBy("host", "template").agg(*_sums(), F.first("forks").alias("forks"), F.first("p").alias("p"), F.first("known").alias("known"))
+    rows = common.written(rows, "templates")
     parts = F.split("template", "/")
-    above = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(LEVELS))))).withColumn("node", F.array_join(F.slice(parts, F.lit(1), F.col("k") + 1), "/"))
-    nodes = above.groupBy("host", "k", "node").agg(*sums("node_"))
-    above = above.select("host", "template", "k", "node").join(common.small_enough(nodes), ["host", "k", "node"])
-    chain = above.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("k", "node_n", "node_labelled", "node_blocked"))).alias("chain"))
-    share = lambda n, labelled, blocked, p: (blocked + (SMOOTHING + n - labelled) * p) / (n + SMOOTHING)
-    host = (F.col("chain")[0]["node_blocked"] + SMOOTHING * F.lit(float(base))) / (F.col("chain")[0]["node_n"] + SMOOTHING)
-    parent = F.aggregate(F.slice("chain", F.lit(2), F.size("chain")), host, lambda p, x: share(x["node_n"], x["node_labelled"], x["node_blocked"], p))
-    cut = cut.join(chain.select("host", "template", parent.alias("parent"), (F.col("chain")[0]["node_labelled"] >= LEAST_LABELLED).alias("known")), ["host", "template"])
-    purity = share(F.col("n"), F.col("labelled"), F.col("blocked"), F.col("parent"))
+    form = [
+        F.array_join(F.slice(parts, F.lit(1), F.col("fork") + 1), "/").alias("above"),
+        F.array_join(F.slice(parts, F.col("fork") + 3, F.size(parts)), "/").alias("below"),
+        (F.size(parts) - 2 - F.col("fork")).alias("depth"),
+        (2 * F.col("blocked") >= F.col("labelled")).alias("side"),
+    ]
+    alike = ["host", "above", "below", "depth", "side"]
+    tried = rows.where(F.col("labelled") >= LEAST_LABELLED).withColumn("fork", F.explode("forks")).select("host", "template", "fork", "labelled", "blocked", *form)
+    pooled = tried.groupBy(*alike).agg(F.sum("labelled").alias("all"), F.sum("blocked").alias("all_blocked"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    tried = tried.join(common.small_enough(pooled), alike).withColumns({"others": F.col("all") - F.col("labelled"), "others_blocked": F.col("all_blocked") - F.col("blocked")})
+    share = F.col("all_blocked") / F.col("all")
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / F.col("labelled") + 1 / F.col("others")))
+    distance = F.abs(F.col("blocked") / F.col("labelled") - F.col("others_blocked") / F.col("others")) / spread
+    branch = F.concat("above", F.when(F.col("side"), "/<blocked>").otherwise("/<allowed>"), F.when(F.col("depth") > 0, F.concat(F.lit("/"), F.col("below"))).otherwise(""))
+    chosen = tried.where(distance < SIGNIFICANT).groupBy("host", "template").agg(F.max_by(branch, F.struct("all", -F.col("fork"))).alias("merged"))
+    chosen = chosen.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "merged")
+    cut = rows.join(common.small_enough(chosen), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+    cut = cut.withColumn("branch", F.coalesce("merged", "template")).drop("_h", "_t", "merged", "forks")
+    whole = cut.groupBy("host", "branch").agg(*_sums())
+    cut = cut.drop(*COUNTS).join(common.small_enough(whole), ["host", "branch"])
+    purity = _share(F.col("labelled"), F.col("blocked"), F.col("n"), F.col("p"))
     return cut.select("host", "template", "branch", "labelled", "blocked", purity.alias("purity"), (F.col("known") & (purity >= LIMIT)).alias("rejected"))
 
 
