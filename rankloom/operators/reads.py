@@ -68,7 +68,8 @@ def resolved(entries: DataFrame, names: DataFrame) -> DataFrame:
 def report_hits(records: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query) and hits of report records (value): subjects whose descriptions name no taxon are left out.
 
-    A subject counts by its best alignment. A subject that beats all alignments before it goes to the front.
+    A subject counts by its best alignment, whose letters of the query are q_seq. A subject that beats all alignments
+    before it goes to the front.
     """
     rows = checkpointed(P.blast_report(records))  # read once, for names and for alignments
     queries = records.select(F.regexp_extract("value", r"Query=\s*(\S+)", 1).alias("query"))
@@ -76,12 +77,12 @@ def report_hits(records: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
     order = H.by_order()
     known = known.withColumn("ord", F.struct("hit", "hsp")).withColumn("_before", F.max("bitscore").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     front = (F.col("hsp") == 0) & (F.col("bitscore") > F.coalesce("_before", F.lit(-10000.0)))
-    best = F.min_by(F.struct("bitscore", "evalue", "aln_len", "percent", "identities", "positives", "gaps", "q_start", "q_end"), F.struct(-F.col("bitscore"), "hsp")).alias("b")
+    best = F.min_by(F.struct("bitscore", "evalue", "aln_len", "percent", "identities", "positives", "gaps", "q_start", "q_end", "q_seq"), F.struct(-F.col("bitscore"), "hsp")).alias("b")
     hits = known.withColumn("_front", front).groupBy("query", "hit").agg(best, F.max("_front").alias("_front"), F.first("taxid").alias("taxid"))
     length = F.abs(F.col("b.q_start") - F.col("b.q_end"))
     support = ranks.least_rank_for(length, F.col("b.percent"), F.col("b.gaps"), F.col("b.positives") - F.col("b.identities"))
     place = F.when(F.col("_front"), -F.col("hit")).otherwise(F.col("hit")).cast("long")
-    return queries.distinct(), hits.select("query", place.alias("ord"), "taxid", F.col("b.bitscore").alias("score"), F.col("b.evalue").alias("ev"), F.col("b.aln_len").alias("aln_len"), F.coalesce(support, F.lit(0)).alias("support"))
+    return queries.distinct(), hits.select("query", place.alias("ord"), "taxid", F.col("b.bitscore").alias("score"), F.col("b.evalue").alias("ev"), F.col("b.aln_len").alias("aln_len"), F.coalesce(support, F.lit(0)).alias("support"), F.col("b.q_seq").alias("q_seq"))
 
 
 def levels(hits: DataFrame, tree: DataFrame, limits: tuple, shares: tuple[float, ...]) -> DataFrame:
@@ -140,6 +141,7 @@ def classify_blast(queries: DataFrame, hits: DataFrame, reciprocal: DataFrame, t
     tabular = match != "BLASTX"
     shares = (1.0,) if tabular else shares
     chosen, reciprocal = LIMITS | (limits or {}), checkpointed(reciprocal.select("query", "kind", "taxid", "score", "ord"))
+    hits = hits.select("query", "ord", "taxid", "score", "ev", "aln_len", "support")
     rows = levels(hits, tree, H.limits_for(match, chosen["BLASTX"], chosen["BLASTP"], chosen["BLASTN"]), shares)
     usable, steps = F.col("usable"), range(len(shares))
     per = rows.groupBy("query").agg(
@@ -184,3 +186,12 @@ def best_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """query, property, taxid, evalue: each query's first hit."""
     first = H.first_hit(hits, "taxid", "ev")
     return queries.join(first, "query", "left").select("query", F.when(F.col("taxid").isNull(), "no_hits").otherwise("best_hit").alias("property"), F.coalesce("taxid", F.lit(0)).alias("taxid"), F.col("ev").alias("evalue"))
+
+
+def translations(classified: DataFrame, hits: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """query, seq of the queries with hits that the first share does not settle: the query's letters (q_seq) in its first hit.
+
+    They are what a search by protein families goes on with. classified: rows of classify_blast (query, share).
+    """
+    first = hits.groupBy("query").agg(F.min_by("q_seq", "ord").alias("seq"))
+    return classified.where(F.col("share") != shares[0]).select("query").join(first, "query")

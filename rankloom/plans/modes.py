@@ -14,6 +14,7 @@ from rankloom.plans.registry import query
 from rankloom.plans.taxonomy import SIMPLE, tree
 from rankloom.sources import parsers as P
 from rankloom.sources import tables as S
+from rankloom.sources.sinks import translation_records
 
 
 def _text(c):
@@ -86,7 +87,7 @@ def report_files(spark, sf):
     def aligned(score):
         return F.concat(
             F.lit("\n Score = "), _text(score), F.lit(" bits (9), Expect = "), _text(F.col("ev") / 100), F.lit("\n Identities = "), _text(ident), F.lit("/"), _text(length), F.lit(" ("), _text(40 + F.col("part") % 60), F.lit("%), Positives = "),
-            _text(ident + d), F.lit("/"), _text(length), F.lit(" (50%), Gaps = "), _text(F.col("supp") % 3), F.lit("/"), _text(length), F.lit(" (1%)\n Frame = "), F.when(back, "-2").otherwise("+1"), F.lit("\n\nQuery: "), ends[0], F.lit(" MKV "), ends[1], F.lit("\n            M V\nSbjct: 3 MLV 5\n"),
+            _text(ident + d), F.lit("/"), _text(length), F.lit(" (50%), Gaps = "), _text(F.col("supp") % 3), F.lit("/"), _text(length), F.lit(" (1%)\n Frame = "), F.when(back, "-2").otherwise("+1"), F.lit("\n\nQuery: "), ends[0], F.lit(" "), F.translate(_text("part"), "0123456789", "ACDEFGHIKL"), F.lit(" "), ends[1], F.lit("\n            M V\nSbjct: 3 MLV 5\n"),
         )
 
     block = F.concat(entry, F.lit("\n          Length = 900\n"), aligned(price), F.when(F.col("ord") % 3 == 0, aligned(price * 1.25)).otherwise(""))
@@ -109,14 +110,15 @@ SUPPORT = """CASE WHEN q_len >= 550 THEN CASE WHEN pct >= 90 AND gaps = 0 AND d
 REDUCE = "coalesce(bids[list_position(brks, list_max(list_filter(brks, lambda z: z > 0 AND z <= {})))], 0)"
 
 
-@query("classify_blast_report", O.sql(f"""SELECT o_orderkey::VARCHAR AS query, property, coalesce(taxid, 0)::INT AS taxid, CASE WHEN property NOT IN ('no_hits', 'no_hits2', 'not_possible') THEN ev::DOUBLE END AS evalue, share
+REPORT_SQL = f"""SELECT o_orderkey::VARCHAR AS query, property, coalesce(taxid, 0)::INT AS taxid, CASE WHEN property NOT IN ('no_hits', 'no_hits2', 'not_possible') THEN ev::DOUBLE END AS evalue, share
 FROM (SELECT *, CASE WHEN property = 'single_hit' THEN {REDUCE.format("support")} WHEN property = 'interval_BLASTX' AND cut > 0 AND no_worse THEN {REDUCE.format("least(rank_id, support)")} WHEN property = 'interval_BLASTX' THEN cut ELSE 0 END AS taxid,
    row_number() OVER (PARTITION BY o_orderkey ORDER BY share) AS place
   FROM (SELECT *, CASE WHEN m IS NULL THEN 'no_hits' WHEN m = 0 THEN 'no_hits2' WHEN m = 1 THEN 'single_hit' WHEN self IS NULL OR asked IS NULL OR n_others IS NULL THEN 'not_possible' WHEN cut < 0 THEN 'no_valid_rank' ELSE 'interval_BLASTX' END AS property,
       CASE WHEN coalesce(m, 0) = 0 THEN share = 1 WHEN m = 1 THEN stopped OR share = 1 WHEN self IS NULL OR asked IS NULL OR n_others IS NULL OR cut < 0 THEN true ELSE NOT no_worse OR stopped OR share = 1 END AS final
     FROM (SELECT o_orderkey, p AS share FROM orders, (VALUES (0.1::DOUBLE), (0.3), (0.6), (1.0)) v(p)) o
     LEFT JOIN (SELECT q AS oq, p AS op, count(*) FILTER (ok) AS m, bool_and(in_all) AS stopped, min_by(ev, ord) FILTER (ok) AS ev, min_by(support, ord) FILTER (ok) AS support FROM use GROUP BY q, p) c ON o_orderkey = oq AND share = op
-    LEFT JOIN (SELECT query.q AS rq, query.p AS rp, cut, no_worse, rank_id, bids, brks, self, asked, n_others FROM res LEFT JOIN has USING (query)) r ON o_orderkey = rq AND share = rp) WHERE final) WHERE place = 1""", *O.TREE_HITS, f""",
+    LEFT JOIN (SELECT query.q AS rq, query.p AS rp, cut, no_worse, rank_id, bids, brks, self, asked, n_others FROM res LEFT JOIN has USING (query)) r ON o_orderkey = rq AND share = rp) WHERE final) WHERE place = 1"""
+REPORT_PARTS = (*O.TREE_HITS, f""",
 raw AS (SELECT h.query AS q, h.ord - 1 AS hit, CASE part % 8 WHEN 5 THEN NULL WHEN 3 THEN 100000 + n WHEN 4 THEN 100000 + n WHEN 7 THEN 1000000 + (h.c + supp) % (SELECT count(*) FROM customer) ELSE 1000000 + h.c END AS taxid,
     score / 100.0::DOUBLE AS s0, CASE WHEN ord % 3 = 0 THEN score / 100.0::DOUBLE * 1.25::DOUBLE ELSE score / 100.0::DOUBLE END AS score, ev / 100.0::DOUBLE AS ev, aln_len, aln_len * 15 AS q_len, 40 + part % 60 AS pct, supp % 3 AS gaps, part % 9 AS d, part, 1000000 + h.c AS own
   FROM hits h JOIN k ON h.c = k.c),
@@ -129,9 +131,25 @@ there AS (SELECT DISTINCT {{'q': q, 'p': p}} AS query, q, taxid FROM use WHERE o
 rec AS (SELECT q, hit, CASE hit WHEN 0 THEN 'self' ELSE 'other' END AS kind, t AS taxid, score FROM (SELECT q, hit, coalesce(taxid, own) AS t, CASE WHEN hit = 0 THEN s0 ELSE s0 * (60 + part % 40) / 100.0::DOUBLE END AS score FROM raw WHERE NOT (hit = 0 AND q % 11 = 0)) WHERE hit = 0 OR score >= 12000
   UNION ALL SELECT q, 1000000, 'query', NULL, s0 * (70 + q % 31) / 100.0::DOUBLE FROM raw WHERE hit = 0),
 best AS (SELECT {{'q': f.q, 'p': f.p}} AS query, l.ids AS bids, l.rks AS brks, s.self, s.asked, s.asked AS q FROM (SELECT q, p, min_by(taxid, ord) AS taxid FROM use WHERE ok GROUP BY q, p) f JOIN lin l USING (taxid)
-  LEFT JOIN (SELECT q, max(score) FILTER (kind = 'self') AS self, max(score) FILTER (kind = 'query') AS asked FROM rec GROUP BY q) s USING (q))""", TAIL, SLOTS.replace("{k}", "")))
-def classify_blast_report(spark, sf):
+  LEFT JOIN (SELECT q, max(score) FILTER (kind = 'self') AS self, max(score) FILTER (kind = 'query') AS asked FROM rec GROUP BY q) s USING (q))""", TAIL, SLOTS.replace("{k}", ""))
+
+
+def classified_reports(spark, sf):
+    """The classification of reports and their hits."""
     reports, back = report_files(spark, sf)
     queries, hits = R.report_hits(reports, P.name_to_taxid(name_rows(spark, sf)))
     found = P.reciprocal_rows_report(back, 12000).withColumnRenamed("group", "query")
-    return R.classify_blast(queries, hits, found, tree(spark, sf), "n", "p", {"BLASTX": (0.08, 10000.0, 10)})
+    return R.classify_blast(queries, hits, found, tree(spark, sf), "n", "p", {"BLASTX": (0.08, 10000.0, 10)}), hits
+
+
+@query("classify_blast_report", O.sql(REPORT_SQL, *REPORT_PARTS))
+def classify_blast_report(spark, sf):
+    return classified_reports(spark, sf)[0]
+
+
+@query("sink_blast_egt", O.sql(f"""SELECT '> ' || query || chr(10) || translate(part::VARCHAR, '0123456789', 'ACDEFGHIKL') AS record
+FROM ({REPORT_SQL}) r JOIN (SELECT q, min_by(part, ord) AS part FROM placed GROUP BY q) f ON r.query = f.q::VARCHAR WHERE share <> 0.1""", *REPORT_PARTS))
+def sink_blast_egt(spark, sf):
+    """FASTA of the translations of reads that the first share of the best score does not settle."""
+    classified, hits = classified_reports(spark, sf)
+    return translation_records(R.translations(classified, hits))

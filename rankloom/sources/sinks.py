@@ -25,6 +25,11 @@ def fasta_records(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("record"))
 
 
+def translation_records(rows: DataFrame) -> DataFrame:
+    """record of translated reads (query, seq): the header has a blank before the query."""
+    return rows.select(F.concat(F.lit("> "), "query", F.lit("\n"), "seq").alias("record"))
+
+
 def profile_lines(rows: DataFrame) -> DataFrame:
     """line of a profile (rank, taxon, n), the taxon in quotes; by rank, falling n and taxon, by ranges, so that files follow each other."""
     order = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("rank"))

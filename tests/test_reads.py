@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import reads, taxonomy
-from rankloom.sources import parsers
+from rankloom.sources import parsers, sinks
 
 NODES = [(1, 1, 0), (131567, 1, 0), (2, 131567, 1), (10, 2, 5), (11, 10, 23), (12, 11, 27), (13, 11, 27), (20, 2, 5), (21, 20, 27)]
 
@@ -138,3 +138,11 @@ def test_report_mode_without_worse_hit(spark, tree):
     row = reads.classify_blast(hits.select("query").distinct(), hits, found, tree, "n", "p").first()
     # The only other is of the genus and better (250), so the family is chosen without a worse hit: its lineage ends at the phylum.
     assert (row["property"], row["taxid"]) == ("interval_BLASTX", 10)
+
+
+def test_translations_of_unsettled_reads(spark):
+    """Only reads with hits that the first share leaves open are written, with the letters of the hit that stands first."""
+    hits = spark.createDataFrame([("a", 1, "LATE"), ("a", -3, "FRNT"), ("b", 0, "DNE"), ("c", 0, "SML")], "query string, ord long, q_seq string")
+    classified = spark.createDataFrame([("a", 1.0), ("b", 0.1), ("c", 0.3), ("d", 1.0)], "query string, share double")
+    got = sinks.translation_records(reads.translations(classified, hits))
+    assert sorted(r["record"] for r in got.collect()) == ["> a\nFRNT", "> c\nSML"]
