@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import ranks
 from rankloom.functions import sequence as Q
 from rankloom.operators import classify as C
-
-END = 1 << 30
+from rankloom.operators import families
+from rankloom.operators.cut import checkpointed
 
 
 def _shared_rank(a: Column, b: Column) -> Column:
@@ -21,29 +21,34 @@ def family(egts: DataFrame, members: DataFrame, matrix: dict[str, int], least: i
     """query, property (the family), taxid of egts (query, family, aligned) against members (family, member, taxid, path, aligned).
 
     The best member of the family plays the self; scores of the others with it are taken over the fragment's
-    span. A fragment or a self score below `least`, or a family without members, gives taxid 0. Both joins are
-    equalities on the family whose left side Spark splits where a family is hot; pairs are folded before any
-    shuffle but the one by query.
+    span. A fragment or a self score below `least`, or a family without members, gives taxid 0. Scores of a
+    family are worked out in blocks and folded there (families.py); ranks of common ancestors are found once for
+    each pair of taxa.
     """
-    masked = members.select("family", "member", F.col("taxid").alias("m_taxid"), F.col("path").alias("m_path"), Q.mask_outer_gaps(F.col("aligned")).alias("m_row"))
+    masked = members.select("family", "member", "taxid", Q.mask_outer_gaps(F.col("aligned")).alias("m_row"))
+    paths = members.select("taxid", "path").dropDuplicates(["taxid"])
     own = egts.select("query", "family", Q.mask_outer_gaps(F.col("aligned")).alias("row"))
-    score = Q.matrix_score(F.col("row"), F.col("m_row"), F.lit(0), F.lit(END), matrix)
-    best = F.min(F.struct((-score).alias("k"), "member", "m_taxid", "m_path", "m_row")).alias("b")
-    found = own.join(masked, "family").groupBy("query", "family", "row").agg(best)
+    found = families.best_members(own, masked, matrix).where(F.col("score") >= least)
     first = F.length(F.regexp_extract("row", r"^\?*", 0))
     last = F.length("row") - F.length(F.regexp_extract("row", r"\?*$", 0)) - 1
-    found = found.select("query", "family", "row", (-F.col("b.k")).alias("query_score"), F.col("b.m_path").alias("path"), F.col("b.m_row").alias("best_row"), first.alias("first"), last.alias("last"))
-    found = C.held(C.held(found).withColumn("self_score", Q.matrix_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last"), matrix)))
-    found = found.where((F.col("query_score") >= least) & (F.col("self_score") >= least))
+    found = found.select("query", "family", "row", F.col("score").alias("query_score"), F.col("taxid").alias("own"), F.col("m_row").alias("best_row"), first.alias("first"), last.alias("last"))
+    found = found.join(paths.select(F.col("taxid").alias("_taxid"), "path"), F.col("own").eqNullSafe(F.col("_taxid"))).drop("_taxid")
+    found = found.withColumn("self_score", Q.matrix_score(F.col("best_row"), F.col("best_row"), F.col("first"), F.col("last"), matrix))
+    # Read twice: for its own score and for those of the other members.
+    found = checkpointed(found.where(F.col("self_score") >= least))
     stats = Q.alignment_stats(F.col("row"), F.col("best_row"), F.col("first"), F.col("last"), matrix)
-    found = C.held(found.withColumn("stats", stats))
+    rows = C.held(found.withColumn("stats", stats))
     support = ranks.least_rank_for(F.col("stats.length"), F.col("stats.percent"), F.col("stats.gaps"), F.col("stats.positives") - F.col("stats.identities"))
-    found = C.held(found.withColumn("support", F.coalesce(support, F.lit(0))))
-    other = Q.matrix_score(F.col("best_row"), F.col("m_row"), F.col("first"), F.col("last"), matrix)
-    pairs = found.select("query", "family", "path", "best_row", "first", "last").join(masked, "family")
-    others = pairs.select("query", other.alias("score"), _shared_rank(F.col("path"), F.col("m_path")).alias("rank")).where(F.col("score") >= least)
-    rows = found.select("query", "self_score", "query_score", "path", "support").join(C.intervals(others), "query", "left")
-    taxa = C.assign(C.core(rows, multiplier)).select("query", "taxid")
+    rows = C.held(rows.withColumn("support", F.coalesce(support, F.lit(0))))
+    asked = found.select("query", "family", "own", F.col("best_row").alias("row"), "first", "last")
+    ranges = checkpointed(families.score_ranges(asked, masked, matrix, least))
+    pairs = ranges.select("own", "taxid").distinct()
+    pairs = pairs.join(paths, pairs["taxid"].eqNullSafe(paths["taxid"])).select("own", pairs["taxid"], F.col("path").alias("m_path"))
+    pairs = pairs.join(paths.select(F.col("taxid").alias("_taxid"), "path"), F.col("own").eqNullSafe(F.col("_taxid")))
+    pairs = pairs.select(F.col("own").alias("_own"), F.col("taxid").alias("_taxid"), _shared_rank(F.col("path"), F.col("m_path")).alias("rank"))
+    ranked = ranges.join(pairs, F.col("own").eqNullSafe(F.col("_own")) & F.col("taxid").eqNullSafe(F.col("_taxid")))
+    others = ranked.select("query", "rank", F.explode(F.array("best", "worst")).alias("score"))
+    taxa = C.assign(C.core(rows.select("query", "self_score", "query_score", "path", "support").join(C.intervals(others), "query", "left"), multiplier)).select("query", "taxid")
     return egts.select("query", F.col("family").alias("property")).join(taxa, "query", "left").select("query", "property", F.coalesce("taxid", F.lit(0)).alias("taxid"))
 
 

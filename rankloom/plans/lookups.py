@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators import families
 from rankloom.operators import joins as J
 from rankloom.plans.functions import rule_matrix
-from rankloom.functions import sequence as Q
 from rankloom.plans.registry import query
 from rankloom.sources import tables as S
 
@@ -55,11 +55,8 @@ MEMBERS = "m AS (SELECT item_id, item_id % 8 AS family, translate(upper(regexp_r
 @query("join_egt_family", f"""WITH {MEMBERS}, sc AS (SELECT a.item_id AS egt, b.item_id AS member, CASE WHEN least(length(a.s), length(b.s)) < 25 THEN 0 ELSE list_sum([CASE WHEN t[1] = t[2] THEN 4 ELSE -1 END FOR t IN list_zip(string_split(a.s, ''), string_split(b.s, ''), true)]) END AS score
  FROM m a JOIN m b ON a.family = b.family AND a.item_id <> b.item_id) SELECT egt, max_by(member, (score, -member)) AS member, max(score)::INT AS score FROM sc GROUP BY egt""")
 def join_egt_family(spark, sf):
-    """The best member of its family for each translation: an equality join by family, folded before any shuffle of pairs."""
+    """The best member of its family for each translation, itself left out: families are scored in blocks."""
     s = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG")
-    m = S.table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 8).alias("family"), s.alias("s"))
-    other = m.select(F.col("item_id").alias("member"), "family", F.col("s").alias("t"))
-    pairs = m.join(other, "family").where("item_id <> member")
-    scored = pairs.withColumn("score", Q.matrix_score(F.col("s"), F.col("t"), F.lit(0), F.lit(1 << 30), rule_matrix()))
-    best = F.max(F.struct("score", (-F.col("member")).alias("k"))).alias("best")
-    return scored.groupBy(F.col("item_id").alias("egt")).agg(best).select("egt", (-F.col("best.k")).alias("member"), F.col("best.score").alias("score"))
+    m = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") % 8).alias("family"), s.alias("row"))
+    members = m.select("family", F.col("query").alias("member"), F.lit(0).alias("taxid"), F.col("row").alias("m_row"))
+    return families.best_members(m, members, rule_matrix(), others=True).select(F.col("query").alias("egt"), "member", "score")
