@@ -1,7 +1,8 @@
 """WARC archives: written with revisits for equal payloads, read back by boundary chains.
 
 Writing: a response record holds an HTTP head and the payload; of equal payloads of at least LEAST_REVISIT
-bytes only the record of the smallest page_id holds it, the others are revisits that name it.
+bytes only the record of the smallest page_id holds it, the others are revisits that name it. A file ends before
+the record that would take it beyond its bytes, so only a record that is larger by itself makes a larger file.
 
 Reading: each file is scanned for the record magic. Every place that looks like a record gives a link to
 its successor (its end by its own Content-Length); within a block the links are followed on the spot, so
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,28 @@ BLOCK = 1 << 20
 BROADCAST_ROWS = 50_000
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def _in_files(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record, n in zip(batch.column(0), pc.binary_length(batch.column(0)).to_pylist()):
+                if held and size + n + 2 > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(["\r\n".join(held)])], names=["value"])
+                    held, size = [], 0
+                held.append(record.as_py())
+                size += n + 2
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\r\n".join(held)])], names=["value"])
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Writes a record for each row of pages (page_id, url, html) to text files of whole records below path."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "%0A").alias("url"), html.alias("html")).withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     firsts = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     firsts = common.written(firsts.select(F.col("digest").alias("_digest"), "first"), "firsts")
-    size = rows.agg(F.avg("n")).first()[0] or 0
     if firsts.count() <= BROADCAST_ROWS:
         firsts = F.broadcast(firsts)
     marked = rows.join(firsts, (F.col("digest") == F.col("_digest")) & (F.col("n") >= LEAST_REVISIT), "left")
@@ -53,8 +70,8 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
         (F.octet_length("http") + F.when(revisit, 0).otherwise(F.col("n"))).cast("string"), F.lit("\r\n\r\n"),
     )
     records = marked.withColumn("http", http).select(F.concat(head, block, F.lit("\r\n")).alias("value"))
-    per_file = max(1, int(FILE_BYTES / (size + 600)))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+    # A row holds the records of a file.
+    records.mapInArrow(_in_files(file_bytes), "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def head_of(content: bytes, at: int) -> tuple[dict[str, str], int, int] | None:

@@ -330,6 +330,17 @@ def test_warc(spark):
     assert payload[4] == nasty.encode() and payload[3] == b""
 
 
+def test_warc_files_end_by_bytes(spark):
+    """Large pages among small ones: no file is larger than its bytes unless by one record."""
+    rows = [(i, f"http://a/{i}", ("é" * 20_000 if i % 50 == 7 else "x" * 10) + str(i)) for i in range(1000)] + [(5000, "u", "y" * 300_000), (None, "n", "z" * 120), (None, "n", "z" * 120)]
+    path = common.new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=100_000)
+    sizes = sorted(r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect())
+    assert len(sizes) > 1_400_000 // 100_000 and sizes[-2] <= 100_000 < 300_000 < sizes[-1]
+    got = warc.read_warc(spark, path, payloads=True).collect()
+    assert Counter((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == Counter(rows) and all(r["record_type"] == "response" for r in got)
+
+
 def test_warc_long_url(spark):
     """Headers of any length: one page with a long url must not stop the others."""
     rows = [(1, "http://a/", "x" * 200), (2, "data:," + "u" * 300_000, "y" * 150), (3, "http://c/", "z"), (4, "http://d/?" + "é" * 70_000, "y" * 150)]
