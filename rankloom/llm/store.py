@@ -47,10 +47,12 @@ class Cutter:
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def ends(self, ids: np.ndarray) -> list[int]:
+    def ends(self, ids: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
+        """For each run ids[at[k] : at[k + 1]], where its chunks end, counted from its own start.
+
+        All runs are hashed at once: a window that reaches back into another run ends before LEAST ids of its own, where nothing is cut.
+        """
         n = len(ids)
-        if n <= LEAST:
-            return [n] if n else []
         if n > len(self.up):
             self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
         sums = np.cumsum((ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) * self.up[:n])
@@ -58,15 +60,18 @@ class Cutter:
         rolled[WINDOW:] -= sums[:-WINDOW]
         rolled *= self.down[:n]
         hits = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(AVERAGE - 1) == 0) + 1
-        out, last = [], 0
-        for h in [*hits.tolist(), n]:
-            while h - last > MOST:
-                last += MOST
-                out.append(last)
-            if h - last >= LEAST or h == n and h > last:
-                out.append(h)
-                last = h
-        return out
+        begins, places = at[:-1], np.searchsorted(hits, at, "right").tolist()
+        sizes = np.diff(at).tolist()
+        for k, start in enumerate(begins.tolist()):
+            size, out, last = sizes[k], [], 0
+            for h in [*(hits[places[k] : places[k + 1]] - start).tolist(), size]:
+                while h - last > MOST:
+                    last += MOST
+                    out.append(last)
+                if h - last >= LEAST or h == size and h > last:
+                    out.append(h)
+                    last = h
+            yield out
 
 
 def digest_of(ids: bytes) -> bytes:
@@ -93,30 +98,30 @@ def _encode(path: str, memo_pieces: int):
 
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        encoder, cutter, seen, row = tokens.Encoder(path, memo_pieces), Cutter(), set(), 0
+        encoder, cutter, seen, row = tokens.encoder_of(path, memo_pieces), Cutter(), set(), 0
         pack = zstandard.ZstdCompressor(level=3).compress
         schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n_ids", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("root", pa.binary()), ("lengths", pa.binary())])
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 ids, at = encoder.encode(part.column("text"))
-                out = []
-                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    own = ids[at[k] : at[k + 1]]
-                    raw, digests, lengths, last = own.tobytes(), [], [], 0
-                    for end in cutter.ends(own):
-                        body = raw[4 * last : 4 * end]
-                        digests.append(digest := digest_of(body))
+                raw, narrow, wide = memoryview(ids.tobytes()), memoryview(ids.astype("<u2").tobytes()), bool(ids.max(initial=0) > 0xFFFF)
+                out, starts = [], at.tolist()
+                for k, (doc_id, ends) in enumerate(zip(part.column("doc_id").to_pylist(), cutter.ends(ids, at))):
+                    start, digests, lengths, last = starts[k], [], [], 0
+                    for end in ends:
+                        low, high = start + last, start + end
+                        digests.append(digest := digest_of(raw[4 * low : 4 * high]))
                         lengths.append(end - last)
                         if digest not in seen:
                             if len(seen) < SEEN:
                                 seen.add(digest)
-                            narrow = own[last:end]
-                            wide = bool(narrow.max() > 0xFFFF)
-                            out.append((1, digest, end - last, bytes([wide]) + pack(body if wide else narrow.astype("<u2").tobytes()), None, None, None))
+                            broad = wide and bool(ids[low:high].max() > 0xFFFF)
+                            out.append((1, digest, end - last, bytes([broad]) + pack(raw[4 * low : 4 * high] if broad else narrow[2 * low : 2 * high]), None, None, None))
                         last = end
                     row += 1
                     key = task.to_bytes(8, "big") + row.to_bytes(8, "big")
-                    out.append((0, key, len(own), b"".join(digests), doc_id, root_of(b"".join(digests)), np.array(lengths, "<u4").tobytes()))
+                    joined = b"".join(digests)
+                    out.append((0, key, starts[k + 1] - start, joined, doc_id, root_of(joined), np.array(lengths, "<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out else [pa.array([], t.type) for t in schema], schema=schema)
 
     return run

@@ -1,9 +1,10 @@
 """Vectorised encoding of Arrow text columns with a public word tokenizer.
 
-The tokenizer drops white space and never joins characters across it, so a text's
-ids are the ids of its white-space-separated pieces, one after the other. A batch is
-cut into pieces in Arrow, each distinct piece is encoded once, and the ids of all
-texts are gathered with numpy. A bounded memo carries pieces from batch to batch.
+The tokenizer drops white space, never joins characters across it, and splits what is left into runs of letters,
+single digits and runs of marks, which its model encodes one by one. The bytes of a batch are classed by table and
+cut into such runs, each distinct run is encoded once, and the ids of all texts are gathered with numpy. Words with
+any other character (apostrophes, "<", letters beyond Latin-1) are one run each, for the whole tokenizer. A bounded
+memo carries runs from batch to batch, and from task to task of a worker (see encoder_of).
 """
 
 from __future__ import annotations
@@ -11,14 +12,35 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Letters that are lower case, composed and single code points, then marks: each run is a token group of its own.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+#: Letters that are lower case, composed and single code points, marks, a digit: each such run is a token group of its own.
+RUN = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:;=-@[-`{-~]+|[0-9]")
+#: Ends a text among the bytes of a batch; no byte of UTF-8.
+END = b"\xff"
+BLANK, ENDING, LETTER, MARK, DIGIT, OTHER = range(6)
+#: First byte of the letters from U+00C0 to U+00FF, the second bytes of the two among them that are none, and that of ß, above which all are lower case.
+LATIN, SIGNS, SHARP = 0xC3, (0x97, 0xB7), 0x9F
+
+
+def _kind(byte: int, split: bool) -> int:
+    c = chr(byte)
+    if c in " \t\n\v\f\r":
+        return BLANK
+    if byte == END[0]:
+        return ENDING
+    if not split or byte > 0x7E or byte < 0x20 or c in "'<":
+        return OTHER
+    return LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK
+
+
+LOWER = bytes(range(256)).lower()
 PIECE_BYTES = 8 << 20
 
 
@@ -30,7 +52,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes batches of texts; at most `memo_pieces` pieces of at most 64 bytes are remembered."""
+    """Encodes batches of texts; at most `memo_pieces` runs of at most 64 bytes are remembered."""
 
     def __init__(self, path: str, memo_pieces: int = 300_000):
         import os
@@ -41,74 +63,90 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.memo_pieces = memo_pieces
-        self.memo: dict[bytes, bytes] = {b"": b""}
-        self.symbols = {chr(c): "".join(map(byte_symbols().get, chr(c).encode())) for c in range(256)}
-        self.plain = self._model_alone()
+        self.memo: dict[bytes, bytes] = {}
+        symbols = byte_symbols()
+        self.symbols = {c: "".join(map(symbols.get, chr(c).encode())) for c in range(256)}
+        self.split = self._model_alone()
+        self.kinds = bytes(_kind(b, self.split) for b in range(256))
 
     def _model_alone(self) -> bool:
-        """Whether the model alone gives what the whole tokenizer gives for plain pieces."""
-        probe = ["straße", "élève.", "theand,", "a", "ñandú?", "über;", "xyzzyq!", "to:", "on&&&", "x...", "b_c-"]
-        return all(self._plain(p) in (None, self._whole(p)) for p in probe)
+        """Whether the model alone gives what the whole tokenizer gives for runs."""
+        probe = ["straße", "élève.", "theand,", "a", "ñandú?", "über;", "xyzzyq!", "to:", "on&&&", "x...", "b_c-", "(2023)", "3.14%", "a1b22", "--é--"]
+        return all(b"".join(map(self._run, RUN.findall(p))) == self._whole(p) for p in probe)
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
-        """The ids of one run of letters or of marks, by the model alone."""
-        found = self.memo.get(raw := run.encode())
-        if found is None:
-            word = run if run.isascii() else "".join(map(self.symbols.get, run))
-            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            if len(self.memo) < self.memo_pieces and len(raw) <= 64:
-                self.memo[raw] = found
-        return found
-
-    def _plain(self, piece: str) -> bytes | None:
-        m = PLAIN.fullmatch(piece)
-        if not m:
-            return None
-        return self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
+        """The ids of one run of letters or of marks, or of a digit, by the model alone."""
+        return array("I", map(attrgetter("id"), self.model.tokenize(run if run.isascii() else run.translate(self.symbols)))).tobytes()
 
     def piece(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        out = self._plain(text) if self.plain else None
-        if out is None:
-            out = self._whole(text)
-        # Letters are remembered alone; letters with marks only while there is room for what is frequent.
-        if len(self.memo) < self.memo_pieces // 3 and len(raw) <= 64:
+        text, most = raw.decode(), self.memo_pieces
+        if self.split and RUN.fullmatch(text):
+            out = self._run(text)
+        else:  # words that are no run are remembered only while there is room for what is frequent
+            out, most = self._whole(text), most // 3
+        if len(self.memo) < most and len(raw) <= 64:
             self.memo[raw] = out
         return out
 
+    def _runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all runs of all texts, letters lower-cased, each text closed by a run END, and the places where runs begin and end."""
+        empty, end = (pa.scalar(b, pa.large_binary()) for b in (b"", END))
+        joined = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_binary()), empty), empty, end)
+        size = int(np.frombuffer(joined.buffers()[1], np.int64)[joined.offset + len(joined)])
+        raw = joined.buffers()[2].slice(0, size)
+        data = np.frombuffer(raw, np.uint8)
+        kind, low = (np.frombuffer(bytearray(raw).translate(table), np.uint8) for table in (self.kinds, LOWER))
+        if self.split:
+            at = np.flatnonzero(data == LATIN)
+            at = at[~np.isin(data[at + 1], SIGNS)]
+            second = data[at + 1]
+            kind[at] = kind[at + 1] = LETTER
+            low[at + 1] = np.where(second < SHARP, second | 0x20, second)
+        edges = np.flatnonzero(np.diff(kind > ENDING, prepend=False, append=False))
+        first, last = edges[::2], edges[1::2]
+        word = np.flatnonzero(np.maximum.reduceat(kind, first) == OTHER) if len(first) else first
+        if len(word):  # words that hold a character of no run are runs as they stand
+            sizes = last[word] - first[word]
+            where = np.repeat(first[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            kind[where] = OTHER
+            low[where] = data[where]
+        begins = (kind == DIGIT) | (kind == ENDING)
+        begins[0] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        keep = kind != BLANK
+        low, at = low[keep], np.flatnonzero(begins[keep])
+        return low, np.append(at, len(low))
+
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32 with end_id after each text, and the n + 1 offsets of the texts. Nulls count as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before letters are lowered
-            texts = pc.ascii_lower(texts)
-        for space in "\t\n\v\f\r":
-            texts = pc.replace_substring(texts, space, " ")
-        lists = pc.split_pattern(texts, " ")
-        at = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.memo[END] = end_id.to_bytes(4, "little")
+        low, at = self._runs(texts)
+        runs = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(low)])
+        coded = runs.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        get, piece = self.memo.get, self.piece
-        found = [x if (x := get(w)) is not None else piece(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found, piece = list(map(self.memo.get, keys)), self.piece
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = piece(keys[k])
         lens = np.fromiter(map(len, found), np.int32, len(found)) // 4
         pool = np.frombuffer(b"".join(found), dtype="<u4")
         starts = np.cumsum(lens, dtype=np.int64) - lens
         each = lens[codes]
         ends = np.cumsum(each, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat((starts[codes] - (ends - each)), each)
-        where += np.arange(total)
-        ids = pool[where] if total else np.zeros(0, "<u4")
-        offsets = np.concatenate(([0], ends))[at - at[0]]
-        n = len(texts)
-        out = np.full(total + n, end_id, dtype="<u4")
-        keep = np.ones(total + n, dtype=bool)
-        keep[offsets[1:] + np.arange(n)] = False
-        out[keep] = ids
-        return out, offsets + np.arange(n + 1)
+        where = np.repeat(starts[codes] - (ends - each), each)
+        where += np.arange(len(where))
+        return pool[where], np.concatenate(([0], ends[low[at[:-1]] == END[0]]))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, memo_pieces: int = 300_000) -> Encoder:
+    """The encoder of this worker: it keeps its memo for the worker's next task, with the same bound."""
+    return Encoder(path, memo_pieces)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
