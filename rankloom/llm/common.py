@@ -57,6 +57,11 @@ def small_enough(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def constants(values: list, kind: str) -> Column:
+    """An array of numbers as one constant: a literal for each is a call of the driver's JVM."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def bucket_of(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are <= key (null: 0): a binary search inside one expression."""
     if not bounds:
@@ -66,15 +71,17 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     while size <= len(bounds):
         steps.append(size)
         size *= 2
-    padded = F.array(*[F.lit(int(b)).cast("long") for b in bounds], *[F.lit(None).cast("long")] * (size - 1 - len(bounds)))
-    pick = lambda p, s: F.when(F.get(padded, p + s - 1) <= key, p + s).otherwise(p)
+    held = constants([int(b) for b in bounds], "long")
+    pick = lambda p, s: F.when(F.get(held, p + s - 1) <= key, p + s).otherwise(p)
     return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), pick), F.lit(0))
 
 
 def even_bounds(df: DataFrame, key: Column, buckets: int) -> list[int]:
     """At most buckets - 1 distinct longs that cut the keys into runs of about as many rows. Bounded: buckets."""
+    if buckets < 2:
+        return []
     cuts = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, cuts, max(10_000, 4 * buckets)).alias("b")).first()["b"]
+    found = df.agg(F.percentile_approx(key, constants(cuts, "double"), max(10_000, 4 * buckets)).alias("b")).first()["b"]
     return sorted(set(found or []))
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,38 +43,47 @@ def _encode(path: str, memo_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, pack = tokens.Encoder(path, memo_pieces), zstandard.ZstdCompressor(level=3).compress
+        encoder, pack = tokens.encoder_of(path, memo_pieces), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 ids, at = encoder.encode(part.column("text"))
-                hashes, bodies = [], []
-                for k in range(part.num_rows):
-                    own = ids[at[k] : at[k + 1]]
-                    hashes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    wide = bool(own.max() > 0xFFFF)
-                    bodies.append(bytes([wide]) + pack(own.astype("<u4" if wide else "<u2").tobytes()))
+                raw, narrow, wide = memoryview(ids.tobytes()), memoryview(ids.astype("<u2").tobytes()), bool(ids.max(initial=0) > 0xFFFF)
+                hashes, bodies, places = [], [], at.tolist()
+                for low, high in zip(places, places[1:]):
+                    hashes.append(int.from_bytes(hashlib.blake2b(raw[4 * low : 4 * high], digest_size=8).digest(), "little", signed=True))
+                    broad = wide and bool(ids[low:high].max() > 0xFFFF)
+                    bodies.append(bytes([broad]) + pack(raw[4 * low : 4 * high] if broad else narrow[2 * low : 2 * high]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("source"), pa.array(hashes, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(bodies, pa.binary())], schema=ENCODED)
 
     return run
 
 
 def _cut(length: int):
+    """Cuts documents into the parts that rounds serve, and these at the sequences' edges. Pieces in order are the ids as they stand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = []
-            for doc_id, n, body, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "body", "parts"))):
-                raw = np.frombuffer(unpack(body[1:]), "<u4" if body[0] else "<u2").astype("<u4").tobytes()
-                for part in parts:
-                    start, end, at = part["start"], part["start"] + part["size"], part["at"]
-                    while start < end:
-                        take = min(end - start, length - at % length)
-                        rows.append((doc_id, start, take, raw[4 * start : 4 * (start + take)], n, at // length, at % length))
-                        start += take
-                        at += take
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PIECES)] if rows else [pa.array([], t.type) for t in PIECES], schema=PIECES)
+        for batch in (part for whole in batches for part in tokens.slices(whole, "body")):
+            parts = batch.column("parts")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(parts)))
+            start, size, at = (np.asarray(pc.struct_field(parts.flatten(), c), dtype=np.int64) for c in ("start", "size", "at"))
+            order = np.lexsort((start, row))
+            row, start, size, at = row[order], start[order], size[order], at[order]
+            many = (at + size - 1) // length - at // length + 1
+            part = np.repeat(np.arange(len(at)), many)
+            sequence = at[part] // length + np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
+            low, high = np.maximum(at[part], sequence * length), np.minimum(at[part] + size[part], (sequence + 1) * length)
+            begin, take = start[part] + low - at[part], high - low
+            n = np.asarray(batch.column("n"), dtype=np.int64)
+            ends = np.cumsum(take)
+            if not np.array_equal(ends - take, (np.cumsum(n) - n)[row[part]] + begin) or ends[-1] != n.sum():
+                raise ValueError("the parts of a document are not all of it, each id once")
+            ids = b"".join(np.frombuffer(unpack(body[1:]), "<u4" if body[0] else "<u2").astype("<u4").tobytes() for body in batch.column("body").to_pylist())
+            bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(take), [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(ids)]).cast(pa.binary())
+            whose = pa.array(row[part])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(whose), pa.array(begin), pa.array(take), bodies, batch.column("n").take(whose), pa.array(sequence), pa.array(low % length)], schema=PIECES)
 
     return run
 
