@@ -30,6 +30,8 @@ WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 FAN = 1024
+#: Ids hashed at a time.
+BLOCK = 1 << 16
 SEEN = 200_000
 DIGEST = 16
 
@@ -45,21 +47,23 @@ class Cutter:
     """Cuts id streams by content: a chunk ends where the hash of the last WINDOW ids has AVERAGE - 1 low bits clear."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
+        self.up, self.down = powers(BASE, BLOCK + WINDOW), powers(INVERSE, BLOCK + WINDOW)
 
     def ends(self, ids: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
         """For each run ids[at[k] : at[k + 1]], where its chunks end, counted from its own start.
 
-        All runs are hashed at once: a window that reaches back into another run ends before LEAST ids of its own, where nothing is cut.
+        Hashes are worked out in blocks over all runs: a window that reaches back into another run ends before LEAST ids of its own, where nothing is cut.
         """
-        n = len(ids)
-        if n > len(self.up):
-            self.up, self.down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
-        sums = np.cumsum((ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) * self.up[:n])
-        rolled = sums.copy()
-        rolled[WINDOW:] -= sums[:-WINDOW]
-        rolled *= self.down[:n]
-        hits = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(AVERAGE - 1) == 0) + 1
+        found = [np.zeros(0, np.int64)]
+        for low in range(0, len(ids), BLOCK):
+            before = min(low, WINDOW)
+            own = ids[low - before : low + BLOCK].astype(np.uint64)
+            sums = np.cumsum((own * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) * self.up[: len(own)])
+            rolled = sums.copy()
+            rolled[WINDOW:] -= sums[:-WINDOW]
+            rolled *= self.down[: len(own)]
+            found.append(np.flatnonzero((rolled[before:] >> np.uint64(40)) & np.uint64(AVERAGE - 1) == 0) + low + 1)
+        hits = np.concatenate(found)
         begins, places = at[:-1], np.searchsorted(hits, at, "right").tolist()
         sizes = np.diff(at).tolist()
         for k, start in enumerate(begins.tolist()):

@@ -70,3 +70,14 @@ def test_chunks_do_not_depend_on_neighbours(n):
     for p, ends in zip(parts, together):
         sizes = np.diff([0, *ends])
         assert sum(sizes) == len(p) and all(store.LEAST <= s <= store.MOST for s in sizes[:-1]) and all(0 < s <= store.MOST for s in sizes)
+
+
+def test_chunks_do_not_depend_on_blocks(monkeypatch):
+    """Cuts are the same by any size of the blocks that are hashed at a time."""
+    ids = np.random.default_rng(1).integers(0, 49_000, 50_000).astype("<u4")
+    at = np.array([0, 30_000, 50_000])
+    want = list(store.Cutter().ends(ids, at))
+    for block in (1, 17, 1000, 29_999):
+        monkeypatch.setattr(store, "BLOCK", block)
+        assert list(store.Cutter().ends(ids, at)) == want
+    assert all(len(ends) > 20 for ends in want)
