@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: the characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of a batch of rows on its way to Python. Spark's own bound is 10,000 rows or 64 MB; executor and worker hold a batch several times over.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,13 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._rankloom_path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches to Python by BATCH_BYTES, and one row more; a lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def small_enough(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows (of a few longs each), counted now."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
