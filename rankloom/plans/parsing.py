@@ -224,9 +224,10 @@ def build_pfam_taxid(spark, sf):
 
 @query("scan_stockholm", "SELECT 's' || doc_id || '/1-9' AS row_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) || 'AC' AS aligned FROM documents")
 def scan_stockholm(spark, sf):
+    """A file for each document; where there is no text, its row is named only."""
     d = S.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", ".").alias("s"))
     name = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.lit("/1-9 "))
-    parts = F.array(F.lit("# STOCKHOLM 1.0"), F.concat(name, "s"), F.concat(name, F.lit("ac")), F.lit("//"), F.concat(name, F.lit("zz")))
+    parts = F.array(F.lit("# STOCKHOLM 1.0"), F.coalesce(F.concat(name, "s"), name), F.when(F.col("s").isNotNull(), F.concat(name, F.lit("ac"))).otherwise("# no text"), F.lit("//"), F.concat(name, F.lit("zz")))
     rows = d.select(F.col("doc_id").alias("file"), F.posexplode(parts).alias("ord", "value"))
     return P.stockholm(rows).select("row_id", "aligned")
 

@@ -379,12 +379,17 @@ def blast_report(records: DataFrame) -> DataFrame:
 
 
 def stockholm(lines: DataFrame, file: str = "file") -> DataFrame:
-    """file, row_id, aligned: blocks joined in order, upper case, dots as gaps; # lines and what follows // are left out."""
+    """file, row_id, aligned: blocks joined in order, upper case, dots as gaps; # lines and what follows // are left out.
+
+    A line may name its row only; a row without any letters is null.
+    """
     stop = lines.where("value = '//'").groupBy(file).agg(F.min("ord").alias("_stop"))
     rows = lines.join(stop, file, "left").where((F.col("_stop").isNull() | (F.col("ord") < F.col("_stop"))) & ~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.split(F.trim("value"), r"\s+")
-    listed = F.array_sort(F.collect_list(F.struct("ord", f[1].alias("part"))))
-    return rows.groupBy(file, f[0].alias("row_id")).agg(F.translate(F.upper(F.array_join(F.transform(listed, lambda s: s["part"]), "")), ".", "-").alias("aligned"))
+    rows = rows.select(file, F.get(f, F.lit(0)).alias("row_id"), "ord", F.get(f, F.lit(1)).alias("part"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("ord", "part"))))
+    joined = F.translate(F.upper(F.array_join(F.transform(listed, lambda s: s["part"]), "")), ".", "-")
+    return rows.groupBy(file, "row_id").agg(F.when(F.count("part") > 0, joined).alias("aligned"))
 
 
 def profile(lines: DataFrame) -> DataFrame:
