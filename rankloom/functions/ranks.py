@@ -46,6 +46,31 @@ def taxids(path: Column) -> Column:
     return F.transform(path, lambda s: s["taxid"])
 
 
+def packed(path: Column) -> Column:
+    """A lineage in few bytes: for each node a long of its taxid, its rank id and the simple rank of the lineage that ends there.
+
+    Two taxa share what their packed lineages share, and the last shared number tells the simple rank of their common ancestor.
+    """
+    simple = F.array(*[F.lit(next((k for k, least in enumerate(SIMPLE) if r >= least), 7)) for r in range(len(RANKS))])
+    lowest = F.transform(path, lambda s, i: lowest_rank(F.slice(path, F.lit(1), i + 1)))
+    return F.transform(F.arrays_zip(path.alias("s"), lowest.alias("low")), lambda x: F.shiftleft(x["s"]["taxid"].cast("long"), 8) + x["s"]["rank"] * 8 + F.get(simple, x["low"]))
+
+
+def unpacked(line: Column) -> Column:
+    """The lineage of a packed one."""
+    return F.transform(line, lambda x: F.struct(F.shiftright(x, 8).cast("int").alias("taxid"), F.shiftright(x, 3).bitwiseAND(31).cast("int").alias("rank")))
+
+
+def packed_taxid(line: Column, place: int) -> Column:
+    """taxid of the node at a place (from 0) of a packed lineage; null beyond its end."""
+    return F.shiftright(F.get(line, F.lit(place)), 8).cast("int")
+
+
+def shared_simple_rank(a: Column, b: Column) -> Column:
+    """Simple rank of the common ancestor of two packed lineages, 7 (none) where one is null."""
+    return F.coalesce(F.get(a, F.size(F.array_intersect(a, b)) - 1).bitwiseAND(7).cast("int"), F.lit(7))
+
+
 def lca(a: Column, b: Column) -> Column:
     """Deepest common node of two lineages' taxids, 0 if none: in a tree the common nodes are a common beginning."""
     return F.coalesce(F.get(a, F.size(F.array_intersect(a, b)) - 1), F.lit(0))

@@ -6,6 +6,8 @@ the worst score of the other sequences whose common ancestor with the best hit h
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,46 +33,57 @@ def intervals(others: DataFrame) -> DataFrame:
     return others.withColumn("_r", r).groupBy("query").agg(*aggs)
 
 
-def core(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
-    """Adds slot (simple rank), rank and no_worse to rows (self_score, query_score, b1..b7, w1..w7).
-
-    Every step is a projection over eight slots; a value of 0 means that a slot is unset.
-    """
-    s, q = F.col("self_score").cast("double"), F.col("query_score").cast("double")
-    q = F.least(q * multiplier, s) if multiplier != 1.0 else q
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    out = rows.withColumns({"_q": q, "_b0": s, "_w0": s, **{f"_{x}{k}": zero(f"{x}{k}") for x in "bw" for k in range(1, 8)}})
+def slots(own: np.ndarray, asked: np.ndarray, best: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """slot, and the best score there, of each of n self and query scores with n x 7 best and worst scores by simple rank 1 to 7; 0 is unset."""
+    n = len(own)
+    best, worst = np.column_stack([own, best]), np.column_stack([own, worst])
     # Scores may not fall towards the species: from 7 down, what lies under the running maximum is unset.
+    above = np.maximum(best[:, 7], 0.0)
     for k in range(6, 0, -1):
-        above = F.greatest(*[F.col(f"_b{j}") for j in range(k + 1, 8)], F.lit(0.0))
-        out = out.withColumn(f"_m{k}", above)
-    out = out.withColumns({f"_b{k}": F.when(F.col(f"_b{k}") < F.col(f"_m{k}"), 0.0).otherwise(F.col(f"_b{k}")) for k in range(1, 7)})
-    out = held(out)
+        given = best[:, k].copy()
+        best[given < above, k] = 0.0
+        above = np.maximum(above, given)
     # Unset slots between two set ones are interpolated; worst scores follow where they are unset.
-    filled = {}
-    for k in range(1, 7):
-        left_at, left = F.lit(0), F.col("_b0")
-        for j in range(1, k):
-            left_at, left = F.when(F.col(f"_b{j}") != 0, j).otherwise(left_at), F.when(F.col(f"_b{j}") != 0, F.col(f"_b{j}")).otherwise(left)
-        right_at, right = F.lit(None).cast("int"), F.lit(None).cast("double")
-        for j in range(7, k, -1):
-            right_at, right = F.when(F.col(f"_b{j}") != 0, j).otherwise(right_at), F.when(F.col(f"_b{j}") != 0, F.col(f"_b{j}")).otherwise(right)
-        between = left + (right - left) * (F.lit(k) - left_at) / (right_at - left_at)
-        filled[f"_f{k}"] = F.when((F.col(f"_b{k}") == 0) & right_at.isNotNull(), between)
-    out = out.withColumns(filled)
-    out = out.withColumns({**{f"_w{k}": F.when(F.col(f"_f{k}").isNotNull() & (F.col(f"_w{k}") == 0), F.col(f"_f{k}")).otherwise(F.col(f"_w{k}")) for k in range(1, 7)}, **{f"_b{k}": F.coalesce(f"_f{k}", f"_b{k}") for k in range(1, 7)}})
-    out = held(out)
+    left, left_at = np.empty((n, 8)), np.zeros((n, 8))
+    left[:, 1] = best[:, 0]
+    for k in range(2, 8):
+        is_set = best[:, k - 1] != 0
+        left[:, k], left_at[:, k] = np.where(is_set, best[:, k - 1], left[:, k - 1]), np.where(is_set, k - 1, left_at[:, k - 1])
+    right, right_at, filled = np.full(n, np.nan), np.full(n, np.nan), {}
+    for k in range(6, 0, -1):
+        is_set = best[:, k + 1] != 0
+        right, right_at = np.where(is_set, best[:, k + 1], right), np.where(is_set, k + 1, right_at)
+        filled[k] = left[:, k] + (right - left[:, k]) * (k - left_at[:, k]) / (right_at - left_at[:, k])
+    for k, value in filled.items():
+        use = (best[:, k] == 0) & ~np.isnan(value)
+        worst[:, k] = np.where(use & (worst[:, k] == 0), value, worst[:, k])
+        best[:, k] = np.where(use, value, best[:, k])
     # Down from 7 as long as the query beats the next slot's best score.
-    down = F.lit(0)
+    down = np.zeros(n, np.int64)
     for k in range(1, 8):
-        down = F.when(F.col("_q") <= F.col(f"_b{k - 1}"), F.lit(k)).otherwise(down)
-    out = out.withColumn("_r", down)
-    out = held(out)
-    at = lambda x, shift=0: F.get(F.array(*[F.col(f"_{x}{k}") for k in range(8)]), F.col("_r") - shift)
-    better = (F.col("_r") > 0) & (F.col("_q") > at("b")) & (F.col("_q") >= at("w", 1))
-    out = out.withColumn("slot", F.col("_r") - better.cast("int"))
-    best = F.get(F.array(*[F.col(f"_b{k}") for k in range(8)]), F.col("slot"))
-    out = out.withColumn("no_worse", (best == 0) & (F.col("slot") < 7))
+        down = np.where(asked <= best[:, k - 1], k, down)
+    row = np.arange(n)
+    slot = down - ((down > 0) & (asked > best[row, down]) & (asked >= worst[row, np.maximum(down - 1, 0)]))
+    return slot, best[row, slot]
+
+
+def core(rows: DataFrame, multiplier: float = 1.0) -> DataFrame:
+    """Adds slot (simple rank), no_worse and rank_id to rows (self_score, query_score, b1..b7, w1..w7).
+
+    Every step is taken for all rows of a batch at once over eight slots; a value of 0 means that a slot is unset.
+    """
+
+    @F.pandas_udf("struct<slot: int, no_worse: boolean>")
+    def placed(own: pd.Series, asked: pd.Series, *scores: pd.Series) -> pd.DataFrame:
+        each = np.column_stack([x.to_numpy(np.float64) for x in scores])
+        slot, best = slots(own.to_numpy(np.float64), asked.to_numpy(np.float64), each[:, :7], each[:, 7:])
+        none = pd.Series((best == 0) & (slot < 7), dtype="boolean").mask(np.isnan(best))
+        return pd.DataFrame({"slot": slot.astype(np.int32), "no_worse": none})
+
+    s, q = F.col("self_score").cast("double"), F.col("query_score").cast("double")
+    q = F.least(q * multiplier, s) if multiplier != 1.0 else q
+    found = placed(s, q, *[F.coalesce(F.col(f"{x}{k}").cast("double"), F.lit(0.0)) for x in "bw" for k in range(1, 8)])
+    out = rows.withColumn("_found", found).select(*rows.columns, F.col("_found.slot").alias("slot"), F.col("_found.no_worse").alias("no_worse"))
     out = out.withColumn("rank_id", F.get(F.array(*[F.lit(r) for r in ranks.RANK_OF_SIMPLE]), F.col("slot")))
     return held(out.drop(*[c for c in out.columns if c.startswith("_")]))
 

@@ -30,7 +30,15 @@ def _bracketed(text: Column) -> Column:
         return F.when(s["height"] == 0, s).otherwise(F.struct(height.alias("height"), (s["seen"] + 1).alias("seen")))
 
     found = F.aggregate(F.split(F.reverse(before), ""), start, step)
-    return F.when(found["height"] == 0, F.substring(before, F.length(before) - found["seen"] + 2, found["seen"] - 1))
+    nested = F.when(found["height"] == 0, F.substring(before, F.length(before) - found["seen"] + 2, found["seen"] - 1))
+    # Letters are walked only where brackets stand within brackets.
+    inner = F.substring_index(before, "[", -1)
+    return F.when(F.contains(before, F.lit("[")) & ~F.contains(inner, F.lit("]")), inner).otherwise(F.when(F.contains(before, F.lit("[")), nested))
+
+
+def organism_text(header: Column) -> Column:
+    """What of a description line decides its candidates: of lines with square brackets the last pair, a line of its own, else the line; null if nothing does."""
+    return F.when(F.startswith(header, F.lit(">pir|")) | ~F.contains(header, F.lit("]")), header).otherwise(F.concat(F.lit(">["), _bracketed(header), F.lit("]")))
 
 
 def with_candidates(rows: DataFrame, header: Column, out: str = "candidates") -> DataFrame:

@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +111,14 @@ M8 = [("query", "string"), ("subject", "string"), ("pct_identity", "double"), ("
 
 def blast_m8(lines: DataFrame) -> DataFrame:
     """The twelve columns of tabular hits, with ord. Surplus tabs are taken from the second column on; comment lines are left out."""
+    return blast_m8_cells(lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), F.lit(False)).drop("value")
+
+
+def blast_m8_cells(lines: DataFrame, comment: Column) -> DataFrame:
+    """ord, value and the twelve columns of lines, which are null in comments."""
     f = F.split("value", "\t")
-    cells = F.when(F.size(f) > 12, F.concat(F.slice(f, 1, 1), F.slice(f, F.size(f) - 10, 11))).otherwise(f)
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("ord", cells.alias("c"))
-    return rows.select("ord", *[F.get("c", F.lit(k)).cast(t).alias(name) for k, (name, t) in enumerate(M8)])
+    cells = F.when(~comment, F.when(F.size(f) > 12, F.concat(F.slice(f, 1, 1), F.slice(f, F.size(f) - 10, 11))).otherwise(f))
+    return lines.select("ord", "value", cells.alias("c")).select("ord", "value", *[F.get("c", F.lit(k)).cast(t).alias(name) for k, (name, t) in enumerate(M8)])
 
 
 def m8_queries(lines: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def reciprocal_rows_m8(hits: DataFrame, least: float = 0.0) -> DataFrame:
 
 def reciprocal_rows_report(records: DataFrame, least: float = 0.0) -> DataFrame:
     """The same of reports (value) of one group each; a subject's first alignment counts."""
-    rows = blast_report(records).where("hsp = 0").withColumn("subject", F.substring_index("subject", " ", 1))
+    rows = report_firsts(records)
     return _kinds(rows.withColumnsRenamed({"query": "group", "hit": "ord"}), least, "group", "ord")
 
 
@@ -313,6 +318,15 @@ def blast_fields() -> dict[str, Column]:
     }
 
 
+def report_entries(head: str) -> list[str]:
+    """The descriptions of a subject, given as its text from `>` to its first score: lines that begin with five spaces go on with the one before."""
+    head = head.partition("\n          Length")[0]
+    if head[-1:].isspace():
+        head = re.sub(r"\n\s*$", "", head)
+    entries = [" ".join(e[1:].split()) for e in (re.split(r"\n(?! {5})", head) if "\n" in head else [head])]
+    return [e for e in entries if e]
+
+
 #: Sign of an alignment by its strands; others raise.
 STRANDS = {"Plus / Plus": 1, "Plus / Minus": -1}
 
@@ -329,9 +343,7 @@ def report_record(text: str) -> Iterator[dict]:
     kind = re.search(r"^BLAST[A-Z]", text, re.M)
     for place, block in enumerate(re.split(r"\n(?=>)", text)[1:]):
         head, _, rest = block.partition("Score =")
-        head = re.split(r"\n {10}Length", head)[0]
-        entries = [" ".join(e[1:].split()) for e in re.split(r"\n(?! {5})", re.sub(r"\n\s*$", "", head))]
-        entries = [e for e in entries if e]
+        entries = report_entries(head)
         subject = " ".join(entries)
         for n, hsp in enumerate(re.split(r"(?=Score =)", "Score =" + rest)[1:]):
             num = lambda pattern, kind=int, none=None: (kind(m[1]) if (m := re.search(pattern, hsp)) else none)  # noqa: B023, E731
@@ -378,6 +390,91 @@ def blast_report(records: DataFrame) -> DataFrame:
     return records.select("value").mapInPandas(run, REPORT)
 
 
+#: An alignment's lines as they are usually laid out; others are looked at one pattern at a time.
+_PLAIN = re.compile(r"Score = ([0-9.eE+-]+) bits \([0-9.]+\), Expect(?:\(\d+\))? = ([0-9.eE+-]+)\n Identities = (\d+)/(\d+) \((\d+)%\), Positives = (\d+)/\d+ \(\d+%\)(?:, Gaps = (\d+)/\d+ \(\d+%\))?\n Frame = ([+-]?\d)\n", re.ASCII)
+_QUERY, _BITS = re.compile(r"^Query:?\s+(\d+)\s+(\S+)\s+(\d+)", re.M), re.compile(r"Score\s*=\s*([0-9.eE+-]+) bits")
+#: What report_subjects takes of a subject's best alignment.
+BEST = ["bitscore", "evalue", "aln_len", "percent", "identities", "positives", "gaps", "q_start", "q_end", "q_seq"]
+SUBJECTS = pa.schema([("query", pa.string()), ("hit", pa.int32()), ("entries", pa.list_(pa.string())), ("first", pa.float64()), ("top", pa.float64()), *[(c, pa.string() if c == "q_seq" else pa.float64() if c in ("bitscore", "evalue") else pa.int32()) for c in BEST]])
+
+
+def _plain_alignment(text: str) -> tuple | None:
+    """The columns BEST of an alignment that is laid out as usual, else None."""
+    m = _PLAIN.match(text)
+    if not m or not m[7] and "Gaps" in text or "Strand" in text:
+        return None
+    q = _QUERY.findall(text, m.end())
+    evalue = m[2]
+    places = [int(x) for line in q for x in (line[0], line[2])]
+    if not q:
+        ends = (None, None)
+    else:
+        ends = (min(places), max(places)) if m[8][0] == "-" and m[8] != "-0" else (places[0], places[-1])
+    return float(m[1]), float("1" + evalue if evalue[0] == "e" else evalue), int(m[4]), int(m[5]), int(m[3]), int(m[6]), int(m[7] or 0), *ends, q[0][1] if len(q) == 1 else "".join([x[1] for x in q])
+
+
+def report_subjects_of(text: str) -> Iterator[tuple]:
+    """query, hit, entries, first, top and BEST of each subject of a record; a record without subjects gives its query and nulls."""
+    blocks, found = text.split("\n>"), re.search(r"Query=\s*(\S+)", text)
+    name = found[1] if found else None
+    if len(blocks) == 1:
+        yield (name, *[None] * (len(SUBJECTS) - 1))
+    for hit, block in enumerate(blocks[1:]):
+        head, *parts = block.split("Score =")
+        each = [_plain_alignment("Score =" + x) for x in parts]
+        if not each or None in each:
+            rows = list(report_record("Query= x\n>" + block))
+            entries, each = rows[0]["entries"], [tuple(r[c] for c in BEST) for r in rows]
+        else:
+            entries = report_entries(">" + head)
+        best = min(range(len(each)), key=lambda k: (each[k][0] is not None, -(each[k][0] or 0), k))
+        yield (name, hit, entries, each[0][0], max([x[0] for x in each if x[0] is not None], default=None), *each[best])
+
+
+def report_subjects(records: DataFrame) -> DataFrame:
+    """A row for each subject of records (value): its descriptions, the bit scores of its first (`first`) and of all alignments (`top`), and its best alignment.
+
+    Of equal bit scores the first is best, an alignment without one before all others. A record without subjects has a
+    row of its query alone.
+    """
+    columns, schema = SUBJECTS.names, SUBJECTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for start in range(0, len(texts), 256):
+                rows = [r for text in texts[start : start + 256] if text is not None for r in report_subjects_of(text)]
+                cells = list(zip(*rows)) or [()] * len(columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, schema.types)], schema=schema)
+
+    kinds = ", ".join(f"{c} {'array<string>' if c == 'entries' else {pa.string(): 'string', pa.float64(): 'double', pa.int32(): 'int'}[t]}" for c, t in zip(schema.names, schema.types))
+    return records.select("value").mapInArrow(run, kinds)
+
+
+def report_firsts(records: DataFrame) -> DataFrame:
+    """query, hit, subject (its first word) and bitscore of each subject's first alignment of records (value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            queries, hits, subjects, scores = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                blocks = text.split("\n>") if text is not None else []
+                found = re.search(r"Query=\s*(\S+)", text) if len(blocks) > 1 else None
+                for hit, block in enumerate(blocks[1:]):
+                    head, *parts = block.split("Score =", 2)
+                    if "\n Strand" in block:  # unknown ones raise
+                        list(report_record("\n>" + block))
+                    score = _BITS.search("Score =" + parts[0]) if parts else None
+                    entries = report_entries(">" + head)
+                    queries.append(found[1] if found else None)
+                    hits.append(hit)
+                    subjects.append(entries[0].split(" ", 1)[0] if entries else "")
+                    scores.append(float(score[1]) if score else None)
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), pa.array(hits, pa.int32()), pa.array(subjects, pa.string()), pa.array(scores, pa.float64())], names=["query", "hit", "subject", "bitscore"])
+
+    return records.select("value").mapInArrow(run, "query string, hit int, subject string, bitscore double")
+
+
 def stockholm(lines: DataFrame, file: str = "file") -> DataFrame:
     """file, row_id, aligned: blocks joined in order, upper case, dots as gaps; # lines and what follows // are left out.
 

@@ -56,13 +56,16 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.union(other).select(F.col("taxid").cast("int").alias("taxid"), "name", "class")
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, ord, taxid, score, aln_len, ev (e-value class), part, supp of each line item, as hits of its order."""
+def hits(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """query, ord, taxid, score, aln_len, ev (e-value class), part, supp of each line item, as hits of its order, with `more` columns of customers().
+
+    Orders meet customers first, so line items are shuffled once, by their order, whose window needs just that.
+    """
     c = customers(spark, sf_dir)
     n = table(spark, sf_dir, "customer").count()
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(c.select("c", "i8", "i14", "i19", "i23", *[x for x in more if x != "c"]), F.col("o_custkey") == F.col("c"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c", "i8", "i14", "i19", "i23"), F.col("o_custkey") == F.col("c"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.col("l_partkey") % 8
     taxid = F.when(kind == 3, 500000 + F.col("i23")).when(kind == 4, 400000 + F.col("i19")).when(kind == 5, 300000 + F.col("i14")).when(kind == 6, 200000 + F.col("i8"))
     taxid = taxid.when(kind == 7, 1000000 + (F.col("c") + F.col("l_suppkey")) % n).otherwise(1000000 + F.col("c"))
@@ -77,6 +80,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supp"),
         F.col("o_orderpriority").alias("sample"),
+        *more,
     )
 
 
