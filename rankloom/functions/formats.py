@@ -6,30 +6,49 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _scientific(x: Column) -> Column:
+    """[six digits with a dot, exponent] of a number's amount, rounded by the double's exact value, a true half to the even digit.
+
+    That is how Spark's format_number rounds, but for whole numbers of seven digits and more, of which it takes true
+    halves up: those are cut to the even digit before. Subnormal numbers are rounded by their shortest form.
+    """
+    amount = F.abs(x)
+    whole = F.when((amount >= 1e6) & (amount < 9.2e18), amount.cast("long"))
+    unit = F.get(F.array(*[F.lit(10**k) for k in range(14)]), F.length(whole.cast("string")) - 6).cast("long")
+    down = (whole % unit * 2 == unit) & (F.floor(whole / unit) % 2 == 0) & (amount == whole.cast("double"))
+    even = F.when((amount >= 1e6) & (amount < 9.2e18), F.when(down, (whole - whole % unit).cast("double")).otherwise(amount)).otherwise(amount)
+    return F.split(F.call_function("format_number", even, F.lit("0.00000E0")), "E")
+
+
+def _as_c(x: Column, text: Column) -> Column:
+    digits, power = F.replace(F.get(text, F.lit(0)), F.lit("."), F.lit("")), F.get(text, F.lit(1)).try_cast("int")
+    short = F.rtrim(digits, F.lit("0"))
+    dotted = lambda whole, rest: F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    far = F.concat(dotted(F.substring(short, 1, 1), F.substring(short, F.lit(2), F.lit(9))), exponent)
+    near = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), short)).otherwise(dotted(F.substring(digits, F.lit(1), power + 1), F.substring(short, power + 2, F.lit(9))))
+    out = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").when((power < -4) | (power >= 6), far).otherwise(near)
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), out))
+
+
 def six_digits(number: Column) -> Column:
     """A number with at most six significant digits as C's %g writes it: plain from 1e-4 up to 1e6, else with an exponent of two digits or more.
 
-    Spark rounds the shortest decimal form, whose halves may stand for doubles on either side. Only where it has
-    seven digits and ends in 5, the double's exact value decides, outside the JVM; all else stays in it.
+    All forms are cut from one text of six digits and an exponent, which is worked out wherever it is named; for many rows
+    see with_six_digits.
     """
-    x = number.cast("double")
-    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.16e", x), "e.*$", ""), r"[-.]|0+$", "")
-    half = (F.length(digits) == 7) & F.endswith(digits, F.lit("5"))
-    text = F.format_string("%.5e", x)
-    power = F.substring_index(text, "e", -1).cast("int")
-    bare = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    plain = F.element_at(F.array(*[F.format_string(f"%.{k}f", x) for k in range(10)]), F.greatest(F.lit(0), F.least(F.lit(9), 5 - power)) + 1)
-    out = F.when((power < -4) | (power >= 6), F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))).otherwise(bare(plain))
-
-    @F.pandas_udf("string")
-    def exact(halves: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else "%g" % v for v in halves], dtype=object)
-
-    return F.when(x == 0, "0").otherwise(F.coalesce(exact(F.when(half, x)), out))
+    return _as_c(number.cast("double"), _scientific(number.cast("double")))
+
+
+def with_six_digits(rows: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    """Adds numbers by name as texts of six_digits; each is rounded once, in a step of its own."""
+    held = rows.withColumns({f"_x_{k}": x.cast("double") for k, x in numbers.items()})
+    held = held.withColumns({f"_t_{k}": _scientific(F.col(f"_x_{k}")) for k in numbers})
+    return held.withColumns({k: _as_c(F.col(f"_x_{k}"), F.col(f"_t_{k}")) for k in numbers}).drop(*[f"_{x}_{k}" for k in numbers for x in "xt"])
 
 
 def waves(a: list[np.ndarray], b: list[np.ndarray], matrix: np.ndarray, band: int, indel: int) -> np.ndarray:

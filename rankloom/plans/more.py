@@ -44,7 +44,7 @@ def number_formats(spark, sf):
     rows = S.table(spark, sf, "lineitem")
     a, b, c = F.col("l_extendedprice") / 3.7, F.col("l_extendedprice") * 1000 / 3.7, F.col("l_quantity") / F.col("l_extendedprice") / 700
     d, e = 100000 + F.col("l_partkey") + 0.5, (1000005 + 10 * F.col("l_partkey")) / 10000000
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[formats.six_digits(x).alias(name) for name, x in (("a", a), ("b", b), ("c", c), ("d", d), ("e", e))])
+    return formats.with_six_digits(rows, {"a": a, "b": b, "c": c, "d": d, "e": e}).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "a", "b", "c", "d", "e")
 
 
 @query("organism_name", "SELECT c_custkey AS c, CASE WHEN c_custkey % 5 = 3 THEN 0 ELSE 1000000 + c_custkey END::INT AS taxid FROM customer")
