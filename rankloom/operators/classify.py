@@ -145,16 +145,30 @@ def with_support(rows: DataFrame) -> DataFrame:
 def adaptive(rows: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.6, 1.0), stop_exhausted: bool = True) -> DataFrame:
     """query, share, taxid, property, no_worse: the first share of the best score whose result has a worse hit, or whose hits are exhausted; else the last.
 
-    Tabular input does not look whether hits are exhausted (stop_exhausted false).
+    rows: hits with line, their packed lineage, and query_score; see classify. Each hit is there once: its level is the first share
+    that keeps it, and each share has its own best hit. Tabular input does not look whether hits are exhausted (stop_exhausted false).
     """
-    wide = rows.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
-    wide = wide.withColumn("plain_query", F.col("query")).withColumn("query", F.struct("plain_query", "share"))
-    kept = H.filter_top_percent(wide, F.col("share"))
-    flags = kept.groupBy("query").agg(F.first("exhausted").alias("exhausted"))
-    results = classify(kept).join(flags, "query")
-    final = ~F.col("no_worse") | (F.col("exhausted") & F.lit(stop_exhausted)) | (F.col("query.share") == shares[-1])
-    first = F.min(F.struct(F.col("query.share").alias("share"), "taxid", "property", "no_worse"))
-    return results.where(final).groupBy(F.col("query.plain_query").alias("query")).agg(first.alias("r")).select("query", "r.*")
+    steps, more = range(len(shares)), [c for c in ("support",) if c in rows.columns]
+    rows = rows.withColumns({"_low": F.min("score").over(H.so_far()), "_top": F.max("score").over(H.whole()), "_least": F.min("score").over(H.whole())})
+    keeps = lambda value, k: value >= (1 - shares[k]) * F.col("_top")
+    rows = rows.withColumns({**{f"_kept_{k}": keeps(F.col("_low"), k) for k in steps}, **{f"_all_{k}": keeps(F.col("_least"), k) for k in steps}})
+    best = F.struct(F.lit(0) - F.col("score"), "ord", "taxid", "line", "query_score", *more)
+    rows = rows.withColumns({f"_best_{k}": F.min(F.when(F.col(f"_kept_{k}"), best)).over(H.whole()) for k in steps})
+    own = lambda k: F.col("ord") == F.col(f"_best_{k}.ord")
+    rows = rows.withColumns({f"_r_{k}": F.when(F.col(f"_kept_{k}") & ~own(k), ranks.shared_simple_rank(F.col(f"_best_{k}.line"), F.col("line"))) for k in steps})
+    aggs = []
+    for k in steps:
+        aggs += [F.count_if(f"_kept_{k}").alias(f"n_{k}"), F.first(f"_best_{k}").alias(f"best_{k}"), F.max(F.when(F.col(f"_kept_{k}") & own(k), F.col("score"))).alias(f"self_{k}"), F.bool_and(f"_all_{k}").alias(f"all_{k}")]
+        for r in range(1, 8):
+            one = F.when(F.col(f"_r_{k}") == r, F.col("score").cast("double"))
+            aggs += [F.max(one).alias(f"b{r}_{k}"), F.min(one).alias(f"w{r}_{k}")]
+    wide = rows.groupBy("query").agg(*aggs)
+    step = lambda k: F.struct(F.lit(shares[k]).alias("share"), F.col(f"n_{k}").alias("n"), F.col(f"best_{k}").alias("best"), F.col(f"self_{k}").alias("self_score"), F.col(f"best_{k}.query_score").alias("query_score"), F.col(f"all_{k}").alias("exhausted"), *[F.col(f"best_{k}.{c}").alias(c) for c in more], *[F.col(f"{x}{r}_{k}").alias(f"{x}{r}") for x in "bw" for r in range(1, 8)])
+    each = wide.select("query", F.explode(F.array(*[step(k) for k in steps])).alias("s")).select("query", "s.*").where("n > 0")
+    results = assign(core(each.withColumn("path", ranks.unpacked(F.col("best.line"))).drop("best")))
+    final = ~F.col("no_worse") | (F.col("exhausted") & F.lit(stop_exhausted)) | (F.col("share") == shares[-1])
+    first = F.min(F.struct("share", "taxid", "property", "no_worse"))
+    return results.where(final).groupBy("query").agg(first.alias("r")).select("query", "r.*")
 
 
 def computed(queries: DataFrame, rows: DataFrame) -> DataFrame:

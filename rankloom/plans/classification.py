@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from rankloom.functions import ranks
 from rankloom.operators import classify as C
 from rankloom.operators import hits as H
+from rankloom.operators import reads as R
 from rankloom.operators import taxonomy as T
 from rankloom.plans import oracle as O
 from rankloom.plans.registry import query
-from rankloom.plans.taxonomy import ALN, LCA_ROOT, RANK_FOR, SIMPLE, aligned, hits_some_without, hits_with_path, numbered_tree
+from rankloom.plans.taxonomy import ALN, LCA_ROOT, RANK_FOR, SIMPLE, aligned, hits_some_without, hits_with_path, numbered_tree, tree
 from rankloom.sources import tables as S
 
 # The best hit plays the query itself; its own score times 70 to 100 per cent is the query's score.
@@ -91,7 +92,7 @@ tl AS (SELECT *, max(f) OVER (PARTITION BY query, p ORDER BY ord) AS tail, max(f
 kp AS (SELECT {'q': query, 'p': p} AS query, ord, score, ids, rks, anyf, mx FROM tl WHERE tail = 0),
 exh AS (SELECT query, max(anyf) = 0 AS exhausted FROM kp GROUP BY query)""", PAIRS.format(src="kp").replace("max(score) * (70 + query % 31)", "max(mx) * (70 + query.q % 31)"), SLOTS.replace("{k}", "")))
 def adaptive_top_percent(spark, sf):
-    rows = scored(spark, sf)
+    rows = with_query_score(R.with_line(S.hits(spark, sf), tree(spark, sf)))
     return C.adaptive(rows).select("query", "share", "taxid", "property")
 
 
