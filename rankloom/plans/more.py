@@ -132,8 +132,8 @@ def classify_16s(spark, sf):
     letters = lambda c: F.translate(F.md5(c.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
     nation, own = letters(F.col("s_nationkey") % 5), letters(F.col("s_suppkey"))
     subjects = S.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), (1000000 + F.col("s_suppkey")).cast("int").alias("taxid"), (F.col("s_nationkey") % 2).alias("kingdom"), (F.col("s_suppkey") % 3).cast("int").alias("offset"), F.concat(nation, nation, F.substring(own, 1, 8), nation).alias("aligned"))
-    r = S.table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_suppkey", "l_partkey")
+    r = S.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "query")
+    order = Window.partitionBy("query").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_suppkey", "l_partkey")
     start = 1 + F.col("l_quantity").cast("int") % 10
-    hits = r.select(F.col("l_orderkey").alias("query"), F.row_number().over(order).alias("ord"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject"), F.lit(95).alias("identity"), F.lit(41).alias("aln_len"), (F.col("l_partkey") % 3).cast("int").alias("mismatches"), F.lit(0).alias("openings"), start.alias("s_start"), (start + 40).alias("s_end"), F.col("l_extendedprice").alias("bitscore"))
+    hits = r.select("query", F.row_number().over(order).alias("ord"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject"), F.lit(95).alias("identity"), F.lit(41).alias("aln_len"), (F.col("l_partkey") % 3).cast("int").alias("mismatches"), F.lit(0).alias("openings"), start.alias("s_start"), (start + 40).alias("s_end"), F.col("l_extendedprice").alias("bitscore"))
     return modes.ribosomal(hits, T.with_path(subjects, tree(spark, sf)))
