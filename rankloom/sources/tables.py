@@ -69,9 +69,11 @@ def hits(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     kind = F.col("l_partkey") % 8
     taxid = F.when(kind == 3, 500000 + F.col("i23")).when(kind == 4, 400000 + F.col("i19")).when(kind == 5, 300000 + F.col("i14")).when(kind == 6, 200000 + F.col("i8"))
     taxid = taxid.when(kind == 7, 1000000 + (F.col("c") + F.col("l_suppkey")) % n).otherwise(1000000 + F.col("c"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # Named before the window, so that what follows finds the rows dealt by query.
+    rows = rows.withColumnRenamed("l_orderkey", "query")
+    order = Window.partitionBy("query").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     return rows.select(
-        F.col("l_orderkey").alias("query"),
+        "query",
         F.row_number().over(order).alias("ord"),
         taxid.cast("int").alias("taxid"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"),
